@@ -174,13 +174,13 @@ def oracle() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     gates = keywords()
     table = ",\n".join(f"({p}, {quote(label)}, {quote(next(g for g in gates if g in unit(key)))}, {quote(pattern)}, {weight}::DOUBLE)" for p, label, key, pattern, weight in rules())
-    base = " UNION ALL ".join(f"SELECT doc_id, {quote(label)} AS label, unnest(list_filter(range(len(words)), lambda i: {' AND '.join(f'words[i + {k + 1}] = {quote(w)}' for k, w in enumerate(phrase.split()))})) AS at FROM texts WHERE contains(spaced, {quote(unit(phrase))})" for phrase, label in PHRASES.items())
+    base = " UNION ALL ".join(f"SELECT doc_id, {quote(label)} AS label, unnest(list_filter(range(len(words)), lambda i: {' AND '.join(f'words[i + {k + 1}] = {quote(w)}' for k, w in enumerate(phrase.split()))})) AS place FROM texts WHERE contains(spaced, {quote(unit(phrase))})" for phrase, label in PHRASES.items())
     return f"""
 WITH rules(priority, label, gate, pattern, weight) AS (VALUES {table}),
 words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words FROM documents),
 texts AS (SELECT doc_id, words, CASE WHEN len(words) > 0 THEN ' ' || array_to_string(words, '  ') || ' ' ELSE '' END AS spaced FROM words),
 base AS ({base}),
-by_base AS (SELECT doc_id, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word, list(DISTINCT label) AS own FROM base GROUP BY doc_id),
+by_base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS own FROM base GROUP BY doc_id),
 met AS (SELECT doc_id, priority, label, weight, string_split_regex(spaced, pattern) AS gaps, regexp_extract_all(spaced, pattern) AS hits FROM texts JOIN rules ON contains(spaced, gate) WHERE regexp_matches(spaced, pattern)),
 hit AS (SELECT doc_id, priority, label, weight, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM met),
 found AS (SELECT DISTINCT doc_id, priority, label, weight, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS s, length(hits[i]) AS n FROM hit),
