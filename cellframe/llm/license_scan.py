@@ -99,10 +99,21 @@ def rule_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "priority int, label string, gate string, pattern string, weight double")
 
 
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
 def spaced(text: Column) -> Column:
-    """The text's words, A-Z in lower case, each with a space on both sides."""
-    words = F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-    return F.when(F.size(words) > 0, F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))).otherwise(F.lit(""))
+    """The text's words, each with a space on both sides; empty without words."""
+    words = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), GAP, "  "))
+    return F.when(words == "", words).otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
+
+
+def gate_pattern() -> str:
+    """One pattern for all keywords, by their first letters, A-Z in either case."""
+    by_letter: dict[str, list[str]] = {}
+    for k in keywords():
+        by_letter.setdefault(k[1], []).append(k[2:])
+    return "(?i) (?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by_letter.items())) + ")"
 
 
 def intervals(text: str, pattern: str) -> Column:
@@ -120,52 +131,55 @@ def intervals(text: str, pattern: str) -> Column:
 
 def base_starts(phrase: str) -> Column:
     """Word positions at which a phrase's words stand consecutively; looked for only in texts that hold it."""
-    words = phrase.split()
-    here = lambda x, i: F.when((x == words[0]) & F.reduce(F.array(*[F.get("words", i + k) == w for k, w in enumerate(words) if k]), F.lit(True), lambda a, b: a & b), i.cast("long"))
-    return F.when(F.col("spaced").contains(unit(phrase)), F.filter(F.transform("words", here), lambda x: x.isNotNull())).otherwise(F.array().cast("array<long>"))
+    found = F.transform(intervals("spaced", f"'{unit(phrase)}'"), lambda x: words_before(x["s"]))
+    return F.when(F.col("spaced").contains(unit(phrase)), found).otherwise(F.array().cast("array<long>"))
+
+
+def words_before(at: Column) -> Column:
+    """How many words a position has before it: two spaces for each."""
+    head = F.substring(F.col("spaced"), F.lit(1), at)
+    return ((F.length(head) - F.length(F.replace(head, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base phrases and license detections of each whole text.
 
     Gives ``id, n_words, n_base, first_word, last_word, base_labels, labels,
-    score`` and ``n_found``. A document meets only those rules whose keyword it
-    holds (a join with a broadcast table of a few hundred rules). A detection
-    that lies inside another one is suppressed; of equal intervals the rule with
-    the higher priority stays. ``score`` is the largest weight of what stays: 1
-    for a full grant with a version, 0 without any detection.
-
-    A null or empty text has no words. Texts without keyword never leave the
-    first projection; detections are shuffled as intervals, texts are not. Rows
-    equal in id and text share their detections.
+    score`` and ``n_found``. One pattern of all keywords parts the texts; the few
+    that hold one meet only the rules of that keyword (a join with a broadcast
+    table of a few hundred rules). A detection that lies inside another one is
+    suppressed; of equal intervals the rule with the higher priority stays.
+    ``score`` is the largest weight of what stays: 1 for a full grant with a
+    version, 0 without any detection.
+
+    A null or empty text has no words. Texts are read once and not shuffled:
+    what goes on is a row for each detection, and one for each text without.
+    Repeated rows stay apart; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).alias("id"), spaced(F.col(text_col)).alias("spaced"))
-    words = F.when(F.col("spaced") == "", F.array().cast("array<string>")).otherwise(F.split(F.trim("spaced"), "  "))
-    starts = {label: base_starts(phrase) for phrase, label in PHRASES.items()}
-    base = rows.select("key", "id", "spaced", words.alias("words")).select("key", "id", F.size("words").cast("long").alias("n_words"), *[s.alias(f"at {label}") for label, s in starts.items()])
-
-    gate = "|".join(keywords())
-    gated = rows.where(F.col("spaced").rlike(gate)).select("key", "spaced", F.explode(F.filter(F.array(*map(F.lit, keywords())), lambda k: F.col("spaced").contains(k))).alias("gate"))
-    met = gated.join(F.broadcast(rule_table(spark)), "gate")
-    found = met.select("key", "priority", "label", "weight", F.explode(intervals("spaced", "pattern")).alias("at")).select("key", "priority", "label", "weight", "at.s", "at.e").distinct()
-    before = Window.partitionBy("key").orderBy("s", F.desc("e"), "priority").rowsBetween(Window.unboundedPreceding, -1)
-    kept = found.withColumn("reach", F.max("e").over(before)).where("reach IS NULL OR e > reach")
-    verdict = kept.groupBy("key").agg(F.collect_set("label").alias("more"), F.max("weight").alias("score"), F.count("*").alias("n_found"))
-
-    every = [F.col(f"`at {label}`") for label in starts]
-    own = F.array_compact(F.array(*[F.when(F.size(F.col(f"`at {label}`")) > 0, F.lit(label)) for label in starts]))
-    out = base.join(verdict, "key", "left").withColumn("own", own)
-    return out.select(
+    rows = docs.select(F.monotonically_increasing_id().alias("slot"), F.col(id_col).alias("id"), spaced(F.col(text_col)).alias("raw"))
+    n_words = F.when(F.col("raw") == "", 0).otherwise(F.length("raw") - F.length(F.replace("raw", F.lit("  "), F.lit(" "))) + 1)
+    gated = rows.select("slot", "id", n_words.cast("long").alias("n_words"), F.when(F.col("raw").rlike(gate_pattern()), ascii_lower(F.col("raw"))).alias("spaced"))
+    gates = F.filter(F.array(*map(F.lit, keywords())), lambda k: F.col("spaced").contains(k))
+    starts = F.when(F.col("spaced").isNotNull(), F.array(*map(base_starts, PHRASES)))
+    each = gated.select("slot", "id", "n_words", "spaced", starts.alias("own"), F.explode_outer(F.when(F.col("spaced").isNotNull(), gates)).alias("gate"))
+    met = each.join(F.broadcast(rule_table(docs.sparkSession)), "gate", "left")
+    found = met.select("slot", "id", "n_words", "own", "priority", "label", "weight", F.explode_outer(intervals("spaced", "pattern")).alias("at")).select("slot", "id", "n_words", "own", "priority", "label", "weight", "at.s", "at.e")
+    before = Window.partitionBy("slot").orderBy(F.col("s").asc_nulls_last(), F.desc("e"), "priority").rowsBetween(Window.unboundedPreceding, -1)
+    stays = F.col("e").isNotNull() & (F.col("reach").isNull() | (F.col("e") > F.col("reach")))
+    kept = found.withColumn("reach", F.max("e").over(before)).withColumn("stays", stays)
+    verdict = kept.groupBy("slot").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.first("own").alias("own"), F.collect_set(F.when(F.col("stays"), F.col("label"))).alias("more"), F.max(F.when(F.col("stays"), F.col("weight"))).alias("score"), F.count_if("stays").alias("n_found"))
+    every = [F.coalesce(F.get("own", k), F.array().cast("array<long>")) for k in range(len(PHRASES))]
+    labels = F.array_compact(F.array(*[F.when(F.size(c) > 0, F.lit(label)) for c, label in zip(every, PHRASES.values(), strict=True)]))
+    return verdict.select(
         F.col("id").alias(id_col),
         "n_words",
         sum(F.size(c) for c in every).cast("long").alias("n_base"),
         F.array_min(F.concat(*every)).alias("first_word"),
         F.array_max(F.concat(*every)).alias("last_word"),
-        F.array_join(F.array_sort("own"), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("own", F.coalesce("more", F.array().cast("array<string>")))), ",").alias("labels"),
+        F.array_join(F.array_sort(labels), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(labels, F.col("more"))), ",").alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
-        F.coalesce("n_found", F.lit(0)).alias("n_found"),
+        "n_found",
     )
 
 
