@@ -27,6 +27,51 @@ def tokenizer_of(path: str):
     return _loaded[path]
 
 
+class ChunkIds(dict):
+    """The ids of each chunk between spaces and line ends, as the file's bytes.
+
+    White space always parts this kind of vocabulary's words and has no ids of
+    its own, so a text's ids are its chunks' ids in order, and the tokenizer has
+    to see each different chunk once. A vocabulary that keeps white space is
+    given whole texts instead.
+    """
+
+    MOST = 1_000_000
+    LONGEST = 64
+
+    def __init__(self, path: str, kind: str):
+        self.tokenizer, self.kind = tokenizer_of(path), kind
+        probe = ["a b", "a\nb", "a  \n b"]
+        ab = [i for c in "ab" for i in self.ids(c)]
+        self.by_chunk = all(self.ids(p) == ab for p in probe) and not self.ids(" \n ")
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        chunks = [t.replace("\n", " ").split(" ") if self.by_chunk else [t] for t in texts]
+        if len(self) > self.MOST:
+            self.clear()
+        new = list({c for row in chunks for c in row if c not in self})
+        got = {}
+        for lo in range(0, len(new), 256):
+            part = new[lo : lo + 256]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                got[c] = np.array(e.ids, self.kind).tobytes()
+        self.update((c, ids) for c, ids in got.items() if len(c) <= self.LONGEST)
+        get = self.get
+        return [b"".join([ids if (ids := get(c)) is not None else got[c] for c in row]) for row in chunks]
+
+
+_chunks: dict[tuple[str, str], ChunkIds] = {}
+
+
+def chunks_of(path: str, kind: str) -> ChunkIds:
+    if (path, kind) not in _chunks:
+        _chunks[path, kind] = ChunkIds(path, kind)
+    return _chunks[path, kind]
+
+
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a folder's address and the path there."""
     if "://" not in uri:
@@ -59,20 +104,16 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
         mine = f"{name}.{uuid.uuid4().hex}"
         tokenizer = tokenizer_of(vocabulary)
         kind = "<u2" if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+        chunks, end = chunks_of(vocabulary, kind), np.array([end_id], kind).tobytes()
         store.create_dir(at)
         total, offsets, ids, nulls = 0, [0], [], []
         with store.open_output_stream(f"{mine}.ids") as out:
             for batch in batches:
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 lengths = []
-                for lo in range(0, len(texts), 64):
-                    got = tokenizer.encode_batch_fast(texts[lo : lo + 64], add_special_tokens=False)
-                    flat = []
-                    for e in got:
-                        flat += e.ids
-                        flat.append(end_id)
-                        lengths.append(len(e.ids) + 1)
-                    out.write(np.array(flat, kind).tobytes())
+                rows_ids = [ids + end for ids in chunks.encoded(texts)]
+                out.write(b"".join(rows_ids))
+                lengths = [len(ids) // len(end) for ids in rows_ids]
                 offsets += (total + np.cumsum(lengths)).tolist()
                 total += sum(lengths)
                 keys = batch.column(0)
