@@ -16,8 +16,9 @@ ROWS, BANDS = 6, 40
 REGISTERS = ROWS * BANDS
 BASE = 1.2  # registers are whole powers of this base
 SHIFT = 20  # so that the largest minimum still has a register over 0
-CROWD = 32  # members up to which a bucket's pairs are listed; larger buckets are compared in blocks
+CROWD = 8  # members up to which a bucket's pairs are listed; larger buckets are compared in blocks
 BLOCK = 256
+SLOTS = 1 << 20  # of the filter before texts are shuffled: 16 MB at most, whatever the corpus
 MOST_KEPT = 1_000_000
 _random = np.random.default_rng(20240229)
 FACTORS = _random.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -169,7 +170,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     Equal sets are one node from the start. Forty bands of six registers bring
     together pairs of similarity 0.8 but for five in a million, and pairs of 0.9
-    but for fewer still. A bucket of up to 32 nodes lists its pairs. A larger
+    but for fewer still. A bucket of up to 8 nodes lists its pairs. A larger
     bucket links its members to a hub, the member with the most company over all
     bands; members that this leaves in another component than their hub's are
     then compared with all members that share the hub, in blocks of 256, so
@@ -211,7 +212,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     candidates = written(map_batches(likely_pairs, likely, "a long, b long, ok boolean").where("ok").select("a", "b"))
 
     wanted = candidates.select(F.col("a").alias("id")).unionByName(candidates.select(F.col("b").alias("id"))).unionByName(spokes.select("id")).unionByName(spokes.select(F.col("hub").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
+    wanted = written(wanted)
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).alias("slot")  # a coarse filter of fixed size first: few texts are shuffled
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = texts.withColumn("slot", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi").join(wanted, "id", "left_semi").select("id", "text")
     sets = written(map_batches(texts, lambda batch: {"id": batch["id"], "shingles": [shingle_set(t, width).view(np.int64) for t in batch["text"]]}, "id long, shingles array<long>"))
     shared = F.size(F.array_intersect("sa", "sb"))
     checked = candidates.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
