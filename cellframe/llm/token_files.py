@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 
@@ -38,12 +39,14 @@ class ChunkIds(dict):
 
     MOST = 1_000_000
     LONGEST = 64
+    #: ASCII letters, then marks but no apostrophe: words of their own, and letters count alike in either case.
+    ENDED = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str, kind: str):
         self.tokenizer, self.kind = tokenizer_of(path), kind
-        probe = ["a b", "a\nb", "a  \n b"]
+        probe = ["a b", "a\nb", "a  \n b", "A B"]
         ab = [i for c in "ab" for i in self.ids(c)]
-        self.by_chunk = all(self.ids(p) == ab for p in probe) and not self.ids(" \n ")
+        self.by_chunk = all(self.ids(p) == ab for p in probe) and not self.ids(" \n ") and self.ids("a.*b") == self.ids("a") + self.ids(".*") + self.ids("b")
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -52,12 +55,16 @@ class ChunkIds(dict):
         chunks = [t.replace("\n", " ").split(" ") if self.by_chunk else [t] for t in texts]
         if len(self) > self.MOST:
             self.clear()
-        new = list({c for row in chunks for c in row if c not in self})
-        got = {}
+        unseen = {c for row in chunks for c in row if c not in self}
+        parts = {c: m for c in unseen if (m := self.ENDED.fullmatch(c))} if self.by_chunk else {}
+        new = list({m[1].lower() for m in parts.values()} | {m[2] for m in parts.values()} | (unseen - parts.keys()))
+        got = {c: self[c] for c in new if c in self}
+        new = [c for c in new if c not in got]
         for lo in range(0, len(new), 256):
             part = new[lo : lo + 256]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 got[c] = np.array(e.ids, self.kind).tobytes()
+        got |= {c: got[m[1].lower()] + got[m[2]] for c, m in parts.items()}
         self.update((c, ids) for c, ids in got.items() if len(c) <= self.LONGEST)
         get = self.get
         return [b"".join([ids if (ids := get(c)) is not None else got[c] for c in row]) for row in chunks]
