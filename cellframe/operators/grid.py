@@ -90,7 +90,7 @@ def components(mask: DataFrame, keys: list[str] | None = None) -> DataFrame:
     lower = spans.select(*keys, "r", F.col("span").alias("b"), "lo", "hi", tile)
     edges = upper.join(lower, [*keys, "r", "tile"]).where("alo <= hi AND lo <= ahi").select("a", "b").distinct()
     labels = smallest_labels(spans.select(F.col("span").alias("id")), edges)
-    lead = spans.join(labels, spans.span == labels.id).select("span", "label", "first")
+    lead = spans.select("span", "first").join(labels.select(F.col("id").alias("span"), "label"), "span")
     names = lead.groupBy("label").agg(F.min("first").alias("component"))
     return runs.join(lead.select("span", "label").join(names, "label").select("span", "component"), "span").select(*keys, "cid", "r", "c", "component")
 
