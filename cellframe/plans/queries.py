@@ -11,6 +11,7 @@ from ..functions import expr as E
 from ..functions import sampling as S
 from ..operators import curves, grid, scenes, select
 from . import bridge as B
+from . import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -57,6 +58,16 @@ def source_c_bands(spark, sf_dir):
     return select.summary_of(chosen, ["c_min"], spark.createDataFrame([(m,) for m in mins], "c_min double"), 100.0)
 
 
+@query(f"WITH {C}, {SA}, {SC}, cut AS (SELECT quantile_cont(pci, 0.9e0) AS p10, quantile_cont(pci, 0.95e0) AS p5 FROM scored), "
+       "t(x, m) AS (VALUES ('top10', NULL), ('top5', NULL), ('cmin5_lt_cmax120_g', 5e0), ('cmin10_lt_cmax120_g', 10e0), ('cmin20_lt_cmax120_g', 20e0), ('cmin30_lt_cmax120_g', 30e0), ('cmin50_lt_cmax120_g', 50e0), ('cmin70_lt_cmax120_g', 70e0)), "
+       "n AS (SELECT x, count(*) AS k FROM scored, cut, t WHERE dz < -0.277e0 AND CASE x WHEN 'top10' THEN pci >= p10 WHEN 'top5' THEN pci >= p5 ELSE g >= m AND g < 120 END GROUP BY x) "
+       "SELECT x AS label, coalesce(k, 0) AS source_pixels, coalesce(k, 0) * 100e0 AS source_area_m2, coalesce(k, 0) * 100e0 / 1e6 AS source_area_km2 FROM t LEFT JOIN n USING (x)")
+def source_area_job(spark, sf_dir):
+    """All selections by top percent and by band of the index at once."""
+    cells = scored(spark, sf_dir).select("cid", "r", "c", "g", "dz", "pci")
+    return jobs.source_areas(cells, [10, 5], [5.0, 10.0, 20.0, 30.0, 50.0, 70.0], 120.0, lost(), 100.0)[1]
+
+
 @query(f"WITH {C}, {SA}, {SC} SELECT cid, round(pci, 6) AS pci FROM scored")
 def pci_rank(spark, sf_dir):
     return rounded(scored(spark, sf_dir).select("cid", "pci"), "pci")
