@@ -12,28 +12,37 @@ from .common import map_batches, written
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
-#: Kinds beside the base ones, in order: pattern and the group that holds the credential.
+HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of 16 and more among those of [0-9a-f]+
+#: Every match of ASSIGN, in small letters, has one of these; the last two are letters that count as an s and an i of either case.
+ASSIGN_HAS = ("passw", "secret", "token", "api", "\u017f", "\u0131")
+#: Kinds beside the base ones, in order: pattern, the group that holds the credential, and what each match has in small letters.
 MORE = [
-    ("github", re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}"), 0),
-    ("slack", re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}"), 0),
-    ("google", re.compile(r"\bAIza[A-Za-z0-9_-]{35}"), 0),
-    ("jwt", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0),
-    ("pem", re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]+"), 0),
-    ("url", re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:([^\s/@]{6,128})@"), 1),
-    ("bearer", re.compile(r"(?i:\bbearer)\x20+([A-Za-z0-9+/_.=-]{20,})"), 1),
+    ("github", re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}"), 0, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    ("slack", re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}"), 0, ("xox",)),
+    ("google", re.compile(r"\bAIza[A-Za-z0-9_-]{35}"), 0, ("aiza",)),
+    ("jwt", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, ("eyj",)),
+    ("pem", re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]+"), 0, ("private key-----",)),
+    ("url", re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:([^\s/@]{6,128})@"), 1, ("://",)),
+    ("bearer", re.compile(r"(?i:\bbearer)\x20+([A-Za-z0-9+/_.=-]{20,})"), 1, ("bearer",)),
 ]
 BASE = ("assign", "access", "hex")
-KINDS = [*BASE, *(name for name, _, _ in MORE)]
+KINDS = [*BASE, *(name for name, *_ in MORE)]
 
 
 def candidates(text: str) -> list[tuple[int, int, int, str]]:
-    """``(start, kind number, end, value)`` of each span, in order of start and kind."""
-    found = [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
-    found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
-    found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text) if m.end() - m.start() >= 16]
-    for k, (_, pattern, group) in enumerate(MORE, len(BASE)):
-        found += [(m.start(), k, m.end(), m[group]) for m in pattern.finditer(text)]
+    """``(start, kind number, end, value)`` of each span, in order of start and kind.
+
+    A pattern runs over the whole text if the text has any of the strings without which it can't match.
+    """
+    small = text.lower()
+    found = [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
+    if any(x in small for x in ASSIGN_HAS):
+        found += [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    if "akia" in small:
+        found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
+    for k, (_, pattern, group, has) in enumerate(MORE, len(BASE)):
+        if any(x in small for x in has):
+            found += [(m.start(), k, m.end(), m[group]) for m in pattern.finditer(text)]
     return sorted(found)
 
 

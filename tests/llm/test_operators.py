@@ -113,6 +113,15 @@ def test_license_scan(spark):
     assert len(license_scan.rules()) > 300
 
 
+def test_secret_candidates_against_ungated_patterns():
+    texts = ["ap\u0131key=abcdefghijklmnop", "Pa\u017f\u017fwd: 'abcdefghijklmnop'", "TO\u212aEN=abcdefghijklmnop", "AP\u0130_KEY=abcdefghijklmnop", "BEARER " + "a" * 25, "ghp_" + "A1" * 20, "AKIA" + "B" * 16]
+    texts += ["-----BEGIN RSA PRIVATE KEY-----\nabc", "pg://u:secretpw@h", "deadbeef" * 2 + "g" + "a" * 15, "token=short", "AIza" + "b" * 35, "eyJ" + "a" * 9 + ".bbbbbbbbb.ccccccccc", "xoxb-" + "1" * 12, ""]
+    patterns = [(secret_scan.ASSIGN, 2, 12), (secret_scan.ACCESS, 0, 18), (re.compile(r"[0-9a-f]+"), 0, 16), *((p, g, 0) for _, p, g, _ in secret_scan.MORE)]
+    for text in [*texts, "\n".join(texts)]:
+        want = sorted((m.start(), k, m.end(), m[g]) for k, (p, g, least) in enumerate(patterns) for m in p.finditer(text) if len(m[g]) >= least)
+        assert secret_scan.candidates(text) == want and (want or text in ("", "token=short"))
+
+
 def test_secret_scan(spark):
     shared, own = "AKIA" + "B" * 16, "deadbeef" * 4
     rows = [(i, f"key {shared} end", "en", f"o{i}") for i in range(4)] + [(9, f'password = "{own}" x', "en", "o1"), (10, None, None, None)]
