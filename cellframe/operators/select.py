@@ -38,14 +38,17 @@ def pci_monte_carlo(cells: DataFrame, samples: DataFrame, d50: Column | None = N
     """``(cid, pci, c_mean)`` where inputs may be columns of cells: each sample's threshold is computed for each cell.
 
     Inputs not given come from the sample table, which is broadcast (its size is
-    a parameter). Counts and sums are formed before the shuffle, so a cell sends
-    one row of each partition.
+    a parameter). Cells are dealt evenly before the draws meet them, since few
+    bytes make many pairs. Counts and sums are formed before the shuffle, so a
+    cell sends one row.
     """
     d50 = d50 if d50 is not None else F.col("_d50") / 1000.0
     na = na if na is not None else F.col("_na")
     r = r if r is not None else F.col("_r") / 1000.0 / 3600.0
     draws = samples.select(F.col("d50_mm").alias("_d50"), F.col("na").alias("_na"), F.col("r_mm_hr").alias("_r"))
-    pairs = cells.where(F.col(g).isNotNull()).crossJoin(F.broadcast(draws)).withColumn("_cc", threshold_c(d50, na, r, soil))
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cells.where(F.col(g).isNotNull()).repartition(tasks)
+    pairs = dealt.crossJoin(F.broadcast(draws)).withColumn("_cc", threshold_c(d50, na, r, soil))
     return pairs.groupBy("cid").agg((F.count_if(F.col("_cc") <= F.col(g)) / F.count("*")).alias("pci"), F.avg("_cc").alias("c_mean"))
 
 

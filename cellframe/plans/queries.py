@@ -75,8 +75,8 @@ def pci_rank(spark, sf_dir):
 
 @query(f"WITH {C}, {SA}, d AS (SELECT * FROM samples WHERE i < 50), p AS (SELECT cid, g, {B.c_of('(d50_mm / 1000e0)', '(0.01e0 + 0.001e0 * (cid % 50))', '(r_mm_hr / 1000e0 / 3600e0)')} AS cc FROM cells, d WHERE g IS NOT NULL) SELECT cid, round(count(*) FILTER (cc <= g) / 50e0, 6) AS pci, round(avg(cc), 4) AS c_mean FROM p GROUP BY cid")
 def pci_monte_carlo(spark, sf_dir):
-    """Roughness is a band of its own: each of 50 draws is scored in each cell."""
-    out = select.pci_monte_carlo(B.cells(spark, sf_dir), S.c_samples(spark).where("i < 50"), na=0.01 + 0.001 * (F.col("cid") % 50))
+    """Roughness is a band of its own: each of the 1,500 draws is scored in each cell."""
+    out = select.pci_monte_carlo(B.cells(spark, sf_dir), S.c_samples(spark), na=0.01 + 0.001 * (F.col("cid") % 50))
     return rounded(rounded(out, "pci"), "c_mean", digits=4)
 
 

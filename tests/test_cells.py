@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cellframe.functions import expr as E
 from cellframe.functions import sampling as S
 from cellframe.operators import curves, grid, scenes, select
+from cellframe.plans import queries
 
 
 def band(spark, rows, name="g"):
@@ -122,6 +123,23 @@ def test_samples_repeat(spark):
         S.c_samples(spark, 0)
 
 
+def test_monte_carlo_scores_every_draw(spark, monkeypatch):
+    cells = band(spark, [[0.5 * k + 0.1 for k in range(12)], [None, *range(20, 130, 10)]])
+    monkeypatch.setattr(queries.B, "cells", lambda *_: cells)
+    got = {r.cid: r for r in queries.pci_monte_carlo(spark, "").collect()}
+    draws = S.c_samples(spark).collect()
+    assert len(draws) == 1500 and len(got) == 23
+    for cell in cells.where("g IS NOT NULL").collect():
+        na = 0.01 + 0.001 * (cell.cid % 50)
+        c = []
+        for d in draws:
+            m = d.d50_mm / 1000
+            nb = 0.0474 * m ** (1 / 6)
+            c.append((0.043 * 9.81 * 1650 * m / (9810 * nb**1.5 * (nb + na) ** -0.9 * (d.r_mm_hr / 1000 / 3600) ** 0.6)) ** (1 / 0.6))
+        assert got[cell.cid].pci == round(sum(x <= cell.g for x in c) / 1500, 6)
+        assert got[cell.cid].c_mean == pytest.approx(sum(c) / 1500, abs=1e-4)
+
+
 def test_weibull_fit(spark):
     draws = spark.range(4000).select((3.0 * F.pow(-F.ln(1 - S.uniform(1, "w", "id")), F.lit(1 / 1.7))).alias("x"))
     shape, scale = curves.weibull_fit(draws, "x")
