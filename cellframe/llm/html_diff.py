@@ -6,6 +6,8 @@ import html
 import re
 import zlib
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +21,12 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-WORDS = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 MAIN = frozenset(["article", "main"])
-#: Elements, and words in a class, id or role, that hold no main text.
+#: Elements that no class leaves out.
+WHOLE = MAIN | {"html", "body"}
+#: Elements, and whole words of a class, id or role, that hold no main text.
 AROUND = frozenset("nav footer aside form button dialog menu head fieldset".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar aside menu nav navbar navigation breadcrumb breadcrumbs "
@@ -35,7 +38,7 @@ NAMES = frozenset(
 def left_out(tag: str, attributes: str) -> bool:
     if tag in AROUND:
         return True
-    return bool(attributes) and any(not NAMES.isdisjoint(WORDS.findall(m.lower())) for m in NAMED.findall(attributes))
+    return bool(attributes) and tag not in WHOLE and any(not NAMES.isdisjoint(m.strip("\"'").lower().split()) for m in NAMED.findall(attributes))
 
 
 def blocks(page: str) -> list[tuple[str, int]]:
@@ -112,9 +115,13 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return kept[::-1]
 
 
-def shared_with(lines: list[int], other: list[int] | None) -> list[int]:
-    """Positions shared with another page; none with a copy, which says nothing about the site's frame."""
-    return [] if other is None or other == lines else common_lines(lines, other)
+def hashes_of(found: list[tuple[str, int]]) -> list[int]:
+    return [zlib.crc32(line.encode("utf-8")) - (1 << 31) for line, _ in found]
+
+
+def same_of(lines: list[int]) -> int:
+    """A hash that pages with equal lines share."""
+    return xxhash.xxh3_64_intdigest(np.array(lines, "<i4").tobytes()) - (1 << 63)
 
 
 def nearest(path: str, before: str | None, after: str | None) -> int:
@@ -148,33 +155,37 @@ def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(id, url, text, n_chars, n_lines, n_shared)`` of each page.
 
-    Pages of a host are put in order of their URL paths; each one is compared
-    with that neighbour whose path begins most like its own, lines aligned by
-    longest common subsequence. Lines outside an article element that both
-    share are the site's frame and are deleted, as are elements for menus,
-    footers, sidebars, adverts, forms and reader comments. An article or main
-    element, where a page has one, is its main text whole: lines that two
-    articles share stay, since a reprint is no frame. ``n_shared`` counts the
-    page's lines that its neighbour has too, wherever they stand.
+    Pages of a host with equal lines count as one page, at the first of their
+    paths; these are put in order of their URL paths. Each one is compared with
+    that neighbour whose path begins most like its own, lines aligned by longest
+    common subsequence. Lines that both share are the site's frame and are
+    deleted, as are elements for menus, footers, sidebars, adverts, forms and
+    reader comments. An article or main element, where a page has one, holds its
+    main text; shared lines stay there if they make up half of its characters or
+    more, since a reprint is no frame. ``n_shared`` counts the page's lines that
+    its neighbour has too, wherever they stand.
 
     A null or empty page gives an empty text; a null URL counts as empty, so
     those pages form a host of their own; equal pages give equal rows, one for
-    each row that came in. Only hashes of lines are compared and sorted, so a
+    each row that came in. A large group of copies is folded before its shuffle,
+    and met again by a join that Spark splits. Only hashes of lines are compared and sorted, so a
     host with a third of all pages is spread over many tasks; a page's text is
     shuffled once, to meet what was found for it.
     """
     url = F.coalesce(F.col(url_col), F.lit(""))
-    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.xxhash64(id_col, url_col, html_col).alias("key"))
     plain = F.regexp_replace(url, r"[?#].*$", "")
     host = F.lower(F.regexp_extract(plain, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/]*)", 1))
     path = F.regexp_replace(F.regexp_replace(plain, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", ""), r"(/|\.html?)$", "")
 
+    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"), path.alias("path"))
+
     def hashed(batch):
-        lines = [[x - (1 << 31) for x in (zlib.crc32(line.encode("utf-8")) for line, _ in blocks(page or ""))] for page in batch["html"]]
-        return {"key": batch["key"], "host": batch["host"], "path": batch["path"], "lines": lines}
+        lines = [hashes_of(blocks(page or "")) for page in batch["html"]]
+        return {"host": batch["host"], "path": batch["path"], "same": [same_of(x) for x in lines], "lines": lines}
 
-    light = map_batches(base.select("key", host.alias("host"), path.alias("path"), "html"), hashed, "key long, host string, path string, lines array<int>")
-    order = ranked(light, ["host", "path", "key"])
+    light = map_batches(base.select("host", "path", "html"), hashed, "host string, path string, same long, lines array<int>")
+    once = light.groupBy("host", "same").agg(F.min("path").alias("path"), F.first("lines").alias("lines"))
+    order = ranked(once, ["host", "path", "same"])
     near = [order.select((F.col("rank") + step).alias("rank"), F.col("host").alias(f"host{name}"), F.col("path").alias(f"path{name}"), F.col("lines").alias(f"lines{name}")) for name, step in (("_a", 1), ("_b", -1))]
     beside = order.join(near[0], "rank", "left").join(near[1], "rank", "left")
 
@@ -182,23 +193,28 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         shared = []
         for host, path, lines, ha, pa_, la, hb, pb, lb in zip(*(batch[c] for c in ("host", "path", "lines", "host_a", "path_a", "lines_a", "host_b", "path_b", "lines_b")), strict=True):
             way = nearest(path, pa_ if ha == host else None, pb if hb == host else None)
-            shared.append(shared_with(lines, la if way < 0 else lb if way > 0 else None))
-        return {"key": batch["key"], "shared": shared}
+            other = la if way < 0 else lb if way > 0 else None
+            shared.append(common_lines(lines, other) if other else [])
+        return {"host": batch["host"], "same": batch["same"], "shared": shared}
 
-    found = map_batches(beside.drop("rank"), compared, "key long, shared array<int>").dropDuplicates(["key"])
+    found = map_batches(beside.drop("rank"), compared, "host string, same long, shared array<int>")
 
     def read(batch):
-        out = {"key": batch["key"], "id": batch["id"], "url": batch["url"], "lines": [], "places": []}
+        out = {"id": batch["id"], "url": batch["url"], "host": batch["host"], "same": [], "lines": [], "places": []}
         for page in batch["html"]:
             got = blocks(page or "")
             whole = any(place == 2 for _, place in got)
+            out["same"].append(same_of(hashes_of(got)))
             out["lines"].append([line if place == 2 or place == 1 and not whole else None for line, place in got])
             out["places"].append(2 if whole else 1)
         return out
 
-    texts = map_batches(base.select("key", "id", "url", "html"), read, f"key long, id {pages.schema[id_col].dataType.simpleString()}, url string, lines array<string>, places int")
-    both = texts.join(found, "key", "left")
-    shared = F.coalesce("shared", F.array().cast("array<int>"))
-    kept = F.filter("lines", lambda line, i: line.isNotNull() & ((F.col("places") == 2) | ~F.array_contains(shared, i)))
-    text = F.array_join(kept, "\n")
-    return both.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.size(kept).cast("long").alias("n_lines"), F.size(shared).cast("long").alias("n_shared"))
+    texts = map_batches(base.select("id", "url", "html", "host"), read, f"id {pages.schema[id_col].dataType.simpleString()}, url string, host string, same long, lines array<string>, places int")
+    both = texts.join(found, ["host", "same"], "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<int>")))
+    own = F.aggregate("lines", F.lit(0), lambda n, line: n + F.coalesce(F.length(line), F.lit(0)))
+    met = F.aggregate("shared", F.lit(0), lambda n, i: n + F.coalesce(F.length(F.get("lines", i)), F.lit(0)))
+    both = both.withColumn("reprint", (F.col("places") == 2) & (2 * met >= own))
+    kept = F.filter("lines", lambda line, i: line.isNotNull() & (F.col("reprint") | ~F.array_contains("shared", i)))
+    both = both.withColumn("kept", kept)
+    text = F.array_join("kept", "\n")
+    return both.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.size("kept").cast("long").alias("n_lines"), F.size("shared").cast("long").alias("n_shared"))

@@ -103,6 +103,26 @@ def test_main_text(spark):
     assert got[1].n_shared == 2 and got[4].n_chars == 0
 
 
+def test_main_text_of_copies_frames_and_classes(spark):
+    frame = "<p>About this site</p><p>All rights reserved</p>"
+    body = "<p>A story that was printed twice, word for word, by two pages of a host</p>"
+    pages = [
+        (1, "http://a.org/x?page=1", f"{frame}<p>Same page</p>"),
+        (2, "http://a.org/x?page=2", f"{frame}<p>Same page</p>"),
+        (3, "http://a.org/y", f"{frame}<p>Other page</p>"),
+        (4, "http://b.org/1", "<main><p>Site line</p><p>One body that is long enough to be a text</p></main>"),
+        (5, "http://b.org/2", "<main><p>Site line</p><p>Another text, unlike the first in all its words</p></main>"),
+        (6, "http://c.org/1", f"<article><p>First</p>{body}</article>"),
+        (7, "http://c.org/2", f"<article><p>Second</p>{body}</article>"),
+        (8, "http://d.org/1", "<body class='menu'><div class='no-sidebar'>kept</div><div class='Sidebar x'>gone</div></body>"),
+    ]
+    got = {r.page_id: r for r in html_diff.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [got[k].text for k in (1, 2, 3)] == ["Same page", "Same page", "Other page"]
+    assert [got[k].text for k in (4, 5)] == ["One body that is long enough to be a text", "Another text, unlike the first in all its words"]
+    assert got[6].text.startswith("First\nA story") and got[7].text.startswith("Second\nA story")
+    assert got[8].text == "kept"
+
+
 def test_license_scan(spark):
     texts = ["Licensed under the Apache License, Version 2.0. ALL rights  reserved", None, "", "cc by cc by", "the general public license", "mit und so", "cc by nc 4.0"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
