@@ -82,6 +82,38 @@ def slot_values(values: dict[int, str], at: int, width: int) -> list[str]:
     return [values[k] for k in range(at, at + width) if k in values] if values else []
 
 
+def mapped(window: dict, mapping: dict[str, str]) -> bool:
+    """Add the pairs of one window to the mapping; False, and no change, if they break it."""
+    new: dict[str, str] = {}
+    for pair in window["pairs"]:
+        if mapping.get(pair["a"], new.setdefault(pair["a"], pair["b"])) != pair["b"] or new[pair["a"]] != pair["b"]:
+            return False
+    mapping |= new
+    return True
+
+
+def consistent(windows: list[dict]) -> list[dict]:
+    """The windows of one alignment that count.
+
+    The longest run of consecutive windows in which each value of the item has
+    one value in the document gives the mapping; other windows count if they
+    keep to it, and windows with equal values always do.
+    """
+    windows = sorted(windows, key=lambda w: (w["at"], [(p["a"], p["b"]) for p in w["pairs"]]))
+    best: tuple[int, dict[str, str]] = (0, {})
+    for start in range(len(windows)):
+        if len(windows) - start <= best[0]:
+            break
+        mapping: dict[str, str] = {}
+        end = start
+        while end < len(windows) and (end == start or windows[end]["at"] <= windows[end - 1]["at"] + 1) and mapped(windows[end], mapping):
+            end += 1
+        if end - start > best[0]:
+            best = end - start, mapping
+    mapping = best[1]
+    return [w for w in windows if all(p["a"] == p["b"] for p in w["pairs"]) or best[0] and mapped(w, mapping)]
+
+
 WINDOW = "hash long, at int, slots array<string>"
 
 
@@ -117,12 +149,14 @@ def bit_filter(windows: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = 0.5, run_windows: int = 6, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = 0.5, run_windows: int = 6, least_words: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``(key, id, contaminated, n_items, items, coverage, reparameterised)`` for each row of ``docs``.
 
     Documents and items become templates; windows of ``width`` tokens meet in a
-    hash join. Windows of one alignment count if its slots are consistent: each
-    value of the item stands for one value in the document wherever it occurs.
+    hash join. Windows of one alignment count if their slots are consistent (see
+    ``consistent``): each value of the item stands for one value in the document.
+    An item of one window needs ``least_words`` tokens, and as many that are no
+    placeholder unless all its values are equal.
     A document is contaminated by an item if ``share`` of the item's windows are
     found, or ``run_windows`` of them (six windows of eight tokens: thirteen
     tokens in a row). ``reparameterised`` says that a slot's value was changed.
@@ -154,11 +188,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shar
     rows = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     scanned = written(map_batches(rows, scan, f"key long, id {docs.schema[id_col].dataType.simpleString()}, found array<struct<hash:bigint,at:int,slots:array<string>>>"))
     each = scanned.where(F.size("found") > 0).select("key", F.inline("found")).withColumnRenamed("at", "place").withColumnRenamed("slots", "given")
-    met = each.join(windows.select("item", "n_windows", "hash", "at", "slots"), "hash").where(F.size("slots") == F.size("given"))
+    met = each.join(windows.select("item", "width", "n_windows", "hash", "at", "slots"), "hash").where(F.size("slots") == F.size("given"))
+    equal = F.col("slots") == F.col("given")
+    met = met.where((F.col("n_windows") > 1) | (F.col("width") >= least_words) & (equal | (F.col("width") - F.size("slots") >= least_words)))
     met = met.select("key", "item", "n_windows", "at", (F.col("place") - F.col("at")).alias("shift"), F.zip_with("slots", "given", lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("pairs"))
-    aligned = met.groupBy("key", "item", "n_windows", "shift").agg(F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    consistent = F.size(F.array_distinct(F.col("pairs.a"))) == F.size("pairs")
-    aligned = aligned.where(consistent).withColumn("changed", F.exists("pairs", lambda p: p["a"] != p["b"]))
+    aligned = met.groupBy("key", "item", "n_windows", "shift").agg(F.collect_set(F.struct("at", "pairs")).alias("windows")).drop("shift")
+
+    def judged(batch):
+        kept = [consistent(windows) for windows in batch["windows"]]
+        changed = [any(p["a"] != p["b"] for w in windows for p in w["pairs"]) for windows in kept]
+        return {name: batch[name] for name in ("key", "item", "n_windows")} | {"at": [[w["at"] for w in windows] for windows in kept], "changed": changed}
+
+    aligned = map_batches(aligned, judged, "key long, item string, n_windows int, at array<int>, changed boolean").where(F.size("at") > 0)
     by_item = aligned.groupBy("key", "item").agg(F.max("n_windows").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("found"), F.max("changed").alias("changed"))
     by_item = by_item.where((F.col("found") >= share * F.col("n")) | (F.col("found") >= run_windows))
     leaks = by_item.groupBy("key").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("items"), F.round(F.max(F.least(F.lit(1.0), F.col("found") / F.col("n"))), 6).alias("coverage"), F.max("changed").alias("reparameterised"))

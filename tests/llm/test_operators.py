@@ -196,6 +196,18 @@ def test_contaminated(spark):
     assert got[2].reparameterised and not got[1].reparameterised
 
 
+def test_contaminated_runs_and_short_items(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+    item = f"first 7 {' '.join(words)} then 7 more"
+    bench = spark.createDataFrame([(1, item), (2, "42"), (3, "7 8 Berlin"), (4, "the"), (5, "tiny 4 item here")], "item_id long, text string")
+    docs = [(1, item.replace("then 7", "then 9")), (2, "in all the 17 cases"), (3, "Of 5 6 Madrid"), (4, "see 42 here"), (5, "a tiny 6 item here"), (6, "so 7 8 Berlin")]
+    got = {r.doc_id: r for r in templates.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert [(k, got[k].items) for k in range(1, 7)] == [(1, "1"), (2, ""), (3, ""), (4, ""), (5, "5"), (6, "3")]
+    pair = lambda at, *p: {"at": at, "pairs": [{"a": a, "b": b} for a, b in p]}
+    runs = [pair(0, ("2", "3")), pair(1, ("2", "3")), pair(2, ("2", "3"), ("2", "5")), pair(3, ("2", "5")), pair(4), pair(9, ("2", "3"))]
+    assert [w["at"] for w in templates.consistent(runs)] == [0, 1, 4, 9]
+
+
 def test_quality(spark):
     rng = random.Random(6)
     words = ["river", "stone", "house", "green", "walks", "under", "light", "paper"]
