@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,43 +15,62 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder below the checkpoint folder that driver and executors share.
 
     The folder comes from ``spark.checkpoint.dir``; only where a session names
-    none (local tests) is a temporary one set.
+    none and runs on one machine (tests) is a temporary one set. A cluster
+    without one is an error, since executors would write where nobody else reads.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return f"{sc.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so its lineage ends there."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Hand Python at most ``rows`` rows at once: texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def forget(df: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing will read again."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
-def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
+def lots(batch: pa.RecordBatch, rows: int = 512, most: int = 8 << 20):
+    """A batch in slices of at most ``rows`` rows, fewer where rows are long; Spark itself bounds a batch's bytes."""
+    step = max(1, min(rows, most * batch.num_rows // max(1, batch.nbytes)))
+    for lo in range(0, batch.num_rows, step):
+        yield batch.slice(lo, step)
+
+
+def map_batches(df: DataFrame, function, schema: str, rows: int = 512) -> DataFrame:
     """``df.mapInArrow`` for a function that turns a dict of Python lists into a dict of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    small_batches(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                out = function(batch.to_pydict())
+            for lot in lots(batch, rows):
+                out = function(lot.to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits that tell rows apart by id and text; rows that are equal in both share them, nulls differ from empty values."""
+    mark = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat_ws(" ", mark(id_col), mark(text_col))))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -76,7 +96,9 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         jump = labels.select(F.col("id").alias("low"), F.col("component").alias("next"))
         new = written(hooked.join(jump, "low", "left").select("id", "old", F.least(F.col("low"), F.coalesce("next", "low")).alias("component")))
         changed = new.where("component <> old").limit(1).count()
+        forget(labels)
         labels = new.select("id", "component")
         if not changed:
+            forget(both)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
