@@ -55,21 +55,21 @@ def clipped(x, low: float, high: float, null_to: float | None = None) -> Column:
     return out if null_to is None else F.coalesce(out, F.lit(float(null_to)))
 
 
-#: Fixed: which keys of a quantity's spec say that it is in millimetres.
-UNIT_KEYS = ("value_mm", "mean_mm", "min_mm")
-LENGTHS, RATES = ("mm", "millimeter", "millimeters"), ("mm_hr", "mm/hr", "mm_per_hr")
+#: Fixed: keys of a quantity's spec, and unit names without spaces, that say in what unit it is.
+MM_KEYS, MM_NAMES = ("value_mm", "mean_mm", "min_mm"), ("mm", "millimeter", "millimeters")
+RATE_KEYS, RATE_NAMES = ("value_mm_hr", "mean_mm_hr", "min_mm_hr"), ("mm/hr", "mmh", "mmperhour", "millimeter/hour")
 
 
 def converted(x, quantity: str, spec: dict) -> Column:
-    """SI units of a quantity: diameters from mm to m, rainfall rates from mm/hr to m/s, else as it is.
+    """SI units of a quantity: diameters (``d50``) from mm to m, rainfall rates (``r``, ``rainfall_excess``) from mm/hr to m/s, else as it is.
 
-    A diameter is in mm if its spec says so by ``units`` or has a key of
-    ``UNIT_KEYS``; ``max_mm`` alone doesn't count, and unknown units pass.
+    The spec says so by a key or by ``units``, whose case and spaces don't count;
+    a largest value's key alone says nothing, and unknown units pass.
     """
-    units = str(spec.get("units", "")).lower()
-    if quantity == "d50" and (units in LENGTHS or any(k in spec for k in UNIT_KEYS)):
+    units = str(spec.get("units", "")).lower().replace(" ", "")
+    if quantity == "d50" and (units in MM_NAMES or any(k in spec for k in MM_KEYS)):
         return col(x) / 1000.0
-    if quantity == "r" and (units in RATES or any(k.endswith("mm_hr") for k in spec)):
+    if quantity in ("r", "rainfall_excess") and (units in RATE_NAMES or any(k in spec for k in RATE_KEYS)):
         return col(x) / 1000.0 / 3600.0
     return col(x)
 
@@ -157,19 +157,47 @@ def classified(p, threshold: float) -> Column:
     return F.when(p.isNotNull(), (p >= float(threshold)).cast("byte"))
 
 
+def without_channels(x, g, cutoff: float = 120.0) -> Column:
+    """NULL where the index is that of a channel; a cell without an index keeps its value."""
+    return F.when(F.coalesce(col(g) < float(cutoff), F.lit(True)), col(x))
+
+
+def core_valid(s="s", a="a", da="da", g="g", dz="dz", need_g: bool = True) -> Column:
+    """All inputs present, slope and areas over 0, and the index too unless ``need_g`` is off."""
+    out = F.lit(True)
+    for x in (s, a, da, g, dz):
+        out = out & col(x).isNotNull()
+    for x in (s, da, *([g] if need_g else [])):
+        out = out & (col(x) > 0)
+    return F.coalesce(out, F.lit(False))
+
+
+def non_channel(g="g", cutoff: float = 120.0, **inputs) -> Column:
+    return core_valid(g=g, **inputs) & F.coalesce(col(g) < float(cutoff), F.lit(False))
+
+
+def leaf_area(x, scale: float = 0.1) -> Column:
+    """Leaf area index of its stored whole number."""
+    return col(x) * float(scale)
+
+
 def short_number(x) -> Column:
-    """A number in its shortest form: no trailing zeros, no trailing point."""
-    text = F.format_string("%.6f", col(x).cast("double"))
-    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    """A number with six digits in its shortest form; a power of ten where it is under 1e-4, or 1e6 and over."""
+    x = col(x).cast("double")
+    science = F.format_string("%.5e", x)
+    power = F.regexp_extract(science, r"e([+-]\d+)$", 1).cast("int")
+    bare = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    plain = F.coalesce(*[F.when(power == k, bare(F.format_string(f"%.{5 - k}f", x))) for k in range(-4, 6)])
+    return F.when(x == 0, F.lit("0")).otherwise(F.coalesce(plain, F.concat(bare(F.regexp_extract(science, r"^(.*)e", 1)), F.regexp_extract(science, r"(e[+-]\d+)$", 1))))
 
 
 def name_part(x) -> Column:
-    """A number as part of a name: ``-0.277`` becomes ``minus_0p277``."""
-    return F.regexp_replace(F.regexp_replace(short_number(x), "^-", "minus_"), r"\.", "p")
+    """A number as part of a name: ``-0.5`` becomes ``minus0p5``."""
+    return F.regexp_replace(F.regexp_replace(short_number(x), "-", "minus"), r"\.", "p")
 
 
 def top_label(percent) -> Column:
-    return F.concat(F.lit("top"), name_part(percent))
+    return F.concat(F.lit("top"), F.regexp_replace(short_number(percent), r"\.", "p"))
 
 
 def band_label(c_min, c_max) -> Column:
@@ -177,7 +205,22 @@ def band_label(c_min, c_max) -> Column:
 
 
 def erosion_label(threshold) -> Column:
-    return F.concat(F.lit("erosion_mask_dod_lt_"), name_part(threshold), F.lit("m"))
+    sign = F.when(col(threshold) < 0, F.lit("minus_")).otherwise(F.lit("plus_"))
+    return F.concat(F.lit("erosion_mask_dod_lt_"), sign, name_part(F.abs(col(threshold))), F.lit("m"))
+
+
+def equation_text(intercept, terms, prefix: str = "") -> Column:
+    """``b + w*x - v*y`` of an intercept and an array of ``{name, weight}``, each number with four digits."""
+    four = lambda x: F.regexp_replace(F.regexp_replace(F.format_string("%.3e", x), r"(\.\d*?)0+e", "$1e"), r"\.e", "e")
+
+    def digits(x):
+        power = F.regexp_extract(F.format_string("%.3e", x), r"e([+-]\d+)$", 1).cast("int")
+        bare = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        plain = F.coalesce(*[F.when(power == k, bare(F.format_string(f"%.{3 - k}f", x))) for k in range(-4, 4)])
+        return F.when(x == 0, F.lit("0")).otherwise(F.coalesce(plain, four(x)))
+
+    each = F.transform(col(terms), lambda t: F.concat(F.when(t["weight"] >= 0, F.lit(" + ")).otherwise(F.lit(" - ")), digits(F.abs(t["weight"])), F.lit(f"*{prefix}"), t["name"]))
+    return F.concat(digits(col(intercept)), F.array_join(each, ""))
 
 
 def looked_up(code, names: dict, default: str = "unknown") -> Column:
@@ -193,6 +236,13 @@ def ring_area(ring) -> Column:
     return F.abs(F.aggregate(turn, F.lit(0.0), lambda s, x: s + x)) / 2
 
 
+def polygon_area(rings) -> Column:
+    """Planar area of ``rings``: the first one's, less those of the holes after it."""
+    rings = col(rings)
+    holes = F.aggregate(F.slice(rings, 2, F.greatest(F.size(rings), F.lit(1))), F.lit(0.0), lambda s, r: s + ring_area(r))
+    return F.when(F.size(rings) > 0, ring_area(F.get(rings, F.lit(0))) - holes).otherwise(F.lit(0.0))
+
+
 def utm_forward(lon, lat, zone: Column | None = None) -> tuple[Column, Column, Column]:
     """``(zone, easting, northing)`` on WGS 84 by the transverse Mercator series, north positive."""
     lon, lat = col(lon), col(lat)

@@ -86,26 +86,43 @@ def curve_samples(spark: SparkSession, curves: list[tuple[str, float, float, flo
     return draws.withColumn("c", threshold_c(F.col("d50_mm") / 1000.0, "na", F.col("r_mm_hr") / 1000.0 / 3600.0))
 
 
-def down_sampled(rows: DataFrame, label: str, key: str, ratio: float, seed: int) -> DataFrame:
-    """All positives and ``ratio`` times as many negatives, those with the smallest hashes: exact, without replacement.
+BUCKETS = 1 << 16
+
+
+def among_lowest(rows: DataFrame, u: Column, key: str, wanted: Column, group: list[str] | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``_low``: whether a row is among the ``wanted`` lowest ``u`` of its group; exact, ties by ``key``.
 
-    Spark keeps the smallest of each partition before it merges them; the number wanted is the positives'.
+    ``u`` is uniform in [0, 1). Rows are counted in 65,536 equal buckets; prefix
+    sums of these counts settle all buckets but one of each group, and only
+    that bucket's rows are put in order. ``wanted`` may use ``_all``, the
+    group's size, and the columns of the one row ``totals``. Groups are few.
     """
+    group = group or []
+    rows = rows.withColumn("_u", u).withColumn("_bucket", F.floor(F.col("_u") * BUCKETS))
+    counts = rows.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
+    part = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))  # 65,536 rows of a group at most
+    cuts = counts.withColumn("_upto", F.sum("_n").over(part.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(part))
+    if totals is not None:
+        cuts = cuts.crossJoin(F.broadcast(totals))
+    cuts = cuts.select(*group, "_bucket", (F.col("_upto") - F.col("_n")).alias("_before"), "_upto", wanted.alias("_want"))
+    met = rows.join(F.broadcast(cuts), [*group, "_bucket"])
+    split = (F.col("_before") < F.col("_want")) & (F.col("_want") < F.col("_upto"))
+    place = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy("_u", key))
+    sure = met.where(~split).withColumn("_low", F.col("_upto") <= F.col("_want"))
+    edge = met.where(split).withColumn("_low", F.col("_before") + place <= F.col("_want"))
+    return sure.unionByName(edge).drop("_u", "_bucket", "_before", "_upto", "_want")
+
+
+def down_sampled(rows: DataFrame, label: str, key: str, ratio: float, seed: int) -> DataFrame:
+    """All positives and ``ratio`` times as many negatives, those with the smallest hashes: exact, without replacement."""
     positives = rows.where(F.col(label) == 1)
-    wanted = int(round(ratio * positives.count()))
-    negatives = rows.where(F.col(label) == 0).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(wanted)
-    return positives.unionByName(negatives)
+    negatives = among_lowest(rows.where(F.col(label) == 0), uniform(seed, "negative", key), key, F.round(F.col("_wanted") * float(ratio)), totals=positives.agg(F.count("*").alias("_wanted")))
+    return positives.unionByName(negatives.where("_low").select(*rows.columns))
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, share: float, seed: int) -> DataFrame:
-    """``rows`` with ``is_train``: of each class, the rows below its exact hash quantile ``share``.
-
-    The cut is an order statistic of each class, found by an aggregate, so no class is sorted in one task.
-    """
-    u = uniform(seed, "split", key)
-    rows = rows.withColumn("_u", u)
-    cuts = rows.groupBy(label).agg(F.expr(f"percentile(_u, {float(share)})").alias("_cut"))
-    return rows.join(F.broadcast(cuts), label).withColumn("is_train", F.col("_u") <= F.col("_cut")).drop("_u", "_cut")
+    """``rows`` with ``is_train``: of each class the rounded ``share`` of its rows, those with the smallest hashes."""
+    return among_lowest(rows, uniform(seed, "split", key), key, F.round(F.col("_all") * float(share)), [label]).withColumnRenamed("_low", "is_train")
 
 
 def random_split(rows: DataFrame, key: str, share: float, seed: int) -> DataFrame:
@@ -113,25 +130,32 @@ def random_split(rows: DataFrame, key: str, share: float, seed: int) -> DataFram
 
 
 def block_split(cells: DataFrame, value: str, block: int = 256, share: float = 0.8, seed: int = 0) -> DataFrame:
-    """Blocks with any valid cell, and whether each is for training: at least one is, and one isn't."""
+    """Blocks with any valid cell, and whether each is for training: at least one is, and one isn't. Fails where there is but one block."""
     blocks = cells.where(F.col(value).isNotNull()).groupBy(F.floor(F.col("r") / block).alias("br"), F.floor(F.col("c") / block).alias("bc")).agg(F.count("*").alias("n_cells"))
-    order = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.concat_ws(":", "br", "bc"))))
-    total = blocks.agg(F.count("*").alias("n_blocks"))
-    ranked = blocks.withColumn("k", F.row_number().over(order)).crossJoin(F.broadcast(total))
-    wanted = F.greatest(F.lit(1), F.least(F.col("n_blocks") - 1, F.round(F.col("n_blocks") * share).cast("long")))
-    return ranked.select("br", "bc", "n_cells", (F.col("k") <= wanted).alias("is_train"))
+    blocks = blocks.withColumn("_key", F.concat_ws(":", "br", "bc"))
+    wanted = F.greatest(F.lit(1), F.least(F.col("_all") - 1, F.round(F.col("_all") * share).cast("long")))
+    wanted = F.when(F.col("_all") < 2, F.raise_error(F.lit("a split needs two valid blocks at least")).cast("long")).otherwise(wanted)
+    return among_lowest(blocks, uniform(seed, "block", "_key"), "_key", wanted).select("br", "bc", "n_cells", F.col("_low").alias("is_train"))
 
 
-def patch_origins(cells: DataFrame, value: str, height: int, width: int, patch: int, stride: int, least_valid: float = 0.5) -> DataFrame:
-    """Patches of a grid, every ``stride`` cells and at the far edge, of which enough cells are valid."""
+def patch_origins(cells: DataFrame, value: str, height: int, width: int, patch: int, stride: int, least_valid: float = 0.5, block: int | None = None) -> DataFrame:
+    """``(r0, c0, valid)``: patches every ``stride`` cells and at the far edge, of which enough cells are valid.
 
-    def starts(size: int) -> list[int]:
-        last = max(0, size - patch)
-        return sorted({*range(0, last + 1, stride), last})
+    With ``block`` patches lie inside blocks of that many cells, and the far edge
+    is the block's. A grid or block that is smaller than a patch has none. Each
+    cell computes the few patches that it lies in from its own place.
+    """
 
     def of(x: str, size: int) -> Column:
-        # the starts whose patch holds the cell
-        return F.filter(F.array(*map(F.lit, starts(size))), lambda s: (s <= F.col(x)) & (F.col(x) < s + patch))
+        step = block or size
+        low = F.floor(F.col(x) / step) * step
+        last = F.least(F.lit(step), F.lit(size) - low) - patch  # the last start, from the block's own
+        at = F.col(x) - low
+        first = F.greatest(F.lit(0), F.ceil((at - patch + 1) / F.lit(stride)))
+        until = F.least(F.floor(at / F.lit(stride)), F.floor(last / F.lit(stride)))
+        usual = F.when(first <= until, F.transform(F.sequence(first, until), lambda k: k * stride)).otherwise(F.array().cast("array<bigint>"))
+        every = F.when(at >= last, F.array_union(usual, F.array(last.cast("bigint")))).otherwise(usual)
+        return F.when(last >= 0, F.transform(every, lambda k: k + low))
 
     each = cells.select(F.explode(of("r", height)).alias("r0"), "c", value).select("r0", F.explode(of("c", width)).alias("c0"), value)
     share = F.count(value) / F.lit(float(patch * patch))
@@ -139,14 +163,18 @@ def patch_origins(cells: DataFrame, value: str, height: int, width: int, patch:
 
 
 def balanced_centres(cells: DataFrame, label: str, n: int, half: int, height: int, width: int, seed: int) -> DataFrame:
-    """``n`` patch centres, half of each class, with replacement, none within half a patch of the edge.
+    """``(i, label, r, c)``: ``n`` patch centres, half of each class, with replacement, none within half a patch of the edge.
 
-    Each draw picks the candidate whose rank is its uniform times the class's size; ranks come from hashes.
+    Candidates of a class are numbered by range partitions and prefix sums; each
+    draw takes the one whose number is its uniform times the class's size, so
+    all candidates are equally likely. Fails where a class has no candidate.
     """
+    from ..operators.ranks import numbered
+
     inside = cells.where((F.col("r") >= half) & (F.col("r") < height - half) & (F.col("c") >= half) & (F.col("c") < width - half) & F.col(label).isin(0, 1))
-    inside = inside.withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), "r", "c"), F.lit(n)))
-    near = inside.groupBy(label, "slot").agg(F.min_by(F.struct("r", "c"), F.xxhash64("c", "r")).alias("cell"))
-    draws = cells.sparkSession.range(n).select(F.col("id").alias("i"), (F.col("id") % 2).cast("int").alias("want"), F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(n)).alias("at"))
-    paired = draws.join(near, (draws.want == near[label]) & (draws["at"] == near["slot"]), "left")
-    spare = near.groupBy(label).agg(F.min_by("cell", "slot").alias("spare"))
-    return paired.join(F.broadcast(spare.withColumnRenamed(label, "want")), "want").select("i", "want", F.coalesce("cell", "spare").alias("cell")).select("i", F.col("want").alias(label), "cell.r", "cell.c")
+    ranked = numbered(inside.select(label, "r", "c"), [label, "r", "c"])
+    ends = ranked.groupBy(F.col(label).alias("_want")).agg(F.min("rank").alias("_first"), F.count("*").alias("_size"))
+    draws = cells.sparkSession.range(n).select(F.col("id").alias("i"), (F.col("id") % 2).cast("int").alias("_want"), uniform(seed, "centre", "id").alias("_u"))
+    met = draws.join(F.broadcast(ends), "_want", "left")
+    at = F.when(F.col("_size") > 0, F.col("_first") + F.floor(F.col("_u") * F.col("_size"))).otherwise(F.raise_error(F.lit("a class has no candidate")).cast("long"))
+    return met.select("i", at.alias("rank")).join(ranked, "rank").select("i", label, "r", "c")

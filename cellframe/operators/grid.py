@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed: offsets of the eight neighbours in order of preference, and of the four.
-EIGHT = [(-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (-1, 1), (1, -1), (1, 1)]
-FOUR = EIGHT[:4]
-
+from .ranks import numbered
+from .shared import forget, kept
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read again: each round's lineage ends there."""
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    path = f"{sc.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Fixed: offsets of the eight neighbours in order of preference, row by row, and of the four.
+EIGHT = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
+FOUR = [o for o in EIGHT if 0 in o]
 
 
 def neighbours(cells: DataFrame, value: str, offsets=EIGHT) -> DataFrame:
@@ -50,7 +39,8 @@ def flow_accumulation(cells: DataFrame, flow: DataFrame, most_rounds: int = 64)
     for _ in range(most_rounds):
         sent = state.where("ptr IS NOT NULL").groupBy(F.col("ptr").alias("cid")).agg(F.sum("acc").alias("more"))
         jump = state.select(F.col("cid").alias("ptr"), F.col("ptr").alias("far"))
-        state = kept(state.join(sent, "cid", "left").join(jump, "ptr", "left").select("cid", (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc"), F.col("far").alias("ptr")))
+        last, state = state, kept(state.join(sent, "cid", "left").join(jump, "ptr", "left").select("cid", (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc"), F.col("far").alias("ptr")))
+        forget(last)
         if not state.where("ptr IS NOT NULL").limit(1).count():
             return state.select("cid", F.col("acc").alias("cells_up"))
     raise RuntimeError("flow has a cycle, or paths are too long")
@@ -67,6 +57,7 @@ def smallest_labels(nodes: DataFrame, edges: DataFrame, most_rounds: int = 64) -
         hooked = labels.join(hooks, "label").select("id", F.col("label").alias("old"), "low")
         jump = labels.select(F.col("id").alias("low"), F.col("label").alias("far"))
         state = kept(hooked.join(jump, "low", "left").select("id", "old", F.least("low", F.coalesce("far", "low")).alias("label")))
+        forget(labels)
         labels = state.select("id", "label")
         if not state.where("old <> label").limit(1).count():
             return labels
@@ -100,8 +91,11 @@ def polygons(parts: DataFrame, cell_area: float, least_area: float = 0.0, keys:
     keys = keys or []
     stats = [F.avg(value).alias("pci_mean"), F.min(value).alias("pci_min"), F.max(value).alias("pci_max")] if value else []
     each = parts.groupBy(*keys, "component").agg(F.count("*").alias("n_cells"), *stats).withColumn("area_m2", F.col("n_cells") * float(cell_area)).where(F.col("area_m2") >= least_area)
-    order = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("component")
-    return each.withColumn("area_km2", F.col("area_m2") / 1e6).withColumn("source_id", F.row_number().over(order).cast("long"))
+    ranked = numbered(each.withColumn("area_km2", F.col("area_m2") / 1e6), [*keys, "component"], "source_id")
+    if keys:
+        first = ranked.groupBy(*keys).agg(F.min("source_id").alias("_first"))
+        ranked = ranked.join(F.broadcast(first), keys).withColumn("source_id", F.col("source_id") - F.col("_first") + 1).drop("_first")  # a row for each selection
+    return ranked
 
 
 def without_holes(mask: DataFrame, height: int, width: int) -> DataFrame:
@@ -132,15 +126,72 @@ def neighbour_means(nodes: DataFrame, edges: DataFrame, features: list[str], hop
     return out
 
 
-def filled(cells: DataFrame, value: str = "z", most_rounds: int = 200) -> DataFrame:
+def flat_pointers(state: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """``(id, ptr)`` with each pointer followed to its end, twice as far in each round."""
+    for _ in range(most_rounds):
+        jump = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("far"))
+        new = kept(state.join(jump, "ptr").select("id", F.col("far").alias("ptr"), (F.col("far") != F.col("ptr")).alias("moved")))
+        forget(state)
+        state = new.select("id", "ptr")
+        if not new.where("moved").limit(1).count():
+            return state
+    raise RuntimeError("pointers did not settle")
+
+
+OUT = -1
+
+
+def spill_levels(basins: DataFrame, passes: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """``(basin, comp, level)``: the lowest level at which each basin spills to the outside, basin ``OUT``.
+
+    In each round every group of basins takes its lowest pass to another group;
+    whoever leaves it has to rise to that pass, and beyond the pass the other
+    group's level counts. Groups that are so linked become one, so their number
+    at least halves; the level is the highest pass that was taken on the way.
+    Passes are ordered by height and ends, so links form no cycle but pairs. A
+    basin whose group has no pass left, and isn't outside, ends with its group's name as ``comp``.
+    """
+    state = kept(basins.select("basin", F.col("basin").alias("comp"), F.lit(float("-inf")).alias("level")))
+    edges = kept(passes.select(F.col("basin").alias("a"), F.col("other").alias("b"), "pass"))
+    for _ in range(most_rounds):
+        choice = F.struct("pass", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "b")
+        pick = kept(edges.where(F.col("a") != OUT).groupBy("a").agg(F.min(choice).alias("p")).select(F.col("a").alias("comp"), F.col("p.b").alias("to"), F.col("p.pass").alias("rise")))
+        if not pick.limit(1).count():
+            forget(edges)
+            return state
+        # of two groups that took the same pass the one with the smaller name is the end; what it rose to, both rise to
+        back = pick.select(F.col("comp").alias("to"), F.col("to").alias("again"))
+        links = pick.join(back, "to", "left").select("comp", "rise", F.when((F.col("again") == F.col("comp")) & (F.col("comp") < F.col("to")), F.col("comp")).otherwise(F.col("to")).alias("ptr"))
+        ends = links.select(F.col("ptr").alias("comp")).distinct().join(links.select("comp"), "comp", "left_anti").select("comp", F.lit(float("-inf")).alias("rise"), F.col("comp").alias("ptr"))
+        walk = kept(links.unionByName(ends))
+        for _ in range(most_rounds):
+            jump = walk.select(F.col("comp").alias("ptr"), F.col("ptr").alias("far"), F.col("rise").alias("more"))
+            new = kept(walk.join(jump, "ptr").select("comp", F.when(F.col("ptr") == F.col("comp"), F.col("rise")).otherwise(F.greatest("rise", "more")).alias("rise"), F.col("far").alias("ptr"), (F.col("far") != F.col("ptr")).alias("moved")))
+            forget(walk)
+            walk = new.select("comp", "rise", "ptr")
+            if not new.where("moved").limit(1).count():
+                break
+        else:
+            raise RuntimeError("links did not settle")
+        last, state = state, kept(state.join(walk, "comp", "left").select("basin", F.coalesce("ptr", "comp").alias("comp"), F.greatest("level", F.coalesce("rise", F.lit(float("-inf")))).alias("level")))
+        now = lambda side: walk.select(F.col("comp").alias(side), F.col("ptr").alias(f"{side}2"))
+        moved = edges.join(now("a"), "a", "left").withColumn("a", F.coalesce("a2", "a")).drop("a2")
+        inner = moved.where(F.col("b") != OUT).join(now("b"), "b", "left").withColumn("b", F.coalesce("b2", "b")).drop("b2")
+        old, edges = edges, kept(inner.unionByName(moved.where(F.col("b") == OUT), allowMissingColumns=False).where("a <> b").groupBy("a", "b").agg(F.min("pass").alias("pass")))
+        for done in (last, old, walk, pick):
+            forget(done)
+    raise RuntimeError("levels did not settle")
+
+
+def filled(cells: DataFrame, value: str = "z") -> DataFrame:
     """``cells`` with ``filled``: sinks raised to the level at which they spill to the grid's edge.
 
     Every valid cell drains to a basin's lowest cell by steepest descent; all
     basins whose lowest cell lies on the edge are one outside. A basin's level is
-    the lowest pass to the outside: the smallest, over neighbouring basins, of
-    the larger of their level and of the pass between both. Levels fall to a
-    fixed point; the table of passes has a row for each pair of touching basins.
-    A valid region that touches no edge drains to its lowest cell.
+    the lowest pass to the outside (``spill_levels``); the table of passes has a
+    row for each pair of touching basins. A valid region that touches no edge
+    spills into the basin of its lowest cell, which stays as it is. Rounds are
+    the logarithm of the longest way; one that doesn't settle raises.
     """
     valid = kept(cells.where(F.col(value).isNotNull()).select("cid", "r", "c", F.col(value).alias("z")))
     touch = kept(neighbours(valid, "z"))
@@ -148,27 +199,27 @@ def filled(cells: DataFrame, value: str = "z", most_rounds: int = 200) -> DataFr
     edge = valid.join(edge_cells, "cid", "left").where(F.coalesce("n", F.lit(0)) < 8).select("cid")
     inner = touch.join(edge, "cid", "left_anti")
     to = inner.withColumn("drop", (F.col("z") - F.col("nz")) / F.col("dist")).where("drop > 0").groupBy("cid").agg(F.max_by("nid", F.struct("drop", -F.col("k"))).alias("to"))
-    state = kept(valid.join(to, "cid", "left").select("cid", F.coalesce("to", "cid").alias("ptr")))
-    for _ in range(most_rounds):
-        jump = state.select(F.col("cid").alias("ptr"), F.col("ptr").alias("far"))
-        state = kept(state.join(jump, "ptr").select("cid", F.col("far").alias("ptr"), (F.col("far") != F.col("ptr")).alias("moved")))
-        moved = state.where("moved").limit(1).count()
-        state = state.select("cid", "ptr")
-        if not moved:
-            break
-    outside = edge.select(F.col("cid").alias("ptr"), F.lit(-1).cast("long").alias("out"))
-    basin = kept(state.join(outside, "ptr", "left").select("cid", F.coalesce("out", "ptr").alias("basin")))
+    state = flat_pointers(kept(valid.join(to, "cid", "left").select(F.col("cid").alias("id"), F.coalesce("to", "cid").alias("ptr"))))
+    outside = edge.select(F.col("cid").alias("ptr"), F.lit(OUT).cast("long").alias("out"))
+    basin = kept(state.join(outside, "ptr", "left").select(F.col("id").alias("cid"), F.coalesce("out", "ptr").alias("basin")))
     sides = touch.join(basin, "cid").join(basin.select(F.col("cid").alias("nid"), F.col("basin").alias("other")), "nid").where("basin <> other")
     passes = kept(sides.groupBy("basin", "other").agg(F.min(F.greatest("z", "nz")).alias("pass")))
-    levels = kept(basin.select("basin").distinct().withColumn("level", F.when(F.col("basin") == -1, F.lit(float("-inf"))).otherwise(F.lit(float("inf")))))
-    for _ in range(most_rounds):
-        via = passes.join(levels.select(F.col("basin").alias("other"), F.col("level").alias("beyond")), "other").groupBy("basin").agg(F.min(F.greatest("pass", "beyond")).alias("via"))
-        new = kept(levels.join(via, "basin", "left").select("basin", F.col("level").alias("old"), F.when(F.col("basin") == -1, F.col("level")).otherwise(F.least("level", F.coalesce("via", "level"))).alias("level")))
-        levels = new.select("basin", "level")
-        if not new.where("old <> level").limit(1).count():
-            break
-    level = F.when(F.col("level") < float("inf"), F.col("level"))
-    return valid.join(basin, "cid").join(levels, "basin").select("cid", "r", "c", "z", F.coalesce(F.greatest("z", level), "z").alias("filled"))
+    basins = kept(basin.select("basin").distinct())
+    levels = spill_levels(basins, passes)
+    shut = kept(levels.where(F.col("comp") != OUT).join(valid.select(F.col("cid").alias("basin"), "z"), "basin").select("basin", "comp", "z"))
+    if shut.limit(1).count():
+        lowest = shut.groupBy("comp").agg(F.min_by("basin", F.struct("z", "basin")).alias("low"))
+        low = lowest.select(F.col("low").alias("basin"))
+        name = lambda side: F.coalesce(F.col("out"), F.col(side))
+        mine = low.withColumn("out", F.lit(OUT).cast("long"))
+        inside = passes.join(shut.select("basin"), "basin", "left_semi")
+        inside = inside.join(mine, "basin", "left").withColumn("basin", name("basin")).drop("out")
+        inside = inside.join(mine.withColumnRenamed("basin", "other"), "other", "left").withColumn("other", name("other")).drop("out")
+        inside = inside.groupBy("basin", "other").agg(F.min("pass").alias("pass"))
+        again = spill_levels(shut.select("basin").join(low, "basin", "left_anti").unionByName(basins.sparkSession.range(1).select(F.lit(OUT).cast("long").alias("basin"))), inside)
+        levels = levels.where(F.col("comp") == OUT).unionByName(again.where(F.col("basin") != OUT)).unionByName(low.select("basin", F.lit(OUT).cast("long").alias("comp"), F.lit(float("-inf")).alias("level")))
+    out = valid.join(basin, "cid").join(levels.select("basin", "level"), "basin").select("cid", "r", "c", "z", F.greatest("z", "level").alias("filled"))
+    return out
 
 
 def drained(cells: DataFrame, value: str = "filled") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import linear_score, sigmoid
 from .curves import location_and_scale
+from .ranks import quantiles
 
 COEFFICIENTS = "feature string, coef_standardized double, coef_raw_units double, mean_used_for_standardizing double, scale_used_for_standardizing double"
 
@@ -91,9 +92,10 @@ def importances(rows: DataFrame, model: RandomForestClassificationModel, feature
 
 def partial_dependence(rows: DataFrame, feature: str, score, points: int = 30) -> DataFrame:
     """``(value, mean_prob)``: the mean score of all rows when ``feature`` is set to each of ``points`` values between its 5th and 95th percentile."""
-    low, high = rows.agg(F.expr(f"percentile({feature}, 0.05D)"), F.expr(f"percentile({feature}, 0.95D)")).first()
-    if low is None:
+    ends = {r.share: r.cut for r in quantiles(rows, feature, [0.05, 0.95]).collect()}  # two rows
+    if not ends:
         raise ValueError(f"{feature} has no values")
+    low, high = ends[0.05], ends[0.95]
     values = [low + (high - low) * k / (points - 1) for k in range(points)]
     spread = rows.withColumn(feature, F.explode(F.array(*map(F.lit, values))))
     return score(spread).groupBy(F.col(feature).alias("value")).agg(F.avg("prob_source").alias("mean_prob"))

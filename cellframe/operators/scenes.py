@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+TILE = 256  # columns of a tile, part of the key that cells and spans meet on
 REDUCERS = {"mean": F.avg, "max": F.max, "min": F.min, "median": lambda v: F.expr(f"percentile({v}, 0.5D)")}
 
 
@@ -13,11 +14,18 @@ def in_window(scenes: DataFrame, start: str, end: str) -> DataFrame:
     return scenes.where((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz")))
 
 
-def composite(scenes: DataFrame, start: str, end: str, reducer: str, keys: tuple[str, ...] = ("cid",)) -> DataFrame:
-    """Each cell's reduced value over a window, and the number of its images."""
+def in_area(scenes: DataFrame, area: DataFrame, key: str = "cid") -> DataFrame:
+    """Scenes of the cells of an area."""
+    return scenes.join(area.select(key).distinct(), key, "left_semi")
+
+
+def composite(scenes: DataFrame, start: str, end: str, reducer: str, keys: tuple[str, ...] = ("cid",), on_empty: str = "keep") -> DataFrame:
+    """Each cell's reduced value over a window, and the number of its images. ``on_empty="error"`` looks, and fails if the window has no image."""
     if reducer not in REDUCERS:
         raise ValueError(f"unknown reducer {reducer}")
     valid = in_window(scenes, start, end).where("value IS NOT NULL")
+    if on_empty == "error" and not valid.limit(1).count():
+        raise ValueError(f"no images from {start} to {end}")
     return valid.groupBy(*keys).agg(REDUCERS[reducer]("value").alias("value"), F.count_distinct("ts").alias("n_images"))
 
 
@@ -107,4 +115,42 @@ def in_polygons(height: int, polygons: DataFrame, cells: DataFrame) -> DataFrame
     row = Window.partitionBy("poly_id", "r").orderBy("x")
     spans = hits.withColumn("k", F.row_number().over(row)).withColumn("to", F.lead("x").over(row)).where("k % 2 = 1")
     spans = spans.select("poly_id", "r", F.ceil(F.col("x") - 0.5).alias("lo"), (F.ceil(F.col("to") - 0.5) - 1).alias("hi")).where("lo <= hi")
-    return cells.select("cid", "r", "c").join(spans, "r").where("c BETWEEN lo AND hi").select("poly_id", "cid").distinct()
+    tiles = F.sequence(F.floor(F.col("lo") / TILE), F.floor(F.col("hi") / TILE))
+    spans = spans.withColumn("tile", F.explode(tiles))
+    return cells.select("cid", "r", "c", F.floor(F.col("c") / TILE).alias("tile")).join(spans, ["r", "tile"]).where("c BETWEEN lo AND hi").select("poly_id", "cid").distinct()
+
+
+def in_zones(membership: DataFrame, ids: list) -> DataFrame:
+    """Cells of the polygons whose ids are listed, each cell once: training or test zones of ``in_polygons``."""
+    return membership.where(F.col("poly_id").isin(ids)).select("cid").distinct()
+
+
+def polygon_pixels(membership: DataFrame, cells: DataFrame, value: str, cell_area: float) -> DataFrame:
+    """``(poly_id, pixel_count, area_m2, area_km2)``: valid cells of each polygon."""
+    valid = cells.where(F.col(value).isNotNull()).select("cid")
+    counts = membership.join(valid, "cid").groupBy("poly_id").agg(F.count("*").alias("pixel_count"))
+    area = F.col("pixel_count") * float(cell_area)
+    return counts.select("poly_id", "pixel_count", area.alias("area_m2"), (area / 1e6).alias("area_km2"))
+
+
+def clipped_to(cells: DataFrame, area: DataFrame) -> DataFrame:
+    """Cells, or a layer's cells, that lie in an area's cells."""
+    return cells.join(area.select("cid").distinct(), "cid", "left_semi")
+
+
+def dissolved(*layers: DataFrame) -> DataFrame:
+    """The cells that any of the layers holds, each once."""
+    out = layers[0].select("cid", "r", "c")
+    for layer in layers[1:]:
+        out = out.unionByName(layer.select("cid", "r", "c"))
+    return out.distinct()
+
+
+def classes_of(rows: DataFrame, column: str) -> DataFrame:
+    """The different classes of a column, missing ones left out."""
+    return rows.select(column).dropna().distinct()
+
+
+def largest(polygons: DataFrame, k: int = 4, by: str = "area_m2", key: str = "component") -> DataFrame:
+    """The ``k`` largest polygons; of equal ones those that come first. A report of a few rows."""
+    return polygons.orderBy(F.desc(by), key).limit(k)

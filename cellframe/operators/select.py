@@ -38,18 +38,37 @@ def pci_monte_carlo(cells: DataFrame, samples: DataFrame, d50: Column | None = N
     """``(cid, pci, c_mean)`` where inputs may be columns of cells: each sample's threshold is computed for each cell.
 
     Inputs not given come from the sample table, which is broadcast (its size is
-    a parameter). Cells are dealt evenly before the draws meet them, since few
-    bytes make many pairs. Counts and sums are formed before the shuffle, so a
-    cell sends one row.
+    a parameter). Cells with equal inputs have equal thresholds: where inputs
+    repeat at least ``REPEATS`` times, draws meet each different set of inputs
+    once, and cells find their place among a set's sorted thresholds. Else each
+    cell meets the draws; counts and sums are formed before the shuffle, so that
+    a cell sends one row.
     """
-    d50 = d50 if d50 is not None else F.col("_d50") / 1000.0
-    na = na if na is not None else F.col("_na")
-    r = r if r is not None else F.col("_r") / 1000.0 / 3600.0
-    draws = samples.select(F.col("d50_mm").alias("_d50"), F.col("na").alias("_na"), F.col("r_mm_hr").alias("_r"))
+    valid = cells.where(F.col(g).isNotNull())
+    named = {k: v for k, v in {"_d": d50, "_n": na, "_q": r}.items() if v is not None}
+    drawn = {"_d": F.col("d50_mm") / 1000.0, "_n": F.col("na"), "_q": F.col("r_mm_hr") / 1000.0 / 3600.0}
+    draws = samples.select(*[drawn[k].alias(k) for k in drawn if k not in named])
+    sets = valid.select(*[v.alias(k) for k, v in named.items()])
+    n, different = sets.agg(F.count("*"), F.approx_count_distinct(F.struct(*named)) if named else F.lit(1)).first()
+    met = valid.withColumns(named) if named else valid
     tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cells.where(F.col(g).isNotNull()).repartition(tasks)
-    pairs = dealt.crossJoin(F.broadcast(draws)).withColumn("_cc", threshold_c(d50, na, r, soil))
-    return pairs.groupBy("cid").agg((F.count_if(F.col("_cc") <= F.col(g)) / F.count("*")).alias("pci"), F.avg("_cc").alias("c_mean"))
+    if n < REPEATS * different:
+        pairs = met.repartition(tasks).crossJoin(F.broadcast(draws)).withColumn("_c", threshold_c("_d", "_n", "_q", soil))
+        return pairs.groupBy("cid").agg((F.count_if(F.col("_c") <= F.col(g)) / F.count("*")).alias("pci"), F.avg("_c").alias("c_mean"))
+    pairs = sets.distinct().repartition(tasks, *named).crossJoin(F.broadcast(draws)) if named else draws
+    curves = pairs.withColumn("_c", threshold_c("_d", "_n", "_q", soil)).groupBy(*named).agg(F.array_sort(F.array_agg("_c")).alias("_cs"), F.avg("_c").alias("c_mean"))
+    out = met.join(curves, list(named)) if named else met.crossJoin(F.broadcast(curves))
+    return out.select("cid", (count_at_most("_cs", F.col(g)) / F.size("_cs")).alias("pci"), "c_mean")
+
+
+REPEATS = 20
+
+
+def count_at_most(sorted_values: str, x: Column) -> Column:
+    """How many of an ascending array's values are at most ``x``, by halving; arrays of up to four million values."""
+    steps = F.array(*[F.lit(1 << k) for k in range(21, -1, -1)])
+    ahead = lambda at, k: (at + k <= F.size(sorted_values)) & (F.get(F.col(sorted_values), at + k - 1) <= x)
+    return F.aggregate(steps, F.lit(0), lambda at, k: F.when(ahead(at, k), at + k).otherwise(at))
 
 
 def eroded(dz, threshold: float, inclusive: bool = False) -> Column:
@@ -70,7 +89,32 @@ def top_percent_cut(cells: DataFrame, percents: list[float], value: str = "pci")
         raise ValueError("percents must be over 0 and at most 100")
     counts = cells.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
     cuts = counts.agg(*[F.expr(f"percentile({value}, {1 - p / 100.0}D, n)").alias(f"q{k}") for k, p in enumerate(percents)])
-    return cuts.select(F.explode(F.array(*[F.struct(F.lit(float(p)).alias("top_percent"), F.col(f"q{k}").alias("pci_cutoff")) for k, p in enumerate(percents)])).alias("x")).select("x.*")
+    return cuts.select(F.explode(cut_rows(percents)).alias("x")).select("x.*")
+
+
+def cut_rows(percents: list[float]) -> Column:
+    """The cutoffs ``q0, q1, ..`` as an array of rows; fails where there was no valid cell to cut."""
+    cut = lambda k: F.coalesce(F.col(f"q{k}"), F.raise_error(F.lit("no valid cells to select from")).cast("double"))
+    return F.array(*[F.struct(F.lit(float(p)).alias("top_percent"), cut(k).alias("pci_cutoff")) for k, p in enumerate(percents)])
+
+
+def top_percent_summary(cells: DataFrame, percents: list[float], erosion: Column | None, cell_area: float, value: str = "pci") -> DataFrame:
+    """``(top_percent, pci_cutoff, source_pixels, source_area_m2, source_area_km2)`` in one pass over the cells.
+
+    Cells are counted by their value, with those that the erosion keeps; cuts
+    and sums both follow from these counts. A probability has as many values as
+    there are draws, and one.
+    """
+    if any(not 0 < p <= 100 for p in percents):
+        raise ValueError("percents must be over 0 and at most 100")
+    keep = erosion if erosion is not None else F.lit(True)
+    counts = cells.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"), F.count_if(keep).alias("k"))
+    cuts = [F.expr(f"percentile(v, {1 - p / 100.0}D, n)").alias(f"q{k}") for k, p in enumerate(percents)]
+    every = counts.agg(*cuts, F.collect_list(F.struct("v", "k")).alias("vs"))
+    rows = every.select(F.explode(cut_rows(percents)).alias("x"), "vs").select("x.*", "vs")
+    over = F.aggregate("vs", F.lit(0).cast("long"), lambda n, y: n + F.when(y["v"] >= F.col("pci_cutoff"), y["k"]).otherwise(0))
+    out = rows.select("top_percent", "pci_cutoff", over.alias("source_pixels")).withColumn("source_area_m2", F.col("source_pixels") * float(cell_area))
+    return out.withColumn("source_area_km2", F.col("source_area_m2") / 1e6)
 
 
 def top_percent_cells(cells: DataFrame, percents: list[float], erosion: Column | None = None, value: str = "pci") -> DataFrame:

@@ -46,9 +46,7 @@ def lost():
        "SELECT top_percent, round(pci_cutoff, 6) AS pci_cutoff, count(cid) AS source_pixels, count(cid) * 100e0 AS source_area_m2, count(cid) * 100e0 / 1e6 AS source_area_km2 FROM cuts LEFT JOIN scored ON pci >= pci_cutoff AND dz < -0.277e0 GROUP BY ALL")
 def source_top_percent(spark, sf_dir):
     """Eroded cells at or over the cutoff of the top 10 and 5 percent, and their area."""
-    cells = scored(spark, sf_dir).select("cid", "dz", "pci")
-    chosen = select.top_percent_cells(cells, [10, 5], lost())
-    return rounded(select.summary_of(chosen, ["top_percent", "pci_cutoff"], select.top_percent_cut(cells, [10, 5]), 100.0), "pci_cutoff")
+    return rounded(select.top_percent_summary(scored(spark, sf_dir).select("dz", "pci"), [10, 5], lost(), 100.0), "pci_cutoff")
 
 
 @query(f"WITH {C}, bands AS (SELECT unnest([5e0, 10e0, 20e0, 30e0, 50e0, 70e0]) AS c_min) SELECT c_min, count(cid) AS source_pixels, count(cid) * 100e0 AS source_area_m2, count(cid) * 100e0 / 1e6 AS source_area_km2 FROM bands LEFT JOIN cells ON g >= c_min AND g < 120 AND dz < -0.277e0 GROUP BY ALL")
@@ -73,7 +71,7 @@ def pci_rank(spark, sf_dir):
     return rounded(scored(spark, sf_dir).select("cid", "pci"), "pci")
 
 
-@query(f"WITH {C}, {SA}, d AS (SELECT * FROM samples WHERE i < 50), p AS (SELECT cid, g, {B.c_of('(d50_mm / 1000e0)', '(0.01e0 + 0.001e0 * (cid % 50))', '(r_mm_hr / 1000e0 / 3600e0)')} AS cc FROM cells, d WHERE g IS NOT NULL) SELECT cid, round(count(*) FILTER (cc <= g) / 50e0, 6) AS pci, round(avg(cc), 4) AS c_mean FROM p GROUP BY cid")
+@query(f"WITH {C}, {SA}, n AS (SELECT DISTINCT cid % 50 AS k FROM cells), t AS (SELECT k, {B.c_of('(d50_mm / 1000e0)', '(0.01e0 + 0.001e0 * k)', '(r_mm_hr / 1000e0 / 3600e0)')} AS cc FROM n, samples), m AS (SELECT k, avg(cc) AS c_mean FROM t GROUP BY k), p AS (SELECT cid, cid % 50 AS k, count(*) AS n FROM cells JOIN t ON cid % 50 = k AND cc <= g GROUP BY cid) SELECT cid, round(coalesce(n, 0) / 1500e0, 6) AS pci, round(c_mean, 4) AS c_mean FROM cells JOIN m ON cid % 50 = m.k LEFT JOIN p USING (cid) WHERE g IS NOT NULL")
 def pci_monte_carlo(spark, sf_dir):
     """Roughness is a band of its own: each of the 1,500 draws is scored in each cell."""
     out = select.pci_monte_carlo(B.cells(spark, sf_dir), S.c_samples(spark), na=0.01 + 0.001 * (F.col("cid") % 50))
@@ -156,7 +154,7 @@ def feature_scale(spark, sf_dir):
     return rounded(curves.location_and_scale(B.cells(spark, sf_dir), ["a", "g"], "median"), "location", "scale")
 
 
-NEAR = """near AS (SELECT x.cid, y.cid AS nid, (x.z - y.z) / CASE WHEN o.dr <> 0 AND o.dc <> 0 THEN sqrt(2e0) ELSE 1e0 END AS drop_, o.k FROM cells x, (VALUES (0,-1,0),(1,1,0),(2,0,-1),(3,0,1),(4,-1,-1),(5,-1,1),(6,1,-1),(7,1,1)) o(k, dr, dc), cells y WHERE y.r = x.r + o.dr AND y.c = x.c + o.dc),
+NEAR = """near AS (SELECT x.cid, y.cid AS nid, (x.z - y.z) / CASE WHEN o.dr <> 0 AND o.dc <> 0 THEN sqrt(2e0) ELSE 1e0 END AS drop_, o.k FROM cells x, (VALUES (0,-1,-1),(1,-1,0),(2,-1,1),(3,0,-1),(4,0,1),(5,1,-1),(6,1,0),(7,1,1)) o(k, dr, dc), cells y WHERE y.r = x.r + o.dr AND y.c = x.c + o.dc),
 best AS (SELECT cid, nid AS receiver, drop_ FROM near WHERE drop_ > 0 QUALIFY row_number() OVER (PARTITION BY cid ORDER BY drop_ DESC, k) = 1)"""
 
 

@@ -32,6 +32,9 @@ def test_threshold_by_hand(spark):
 def test_units(spark):
     got = spark.range(1).select(E.converted(2.0, "d50", {"value_mm": 2.0}).alias("a"), E.converted(2.0, "d50", {"max_mm": 2.0}).alias("b"), E.converted(36.0, "r", {"units": "mm/hr"}).alias("c")).first()
     assert (got.a, got.b) == (0.002, 2.0) and got.c == pytest.approx(1e-5)
+    names = ["mm/hr", "mmh", " MM per hour", "millimeter / hour", "furlongs"]
+    got = spark.range(1).select(*[E.converted(36.0, "rainfall_excess", {"units": u}).alias(f"x{k}") for k, u in enumerate(names)], E.converted(36.0, "r", {"max_mm_hr": 36.0}).alias("only_max")).first()
+    assert [x == pytest.approx(1e-5) for x in got] == [True] * 4 + [False] * 2 and got.only_max == 36.0
 
 
 def test_non_finite_becomes_null(spark):
@@ -68,6 +71,21 @@ def test_erosion(spark):
     cells = band(spark, [[-0.3, -0.1], [None, -0.5]], "dz")
     assert column(cells.select("cid", select.eroded("dz", -0.277).alias("e")), "e") == [True, False, False, True]
     assert spark.range(1).select(E.erosion_label(-0.277).alias("x")).first().x == "erosion_mask_dod_lt_minus_0p277m"
+    assert spark.range(1).select(E.erosion_label(0.3).alias("x")).first().x == "erosion_mask_dod_lt_plus_0p3m"
+
+
+def test_labels_in_short_numbers(spark):
+    values = [0.0, 5.0, 12.5, -5.0, 0.1, 1e-7, 123456.0, 1234567.0, 0.0001, 0.00001, 1e20, 2 / 3, -1.5e-8, 99999.96, 0.00012345678]
+    got = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").select("k", E.short_number("v").alias("t"), E.band_label("v", F.lit(None).cast("double")).alias("b")).orderBy("k").collect()
+    assert [r.t for r in got] == [f"{v:g}" for v in values]
+    assert got[3].b == "cminminus5_g" and got[2].b == "cmin12p5_g"
+
+
+def test_equation_text(spark):
+    terms = [("a", 0.5), ("b", -12.34567), ("c", 0.0), ("d", 123456.0)]
+    want = "-1.5" + "".join(f" {'+' if w >= 0 else '-'} {abs(w):.4g}*z_{n}" for n, w in terms)
+    rows = spark.createDataFrame([(-1.5, [{"name": n, "weight": w} for n, w in terms])], "b double, t array<struct<name:string,weight:double>>")
+    assert rows.select(E.equation_text("b", "t", "z_").alias("x")).first().x == want
 
 
 def test_polygons_of_a_mask(spark):
@@ -116,6 +134,109 @@ def test_sinks_against_priority_flood(spark):
     assert up.join(flow.where("receiver IS NULL"), "cid").agg(F.sum("cells_up")).first()[0] == n * n
 
 
+def test_sinks_of_long_chains_and_closed_regions(spark):
+    n = 301
+    z = [[100.0] * n, [50.0 + (c % 2) * (20 + c / 10) - c / 100 for c in range(n)], [100.0] * n]
+    z[1][0], z[1][-1] = 90.0, 95.0
+    cells = band(spark, z, "z")
+    got = {r.cid: r.filled for r in grid.filled(cells).collect()}
+    level, heap = {}, []
+    for r in range(3):
+        for c in range(n):
+            if r in (0, 2) or c in (0, n - 1):
+                level[r, c] = z[r][c]
+                heap.append((z[r][c], r, c))
+    heapq.heapify(heap)
+    while heap:
+        v, r, c = heapq.heappop(heap)
+        for dr, dc in grid.EIGHT:
+            p = (r + dr, c + dc)
+            if 0 <= p[0] < 3 and 0 <= p[1] < n and p not in level:
+                level[p] = max(v, z[p[0]][p[1]])
+                heapq.heappush(heap, (level[p], *p))
+    assert got == {r * n + c: v for (r, c), v in level.items()}
+
+
+def test_quantiles_against_numpy(spark):
+    import numpy as np
+
+    from cellframe.operators import ranks
+
+    rng = np.random.default_rng(4)
+    rows = [(int(k), float(round(v, 1))) for k, v in zip(rng.integers(0, 3, 500), rng.normal(0, 3, 500))] + [(1, None)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    got = {(r.k, r.share): r.cut for r in ranks.quantiles(df, "v", [0.0, 0.05, 0.5, 1.0], ["k"]).collect()}
+    for k in range(3):
+        mine = [v for a, v in rows if a == k and v is not None]
+        assert [got[k, q] for q in (0.0, 0.05, 0.5, 1.0)] == pytest.approx([float(np.quantile(mine, q)) for q in (0.0, 0.05, 0.5, 1.0)])
+    assert ranks.quantiles(df.where("v IS NULL"), "v", [0.5]).count() == 0
+    order = [r.rank for r in ranks.numbered(df, ["k", "v"]).orderBy("k", "v").collect()]
+    assert sorted(order) == list(range(1, 502))
+
+
+def test_splits_are_exact(spark):
+    rows = spark.range(1000).select("id", (F.col("id") % 5 == 0).cast("int").alias("y"))
+    sampled = S.down_sampled(rows, "y", "id", 1.5, 3)
+    assert {r.y: r["count"] for r in sampled.groupBy("y").count().collect()} == {1: 200, 0: 300}
+    assert sampled.orderBy("id").collect() == S.down_sampled(rows.repartition(7), "y", "id", 1.5, 3).orderBy("id").collect()
+    split = S.stratified_split(rows, "y", "id", 0.7, 3)
+    assert {(r.y, r.is_train): r["count"] for r in split.groupBy("y", "is_train").count().collect()} == {(1, True): 140, (1, False): 60, (0, True): 560, (0, False): 240}
+    cells = band(spark, [[1.0] * 8] * 8)
+    assert S.block_split(cells, "g", 4, 0.8, 1).where("is_train").count() == 3
+    with pytest.raises(Exception, match="two valid blocks"):
+        S.block_split(cells, "g", 8).collect()
+
+
+def test_patches_and_centres(spark):
+    cells = band(spark, [[1.0 if (r + c) % 7 else None for c in range(23)] for r in range(19)])
+
+    def starts(lo, hi, patch, stride):
+        if hi - lo < patch:
+            return []
+        s = list(range(lo, hi - patch + 1, stride))
+        return s if s[-1] == hi - patch else [*s, hi - patch]
+
+    values = {(r.r, r.c) for r in cells.where("g IS NOT NULL").collect()}
+    for block in (None, 10):
+        want = set()
+        for b0 in range(0, 19, block or 19):
+            for c0 in range(0, 23, block or 23):
+                for r in starts(b0, min(b0 + (block or 19), 19), 5, 3):
+                    for c in starts(c0, min(c0 + (block or 23), 23), 5, 3):
+                        if sum((x, y) in values for x in range(r, r + 5) for y in range(c, c + 5)) / 25 >= 0.85:
+                            want.add((r, c))
+        assert {(r.r0, r.c0) for r in S.patch_origins(cells, "g", 19, 23, 5, 3, 0.85, block).collect()} == want
+    assert S.patch_origins(cells, "g", 19, 23, 20, 3).count() == 0
+    labelled = cells.withColumn("y", (F.col("c") % 2).cast("int"))
+    centres = S.balanced_centres(labelled, "y", 4000, 2, 19, 23, 5).collect()
+    seen = {1: {}, 0: {}}
+    for x in centres:
+        seen[x.y][x.r, x.c] = seen[x.y].get((x.r, x.c), 0) + 1
+    inside = {k: sum(1 for r in range(2, 17) for c in range(2, 21) if c % 2 == k) for k in (0, 1)}
+    for k in (0, 1):
+        assert sum(seen[k].values()) == 2000 and len(seen[k]) > 0.99 * inside[k] and max(seen[k].values()) < 6 * 2000 / inside[k]
+    with pytest.raises(Exception, match="no candidate"):
+        S.balanced_centres(labelled.where("y = 0"), "y", 10, 2, 19, 23, 5).collect()
+
+
+def test_selections_fail_on_nothing(spark):
+    none = spark.createDataFrame([], "cid long, pci double")
+    for f in (lambda: select.top_percent_cut(none, [10]), lambda: select.top_percent_summary(none, [10], None, 1.0)):
+        with pytest.raises(Exception, match="no valid cells"):
+            f().collect()
+    cells = spark.createDataFrame([(0, 0.1, True), (1, 0.2, True), (2, 0.7, True), (3, 0.9, False)], "cid long, pci double, e boolean")
+    got = select.top_percent_summary(cells, [50], F.col("e"), 100.0).first()
+    assert (round(got.pci_cutoff, 9), got.source_pixels, got.source_area_m2) == (0.45, 1, 100.0)
+
+
+def test_flat_bands(spark):
+    flat = spark.createDataFrame([(float(5), float(4))] * 3, "a double, b double")
+    assert curves.histogram(flat, "a", 4).collect()[0].n == 3
+    assert curves.regression_scores(flat, "a", "b").first().r2 is None
+    with pytest.raises(ValueError):
+        curves.weibull_fit(flat, "a")
+
+
 def test_samples_repeat(spark):
     a, b = (S.c_samples(spark, 50, 5).collect() for _ in range(2))
     assert a == b and all(15 <= r.r_mm_hr < 55 and r.c > 0 for r in a)
@@ -129,6 +250,11 @@ def test_monte_carlo_scores_every_draw(spark, monkeypatch):
     got = {r.cid: r for r in queries.pci_monte_carlo(spark, "").collect()}
     draws = S.c_samples(spark).collect()
     assert len(draws) == 1500 and len(got) == 23
+    few = select.pci_monte_carlo(cells, S.c_samples(spark), na=F.col("cid") * 0 + 0.02)
+    monkeypatch.setattr(select, "REPEATS", 1000)
+    each = select.pci_monte_carlo(cells, S.c_samples(spark), na=F.col("cid") * 0 + 0.02)
+    by_cid = lambda df: {r.cid: (round(r.pci, 9), round(r.c_mean, 6)) for r in df.collect()}
+    assert by_cid(few) == by_cid(each)
     for cell in cells.where("g IS NOT NULL").collect():
         na = 0.01 + 0.001 * (cell.cid % 50)
         c = []
