@@ -6,11 +6,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_batches, small_batches, written
+from .common import components, map_batches, written
 
 ROWS, BANDS = 6, 40
 REGISTERS = ROWS * BANDS
@@ -18,7 +19,7 @@ BASE = 1.2  # registers are whole powers of this base
 SHIFT = 20  # so that the largest minimum still has a register over 0
 CROWD = 8  # members up to which a bucket's pairs are listed; larger buckets are compared in blocks
 BLOCK = 256
-SLOTS = 1 << 20  # of the filter before texts are shuffled: 16 MB at most, whatever the corpus
+SLOTS = 1 << 20  # of the filter before texts are shuffled: 16 MB at most, whatever the corpus; of no use beyond as many texts
 MOST_KEPT = 1_000_000
 _random = np.random.default_rng(20240229)
 FACTORS = _random.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -117,19 +118,21 @@ def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, leas
 
 
 def sketched(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, n_shingles, set_hash, regs)`` of each row, written once."""
+    """``(id, tie, n_shingles, set_hash, regs)`` of each row, written once; ``tie`` is a hash of the text."""
 
     def run(batch):
         sets = [shingle_set(t, width) for t in batch["text"]]
         regs = registers(np.array([minima(s) for s in sets])) if sets else []
         return {
             "id": batch["id"],
+            "tie": batch["tie"],
             "n_shingles": [len(s) for s in sets],
             "set_hash": [hashlib.md5(s.tobytes()).digest() for s in sets],
             "regs": [r.tobytes() if len(s) else b"" for s, r in zip(sets, regs, strict=True)],
         }
 
-    return written(map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, "id long, n_shingles long, set_hash binary, regs binary"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+    return written(map_batches(rows, run, "id long, tie long, n_shingles long, set_hash binary, regs binary"))
 
 
 def compared(open_ids, open_comps, open_sets, ids, comps, sets, percent: int) -> list[tuple[int, int]]:
@@ -161,92 +164,111 @@ def compared(open_ids, open_comps, open_sets, ids, comps, sets, percent: int) ->
     return links
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_shingles, component_id, kept)`` for each row of ``docs``.
-
-    Two documents are linked if ``100 * shared >= percent * joint`` of their sets
-    of distinct ``width``-word shingles; ``component_id`` is the smallest id that
-    can be reached over links, ``kept`` says that it is the row's own.
+def clusters(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, tie, n_shingles, component_id, best)`` of each row of ``docs``.
 
-    Equal sets are one node from the start. Forty bands of six registers bring
-    together pairs of similarity 0.8 but for five in a million, and pairs of 0.9
-    but for fewer still. A bucket of up to 8 nodes lists its pairs. A larger
-    bucket links its members to a hub, the member with the most company over all
-    bands; members that this leaves in another component than their hub's are
-    then compared with all members that share the hub, in blocks of 256, so
-    that no bucket lists all its pairs and none is cut. Pairs that joint
-    likelihood leaves plausible are confirmed on the full sets.
-
-    Ids are integers. Rows with a null id, a null or empty text, or no words are
-    linked with nothing; their component is their own id. Rows that share an id
-    are one node. An empty table gives an empty result. Other columns aren't read.
+    As ``near_duplicates``; ``tie`` is ``xxhash64`` of the text, and ``best``
+    says that no row of the component has a smaller ``(id, tie)``. Only rows
+    that are equal in id and text are best together.
     """
-    spark = docs.sparkSession
     least = percent / 100
     rows = sketched(docs, width, id_col, text_col)
-    reps = written(rows.where("id IS NOT NULL AND n_shingles > 0").groupBy("set_hash").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")))
-    sketch = reps.select("id", "n", "regs").dropDuplicates(["id"])
+    some = rows.where("id IS NOT NULL AND n_shingles > 0")
+    # a node for each different set; its number is fixed by the table that is written here
+    reps = some.groupBy("set_hash").agg(F.min(F.struct("id", "tie")).alias("low"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
+    reps = written(reps.select(F.monotonically_increasing_id().alias("node"), "set_hash", "low", "n", "regs"))
 
     def keys(batch):
         regs = np.frombuffer(b"".join(batch["regs"]), np.uint8).reshape(-1, REGISTERS)
-        return {"id": batch["id"], "keys": list(band_keys(regs).view(np.int64))}
+        return {"node": batch["node"], "keys": list(band_keys(regs).view(np.int64))}
 
-    bands = map_batches(reps.select("id", "regs"), keys, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
-    counts = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # tables that large ones are joined with are written first, so that Spark knows their size and can split hot keys
+    bands = map_batches(reps.select("node", "regs"), keys, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+    counts = written(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     crowds = written(bands.join(counts, "key"))
 
-    members = crowds.where(F.col("n") <= CROWD).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    listed = members.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
+    members = crowds.where(F.col("n") <= CROWD).groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
+    listed = members.select(F.explode(F.flatten(F.transform("nodes", lambda x, i: F.transform(F.slice("nodes", i + 2, F.size("nodes")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
     hot = crowds.where(F.col("n") > CROWD)
-    company = hot.groupBy("id").agg(F.sum("n").alias("company"))
-    hubs = hot.join(company, "id").groupBy("key").agg(F.max_by("id", F.struct("company", -F.col("id"))).alias("hub"))
-    spokes = written(hot.join(hubs, "key").where("id <> hub").select("id", "hub").distinct())
-    pairs = listed.unionByName(spokes.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))).distinct()
+    company = hot.groupBy("node").agg(F.sum("n").alias("company"))
+    hubs = written(hot.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("hub")))
+    spokes = written(hot.join(hubs, "key").where("node <> hub").select("node", "hub").distinct())
+    pairs = listed.unionByName(spokes.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))).distinct()
 
     def likely(batch):
         a, b = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, REGISTERS) for c in ("ra", "rb"))
         return {"a": batch["a"], "b": batch["b"], "ok": plausible(a, b, np.array(batch["na"], float), np.array(batch["nb"], float), least)}
 
-    side = lambda x: sketch.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
+    side = lambda x: reps.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
     likely_pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     candidates = written(map_batches(likely_pairs, likely, "a long, b long, ok boolean").where("ok").select("a", "b"))
 
-    wanted = candidates.select(F.col("a").alias("id")).unionByName(candidates.select(F.col("b").alias("id"))).unionByName(spokes.select("id")).unionByName(spokes.select(F.col("hub").alias("id"))).distinct()
-    wanted = written(wanted)
-    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).alias("slot")  # a coarse filter of fixed size first: few texts are shuffled
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = texts.withColumn("slot", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi").join(wanted, "id", "left_semi").select("id", "text")
-    sets = written(map_batches(texts, lambda batch: {"id": batch["id"], "shingles": [shingle_set(t, width).view(np.int64) for t in batch["text"]]}, "id long, shingles array<long>"))
+    wanted = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).unionByName(spokes.select("node")).unionByName(spokes.select(F.col("hub").alias("node"))).distinct()
+    wanted = written(reps.select("node", "low").join(wanted, "node", "left_semi").select("node", "low.*"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+    if wanted.count() < SLOTS:  # a coarse filter of fixed size first: few texts are shuffled; beyond that it would let most of them through
+        slot = F.pmod(F.xxhash64("id", "tie"), F.lit(SLOTS)).alias("slot")
+        texts = texts.withColumn("slot", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi").drop("slot")
+    texts = texts.join(wanted, ["id", "tie"]).select("node", "text")
+    sets = map_batches(texts, lambda batch: {"node": batch["node"], "shingles": [shingle_set(t, width).view(np.int64) for t in batch["text"]]}, "node long, shingles array<long>")
+    sets = written(sets.dropDuplicates(["node"]))
     shared = F.size(F.array_intersect("sa", "sb"))
-    checked = candidates.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    checked = candidates.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     links = written(checked.where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * percent).select("a", "b").distinct())
     labels = components(links)
 
-    group = spokes.unionByName(spokes.select(F.col("hub").alias("id"), "hub").distinct())
-    group = group.join(labels, "id", "left").select("id", "hub", F.coalesce("component", "id").alias("component"))
-    group = written(group)
-    apart = group.groupBy("hub").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("id") == F.col("hub"), F.col("component"))).alias("main")).where("low <> high")
-    member = group.join(apart.select("hub", "n", "main"), "hub").join(sets, "id").select("hub", "id", "component", "shingles", (F.col("component") != F.col("main")).alias("open"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), (F.abs(F.xxhash64("id", "hub"))).alias("spread"))
-    block = (F.col("spread") % F.col("blocks")).cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    sides = member.where("open").select("hub", block.alias("o"), F.explode(every).alias("m"), F.lit(0).alias("side"), "id", "component", "shingles").unionByName(
-        member.select("hub", F.explode(every).alias("o"), block.alias("m"), F.lit(1).alias("side"), "id", "component", "shingles")
-    )
+    group = spokes.unionByName(spokes.select(F.col("hub").alias("node"), "hub").distinct())
+    group = written(group.join(labels.withColumnRenamed("id", "node"), "node", "left").select("node", "hub", F.coalesce("component", "node").alias("component")))
+    main = group.where("node = hub").select("hub", F.col("component").alias("main"))
+    sized = group.join(written(main), "hub").groupBy("hub", "main").agg(F.count("*").alias("n"), F.count_if(F.col("component") != F.col("main")).alias("n_open")).where("n_open > 0")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    apart = written(sized.select("hub", "main", blocks("n_open").alias("os"), blocks("n").alias("ms")))
+    member = group.join(apart, "hub").join(sets, "node").withColumn("spread", F.abs(F.xxhash64("node", "hub")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = lambda n: (F.col("spread") % F.col(n)).cast("int")
+    own = ["node", "component", "shingles"]
+    sides = member.where("component <> main").select("hub", block("os").alias("o"), every("ms").alias("m"), F.lit(0).alias("side"), *own)
+    sides = sides.unionByName(member.select("hub", every("os").alias("o"), block("ms").alias("m"), F.lit(1).alias("side"), *own))
 
     def block_links(table: pa.Table) -> pa.Table:
-        split = [table.filter(pa.compute.equal(table["side"], s)) for s in (0, 1)]
+        split = [table.filter(pc.equal(table["side"], s)) for s in (0, 1)]
         found = []
         if all(t.num_rows for t in split):
-            parts = [(t["id"].to_numpy(), t["component"].to_numpy(), [np.asarray(x.values) for x in t["shingles"]]) for t in split]
+            parts = [(t["node"].to_numpy(), t["component"].to_numpy(), [np.asarray(x.values) for x in t["shingles"]]) for t in split]
             found = compared(*parts[0], *parts[1], percent)
         return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
 
-    small_batches(spark)
     more = written(sides.groupBy("hub", "o", "m").applyInArrow(block_links, "a long, b long"))
     if more.limit(1).count():
         labels = components(links.unionByName(more))
-    by_set = reps.select("set_hash", F.col("id").alias("rep"))
-    found = rows.where("id IS NOT NULL AND n_shingles > 0").join(by_set, "set_hash").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    found = found.select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    alone = rows.where("id IS NULL OR n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
-    return found.unionByName(alone).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = reps.select("node", "set_hash", "low").join(labels.select(F.col("id").alias("node"), "component"), "node", "left")
+    lowest = named.where("component IS NOT NULL").groupBy("component").agg(F.min("low").alias("lowest"))
+    named = written(named.join(lowest, "component", "left").select("set_hash", F.coalesce("lowest", "low").alias("lowest")))
+    found = some.join(named, "set_hash").select("id", "tie", "n_shingles", F.col("lowest.id").alias("component_id"), (F.struct("id", "tie") == F.col("lowest")).alias("best"))
+    alone = rows.where("id IS NULL OR n_shingles = 0").select("id", "tie", "n_shingles", F.col("id").alias("component_id"), F.lit(True).alias("best"))
+    return found.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, n_shingles, component_id, kept)`` for each row of ``docs``.
+
+    Two documents are linked if ``100 * shared >= percent * joint`` of their sets
+    of distinct ``width``-word shingles; ``component_id`` is the smallest id that
+    can be reached over links, ``kept`` says that it is the row's own.
+
+    Equal sets are one node from the start. Forty bands of six registers bring
+    together pairs of similarity 0.8 but for five in a million, and pairs of 0.9
+    but for fewer still. A bucket of up to 8 nodes lists its pairs. A larger
+    bucket links its members to a hub, the member with the most company over all
+    bands; members that this leaves in another component than their hub's are
+    then compared with all members that share the hub, in blocks of 256, so
+    that no bucket lists all its pairs and none is cut. Pairs that joint
+    likelihood leaves plausible are confirmed on the full sets.
+
+    Ids are integers. Rows with a null id, a null or empty text, or no words are
+    linked with nothing; their component is their own id. Rows that share an id
+    may have different texts; each is linked by its own text. An empty table
+    gives an empty result. Other columns aren't read.
+    """
+    found = clusters(docs, width, percent, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
