@@ -8,49 +8,48 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, small_batches
+from .common import forget, lots, map_batches, written
 
-CONTENT = 512  # hashed byte trigrams
-BUCKETS = 24  # hashed language and source
-FIGURES = 10
+TRIGRAMS, FIGURES = 512, 7  # of the content view: hashed byte trigrams, figures of words and marks
+SCALE = 510  # of content figures, which are kept as bytes
+BUCKETS = 48  # hashed language, source, and both
+SIZES = 3
+WIDTHS = (TRIGRAMS + FIGURES, BUCKETS + SIZES)
 
 
 def content_view(text: str) -> np.ndarray:
-    """Hashed byte trigrams of the whole text: square roots of their shares."""
+    """Square roots of the shares of hashed byte trigrams of the whole text, and figures of its words and marks, as bytes."""
+    out = np.zeros(TRIGRAMS + FIGURES)
     b = np.frombuffer(text.encode("utf-8"), np.uint8).astype(np.uint32)
-    out = np.zeros(CONTENT, np.float32)
-    if len(b) < 3:
-        return out
-    b = np.where((b >= 48) & (b <= 57), 48, b).astype(np.uint32)
-    h = (b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]) * np.uint32(0x9E3779B1) >> np.uint32(23)
-    return np.sqrt(np.bincount(h, minlength=CONTENT) / len(h)).astype(np.float32)
-
-
-def metadata_view(text: str, lang: str | None, source: str | None) -> np.ndarray:
-    """Hashed language and source, and figures of the page's size and layout."""
-    out = np.zeros(BUCKETS + FIGURES, np.float32)
-    for value in (f"lang={lang}", f"source={source}"):
-        out[zlib.crc32(value.encode("utf-8")) % BUCKETS] += 1
-    n = max(1, len(text))
-    words = text.split()
-    lines = text.count("\n") + 1
+    if len(b) >= 3:
+        b[(b >= 48) & (b <= 57)] = 48
+        h = (b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]) * np.uint32(0x9E3779B1) >> np.uint32(23)
+        out[:TRIGRAMS] = SCALE * np.sqrt(np.bincount(h, minlength=TRIGRAMS) / len(h))
+    words, n = text.split(), max(1, len(text))
     m = max(1, len(words))
-    marks = sum(map(text.count, "*&%$#|!"))
-    out[BUCKETS:] = (
-        math.log1p(len(text)),
-        math.log1p(lines),
-        math.log1p(n / lines),
+    shares = (
         len(set(words)) / m,
         len(set(zip(words, words[1:], strict=False))) / m,
         sum(map(len, words)) / m / 10,
-        min(1.0, 10 * marks / n),
-        min(1.0, 10 * sum(map(text.count, "0123456789")) / n),
+        10 * sum(map(text.count, "*&%$#|!")) / n,
+        10 * sum(map(text.count, "0123456789")) / n,
         sum(map(str.isupper, words)) / m,
-        min(1.0, 10 * (text.count(".") + text.count(",")) / n),
+        10 * (text.count(".") + text.count(",")) / n,
     )
+    out[TRIGRAMS:] = 255 * np.minimum(1, shares)
+    return np.minimum(255, np.rint(out)).astype(np.uint8)
+
+
+def metadata_view(n_chars: int, n_lines: int, lang: str | None, source: str | None) -> np.ndarray:
+    """What is known of a page without reading it: hashed language and source, its size and its number of lines."""
+    out = np.zeros(BUCKETS + SIZES, np.float32)
+    for value in (f"lang={lang}", f"source={source}", f"both={lang}/{source}"):
+        out[zlib.crc32(value.encode("utf-8")) % BUCKETS] += 1
+    out[BUCKETS:] = (math.log1p(n_chars), math.log1p(n_lines), math.log1p(n_chars / (n_lines + 1)))
     return out
 
 
@@ -98,78 +97,140 @@ class CoTrained:
         return chance(z[:, 0]), chance(z[:, 1]), chance(logit(z, self.joint))
 
 
-def co_trained(content, metadata, label, pool_content, pool_metadata, rounds: int = 4, confident: float = 0.95, share: float = 0.05) -> CoTrained:
-    """Fit both views on labelled rows, let each teach the other from the pool, then calibrate and join them.
+class Learner:
+    """Both views' models on labelled rows and on what each view was taught by the other."""
 
-    In each round a view labels the pool's rows that it is surest of, of both
-    classes alike, up to ``share`` of the pool and at ``confident`` or more; the
-    other view learns from them with half weight. Every fourth labelled row is
-    held back for calibration and for joining the views.
-    """
-    prior = float(label.mean()) if len(label) else 1.0
-    if len(label) < 8 or label.min() == label.max():
-        return CoTrained(None, None, None, None, [], None, prior)
-    mean, scale = metadata.mean(axis=0), np.maximum(metadata.std(axis=0), 1e-6)
-    views, pool = [content, (metadata - mean) / scale], [pool_content, (pool_metadata - mean) / scale]
-    held = np.arange(len(label)) % 4 == 3
-    if label[held].min() == label[held].max() or label[~held].min() == label[~held].max():
-        held[:] = False
-    train = ~held
-    fit_on = held if held.any() else train
-    taught: list[dict[int, float]] = [{}, {}]  # what the other view said of pool rows
-    ridge = (0.02, 1.0)
-    models = [np.zeros(0), np.zeros(0)]
-    for step in range(rounds):
-        for k in (0, 1):
-            extra = np.array(sorted(taught[k]), int)
-            x = np.vstack([views[k][train], pool[k][extra]])
-            y = np.append(label[train], [taught[k][i] for i in extra])
-            models[k] = fitted(x, y, np.append(np.ones(train.sum()), np.full(len(extra), 0.5)), ridge[k])
-        if step == rounds - 1 or not len(pool[0]):
-            break
-        for k in (0, 1):
-            p = chance(logit(pool[k], models[k]))
-            p[list(taught[1 - k])] = 0.5  # not again
-            most = max(1, int(share * len(p)))
-            up, down = np.argsort(-p, kind="stable")[:most], np.argsort(p, kind="stable")[:most]
-            taught[1 - k] |= {int(i): 1.0 for i in up if p[i] >= confident} | {int(i): 0.0 for i in down if p[i] <= 1 - confident}
-    z = [logit(views[k], models[k]) for k in (0, 1)]
-    calibration = [tuple(fitted(v[fit_on][:, None], label[fit_on], np.ones(fit_on.sum()), 1e-2)) for v in z]
-    both = np.column_stack([a * v + b for v, (a, b) in zip(z, calibration, strict=True)])
-    joint = fitted(both[fit_on], label[fit_on], np.ones(fit_on.sum()), 1.0)
-    return CoTrained(models[0], models[1], mean, scale, calibration, joint, prior)
+    RIDGE = (0.02, 1.0)
+
+    def __init__(self, views: list[np.ndarray], label: np.ndarray):
+        self.mean, self.scale = views[1].mean(axis=0), np.maximum(views[1].std(axis=0), 1e-6)
+        self.views, self.label = [self.plain(k, v) for k, v in enumerate(views)], label
+        self.held = np.arange(len(label)) % 4 == 3
+        if label[self.held].min() == label[self.held].max() or label[~self.held].min() == label[~self.held].max():
+            self.held[:] = False
+        self.models = [self.fit(k, np.empty((0, WIDTHS[k])), np.empty(0)) for k in (0, 1)]
+
+    def plain(self, k: int, view: np.ndarray) -> np.ndarray:
+        return (view - self.mean) / self.scale if k else view
+
+    def fit(self, k: int, taught: np.ndarray, said: np.ndarray) -> np.ndarray:
+        """Labelled rows count fully, taught ones half, and all taught ones together at most as much as the labelled ones."""
+        train = ~self.held
+        weight = min(0.5, train.sum() / max(1, len(said)))
+        return fitted(np.vstack([self.views[k][train], taught]), np.append(self.label[train], said), np.append(np.ones(train.sum()), np.full(len(said), weight)), self.RIDGE[k])
+
+    def trusted(self, k: int, said: int, confident: float) -> bool:
+        """Whether a view's confident verdicts of a class are right as often as that on labelled rows that it wasn't fitted on."""
+        p = chance(logit(self.views[k], self.models[k]))[self.held]
+        sure = p >= confident if said else p <= 1 - confident
+        return bool(sure.any()) and float((self.label[self.held][sure] == said).mean()) >= confident
+
+    def joined(self) -> CoTrained:
+        fit_on = self.held if self.held.any() else ~self.held
+        z = [logit(v, m) for v, m in zip(self.views, self.models, strict=True)]
+        one = np.ones(fit_on.sum())
+        calibration = [tuple(fitted(v[fit_on][:, None], self.label[fit_on], one, 1e-2)) for v in z]
+        both = np.column_stack([a * v + b for v, (a, b) in zip(z, calibration, strict=True)])
+        joint = fitted(both[fit_on], self.label[fit_on], one, 1.0)
+        return CoTrained(self.models[0], self.models[1], self.mean, self.scale, calibration, joint, float(self.label.mean()))
 
 
 def views_of(batch) -> tuple[np.ndarray, np.ndarray]:
     texts = [t or "" for t in batch["text"]]
-    return np.array([content_view(t) for t in texts]), np.array([metadata_view(t, a, b) for t, a, b in zip(texts, batch["lang"], batch["source"], strict=True)])
-
+    content = np.array([content_view(t) for t in texts])
+    return content, np.array([metadata_view(len(t), t.count("\n"), a, b) for t, a, b in zip(texts, batch["lang"], batch["source"], strict=True)])
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 6000, most_pool: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> CoTrained:
-    """Fit on at most ``most_labelled`` labelled and ``most_pool`` unlabelled documents, those with the smallest hashes of their ids.
 
-    Both bounds are parameters; all else of the model has a fixed size. Ids that
-    have several labels count as good if one is. Rows with a null label are not
-    labelled. The samples' ids are broadcast, so no text is shuffled.
-    """
-    named = labels.where(f"`{label_col}` IS NOT NULL AND `{id_col}` IS NOT NULL").groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("double")).alias("label"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    chosen = named.orderBy(F.xxhash64("id"), "id").limit(most_labelled)
-    others = docs.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct().join(named.select("id"), "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(most_pool)
-    picked = F.broadcast(chosen.unionByName(others.select("id", F.lit(None).cast("double").alias("label"))))
+def viewed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, content, metadata, h)`` of each row, written once; ``h`` is a uniform number made of id and content."""
+    known = [F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")]
 
     def run(batch):
         content, metadata = views_of(batch)
-        return {"id": batch["id"], "label": batch["label"], "content": list(content), "metadata": list(metadata)}
+        return {"id": batch["id"], "content": [x.tobytes() for x in content], "metadata": [x.astype("<f4").tobytes() for x in metadata]}
+
+    rows = map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *known), run, f"id {docs.schema[id_col].dataType.simpleString()}, content binary, metadata binary")
+    return written(rows.withColumn("h", F.pmod(F.xxhash64("id", "content", "metadata"), F.lit(1 << 52)) / float(1 << 52)))
+
+
+def arrays(table) -> list[np.ndarray]:
+    """Both views of rows as numbers."""
+    content, metadata = (b"".join(table[c].to_pylist()) for c in ("content", "metadata"))
+    return [np.frombuffer(content, np.uint8).reshape(-1, WIDTHS[0]) / SCALE, np.frombuffer(metadata, "<f4").reshape(-1, WIDTHS[1]).astype(float)]
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    got = map_batches(texts.join(picked, "id"), run, f"id {kind}, label double, content array<float>, metadata array<float>").toArrow()
-    order = np.argsort(got["id"].to_numpy(), kind="stable")
-    content = np.array(got["content"].combine_chunks().flatten(), np.float64).reshape(-1, CONTENT)[order]
-    metadata = np.array(got["metadata"].combine_chunks().flatten(), np.float64).reshape(-1, BUCKETS + FIGURES)[order]
-    label = got["label"].to_numpy(zero_copy_only=False).astype(float)[order]
-    has = ~np.isnan(label)
-    return co_trained(content[has], metadata[has], label[has], content[~has], metadata[~has])
+
+def sure_of(pool: DataFrame, learner: Learner, confident: float, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each view, rows of the other one's confident pseudo-labels: the view's figures, and the labels.
+
+    Every row of the pool is scored, in Spark. Rows that a view is sure of, and
+    may be by labelled rows held back (``trusted``), are counted by class; of each class ``most`` rows in expectation, those with the
+    smallest ``h``, come back to fit on; equal rows come back once.
+    """
+    models, mean, scale = learner.models, learner.mean, learner.scale
+    plain = lambda k, view: (view - mean) / scale if k else view
+
+    trusted = {(k, said): learner.trusted(k, said, confident) for k in (0, 1) for said in (0, 1)}
+
+    def verdicts(batch):
+        for k, view in enumerate(arrays(batch)):
+            p = chance(logit(plain(k, view), models[k]))
+            for said, rows in ((1, p >= confident), (0, p <= 1 - confident)):
+                yield k, said, np.flatnonzero(rows) if trusted[k, said] else np.empty(0, np.int64)
+
+    def count(batches):
+        for batch in batches:
+            found = [(k, said, len(rows)) for k, said, rows in verdicts(batch)]
+            yield pa.RecordBatch.from_pydict(dict(zip(("teacher", "said", "n"), map(list, zip(*found, strict=True)), strict=True)))
+
+    counts = {(r.teacher, r.said): r.n for r in pool.mapInArrow(count, "teacher long, said long, n long").groupBy("teacher", "said").agg(F.sum("n").alias("n")).collect()}  # four rows
+
+    def pick(batches):
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            for k, said, rows in verdicts(batch):
+                rows = rows[h[rows] * counts[k, said] < most]
+                part = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k)), pa.array(np.full(len(rows), said)), part.column("h"), part.column("content"), part.column("metadata")], names=["teacher", "said", "h", "content", "metadata"])
+
+    found = pool.mapInArrow(pick, "teacher long, said long, h double, content binary, metadata binary").dropDuplicates(["teacher", "said", "h"])
+    found = found.orderBy("h", "teacher", "said").limit(8 * most).toArrow()  # twice what is expected
+    out = []
+    for k in (0, 1):
+        mine = found.filter(pc.equal(found["teacher"], 1 - k)).sort_by("h")
+        out.append((plain(k, arrays(mine)[k]), mine["said"].to_numpy().astype(float)))
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 6000, most_taught: int = 1500, rounds: int = 4, confident: float = 0.98, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> CoTrained:
+    """Fit both views on labelled documents and let each teach the other from all other documents, over ``rounds`` rounds.
+
+    At most ``most_labelled`` labelled documents, those with the smallest hashes
+    of their ids, are fitted on; every other document is in the pool. In each
+    round each view scores the whole pool in Spark; the rows that it is sure of
+    at ``confident`` are the pseudo-labels that the other view learns from. A
+    fit takes some ``most_taught`` of them of each class, spread evenly over the
+    corpus by hash. These bounds are parameters of the fit; all else covers all
+    rows, and only rows of the fits come to the driver.
+
+    Ids with several labels count as good if one is; ids of several documents
+    give one of them. Rows with a null label or id aren't labelled; columns
+    ``lang`` and ``source`` may be absent. Fewer than eight labels, or labels
+    that are all alike, give a model with one score for all.
+    """
+    named = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("double")).alias("label"))
+    views = viewed(docs, id_col, text_col)
+    chosen = F.broadcast(named.orderBy(F.xxhash64("id"), "id").limit(most_labelled))
+    first = F.min_by(F.struct("content", "metadata"), F.struct("h", "content"))
+    known = views.join(chosen, "id").groupBy("id").agg(F.first("label").alias("label"), first.alias("view")).select("id", "label", "view.*").toArrow().sort_by("id")
+    label = known["label"].to_numpy().astype(float)
+    if len(label) < 8 or label.min() == label.max():
+        return CoTrained(None, None, None, None, [], None, float(label.mean()) if len(label) else 1.0)
+    learner = Learner(arrays(known), label)
+    pool = views.join(chosen.select("id"), "id", "left_anti").select("h", "content", "metadata")
+    for _ in range(rounds - 1):
+        learner.models = [learner.fit(k, *taught) for k, taught in enumerate(sure_of(pool, learner, confident, most_taught))]
+    forget(views)
+    return learner.joined()
 
 
 def scored(docs: DataFrame, model: CoTrained, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -181,19 +242,18 @@ def scored(docs: DataFrame, model: CoTrained, threshold: float = 0.5, text_col:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    small_batches(docs.sparkSession)
     added = StructType.fromDDL("p_content double, p_metadata double, score double, keep boolean")
     plain = docs.drop(*added.names)
     schema = StructType([*plain.schema.fields, *added.fields])
-    arrow = to_arrow_schema(schema)
+    arrow, names = to_arrow_schema(schema), plain.columns
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cells = {"text": batch.column(text_col).to_pylist()} | {c: batch.column(c).cast(pa.string()).to_pylist() for c in ("lang", "source")}
-            p, q, score = model.scores(*views_of(cells))
-            new = [pa.array(np.round(x, 9)) for x in (p, q, score)] + [pa.array(score >= threshold)]
-            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, arrow, strict=False)), *new], schema=arrow)
+            for lot in lots(batch):
+                cells = {"text": lot.column(text_col).to_pylist()} | {c: lot.column(c).cast(pa.string()).to_pylist() if c in names else [None] * lot.num_rows for c in ("lang", "source")}
+                content, metadata = views_of(cells)
+                p, q, score = model.scores(content / SCALE, metadata)
+                new = [pa.array(np.round(x, 9)) for x in (p, q, score)] + [pa.array(score >= threshold)]
+                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(lot.columns, arrow, strict=False)), *new], schema=arrow)
 
     return plain.mapInArrow(run, schema)
