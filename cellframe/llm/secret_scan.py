@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import map_batches, row_key, written
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -49,11 +49,6 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
 SPAN = "array<struct<start:int,kind:int,stop:int,hash:bigint>>"
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """A hash that tells rows apart; rows that are equal in id and text share it."""
-    return F.xxhash64(id_col, text_col)
-
-
 def scanned(docs: DataFrame, repository: Column, owner: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(key, id, repo, owner, found)`` for each row: its candidates, with a hash of each credential, no text.
 
@@ -68,7 +63,7 @@ def scanned(docs: DataFrame, repository: Column, owner: Column, id_col: str = "d
             found.append([{"start": s, "kind": k, "stop": e, "hash": int.from_bytes(hashlib.sha256(v.encode("utf-8")).digest()[:8], "little", signed=True)} for s, k, e, v in got])
         return {name: batch[name] for name in ("key", "id", "repo", "owner")} | {"found": found}
 
-    return written(map_batches(rows, run, f"key long, id {docs.schema[id_col].dataType.simpleString()}, repo string, owner string, found {SPAN}"))
+    return written(map_batches(rows, run, f"key binary, id {docs.schema[id_col].dataType.simpleString()}, repo string, owner string, found {SPAN}"))
 
 
 def ownership(scan: DataFrame) -> DataFrame:
@@ -122,17 +117,18 @@ def secret_report(docs: DataFrame, repository: Column, owner: Column, common_own
 def redacted(docs: DataFrame, repository: Column, owner: Column, common_owners: int = 3, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with each live-looking credential's span replaced by a mark; copied examples stay.
 
-    All rows and columns are kept; texts without such spans, null ones too, come
-    out as they are. Overlapping spans are joined before they are replaced.
+    All rows and columns are kept, whatever their names; texts without such
+    spans, null ones too, come out as they are. Overlapping spans are joined
+    before they are replaced. Rows that are equal in id and text stay as often as they came.
     """
     spans = secret_spans(docs, repository, owner, common_owners, id_col, text_col)
     live = F.filter("spans", lambda s: s["live"])
-    hits = spans.where(F.size(live) > 0).select(F.col("key").alias("_key"), F.transform(live, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))).alias("_cut")).dropDuplicates(["_key"])
-    joined = docs.withColumn("_key", row_key(id_col, text_col)).join(hits, "_key", "left")
-    text = F.col(text_col)
+    hits = spans.where(F.size(live) > 0).select("key", F.transform(live, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))).alias("cut")).dropDuplicates(["key"])
+    joined = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key")).join(hits, "key", "left")
+    text = F.col("row")[text_col]
     # spans are in order of start: copy what lies between them
     step = F.aggregate(
-        "_cut",
+        "cut",
         F.struct(F.lit("").alias("done"), F.lit(0).alias("at")),
         lambda acc, s: F.struct(
             F.when(s["start"] >= acc["at"], F.concat(acc["done"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["done"]).alias("done"),
@@ -140,4 +136,5 @@ def redacted(docs: DataFrame, repository: Column, owner: Column, common_owners:
         ),
         lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    return joined.withColumn(text_col, F.when(F.col("_cut").isNotNull(), step).otherwise(text)).select(*docs.columns)
+    clean = F.when(F.col("cut").isNotNull(), step).otherwise(text)
+    return joined.select(*[clean.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

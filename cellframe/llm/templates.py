@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import map_batches, row_key, written
 
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:\n]")
 UNITS = frozenset(
@@ -185,8 +185,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shar
             found.append(rows)
         return {"key": batch["key"], "id": batch["id"], "found": found}
 
-    rows = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    scanned = written(map_batches(rows, scan, f"key long, id {docs.schema[id_col].dataType.simpleString()}, found array<struct<hash:bigint,at:int,slots:array<string>>>"))
+    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    scanned = written(map_batches(rows, scan, f"key binary, id {docs.schema[id_col].dataType.simpleString()}, found array<struct<hash:bigint,at:int,slots:array<string>>>"))
     each = scanned.where(F.size("found") > 0).select("key", F.inline("found")).withColumnRenamed("at", "place").withColumnRenamed("slots", "given")
     met = each.join(windows.select("item", "width", "n_windows", "hash", "at", "slots"), "hash").where(F.size("slots") == F.size("given"))
     equal = F.col("slots") == F.col("given")
@@ -199,7 +199,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shar
         changed = [any(p["a"] != p["b"] for w in windows for p in w["pairs"]) for windows in kept]
         return {name: batch[name] for name in ("key", "item", "n_windows")} | {"at": [[w["at"] for w in windows] for windows in kept], "changed": changed}
 
-    aligned = map_batches(aligned, judged, "key long, item string, n_windows int, at array<int>, changed boolean").where(F.size("at") > 0)
+    aligned = map_batches(aligned, judged, "key binary, item string, n_windows int, at array<int>, changed boolean").where(F.size("at") > 0)
     by_item = aligned.groupBy("key", "item").agg(F.max("n_windows").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("found"), F.max("changed").alias("changed"))
     by_item = by_item.where((F.col("found") >= share * F.col("n")) | (F.col("found") >= run_windows))
     leaks = by_item.groupBy("key").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("items"), F.round(F.max(F.least(F.lit(1.0), F.col("found") / F.col("n"))), 6).alias("coverage"), F.max("changed").alias("reparameterised"))
