@@ -63,9 +63,43 @@ def test_token_files(spark, tmp_path):
     assert token_files.token_file_round_trip(table(spark, []), path, 2).count() == 0
 
 
+def test_token_shards(spark):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 1, 1, 1, 2, 3, 9]), rng.randrange(-50, 50)) for _ in range(400)]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    lows = [order[k] for k in (50, 120, 180, 240, 300, 360)]
+    parts = token_files.Shards(lows).of(pa.array([r[0] for r in rows], pa.int64()), np.array([r[1] for r in rows]))
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert parts.tolist() == [sum(key(low) <= key(r) for low in lows) for r in rows]
+    docs = spark.createDataFrame([(7, f"text {i}") for i in range(300)] + [(i, "x") for i in range(50)], "doc_id long, text string")
+    manifest = token_files.write_token_files(docs, f"{token_files.shared_dir(spark)}/x", P.path("word_bpe_49k.json"), 2, partitions=5)
+    assert manifest.count() > 2 and manifest.agg(F.sum("n_docs")).first()[0] == 350
+
+
+def test_token_ids_against_the_library():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t, own = Tokenizer.from_file(path), token_files.TextIds(path, "<u2")
+    assert own.by_word and not token_files.TextIds(P.path("byte_bpe_50k.json"), "<u2").by_word
+    rng = random.Random(3)
+    signs = [*"abzABZ019 \t\n'.,!?*&<|>-_éßüÉİıΣσ日\U0001f389ªµ×÷jJKk", "\u0301", "\u030c", "\u00a0", "\u2003", "\u200b", "\x85", "\x1c", "\x0b", "\r", "\ufb01", "\u212a", "<|endoftext|>", "<|startoftext|>", "'s", "'LL", " 'd"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(20000)] + [None, "", " ", "word " * 5000]
+    got = own.encoded(pa.array(texts, pa.string()), np.array([2], "<u2").tobytes()).to_pylist()
+    want = [e.ids + [2] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == want
+    whole = token_files.TextIds(P.path("byte_bpe_50k.json"), "<u2")
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = whole.encoded(pa.array(texts[:500]), np.array([2], "<u2").tobytes()).to_pylist()
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids + [2] for x in texts[:500]]
+
+
 def test_telephony(spark):
     docs = table(spark, ODD).select("doc_id", F.encode("text", "UTF-8").alias("bytes"))
-    got = {(r.n_bytes, r.payload_sha256) for r in telephony.media_digests(telephony.stored(docs)).collect()}
+    got = {(r.n_bytes, r.payload_sha256) for r in telephony.media_digests(telephony.pcm_columns(telephony.stored(docs))).collect()}
     want = set()
     for t in ODD:
         b = (t or "").encode()
@@ -73,7 +107,32 @@ def test_telephony(spark):
         want.add((len(b), hashlib.sha256(p).hexdigest()))
     assert got == want
     assert telephony.MULAW[0] == -32124 and telephony.MULAW[255] == 0 and telephony.ALAW[0xD5] == 8 and telephony.ALAW[0x55] == -8
-    assert telephony.pcm_columns(telephony.stored(docs, "adpcm")).count() == len(ODD)
+    sounds = {r.payload_sha256: r for r in telephony.pcm_columns(telephony.stored(docs, "adpcm")).collect()}
+    assert len(sounds) == len({digest for _, digest in want}) and {r.rate for r in sounds.values()} == {16000}
+    one = np.frombuffer(sounds[hashlib.sha256(bytes(64)).hexdigest()].pcm, "<i2")
+    assert len(one) == 2 * 121 and one[0] == 0
+    assert telephony.media_digests(telephony.pcm_columns(telephony.stored(docs.limit(0)))).count() == 0
+
+
+def test_resampled():
+    rng = np.random.default_rng(5)
+    sizes = [64, 5, 1, 130]
+    pcm, ends = rng.integers(-32768, 32768, sum(sizes)).astype(np.int16), np.cumsum(sizes)
+    for rate in (16000, 4000, 12000, 6000, 8000):
+        out, stops = telephony.resampled(pcm, ends, rate)
+        up, down = (rate // 2000, 4)
+        want = []
+        for lo, hi in zip(np.append(0, ends[:-1]), ends):
+            x = pcm[lo:hi].astype(int).tolist()
+            for k in range(len(x) * up // down):
+                i = k * down // up
+                if up >= down:
+                    part = k * down % up
+                    want.append((x[i] * (up - part) + x[min(i + 1, len(x) - 1)] * part) // up)
+                else:
+                    j = max(i + 1, (k + 1) * down // up)
+                    want.append(sum(x[i:j]) // (j - i))
+        assert out.tolist() == want and stops[-1] == len(want)
 
 
 def test_common_lines():
@@ -133,6 +192,23 @@ def test_license_scan(spark):
     assert len(license_scan.rules()) > 300
 
 
+def test_license_names_and_many_matches(spark):
+    texts = ["SPDX-License-Identifier: MIT", "// SPDX-License-Identifier: GPL-2.0-or-later", "under BSD-3-Clause here", "GPLv3+", "Licensed under CC BY-NC 4.0.", "all rights reserved " * 20000, "Some prose about trains and a license plate"]
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, slot int")
+    got = {r.doc_id: r for r in license_scan.license_scan(docs).collect()}
+    assert [got[k].labels for k in (0, 1, 2, 3, 6)] == ["mit", "gpl-2.0-or-later", "bsd-3-clause", "gpl-3.0", ""]
+    assert got[4].labels == "cc-by,cc-by-nc-4.0" and got[4].base_labels == "cc-by" and got[4].first_word == 2
+    assert (got[5].n_base, got[5].first_word, got[5].last_word, got[5].n_words) == (20000, 0, 59997, 60000)
+    assert license_scan.license_scan(docs.limit(0)).count() == 0
+
+
+def test_license_keywords_are_in_every_match():
+    # a rule's shortest match leaves out all that may be absent
+    for _, _, keyword, pattern, _ in license_scan.rules():
+        least = re.sub(r"\(\?: (?:[^()]|\(\?:[^()]*\))* \)\?", "", pattern)
+        assert license_scan.unit(keyword) in least, (keyword, pattern)
+
+
 def test_secret_candidates_against_ungated_patterns():
     texts = ["ap\u0131key=abcdefghijklmnop", "Pa\u017f\u017fwd: 'abcdefghijklmnop'", "TO\u212aEN=abcdefghijklmnop", "AP\u0130_KEY=abcdefghijklmnop", "BEARER " + "a" * 25, "ghp_" + "A1" * 20, "AKIA" + "B" * 16]
     texts += ["-----BEGIN RSA PRIVATE KEY-----\nabc", "pg://u:secretpw@h", "deadbeef" * 2 + "g" + "a" * 15, "token=short", "AIza" + "b" * 35, "eyJ" + "a" * 9 + ".bbbbbbbbb.ccccccccc", "xoxb-" + "1" * 12, ""]
