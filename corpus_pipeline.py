@@ -6,41 +6,48 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import piece_codec, quality, secret_scan, setsketch, templates
-from cellframe.llm.common import shared_dir
+from cellframe.llm import piece_codec, quality, secret_scan, templates
+from cellframe.llm.common import row_key, shared_dir, written
+from cellframe.llm.setsketch import clusters
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier keeps."""
+    """Documents that the co-trained classifier keeps. Null and empty texts are scored as any other; without labels all stay."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.scored(docs, model).where("keep").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest id. Rows with a null id stay."""
-    found = setsketch.near_duplicates(docs, width=5, percent=80)
-    copies = found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti")
-    once = found.where("doc_id IS NOT NULL").agg(F.count("*") == F.count_distinct("doc_id")).first()[0]
-    if not once:  # repeated rows of one id are copies as well
-        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
-    return kept.select(*docs.columns)
+    """One document of each component stays: the one with the smallest id, and of equal ids the text with the smallest hash.
+
+    Rows with a null id or without words are in no component and stay. Of rows
+    that are equal in id and text one stays; only their texts are shuffled.
+    """
+    found = written(clusters(docs, width=5, percent=80))
+    key = [F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("tie")]
+    rows = docs.select(F.struct("*").alias("row"), *key)
+    rest = rows.join(found.where("NOT best").select("id", "tie").distinct(), ["id", "tie"], "left_anti")
+    again = written(found.where("best AND id IS NOT NULL AND n_shingles > 0").groupBy("id", "tie").count().where("count > 1").select("id", "tie"))
+    if again.limit(1).count():
+        one = rest.join(again, ["id", "tie"]).groupBy("id", "tie").agg(F.first("row").alias("row")).select("row", "id", "tie")
+        rest = rest.join(again, ["id", "tie"], "left_anti").select("row", "id", "tie").unionByName(one)
+    return rest.select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none; with an empty benchmark all stay."""
     found = templates.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     leaks = found.where("contaminated").select("key").distinct()
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(leaks, F.col("_key") == F.col("key"), "left_anti").select(*docs.columns)
+    return docs.select(F.struct("*").alias("row"), row_key("doc_id", "text").alias("key")).join(leaks, "key", "left_anti").select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, live-looking credentials replaced."""
+    """All documents, live-looking credentials replaced. Null texts stay null; a null source counts as one owner."""
     return secret_scan.redacted(docs, F.concat_ws("/", "source", "lang"), F.col("source"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of each document's piece ids and of the text decoded from them."""
+    """Digests of each document's piece ids and of the text decoded from them; a null text counts as empty."""
     return piece_codec.piece_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
