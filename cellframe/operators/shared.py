@@ -9,19 +9,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read again: each round's lineage ends there.
-
-    The folder is ``spark.checkpoint.dir``; only a session on one machine may do without.
-    """
-    spark: SparkSession = df.sparkSession
+def new_path(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; only a session on one machine may do without that setting."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    path = f"{sc.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{sc.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read again: each round's lineage ends there."""
+    spark, path = df.sparkSession, new_path(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..functions import sampling as S
-from ..operators import curves, features, grid, scenes, select
+from ..operators import curves, features, grid, models, scenes, select
+from ..operators.shared import new_path
+from ..sources import tables
 from . import bridge as B
 from . import jobs
 from .config import job_settings
@@ -201,3 +203,103 @@ def pci_of_counts(spark, sf_dir):
 @query(f"WITH {C} SELECT cid, round(a * power(greatest(s - 0.3e0, 0e0), 1.167e0), 6) AS g FROM cells")
 def driving_index(spark, sf_dir):
     return rounded(B.cells(spark, sf_dir).select("cid", E.driving_index("a", F.col("s") - 0.3).alias("g")), "g")
+
+
+@query(f"WITH {C} SELECT r, c, round(g::float::double, 4) AS g FROM cells")
+def band_round_trip(spark, sf_dir):
+    """A band written as tiles of 32-bit floats, once, and read back; missing cells stay missing."""
+    cells, path = B.cells(spark, sf_dir), new_path(spark)
+    tables.write_band(cells, path, "g")
+    return rounded(tables.read_band(spark, path, "g"), "g", digits=4)
+
+
+@query(f"WITH {C} SELECT r, c, (dz < -0.277e0)::int::smallint AS m FROM cells WHERE g IS NOT NULL UNION ALL SELECT r, c, NULL FROM cells WHERE g IS NULL")
+def mask_round_trip(spark, sf_dir):
+    """A mask of three values written and read back through a dataset that is built once."""
+    path = new_path(spark)
+    mask = B.cells(spark, sf_dir).select("r", "c", F.when(F.col("g").isNotNull(), lost()).alias("m"))
+    tables.write_mask(mask, path, "m")
+    return tables.reused(spark, path, lambda: mask)
+
+
+@query("SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0")
+def valid_bands(spark, sf_dir):
+    return tables.all_bands_valid(B.table(spark, sf_dir, "embeddings"), "embedding").select("vec_id")
+
+
+@query(f"WITH {C} SELECT cid AS i, round(g, 6) AS \"C\" FROM cells WHERE g > 0")
+def samples_csv(spark, sf_dir):
+    """Samples written as CSV and read back without missing, infinite and non-positive ones."""
+    path = new_path(spark)
+    tables.write_rows(B.cells(spark, sf_dir).select(F.col("cid").alias("i"), F.col("g").alias("C")), path)
+    return rounded(tables.read_samples(spark, path).select(F.col("i").cast("long").alias("i"), "C"), "C")
+
+
+@query(f"WITH RECURSIVE {C}, mask AS (SELECT cid, r, c FROM cells WHERE g >= 55), {REACH} SELECT component, count(*) * 1e0 AS area, 'a' AS tag FROM named GROUP BY component HAVING count(*) >= 3 UNION ALL SELECT component, count(*) * 1e0, NULL FROM named GROUP BY component HAVING count(*) = 2")
+def layers_joined(spark, sf_dir):
+    """Polygons written as two GeoJSON layers, read back as one, and measured."""
+    parts = grid.components(B.cells(spark, sf_dir).where("g >= 55").select("cid", "r", "c"))
+    shapes = grid.outlines(grid.outline_points(parts)).withColumn("area", E.polygon_area("rings"))
+    one, other = new_path(spark), new_path(spark)
+    tables.write_geojson(shapes.where("area >= 3").withColumn("tag", F.lit("a")), one)
+    tables.write_geojson(shapes.where("area = 2"), other)
+    paths = []
+    for path, schema in ((one, "component long, tag string"), (other, "component long")):
+        paths.append(new_path(spark))
+        tables.write_layer(tables.read_geojson(spark, path, schema, lines=True), paths[-1])
+    return tables.read_layers(spark, paths).select("component", E.polygon_area("rings").alias("area"), "tag")
+
+
+def training_cells(spark, sf_dir):
+    cells = B.cells(spark, sf_dir).withColumn("da", E.drainage_area("a", 10.0)).withColumn("log_da", E.safe_log10("da"))
+    return features.assembled(cells, {}, ["s", "log_da", "z"], features.target_change(cutoff=1e9))
+
+
+@query()
+def logistic_coefficients(spark, sf_dir):
+    """Coefficients of a balanced logistic model of eroded cells, fitted on a stratified 70 percent. Tested against a Newton solve."""
+    rows = S.stratified_split(training_cells(spark, sf_dir), "y", "cid", 0.7, 42)
+    return models.coefficients(rows, models.logistic(rows.where("is_train"), "y", ["s", "log_da", "z"]))
+
+
+@query()
+def logistic_scores(spark, sf_dir):
+    """Held-out cells with their probability and class."""
+    rows = S.stratified_split(training_cells(spark, sf_dir), "y", "cid", 0.7, 42)
+    return models.held_out(models.scored(rows, models.logistic(rows.where("is_train"), "y", ["s", "log_da", "z"])), "y")
+
+
+@query()
+def forest_importance(spark, sf_dir):
+    rows, names = training_cells(spark, sf_dir), ["s", "log_da", "z"]
+    return models.importances(rows, models.forest(rows, "y", names, trees=20, depth=6), names)
+
+
+@query()
+def embedding_scores(spark, sf_dir):
+    """A regression of the driving index on the 64 bands of each cell."""
+    bands = B.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    cells = B.cells(spark, sf_dir).withColumn("vec_id", F.col("cid") % 500).join(bands, "vec_id").select("cid", "g", "embedding")
+    return features.embedding_regression(S.random_split(cells, "cid", 0.8, 42), "embedding", "g")[1].select("cid", "g", "is_train", F.round("said", 6).alias("said"))
+
+
+@query()
+def graph_scores(spark, sf_dir):
+    """A logistic model of slope and area and of their means over two rings of the flow graph."""
+    rows = training_cells(spark, sf_dir)
+    flow = grid.receivers(B.cells(spark, sf_dir)).select(F.col("cid").alias("src"), F.col("receiver").alias("dst"))
+    nodes = rows.select(F.col("cid").alias("id"), "s", "log_da", "y")
+    return features.graph_classifier(nodes, flow, "y", ["s", "log_da"])[1].select("id", "y", F.round("prob_source", 9).alias("prob_source"), "pred_source")
+
+
+@query()
+def weibull_of_index(spark, sf_dir):
+    shape, scale = curves.weibull_fit(B.cells(spark, sf_dir), "g")
+    return spark.createDataFrame([(round(shape, 6), round(scale, 6))], "shape double, scale double")
+
+
+@query()
+def terrain_pci_job(spark, sf_dir):
+    """The whole job from elevation to scored cells: sinks, flow, slope, area, index, probability."""
+    cells = B.cells(spark, sf_dir).select("cid", "r", "c", "z")
+    return rounded(jobs.pci_job(cells, S.c_samples(spark), 10.0)[0].select("cid", "filled", "a", "s", "g", "pci"), "filled", "s", "g", "pci")

@@ -176,8 +176,8 @@ def mask_components(spark, sf_dir):
     return grid.polygons(parts, 100.0).select("component", "n_cells", "area_m2")
 
 
-@query(f"WITH RECURSIVE {C}, {SA}, {SC}, mask AS (SELECT cid, r, c, pci FROM scored WHERE pci >= 0.7e0), edge AS (SELECT x.cid, y.cid AS nid FROM mask x JOIN mask y ON abs(x.r - y.r) + abs(x.c - y.c) = 1 AND y.r BETWEEN x.r - 1 AND x.r + 1), "
-       "spread AS (SELECT 0 AS i, cid, cid AS component FROM mask UNION ALL SELECT s.i + 1, s.cid, least(s.component, n.low) FROM spread s JOIN (SELECT e.cid, min(t.component) AS low FROM (SELECT cid, nid FROM edge UNION ALL SELECT cid, cid FROM mask) e JOIN spread t ON t.cid = e.nid GROUP BY e.cid) n ON n.cid = s.cid WHERE s.i < 400), "
+@query(f"WITH RECURSIVE {C}, {SA}, {SC}, mask AS MATERIALIZED (SELECT cid, r, c, pci FROM scored WHERE pci >= 0.7e0), edge AS (SELECT x.cid, y.cid AS nid FROM mask x JOIN mask y ON abs(x.r - y.r) + abs(x.c - y.c) = 1 AND y.r BETWEEN x.r - 1 AND x.r + 1), "
+       "step AS MATERIALIZED (SELECT cid, nid FROM edge UNION ALL SELECT cid, cid FROM mask), spread AS (SELECT 0 AS i, cid, cid AS component FROM mask UNION ALL SELECT s.i + 1, e.cid, min(s.component) FROM spread s JOIN step e ON e.nid = s.cid WHERE s.i < 400 GROUP BY s.i, e.cid), "
        "part AS (SELECT component, count(*) AS n_cells, avg(pci) AS m, min(pci) AS lo, max(pci) AS hi FROM (SELECT cid, component FROM spread WHERE i = 400) JOIN mask USING (cid) GROUP BY component HAVING count(*) >= 3) "
        "SELECT component, n_cells, round(m, 6) AS pci_mean, round(lo, 6) AS pci_min, round(hi, 6) AS pci_max, n_cells * 100e0 AS area_m2, n_cells * 100e0 / 1e6 AS area_km2, row_number() OVER (ORDER BY component) AS source_id FROM part")
 def pci_polygons(spark, sf_dir):

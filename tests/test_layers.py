@@ -109,3 +109,36 @@ def test_small_columns(spark):
     assert (one.lai, one.gone, one.kept) == (3.5, None, 0.5)
     rows = spark.createDataFrame([(1, 1.0), (2, 5.0), (3, 5.0)], "component long, area_m2 double")
     assert [r.component for r in scenes.largest(rows, 2).collect()] == [2, 3]
+
+
+def test_bands_templates_and_graphs(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf")])], "cid long, e array<double>")
+    assert [r.cid for r in tables.all_bands_valid(rows, "e").collect()] == [1]
+    left = spark.createDataFrame([(0, 0, 0, 1.0), (0, 0, 1, 2.0)], "grid_id long, r long, c long, a double")
+    right = left.withColumnRenamed("a", "b")
+    same = spark.createDataFrame([(0, "a", 2, 10.0), (0, "b", 2, 10.0)], "grid_id long, band string, width int, dx double")
+    assert scenes.aligned(left, right, same).count() == 2
+    with pytest.raises(ValueError):
+        scenes.aligned(left, right, same.withColumn("dx", F.when(F.col("band") == "a", 1.0).otherwise(2.0)))
+    template = spark.createDataFrame([(1, 5.0), (2, None)], "cid long, v double")
+    assert [r.cid for r in scenes.same_template(rows, template, "v").collect()] == [1]
+    assert grid.undirected(spark.createDataFrame([(1, 2), (2, 1)], "src long, dst long")).count() == 4
+    with pytest.raises(ValueError):
+        scenes.composite(spark.createDataFrame([], "cid long, ts timestamp_ntz, value double"), "2024-01-01", "2024-02-01", "mean", on_empty="error")
+
+
+def test_holes_are_filled(spark):
+    mask = [[0, 1, 1, 1, 0], [0, 1, 0, 1, 0], [0, 1, 1, 1, 0], [0, 0, 0, 1, 0], [0, 0, 1, 1, 0]]
+    got = {(r.r, r.c) for r in grid.without_holes(cells_of(spark, mask), 5, 5).collect()}
+    assert got == {(r, c) for r in range(5) for c in range(5) if mask[r][c]} | {(1, 2)}
+
+
+def test_scaling_and_projection(spark):
+    rows = spark.createDataFrame([(1.0, 7.0), (None, 7.0), (3.0, 7.0), (8.0, None)], "a double, b double")
+    got = [(r.a, r.b) for r in curves.imputed_and_scaled(rows, ["a", "b"]).orderBy("a").collect()]
+    std = ((3**2 + 1 + 4**2) / 3) ** 0.5
+    assert got[0][0] == pytest.approx(-2 / std) and got[1][0] == 0.0 and {b for _, b in got} == {0.0}
+    one = spark.range(1).select(*[c.alias(n) for n, c in zip("zen", E.utm_forward(F.lit(3.0), F.lit(45.0)))]).first()
+    assert (one.z, one.e) == (31, pytest.approx(500000.0)) and one.n == pytest.approx(4982950.4, abs=0.1)
+    east = spark.range(1).select(*[c.alias(n) for n, c in zip("zen", E.utm_forward(F.lit(-119.6), F.lit(34.4)))]).first()
+    assert east.z == 11 and 250000 < east.e < 270000 and 3800000 < east.n < 3820000
