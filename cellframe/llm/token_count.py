@@ -25,12 +25,23 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+def check(spec: dict) -> None:
+    """Raise unless a vocabulary file is a byte-level one whose pieces ``PIECES`` finds and whose merges are all that counts."""
+    model, first = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    level = first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True)
+    alone = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] and spec.get("normalizer") for t in spec["added_tokens"])
+    if not (model.get("type", "BPE") == "BPE" and plain and level and alone and spec.get("normalizer") is None):
+        raise ValueError("not a byte-level vocabulary without normalisation, prefixes and suffixes")
+
+
 class PieceCounts(dict):
     """Tokens of a piece, by piece; computed when first asked for."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check(spec)
         names = {symbol: i for i, symbol in enumerate(byte_symbols())}
         #: Rank of a pair by its right symbol, by its left one; what the pair of each rank becomes.
         self.ranks: list[dict[int, int]] = [{} for _ in names]
