@@ -178,10 +178,46 @@ def test_main_text_of_copies_frames_and_classes(spark):
     got = {r.page_id: r for r in html_diff.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert [got[k].text for k in (1, 2, 3)] == ["Same page", "Same page", "Other page"]
     assert [got[k].text for k in (4, 5)] == ["One body that is long enough to be a text", "Another text, unlike the first in all its words"]
+    assert got[4].n_dropped == 1 and got[8].n_dropped == 0
     assert got[6].text.startswith("First\nA story") and got[7].text.startswith("Second\nA story")
     assert got[8].text == "kept"
 
 
+def test_pages_against_plain_differencing(spark):
+    """Sites without an article: what is left is what a quadratic alignment with the nearest path leaves."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(200)]
+    line = lambda: " ".join(rng.choice(words) for _ in range(8))
+    pages, bodies = [], {}
+    for host in range(3):
+        frame = [line() for _ in range(6)]
+        for page in range(12):
+            body = [line() for _ in range(rng.randrange(1, 9))]
+            cut = rng.randrange(1, 5)
+            lines = frame[:cut] + body + frame[cut:]
+            bodies[len(pages)] = (host, f"/p/{page:02d}", lines, body)
+            pages.append((len(pages), f"http://h{host}.org/p/{page:02d}", "<body>" + "".join(f"<div>{x}</div>" for x in lines) + "</body>"))
+    got = {r.page_id: r for r in html_diff.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for k, (_, _, lines, body) in bodies.items():
+        assert got[k].text.split("\n") == body and got[k].n_dropped == len(lines) - len(body)
+
+
+def test_pages_keep_text_beside_teasers_and_odd_classes(spark):
+    long = "<p>" + "a body of many words that is the text of this page " * 3 + "</p>"
+    pages = [
+        (1, "http://a.org/1", f"<body class='single-post comments-open'>{long}</body>"),
+        (2, "http://b.org/1", f"<body class='has-sidebar'><main><section id='notice-of-appeal'>{long}</section></main></body>"),
+        (3, "http://c.org/1", f"<article><div class='social-history'>{long}</div></article>"),
+        (4, "http://d.org/1", f"<article><p>Teaser</p></article><div>{long}</div>"),
+    ]
+    table = spark.createDataFrame([(*p, 0) for p in pages], "page_id long, url string, html string, host int")
+    got = {r.page_id: r.text for r in html_diff.main_text(table).collect()}
+    assert all("a body of many words" in t for t in got.values()) and len(got) == 4
+    assert html_diff.main_text(table.limit(0)).count() == 0
+    big = spark.createDataFrame([(1, "u", "<p>word</p>" * 50000), (1, "u", "<p>word</p>" * 50000)], "page_id long, url string, html string")
+    assert [r.n_lines for r in html_diff.main_text(big).collect()] == [50000, 50000]
+
+
 def test_license_scan(spark):
     texts = ["Licensed under the Apache License, Version 2.0. ALL rights  reserved", None, "", "cc by cc by", "the general public license", "mit und so", "cc by nc 4.0"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
