@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html
 import re
-import zlib
 
 import numpy as np
 import xxhash
@@ -115,13 +114,44 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return kept[::-1]
 
 
-def hashes_of(found: list[tuple[str, int]]) -> list[int]:
-    return [zlib.crc32(line.encode("utf-8")) - (1 << 31) for line, _ in found]
+def main_places(found: list[tuple[str, int]]) -> list[bool]:
+    """Which lines may be main text: those of an article or main element, unless lines outside of any hold more; then both."""
+    inside, outside = (sum(len(line) for line, place in found if place == p) for p in (2, 1))
+    least = 2 if inside and inside >= outside else 1
+    return [place >= least for _, place in found]
 
 
-def same_of(lines: list[int]) -> int:
-    """A hash that pages with equal lines share."""
-    return xxhash.xxh3_64_intdigest(np.array(lines, "<i4").tobytes()) - (1 << 63)
+def outline(found: list[tuple[str, int]]) -> tuple[list[int], list[int], bool]:
+    """Of each line a 64-bit hash, and its length if it may be main text, else 0; and whether main text is that of an article."""
+    mine = main_places(found)
+    hashes = [xxhash.xxh3_64_intdigest(line.encode("utf-8")) - (1 << 63) for line, _ in found]
+    return hashes, [len(line) if m else 0 for (line, _), m in zip(found, mine, strict=True)], all(place == 2 for (_, place), m in zip(found, mine, strict=True) if m)
+
+
+def same_of(hashes: list[int], sizes: list[int], article: bool) -> bytes:
+    """128 bits that pages with equal lines and places share."""
+    return xxhash.xxh3_128_digest(np.array([*hashes, *sizes, article], "<i8").tobytes())
+
+
+def frame_lines(sizes: list[int], article: bool, shared: list[int]) -> list[int]:
+    """Which of the shared lines are the site's frame, and go.
+
+    Without an article element all of them do, unless nothing were left. Inside
+    one, frame lines stand at its start or end: runs of shared lines from either
+    end go, unless shared lines make up half of the article's characters or
+    more, since a reprint is no frame.
+    """
+    mine = [i for i, size in enumerate(sizes) if size]
+    met = set(shared).intersection(mine)
+    if len(met) == len(mine):
+        return []
+    if not article:
+        return sorted(met)
+    if 2 * sum(sizes[i] for i in met) >= sum(sizes):
+        return []
+    head = next(k for k, i in enumerate(mine) if i not in met)
+    tail = next(k for k, i in enumerate(reversed(mine)) if i not in met)
+    return mine[:head] + mine[len(mine) - tail :]
 
 
 def nearest(path: str, before: str | None, after: str | None) -> int:
@@ -153,17 +183,17 @@ def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(id, url, text, n_chars, n_lines, n_shared)`` of each page.
+    """``(id, url, text, n_chars, n_lines, n_shared, n_dropped)`` of each page.
 
     Pages of a host with equal lines count as one page, at the first of their
     paths; these are put in order of their URL paths. Each one is compared with
     that neighbour whose path begins most like its own, lines aligned by longest
     common subsequence. Lines that both share are the site's frame and are
-    deleted, as are elements for menus, footers, sidebars, adverts, forms and
-    reader comments. An article or main element, where a page has one, holds its
-    main text; shared lines stay there if they make up half of its characters or
-    more, since a reprint is no frame. ``n_shared`` counts the page's lines that
-    its neighbour has too, wherever they stand.
+    deleted (``frame_lines``), as are elements for menus, footers, sidebars,
+    adverts, forms and reader comments. An article or main element holds the main
+    text, unless more text stands outside of it. ``n_shared`` counts the page's
+    lines that its neighbour has too, wherever they stand, ``n_dropped`` those
+    of its main text that were deleted for it.
 
     A null or empty page gives an empty text; a null URL counts as empty, so
     those pages form a host of their own; equal pages give equal rows, one for
@@ -180,41 +210,37 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"), path.alias("path"))
 
     def hashed(batch):
-        lines = [hashes_of(blocks(page or "")) for page in batch["html"]]
-        return {"host": batch["host"], "path": batch["path"], "same": [same_of(x) for x in lines], "lines": lines}
+        found = [outline(blocks(page or "")) for page in batch["html"]]
+        return {"host": batch["host"], "path": batch["path"], "same": [same_of(*x) for x in found], "lines": [x[0] for x in found], "sizes": [x[1] for x in found], "article": [x[2] for x in found]}
 
-    light = map_batches(base.select("host", "path", "html"), hashed, "host string, path string, same long, lines array<int>")
-    once = light.groupBy("host", "same").agg(F.min("path").alias("path"), F.first("lines").alias("lines"))
-    order = ranked(once, ["host", "path", "same"])
+    light = map_batches(base.select("host", "path", "html"), hashed, "host string, path string, same binary, lines array<long>, sizes array<int>, article boolean")
+    once = written(light.groupBy("host", "same").agg(F.min("path").alias("path"), *[F.first(c).alias(c) for c in ("lines", "sizes", "article")]))
+    order = ranked(once.select("host", "path", "same", "lines"), ["host", "path", "same"])
     near = [order.select((F.col("rank") + step).alias("rank"), F.col("host").alias(f"host{name}"), F.col("path").alias(f"path{name}"), F.col("lines").alias(f"lines{name}")) for name, step in (("_a", 1), ("_b", -1))]
-    beside = order.join(near[0], "rank", "left").join(near[1], "rank", "left")
+    beside = order.join(near[0], "rank", "left").join(near[1], "rank", "left").drop("rank").join(once.select("host", "same", "sizes", "article"), ["host", "same"])
 
     def compared(batch):
-        shared = []
-        for host, path, lines, ha, pa_, la, hb, pb, lb in zip(*(batch[c] for c in ("host", "path", "lines", "host_a", "path_a", "lines_a", "host_b", "path_b", "lines_b")), strict=True):
+        shared, drop = [], []
+        for host, path, lines, ha, pa_, la, hb, pb, lb, sizes, article in zip(*(batch[c] for c in ("host", "path", "lines", "host_a", "path_a", "lines_a", "host_b", "path_b", "lines_b", "sizes", "article")), strict=True):
             way = nearest(path, pa_ if ha == host else None, pb if hb == host else None)
             other = la if way < 0 else lb if way > 0 else None
             shared.append(common_lines(lines, other) if other else [])
-        return {"host": batch["host"], "same": batch["same"], "shared": shared}
+            drop.append(frame_lines(sizes, article, shared[-1]))
+        return {"host": batch["host"], "same": batch["same"], "n_shared": list(map(len, shared)), "drop": drop}
 
-    found = map_batches(beside.drop("rank"), compared, "host string, same long, shared array<int>")
+    found = written(map_batches(beside, compared, "host string, same binary, n_shared long, drop array<int>"))
 
     def read(batch):
-        out = {"id": batch["id"], "url": batch["url"], "host": batch["host"], "same": [], "lines": [], "places": []}
+        out = {"id": batch["id"], "url": batch["url"], "host": batch["host"], "same": [], "lines": []}
         for page in batch["html"]:
             got = blocks(page or "")
-            whole = any(place == 2 for _, place in got)
-            out["same"].append(same_of(hashes_of(got)))
-            out["lines"].append([line if place == 2 or place == 1 and not whole else None for line, place in got])
-            out["places"].append(2 if whole else 1)
+            out["same"].append(same_of(*outline(got)))
+            out["lines"].append([line if mine else None for (line, _), mine in zip(got, main_places(got), strict=True)])
         return out
 
-    texts = map_batches(base.select("id", "url", "html", "host"), read, f"id {pages.schema[id_col].dataType.simpleString()}, url string, host string, same long, lines array<string>, places int")
-    both = texts.join(found, ["host", "same"], "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<int>")))
-    own = F.aggregate("lines", F.lit(0), lambda n, line: n + F.coalesce(F.length(line), F.lit(0)))
-    met = F.aggregate("shared", F.lit(0), lambda n, i: n + F.coalesce(F.length(F.get("lines", i)), F.lit(0)))
-    both = both.withColumn("reprint", (F.col("places") == 2) & (2 * met >= own))
-    kept = F.filter("lines", lambda line, i: line.isNotNull() & (F.col("reprint") | ~F.array_contains("shared", i)))
-    both = both.withColumn("kept", kept)
+    texts = map_batches(base.select("id", "url", "html", "host"), read, f"id {pages.schema[id_col].dataType.simpleString()}, url string, host string, same binary, lines array<string>")
+    both = texts.join(found, ["host", "same"], "left")
+    kept = F.filter("lines", lambda line, i: line.isNotNull() & ~F.array_contains("drop", i))
     text = F.array_join("kept", "\n")
-    return both.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.size("kept").cast("long").alias("n_lines"), F.size("shared").cast("long").alias("n_shared"))
+    out = both.withColumn("kept", kept)
+    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.size("kept").cast("long").alias("n_lines"), "n_shared", F.size("drop").cast("long").alias("n_dropped"))
