@@ -46,7 +46,7 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-SPAN = "array<struct<start:int,kind:int,stop:int,hash:bigint>>"
+SPAN = "array<struct<start:int,kind:int,stop:int,hash:binary>>"
 
 
 def scanned(docs: DataFrame, repository: Column, owner: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,7 +60,7 @@ def scanned(docs: DataFrame, repository: Column, owner: Column, id_col: str = "d
         found = []
         for text in batch["text"]:
             got = candidates(text or "")
-            found.append([{"start": s, "kind": k, "stop": e, "hash": int.from_bytes(hashlib.sha256(v.encode("utf-8")).digest()[:8], "little", signed=True)} for s, k, e, v in got])
+            found.append([{"start": s, "kind": k, "stop": e, "hash": hashlib.sha256(v.encode("utf-8")).digest()[:16]} for s, k, e, v in got])
         return {name: batch[name] for name in ("key", "id", "repo", "owner")} | {"found": found}
 
     return written(map_batches(rows, run, f"key binary, id {docs.schema[id_col].dataType.simpleString()}, repo string, owner string, found {SPAN}"))
@@ -85,13 +85,14 @@ def secret_spans(docs: DataFrame, repository: Column, owner: Column, common_owne
     A credential that ``common_owners`` or more distinct owners show is a copied
     example; one that fewer show looks live. Rows without any span have an empty
     array; a null text counts as empty; rows that are equal in id and text have
-    the same spans. An empty table gives an empty result. The join with the
-    ownership counts is by credential hash; Spark splits it where a hash is hot.
+    the same spans. An empty table gives an empty result. The counts
+    are written before they are joined by credential hash, so that Spark knows
+    their size and can split a hot hash.
     Spans are then gathered by row, whose number is bounded by the row's own text.
     """
     scan = scanned(docs, repository, owner, id_col, text_col)
     each = scan.where(F.size("found") > 0).select("key", F.explode("found").alias("span")).select("key", "span", F.col("span.hash").alias("hash"))
-    known = each.join(ownership(scan), "hash").select("key", F.struct("span.start", "span.kind", "span.stop", "n_owners", "n_repositories", (F.col("n_owners") < common_owners).alias("live")).alias("span"))
+    known = each.join(written(ownership(scan)), "hash").select("key", F.struct("span.start", "span.kind", "span.stop", "n_owners", "n_repositories", (F.col("n_owners") < common_owners).alias("live")).alias("span"))
     gathered = known.groupBy("key").agg(F.sort_array(F.collect_set("span")).alias("spans"))
     empty = "array<struct<start:int,kind:int,stop:int,n_owners:bigint,n_repositories:bigint,live:boolean>>"
     with_any = scan.where(F.size("found") > 0).select("key", "id").join(gathered, "key")
