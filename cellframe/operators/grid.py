@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import numbered
-from .shared import forget, kept
+from .shared import forget, kept, new_path
 
 #: Fixed: offsets of the eight neighbours in order of preference, row by row, and of the four.
 EIGHT = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
@@ -310,15 +310,27 @@ def filled(cells: DataFrame, value: str = "z") -> DataFrame:
 
 
 def drained(cells: DataFrame, value: str = "filled") -> DataFrame:
-    """``(cid, receiver)`` of a filled surface: steepest descent, and across flats the neighbour nearest to a way down."""
+    """``(cid, receiver)`` of a filled surface: steepest descent, and across flats the neighbour nearest to a way down.
+
+    Flats are crossed a cell in each round, from their ways down; a round reads
+    the flat cells that are left and adds its own to the result, so that cells
+    elsewhere aren't touched again.
+    """
     touch = kept(neighbours(cells, value))
     edge = cells.join(touch.groupBy("cid").agg(F.count("*").alias("n")), "cid", "left").where(F.coalesce("n", F.lit(0)) < 8).select("cid")
     steep = touch.withColumn("drop", (F.col("z") - F.col("nz")) / F.col("dist")).where("drop > 0").groupBy("cid").agg(F.max_by("nid", F.struct("drop", -F.col("k"))).alias("receiver"))
-    flat = kept(touch.where("z = nz").select("cid", "nid", "k"))
-    done = kept(cells.select("cid").join(steep, "cid", "left").join(edge.withColumn("edge", F.lit(True)), "cid", "left").where("receiver IS NOT NULL OR edge").select("cid", "receiver"))
+    spark, path = cells.sparkSession, new_path(cells.sparkSession)
+    cells.select("cid").join(steep, "cid", "left").join(edge.withColumn("edge", F.lit(True)), "cid", "left").where("receiver IS NOT NULL OR edge").select("cid", "receiver").write.parquet(path)
+    done = spark.read.parquet(path)
+    flat = kept(touch.where("z = nz").select("cid", "nid", "k").join(done.select("cid"), "cid", "left_anti"))
+    front = done.select("cid")
     while True:
-        todo = flat.join(done.select("cid"), "cid", "left_anti").join(done.select(F.col("cid").alias("nid")), "nid", "left_semi")
-        step = kept(todo.groupBy("cid").agg(F.min_by("nid", "k").alias("receiver")))
+        step = kept(flat.join(front.select(F.col("cid").alias("nid")), "nid", "left_semi").groupBy("cid").agg(F.min_by("nid", "k").alias("receiver")))
         if not step.limit(1).count():
-            return done
-        done = kept(done.unionByName(step))
+            forget(touch)
+            forget(flat)
+            return spark.read.parquet(path)
+        step.write.mode("append").parquet(path)
+        last, flat = flat, kept(flat.join(step.select("cid"), "cid", "left_anti"))
+        forget(last)
+        front = step.select("cid")
