@@ -42,8 +42,22 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Spark hand Python at most ``BATCH_BYTES`` at once, or less where the session says so: texts may be very long.
+
+    The session's own bound of 64 MB costs an executor of two cores some 500 MB.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def lots(batch: pa.RecordBatch, rows: int = 512, most: int = 8 << 20):
-    """A batch in slices of at most ``rows`` rows, fewer where rows are long; Spark itself bounds a batch's bytes."""
+    """A batch in slices of at most ``rows`` rows, fewer where rows are long."""
     step = max(1, min(rows, most * batch.num_rows // max(1, batch.nbytes)))
     for lo in range(0, batch.num_rows, step):
         yield batch.slice(lo, step)
@@ -54,6 +68,7 @@ def map_batches(df: DataFrame, function, schema: str, rows: int = 512) -> DataFr
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    bounded_batches(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):

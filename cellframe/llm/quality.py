@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, lots, map_batches, written
+from .common import bounded_batches, forget, lots, map_batches, written
 
 TRIGRAMS, FIGURES = 512, 7  # of the content view: hashed byte trigrams, figures of words and marks
 SCALE = 510  # of content figures, which are kept as bytes
@@ -246,6 +246,7 @@ def scored(docs: DataFrame, model: CoTrained, threshold: float = 0.5, text_col:
     plain = docs.drop(*added.names)
     schema = StructType([*plain.schema.fields, *added.fields])
     arrow, names = to_arrow_schema(schema), plain.columns
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lots, shared_dir, written
+from .common import bounded_batches, lots, shared_dir, written
 
 SHARD_BYTES = 256 << 20  # of ids in a shard, about
 READ_BYTES = 16 << 20  # of ids read at once
@@ -231,6 +231,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     again writes files of another name, and the manifest names those of the
     attempt that Spark kept; files of lost attempts are never read.
     """
+    bounded_batches(docs.sparkSession)
     kind = kind_of(vocabulary, end_id)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
     shards = shards_of(rows.select("id", "tie", F.octet_length("text").alias("size")), partitions)
