@@ -22,6 +22,11 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cell.select(F.col("o_orderkey").alias("cid"), r.alias("r"), c.alias("c"), z.alias("z"), (price - 0.5).alias("dz"), "a", "s", (F.col("a") * F.pow("s", F.lit(1.167))).alias("g"), F.col("o_orderpriority").alias("soil"), F.col("o_custkey").alias("custkey"))
 
 
+def height(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the grid, from the largest key alone."""
+    return int(table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]) // WIDTH + 1
+
+
 CELLS = """cells AS (
     SELECT o_orderkey AS cid, o_orderkey // 100 AS r, o_orderkey % 100 AS c,
            1000e0 - 2e0 * (o_orderkey // 100) - 0.2e0 * (o_orderkey % 100) + 3e0 * (o_totalprice / 5e5) AS z,

@@ -10,19 +10,18 @@ from ..operators import grid, select
 from .config import least_area
 
 
-def source_areas(cells: DataFrame, percents: list[float], c_mins: list[float], c_max: float | None, erosion: Column, cell_area: float) -> tuple[DataFrame, DataFrame]:
+def source_areas(cells: DataFrame, percents: list[float], c_mins: list[float], c_max: float | None, erosion: Column, cell_area: float, table: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Chosen cells of all selections, with ``label``, and a summary row of each selection, empty ones too.
 
     ``cells`` carry ``pci`` and ``g``. Selections by top percent and by band of
-    the index are rows of small parameter tables, so none of them is a loop.
+    the index are rows of one small table (``selection_table``), so cells are
+    read once for the cutoffs and once for all selections.
     """
-    top = select.top_percent_cells(cells, percents, erosion).select("label", "cid", "r", "c", "pci")
-    band = select.c_band_cells(cells, c_mins, c_max, erosion).select("label", "cid", "r", "c", "pci")
-    chosen = top.unionByName(band)
-    spark = cells.sparkSession
-    cuts = spark.createDataFrame([(float(p),) for p in percents], "x double").select(select.top_label("x").alias("label"))
-    bands = spark.createDataFrame([(float(c), None if c_max is None else float(c_max)) for c in c_mins], "x double, y double").select(select.band_label("x", "y").alias("label"))
-    return chosen, select.summary_of(chosen, ["label"], cuts.unionByName(bands), cell_area)
+    table = selection_table(cells, percents, c_mins, c_max, None) if table is None else table
+    in_band = (F.col("g") >= F.col("c_min")) & (F.col("c_max").isNull() | (F.col("g") < F.col("c_max")))
+    rules = table.select("label", "pci_cutoff", "c_min", "c_max")
+    chosen = cells.where(erosion).join(F.broadcast(rules), (F.col("pci") >= F.col("pci_cutoff")) | in_band).select("label", "cid", "r", "c", "pci")
+    return chosen, select.summary_of(chosen, ["label"], table.select("label"), cell_area)
 
 
 def selection_table(cells: DataFrame, percents: list[float], c_mins: list[float], c_max: float | None, threshold: float | None) -> DataFrame:
@@ -47,7 +46,7 @@ def source_area_workflow(cells: DataFrame, settings: dict, cell_area: float) ->
     erosion = select.eroded("dz", threshold) if threshold is not None else F.lit(True)
     percents, c_mins, c_max = own["top_percent_values"], own["c_min_values"], own.get("c_channel_max")
     table = grid.kept(selection_table(cells, percents, c_mins, c_max, threshold))
-    chosen = grid.kept(source_areas(cells, percents, c_mins, c_max, erosion, cell_area)[0])
+    chosen = grid.kept(source_areas(cells, percents, c_mins, c_max, erosion, cell_area, table)[0])
     shapes = grid.kept(source_polygons(chosen, cell_area, least_area(settings)))
     polygons = shapes.join(F.broadcast(table), "label").select("label", "component", "source_id", F.col("source_id").alias("mass__wasting_id"), "top_percent", "pci_cutoff", "c_min", "c_max", "dod_thresh", "method", "area_m2", "area_km2")
     cell_sums = table.join(chosen.groupBy("label").agg(F.count("*").alias("n")), "label", "left").withColumn("source_pixels", F.coalesce("n", F.lit(0)))

@@ -77,7 +77,7 @@ def litho(spark):
 
 def inside(spark, sf_dir):
     cells = B.cells(spark, sf_dir)
-    return cells, scenes.in_polygons(1 << 30, litho(spark), cells)
+    return cells, scenes.in_polygons(B.height(spark, sf_dir), litho(spark), cells)
 
 
 @query(f"WITH {C}, {INSIDE} SELECT poly_id, count(*) AS pixel_count, count(*) * 100e0 AS area_m2, count(*) * 100e0 / 1e6 AS area_km2 FROM inside JOIN cells USING (cid) WHERE g IS NOT NULL GROUP BY poly_id")
@@ -155,8 +155,7 @@ def random_cells(spark, sf_dir):
 @query(f"WITH {C}, h AS (SELECT max(r) + 1 AS h FROM cells), s AS (SELECT r0 FROM h, (SELECT unnest(range(0, 20000, 8)) AS r0) WHERE r0 + 16 <= h UNION SELECT h - 16 FROM h WHERE h >= 16), t AS (SELECT unnest(range(0, 85, 8)) AS c0 UNION SELECT 84) SELECT r0::bigint AS r0, c0::bigint AS c0, round(count(g) / 256e0, 6) AS valid FROM s, t, cells WHERE r >= r0 AND r < r0 + 16 AND c >= c0 AND c < c0 + 16 GROUP BY ALL HAVING count(g) / 256e0 >= 0.97e0")
 def patch_grid(spark, sf_dir):
     cells = B.cells(spark, sf_dir)
-    height = int(B.table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]) // B.WIDTH + 1
-    return rounded(S.patch_origins(cells, "g", height, B.WIDTH, 16, 8, 0.97), "valid")
+    return rounded(S.patch_origins(cells, "g", B.height(spark, sf_dir), B.WIDTH, 16, 8, 0.97), "valid")
 
 
 @query(f"WITH {C}, v AS (SELECT 'all' AS label, floor(g) AS v FROM cells UNION ALL SELECT 'eroded', floor(g) FROM cells WHERE dz < -0.277e0), k AS (SELECT label, v, count(*) AS n_at FROM v WHERE v > 1 GROUP BY ALL) SELECT label, v, n_at, round(sum(n_at) OVER (PARTITION BY label ORDER BY v) / sum(n_at) OVER (PARTITION BY label), 6) AS p FROM k")

@@ -233,14 +233,14 @@ def scene_closest(spark, sf_dir):
 @query(f"WITH {C} SELECT r // 2 AS r, c // 2 AS c, round(avg(g), 6) AS value FROM cells WHERE r < (SELECT max(r) // 2 * 2 FROM cells) GROUP BY ALL")
 def resample_average(spark, sf_dir):
     cells = B.cells(spark, sf_dir)
-    half = int(cells.agg(F.max("r")).first()[0]) // 2
+    half = (B.height(spark, sf_dir) - 1) // 2
     return rounded(scenes.resampled(cells, "g", 2.0, half, B.WIDTH // 2, "average"), "value")
 
 
 @query(f"WITH {C} SELECT r * 50 + c AS tile, round(value, 6) AS value FROM (SELECT r // 2 AS r, c // 2 AS c, g AS value FROM cells WHERE r % 2 = 1 AND c % 2 = 1 AND r < (SELECT max(r) // 2 * 2 FROM cells))")
 def resample_nearest(spark, sf_dir):
     cells = B.cells(spark, sf_dir)
-    half = int(cells.agg(F.max("r")).first()[0]) // 2
+    half = (B.height(spark, sf_dir) - 1) // 2
     return rounded(scenes.resampled(cells, "g", 2.0, half, B.WIDTH // 2).select((F.col("r") * 50 + F.col("c")).alias("tile"), "value"), "value")
 
 
@@ -252,8 +252,7 @@ _edges = ", ".join(f"('{p}', {ring[k][0]}e0, {ring[k][1]}e0, {ring[(k + 1) % len
 def point_in_zone(spark, sf_dir):
     cells = B.cells(spark, sf_dir)
     rings = spark.createDataFrame([(p, [[{"x": x, "y": y} for x, y in ring] for ring in rings]) for p, rings in LITHO], "poly_id string, rings array<array<struct<x:double,y:double>>>")
-    height = int(cells.agg(F.max("r")).first()[0]) + 1
-    return scenes.in_polygons(height, rings, cells)
+    return scenes.in_polygons(B.height(spark, sf_dir), rings, cells)
 
 
 @query(f"WITH {C}, y AS (SELECT cid, (dz < -0.277e0)::int AS y, {B._u('negative', 'cid')} AS u FROM cells WHERE g IS NOT NULL), k AS (SELECT count(*) FILTER (y = 1) AS n FROM y) SELECT cid, y FROM (SELECT cid, y, row_number() OVER (PARTITION BY y ORDER BY u, cid) AS place FROM y), k WHERE y = 1 OR place <= n")
