@@ -47,20 +47,28 @@ def flow_accumulation(cells: DataFrame, flow: DataFrame, most_rounds: int = 64)
 
 
 def smallest_labels(nodes: DataFrame, edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """``(id, label)``: the smallest id that edges ``(a, b)`` connect each node to; labels hook and jump until they rest."""
-    both = kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = kept(nodes.select("id", F.col("id").alias("label")))
+    """``(id, label)``: the smallest id that edges ``(a, b)`` connect each node to.
+
+    In each round every node with edges points to its smallest neighbour, or to
+    itself if it is smaller; pointers are followed to their ends, and edges are
+    drawn between these. At least half of the nodes go in a round, so edges
+    shrink fast; the nodes' own table is read once, at the end.
+    """
+    there = edges.where("a <> b").select("a", "b")
+    live = kept(there.unionByName(there.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    steps = []
     for _ in range(most_rounds):
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("label").alias("near"))
-        low = labels.join(near, labels.id == near.a, "left").select("id", "label", F.least("label", "near").alias("low"))
-        hooks = low.groupBy("label").agg(F.min("low").alias("low"))
-        hooked = labels.join(hooks, "label").select("id", F.col("label").alias("old"), "low")
-        jump = labels.select(F.col("id").alias("low"), F.col("label").alias("far"))
-        state = kept(hooked.join(jump, "low", "left").select("id", "old", F.least("low", F.coalesce("far", "low")).alias("label")))
-        forget(labels)
-        labels = state.select("id", "label")
-        if not state.where("old <> label").limit(1).count():
+        if not live.limit(1).count():
+            forget(live)
+            labels = nodes.select("id", F.col("id").alias("label"))
+            for step in steps:
+                labels = labels.join(step.select(F.col("id").alias("label"), F.col("ptr").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
             return labels
+        step = flat_pointers(kept(live.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("ptr"))))
+        steps.append(step)
+        end = lambda side: step.select(F.col("id").alias(side), F.col("ptr").alias(f"{side}2"))  # noqa: B023, E731
+        last, live = live, kept(live.join(end("a"), "a").join(end("b"), "b").where("a2 <> b2").select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct())
+        forget(last)
     raise RuntimeError("labels did not settle")
 
 
@@ -86,11 +94,17 @@ def components(mask: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return runs.join(lead.select("span", "label").join(names, "label").select("span", "component"), "span").select(*keys, "cid", "r", "c", "component")
 
 
+def component_sizes(parts: DataFrame, cell_area: float, least_area: float = 0.0, keys: list[str] | None = None, value: str | None = None) -> DataFrame:
+    """Cells, area and, with ``value``, its statistics of each component with area at least ``least_area``."""
+    stats = [F.avg(value).alias("pci_mean"), F.min(value).alias("pci_min"), F.max(value).alias("pci_max")] if value else []
+    each = parts.groupBy(*(keys or []), "component").agg(F.count("*").alias("n_cells"), *stats)
+    return each.withColumn("area_m2", F.col("n_cells") * float(cell_area)).where(F.col("area_m2") >= least_area)
+
+
 def polygons(parts: DataFrame, cell_area: float, least_area: float = 0.0, keys: list[str] | None = None, value: str | None = None) -> DataFrame:
-    """One row for each component with area at least ``least_area``: ids in order of the first cell, after the filter."""
+    """``component_sizes`` with ids in order of the first cell, given after the filter."""
     keys = keys or []
-    stats = [F.avg(value).alias("pci_mean"), F.min(value).alias("pci_min"), F.max(value).alias("pci_max")] if value else []
-    each = parts.groupBy(*keys, "component").agg(F.count("*").alias("n_cells"), *stats).withColumn("area_m2", F.col("n_cells") * float(cell_area)).where(F.col("area_m2") >= least_area)
+    each = component_sizes(parts, cell_area, least_area, keys, value)
     ranked = numbered(each.withColumn("area_km2", F.col("area_m2") / 1e6), [*keys, "component"], "source_id")
     if keys:
         first = ranked.groupBy(*keys).agg(F.min("source_id").alias("_first"))

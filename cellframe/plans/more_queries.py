@@ -105,7 +105,7 @@ REACH = "edge AS (SELECT x.cid, y.cid AS nid FROM mask x JOIN mask y ON abs(x.r
 @query(f"WITH RECURSIVE {C}, mask AS (SELECT cid, r, c FROM cells WHERE g >= 55), {REACH} SELECT component, count(*) AS n_cells, count(*) * 100e0 AS area_m2 FROM named GROUP BY component ORDER BY n_cells DESC, component LIMIT 4")
 def largest_polygons(spark, sf_dir):
     parts = grid.components(B.cells(spark, sf_dir).where("g >= 55").select("cid", "r", "c"))
-    return scenes.largest(grid.polygons(parts, 100.0)).select("component", "n_cells", "area_m2")
+    return scenes.largest(grid.component_sizes(parts, 100.0))
 
 
 @query(f"WITH RECURSIVE {C}, mask AS (SELECT cid, r, c FROM cells WHERE g >= 55), {REACH}, side AS (SELECT component, cid, r, c, d FROM named JOIN mask USING (cid), (VALUES (0), (1), (2), (3)) t(d)), open_ AS (SELECT s.* FROM side s WHERE NOT EXISTS (SELECT 1 FROM named n JOIN mask m USING (cid) WHERE n.component = s.component AND m.r = s.r + CASE d WHEN 0 THEN -1 WHEN 2 THEN 1 ELSE 0 END AND m.c = s.c + CASE d WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END)), area AS (SELECT component, count(*) AS n FROM named GROUP BY component), around AS (SELECT component, count(*) AS m FROM open_ GROUP BY component) SELECT component, n * 1e0 AS area, m AS outline FROM area JOIN around USING (component)")

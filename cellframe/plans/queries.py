@@ -173,7 +173,7 @@ def flow_accumulation(spark, sf_dir):
        "reach AS (SELECT cid, cid AS to_ FROM mask UNION SELECT reach.cid, nid FROM reach JOIN edge ON edge.cid = reach.to_) SELECT component, count(*) AS n_cells, count(*) * 100e0 AS area_m2 FROM (SELECT cid, min(to_) AS component FROM reach GROUP BY cid) GROUP BY component")
 def mask_components(spark, sf_dir):
     parts = grid.components(B.cells(spark, sf_dir).where("g >= 55").select("cid", "r", "c"))
-    return grid.polygons(parts, 100.0).select("component", "n_cells", "area_m2")
+    return grid.component_sizes(parts, 100.0)
 
 
 @query(f"WITH RECURSIVE {C}, {SA}, {SC}, mask AS MATERIALIZED (SELECT cid, r, c, pci FROM scored WHERE pci >= 0.7e0), edge AS (SELECT x.cid, y.cid AS nid FROM mask x JOIN mask y ON abs(x.r - y.r) + abs(x.c - y.c) = 1 AND y.r BETWEEN x.r - 1 AND x.r + 1), "
