@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Entries of a worker's look-up table of words; a worker keeps the tables of all operators that it has run, two or more share an executor.
+MOST_KEPT = 300_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the checkpoint folder that driver and executors share.
 

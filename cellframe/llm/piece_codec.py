@@ -10,11 +10,10 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import MOST_KEPT, map_batches
 
 SPACE = "▁"
 LONGEST_KEPT = 48
-MOST_KEPT = 1_000_000
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6  # fixed: kinds of pieces in a model file
 
 

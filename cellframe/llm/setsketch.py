@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_batches, written
+from .common import MOST_KEPT, components, map_batches, written
 
 ROWS, BANDS = 6, 40
 REGISTERS = ROWS * BANDS
@@ -20,7 +20,6 @@ SHIFT = 20  # so that the largest minimum still has a register over 0
 CROWD = 8  # members up to which a bucket's pairs are listed; larger buckets are compared in blocks
 BLOCK = 256
 SLOTS = 1 << 20  # of the filter before texts are shuffled: 16 MB at most, whatever the corpus; of no use beyond as many texts
-MOST_KEPT = 1_000_000
 _random = np.random.default_rng(20240229)
 FACTORS = _random.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 FLIPS = _random.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, row_key, written
+from .common import MOST_KEPT, map_batches, row_key, written
 
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:\n]")
 UNITS = frozenset(
@@ -22,7 +22,6 @@ NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 WIDTH = 8
 BITS = 24  # of the filter over window hashes: 2 MB, whatever the benchmark's size
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-MOST_KEPT = 1_000_000
 
 
 class TokenHashes(dict):

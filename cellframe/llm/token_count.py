@@ -9,13 +9,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import MOST_KEPT, map_batches
 
 #: Fixed: the pre-tokenizer's pattern of byte-level BPE vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces longer than this are counted anew each time instead of remembered.
 LONGEST_KEPT = 48
-MOST_KEPT = 1_000_000
 
 
 def byte_symbols() -> list[str]:
