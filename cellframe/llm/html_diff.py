@@ -215,9 +215,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     light = map_batches(base.select("host", "path", "html"), hashed, "host string, path string, same binary, lines array<long>, sizes array<int>, article boolean")
     once = written(light.groupBy("host", "same").agg(F.min("path").alias("path"), *[F.first(c).alias(c) for c in ("lines", "sizes", "article")]))
-    order = ranked(once.select("host", "path", "same", "lines"), ["host", "path", "same"])
+    order = ranked(once, ["host", "path", "same"])
     near = [order.select((F.col("rank") + step).alias("rank"), F.col("host").alias(f"host{name}"), F.col("path").alias(f"path{name}"), F.col("lines").alias(f"lines{name}")) for name, step in (("_a", 1), ("_b", -1))]
-    beside = order.join(near[0], "rank", "left").join(near[1], "rank", "left").drop("rank").join(once.select("host", "same", "sizes", "article"), ["host", "same"])
+    beside = order.join(near[0], "rank", "left").join(near[1], "rank", "left").drop("rank")
 
     def compared(batch):
         shared, drop = [], []
@@ -239,7 +239,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         return out
 
     texts = map_batches(base.select("id", "url", "html", "host"), read, f"id {pages.schema[id_col].dataType.simpleString()}, url string, host string, same binary, lines array<string>")
-    both = texts.join(found, ["host", "same"], "left")
+    both = texts.join(found.hint("merge"), ["host", "same"], "left")  # alike at every size
     kept = F.filter("lines", lambda line, i: line.isNotNull() & ~F.array_contains("drop", i))
     text = F.array_join("kept", "\n")
     out = both.withColumn("kept", kept)
