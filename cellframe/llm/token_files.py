@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MOST_KEPT, bounded_batches, lots, shared_dir, written
+from .common import bounded_batches, lots, shared_dir, written
 
 SHARD_BYTES = 256 << 20  # of ids in a shard, about
 READ_BYTES = 16 << 20  # of ids read at once
@@ -71,7 +71,7 @@ class TextIds:
     file go to the library whole.
     """
 
-    MOST = MOST_KEPT
+    MOST = 1_000_000
     LONGEST = 64
 
     def __init__(self, path: str, kind: str):
