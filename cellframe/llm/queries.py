@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_diff, license_scan, piece_codec, quality, secret_scan, setsketch, telephony, templates, token_count, token_files
+from . import html_diff, license_scan, mixing, negatives, piece_codec, quality, secret_scan, setsketch, spelling, telephony, templates, token_count, token_files
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,27 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.piece_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-FOUND = (op1_page_text, op2_token_counts, op3_license_scan, op4_token_files, op5_quality, op6_secret_scan, op7_telephony, op8_near_duplicates, op9_decontamination, op10_piece_codec)
+SHARES = [5, 2, 1]
+
+
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality comes from the table of labels; documents without one weigh 1."""
+    docs = mixing.by_labels(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return mixing.mixture(docs, F.col("_weight"), SHARES).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
+FOUND = (op1_page_text, op2_token_counts, op3_license_scan, op4_token_files, op5_quality, op6_secret_scan, op7_telephony, op8_near_duplicates, op9_decontamination, op10_piece_codec, op11_source_mix, op12_spelling_variants, op13_hard_negatives)
 QUERIES = {f.__name__: f for f in FOUND}
-ORACLE_SQL: dict[str, str] = {"op3_license_scan": license_scan.oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": license_scan.oracle(),
+    "op11_source_mix": mixing.oracle(SHARES),
+    "op13_hard_negatives": negatives.ORACLE,
+}
