@@ -29,23 +29,29 @@ def receivers(cells: DataFrame, value: str = "z", cell_size: float = 1.0, offset
     return best.withColumn("slope", F.col("drop") / float(cell_size))
 
 
-def flow_accumulation(cells: DataFrame, flow: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """``(cid, cells_up)``: cells that drain through each cell, itself counted, by pointer doubling.
+def forest_sums(nodes: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """``(id, acc)``: what each node of a forest ``(id, acc, ptr)`` gathers from all that lead to it, itself counted, by pointer doubling.
 
-    In each round a cell adds what its pointer's sources gathered and pointers
+    In each round a node adds what its pointer's sources gathered and pointers
     jump twice as far; rounds are the logarithm of the longest path.
     """
-    state = kept(cells.join(flow.select("cid", "receiver"), "cid", "left").select("cid", F.lit(1).cast("long").alias("acc"), F.col("receiver").alias("ptr")))
+    state = kept(nodes.select("id", "acc", "ptr"))
     for _ in range(most_rounds):
-        sent = state.where("ptr IS NOT NULL").groupBy(F.col("ptr").alias("cid")).agg(F.sum("acc").alias("more"))
-        jump = state.select(F.col("cid").alias("ptr"), F.col("ptr").alias("far"))
-        last, state = state, kept(state.join(sent, "cid", "left").join(jump, "ptr", "left").select("cid", (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc"), F.col("far").alias("ptr")))
-        forget(last)
         if not state.where("ptr IS NOT NULL").limit(1).count():
-            return state.select("cid", F.col("acc").alias("cells_up"))
+            return state.select("id", "acc")
+        sent = state.where("ptr IS NOT NULL").groupBy(F.col("ptr").alias("id")).agg(F.sum("acc").alias("more"))
+        jump = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("far"))
+        last, state = state, kept(state.join(sent, "id", "left").join(jump, "ptr", "left").select("id", (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc"), F.col("far").alias("ptr")))
+        forget(last)
     raise RuntimeError("flow has a cycle, or paths are too long")
 
 
+def flow_accumulation(cells: DataFrame, flow: DataFrame) -> DataFrame:
+    """``(cid, cells_up)``: cells that drain through each cell, itself counted, of receivers given as ids. Grids do it by tiles (``tiles.accumulated``)."""
+    nodes = cells.join(flow.select("cid", "receiver"), "cid", "left").select(F.col("cid").alias("id"), F.lit(1).cast("long").alias("acc"), F.col("receiver").alias("ptr"))
+    return forest_sums(nodes).select(F.col("id").alias("cid"), F.col("acc").alias("cells_up"))
+
+
 def smallest_labels(nodes: DataFrame, edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """``(id, label)``: the smallest id that edges ``(a, b)`` connect each node to.
 

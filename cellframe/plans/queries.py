@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..functions import sampling as S
-from ..operators import curves, grid, scenes, select
+from ..operators import curves, grid, scenes, select, tiles
 from . import bridge as B
 from . import jobs
 
@@ -160,13 +160,12 @@ best AS (SELECT cid, nid AS receiver, drop_ FROM near WHERE drop_ > 0 QUALIFY ro
 
 @query(f"WITH {C}, {NEAR} SELECT cid, receiver, round(drop_, 6) AS drop, round(drop_ / 10, 6) AS slope FROM best")
 def d8_receivers(spark, sf_dir):
-    return rounded(grid.receivers(B.cells(spark, sf_dir), "z", 10.0), "drop", "slope")
+    return rounded(tiles.receivers(B.cells(spark, sf_dir), "z", 10.0).drop("k"), "drop", "slope")
 
 
 @query(f"WITH RECURSIVE {C}, {NEAR}, walk AS (SELECT cid AS origin, cid FROM cells UNION ALL SELECT origin, receiver FROM walk JOIN best USING (cid)) SELECT cid, count(*) AS cells_up FROM walk GROUP BY cid")
 def flow_accumulation(spark, sf_dir):
-    cells = B.cells(spark, sf_dir)
-    return grid.flow_accumulation(cells.select("cid"), grid.receivers(cells))
+    return tiles.accumulated(grid.kept(tiles.flow_of_descent(B.cells(spark, sf_dir))))
 
 
 @query(f"WITH RECURSIVE {C}, mask AS (SELECT cid, r, c FROM cells WHERE g >= 55), edge AS (SELECT x.cid, y.cid AS nid FROM mask x JOIN mask y ON abs(x.r - y.r) + abs(x.c - y.c) = 1 AND y.r BETWEEN x.r - 1 AND x.r + 1), "
@@ -274,5 +273,4 @@ def split_blocks(spark, sf_dir):
 def neighbour_means(spark, sf_dir):
     """Means over the neighbours, and of these means over the neighbours again."""
     cells = B.cells(spark, sf_dir).where("g IS NOT NULL")
-    edges = grid.neighbours(cells, "g", grid.FOUR).select(F.col("cid").alias("src"), F.col("nid").alias("dst"))
-    return rounded(grid.neighbour_means(cells.select(F.col("cid").alias("id"), "g"), edges, ["g"], 2).select("id", "g_1", "g_2"), "g_1", "g_2")
+    return rounded(tiles.neighbour_means(cells, "g", 2).select("id", "g_1", "g_2"), "g_1", "g_2")
