@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sampling import uniform
-from ..operators.ranks import in_ranges, numbered, running_total
+from ..operators.ranks import numbered, running_total
 from .common import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,25 +46,27 @@ def source_targets(sizes: DataFrame, shares: list[int], most: int = 3) -> DataFr
     return sums.withColumn("before", F.col("upto") - F.col("size")).withColumn("target", F.least(F.col("cap").cast("double"), dealt)).drop("upto")
 
 
-def mixture(docs: DataFrame, weight: Column, shares: list[int], most: int = 3, seed: int = 42) -> DataFrame:
+def mixture(docs: DataFrame, weights: DataFrame, shares: list[int], most: int = 3, seed: int = 42) -> DataFrame:
     """``(doc_id, source, size, weight, source_size, target, taken)``: how many words of each document a mix of all sources takes.
 
     A source takes whole epochs first, then documents in the order of their keys
-    -ln(u) / ``weight`` (Efraimidis and Spirakis), as long as the middle of a document's words
+    -ln(u) / weight (Efraimidis and Spirakis), as long as the middle of a document's words
     lies within what is left of its target; so a source misses its target by half of one document at most.
     No document is taken more than ``most`` times. ``u`` comes from seed and id,
     so reruns agree; rows with equal keys go by id and size, and rows that are equal in these are alike.
 
-    Null and empty texts have no words and are taken 0 times; a null source is a
-    source; a weight that is null or not positive counts as ``LEAST_WEIGHT``;
-    an empty table gives an empty result. Texts don't leave the scan: only ids and sizes are
+    ``weights(doc_id, weight)`` has one row an id at most; a document without one weighs 1, and a
+    weight that is not positive counts as ``LEAST_WEIGHT``. Null and empty texts have no words and are taken 0 times; a null source is a
+    source; an empty table gives an empty result. Words are counted in the scan: only ids and sizes are
     shuffled, into ranges of (source, key) that split a source of any size.
     """
-    u = uniform(seed, "mix", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    drawn = F.when(weight > 0, weight.cast("double")).otherwise(LEAST_WEIGHT)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", "source", F.col("source").isNull().alias("none"), size.alias("size"), drawn.alias("weight"), (-F.ln(1 - u) / drawn).alias("key"), F.monotonically_increasing_id().alias("nth"))
+    rows = docs.select("doc_id", "source", F.col("source").isNull().alias("none"), size.alias("size"), F.monotonically_increasing_id().alias("nth"))
     rows = written(rows)
+    known = weights.select(F.col("doc_id").alias("_of"), F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(LEAST_WEIGHT).alias("weight"))
+    u = uniform(seed, "mix", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    rows = rows.join(known, F.col("doc_id") == F.col("_of"), "left").drop("_of").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    rows = written(rows.withColumn("key", -F.ln(1 - u) / F.col("weight")))
     sizes = written(rows.groupBy("source").agg(F.sum("size").alias("size")))
     targets = source_targets(sizes, shares, most)
     upto = running_total(rows, ["none", "source", "key", "doc_id", "size", "nth"], "size", "upto")
@@ -78,10 +80,10 @@ def mixture(docs: DataFrame, weight: Column, shares: list[int], most: int = 3, s
     return met.select("doc_id", "source", "size", "weight", "source_size", "target", taken.alias("taken"))
 
 
-def by_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``_weight``: from 0.5 to 2 by the mean of a document's quality labels, 1 where it has none."""
-    means = written(labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_labelled")).agg((0.5 + 1.5 * F.avg("quality")).alias("_weight")))
-    return docs.join(means, docs["doc_id"] == means["_labelled"], "left").select(docs["doc_id"], docs["source"], docs["text"], F.coalesce("_weight", F.lit(1.0)).alias("_weight"))
+def weights_of_labels(labels: DataFrame) -> DataFrame:
+    """``(doc_id, weight)``, written: from 0.5 to 2 by the mean of a document's quality labels, 1 if all are null."""
+    means = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.coalesce(0.5 + 1.5 * F.avg("quality"), F.lit(1.0)).alias("weight"))
+    return written(means)
 
 
 def oracle(shares: list[int], most: int = 3, seed: int = 42) -> str:

@@ -63,8 +63,8 @@ SHARES = [5, 2, 1]
 
 def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality comes from the table of labels; documents without one weigh 1."""
-    docs = mixing.by_labels(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return mixing.mixture(docs, F.col("_weight"), SHARES).select("doc_id", "size", "source_size", "target", "taken")
+    weights = mixing.weights_of_labels(read(spark, sf_dir, "labels"))
+    return mixing.mixture(read(spark, sf_dir, "documents"), weights, SHARES).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,6 @@ from collections import Counter, defaultdict
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
-from pyspark.sql import functions as F  # noqa: E402
-
 from cellframe.llm import mixing, negatives, spelling  # noqa: E402
 
 
@@ -131,9 +129,9 @@ def test_mixture_equals_plain_dealing(spark):
         docs.append((doc, source, rng.choice([None, "", "w " * rng.randint(0, 40), "x y z" * rng.randint(1, 5), "long " * 800 if doc % 97 == 0 else "a\tb\nc"])))
     docs += [docs[5]] * 40 + [(None, "a", "no id here")] * 30 + [(900, "empty", None), (901, "tiny", "one")]
     weights = [1.0 if d[0] is None else [0.5, 1.0, 2.0][d[0] % 3] for d in docs]
-    rows = [(*d, w, "clash", 3) for d, w in zip(docs, weights, strict=True)]
-    table = spark.createDataFrame(rows, "doc_id long, source string, text string, w double, key string, size int")
-    got = [(r.doc_id, r.source, r.size, r.source_size, r.target, r.taken) for r in mixing.mixture(table, F.col("w"), [5, 2, 1]).collect()]
+    table = spark.createDataFrame([(*d, 0.1, "clash", 3) for d in docs], "doc_id long, source string, text string, weight double, key string, size int")
+    known = spark.createDataFrame([(d[0], w) for d, w in set((d[:1], w) for d, w in zip(docs, weights, strict=True)) if d[0] is not None], "doc_id long, weight double")
+    got = [(r.doc_id, r.source, r.size, r.source_size, r.target, r.taken) for r in mixing.mixture(table, known, [5, 2, 1]).collect()]
     want = plain_mixture(docs, weights, [5, 2, 1], 3)
     near = lambda rows: sorted((str(r[0]), str(r[1]), r[2], r[3], round(r[4], 6), r[5]) for r in rows)
     assert near(got) == near(want)
@@ -144,18 +142,22 @@ def test_mixture_equals_plain_dealing(spark):
         assert all(r[5] <= 3 * r[2] for r in mine)
 
 
+SCHEMA = "doc_id long, source string, text string"
+
+
 def test_weights_draw_better_documents_first(spark):
-    rows = [(i, "s" if i < 3000 else "t", "w", 4.0 if i % 2 else 1.0) for i in range(6000)]
-    got = mixing.mixture(spark.createDataFrame(rows, "doc_id long, source string, text string, w double"), F.col("w"), [1, 3]).where("source = 's'").collect()
+    rows = [(i, "s" if i < 3000 else "t", "w") for i in range(6000)]
+    known = spark.range(6000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 1 THEN 4.0D END AS weight").where("weight IS NOT NULL")
+    got = mixing.mixture(spark.createDataFrame(rows, SCHEMA), known, [1, 3]).where("source = 's'").collect()
     took = [sum(r.taken for r in got if r.doc_id % 2 == odd) for odd in (0, 1)]
     assert sum(took) == 1500 and took[1] > 1.6 * took[0]
 
 
 def test_odd_weights_and_empty_table(spark):
-    rows = [(1, "a", "x y", None), (2, "a", "x", -1.0), (3, None, "x", 1.0)]
-    got = mixing.mixture(spark.createDataFrame(rows, "doc_id long, source string, text string, w double"), F.col("w"), [5, 2, 1]).collect()
+    known = spark.createDataFrame([(1, None), (2, -1.0)], "doc_id long, weight double")
+    got = mixing.mixture(spark.createDataFrame([(1, "a", "x y"), (2, "a", "x"), (3, None, "x")], SCHEMA), known, [5, 2, 1]).collect()
     assert len(got) == 3 and all(r.taken is not None for r in got)
-    assert mixing.mixture(spark.createDataFrame([], "doc_id long, source string, text string, w double"), F.col("w"), [5, 2, 1]).collect() == []
+    assert mixing.mixture(spark.createDataFrame([], SCHEMA), known, [5, 2, 1]).collect() == []
 
 
 def plain_negatives(rows, every=50):
