@@ -62,11 +62,9 @@ def canonical(text: str | None) -> tuple[list[str], dict[int, str]]:
     return out, values
 
 
-def window_hashes(tokens: list[str], width: int) -> np.ndarray:
+def rolled(tokens: list[str], width: int) -> np.ndarray:
     """Hash of each window of ``width`` tokens."""
     n = len(tokens) - width + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
     if len(_tokens) > MOST_KEPT:
         _tokens.clear()
     hashes = np.fromiter(map(_tokens.__getitem__, tokens), np.uint64, len(tokens))
@@ -77,6 +75,35 @@ def window_hashes(tokens: list[str], width: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def window_hashes(tokens: list[str], values: dict[int, str], width: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each window of ``width`` tokens, and which windows are literal.
+
+    A window with fewer than ``least`` tokens that are no placeholder says nothing by its template, since any numbers or names fit it:
+    it is literal, its hash is that of its own values.
+    """
+    n = len(tokens) - width + 1
+    if n <= 0 or not width:
+        return np.empty(0, np.uint64), np.empty(0, bool)
+    out = rolled(tokens, width)
+    free = np.zeros(len(tokens) + 1, np.int64)
+    free[[k + 1 for k in values]] = 1
+    np.cumsum(free, out=free)
+    within = free[width:] - free[:n]
+    literal = (within > 0) & (width - within < least)
+    if literal.any():
+        own = rolled([values.get(k, token) for k, token in enumerate(tokens)], width)
+        out[literal] = ~own[literal]
+    return out, literal
+
+
+def windows_of(text: str | None, width: int, least: int) -> tuple[int, list[dict]]:
+    """An item's width of windows, and its windows ``hash, at, slots``."""
+    tokens, values = canonical(text)
+    size = min(width, len(tokens))
+    hashes, literal = window_hashes(tokens, values, size, least)
+    return size, [{"hash": h, "at": k, "slots": [] if plain else slot_values(values, k, size)} for k, (h, plain) in enumerate(zip(hashes.view(np.int64).tolist(), literal.tolist(), strict=True))]
+
+
 def slot_values(values: dict[int, str], at: int, width: int) -> list[str]:
     return [values[k] for k in range(at, at + width) if k in values] if values else []
 
@@ -116,7 +143,7 @@ def consistent(windows: list[dict]) -> list[dict]:
 WINDOW = "hash long, at int, slots array<string>"
 
 
-def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WIDTH, least: int = 3) -> DataFrame:
     """``(item, width, n_windows, hash, at, slots)``: the template windows of each item, written once.
 
     An item shorter than a window is one window of its own length; null and
@@ -126,13 +153,11 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     def run(batch):
         out = {name: [] for name in ("item", "width", "n_windows", "found")}
         for item, text in zip(batch["item"], batch["text"], strict=True):
-            tokens, values = canonical(text)
-            size = min(width, len(tokens))
-            hashes = window_hashes(tokens, size).view(np.int64).tolist() if size else []
+            size, found = windows_of(text, width, least)
             out["item"].append(item)
             out["width"].append(size)
-            out["n_windows"].append(len(hashes))
-            out["found"].append([{"hash": h, "at": k, "slots": slot_values(values, k, size)} for k, h in enumerate(hashes)])
+            out["n_windows"].append(len(found))
+            out["found"].append(found)
         return out
 
     items = map_batches(benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")), run, f"item string, width int, n_windows int, found array<struct<{WINDOW.replace('hash long', 'hash:bigint').replace('at int', 'at:int').replace('slots ', 'slots:')}>>")
@@ -154,8 +179,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shar
     Documents and items become templates; windows of ``width`` tokens meet in a
     hash join. Windows of one alignment count if their slots are consistent (see
     ``consistent``): each value of the item stands for one value in the document.
-    An item of one window needs ``least_words`` tokens, and as many that are no
-    placeholder unless all its values are equal.
+    A window with fewer than ``least_words`` tokens that are no placeholder meets only windows of its own values
+    (``window_hashes``), so that tables of other numbers have nothing in common with a numeric item.
+    An item of one window needs ``least_words`` tokens.
     A document is contaminated by an item if ``share`` of the item's windows are
     found, or ``run_windows`` of them (six windows of eight tokens: thirteen
     tokens in a row). ``reparameterised`` says that a slot's value was changed.
@@ -167,7 +193,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shar
     and text share a verdict; an empty benchmark leaves all clean; items with
     equal ids count as one.
     """
-    windows = benchmark_windows(benchmark, item_col, item_text_col, width)
+    windows = benchmark_windows(benchmark, item_col, item_text_col, width, least_words)
     widths = sorted(r[0] for r in windows.select("width").distinct().collect())  # width at most
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(windows))
 
@@ -177,10 +203,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shar
             tokens, values = canonical(text)
             rows = []
             for size in widths:
-                hashes = window_hashes(tokens, size)
+                hashes, literal = window_hashes(tokens, values, size, least_words)
                 low = hashes & np.uint64((1 << BITS) - 1)
                 hit = np.flatnonzero(bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
-                rows += [{"hash": h, "at": k, "slots": slot_values(values, k, size)} for k, h in zip(hit.tolist(), hashes[hit].view(np.int64).tolist(), strict=True)]
+                seen = set()  # a literal window's values are its hash, so that it counts wherever it stands: once is enough
+                for k, h, plain in zip(hit.tolist(), hashes[hit].view(np.int64).tolist(), literal[hit].tolist(), strict=True):
+                    if not plain or h not in seen:
+                        rows.append({"hash": h, "at": k, "slots": [] if plain else slot_values(values, k, size)})
+                    if plain:
+                        seen.add(h)
             found.append(rows)
         return {"key": batch["key"], "id": batch["id"], "found": found}
 
@@ -202,5 +233,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shar
     by_item = aligned.groupBy("key", "item").agg(F.max("n_windows").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("found"), F.max("changed").alias("changed"))
     by_item = by_item.where((F.col("found") >= share * F.col("n")) | (F.col("found") >= run_windows))
     leaks = by_item.groupBy("key").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("items"), F.round(F.max(F.least(F.lit(1.0), F.col("found") / F.col("n"))), 6).alias("coverage"), F.max("changed").alias("reparameterised"))
-    out = scanned.select("key", "id").join(leaks, "key", "left")
+    out = scanned.select("key", "id").join(written(leaks), "key", "left")  # written, so that Spark can split a hot key
     return out.select("key", F.col("id").alias(id_col), F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items", F.lit("")).alias("items"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("reparameterised", F.lit(False)).alias("reparameterised"))
