@@ -95,7 +95,7 @@ def secret_spans(docs: DataFrame, repository: Column, owner: Column, common_owne
     known = each.join(written(ownership(scan)), "hash").select("key", F.struct("span.start", "span.kind", "span.stop", "n_owners", "n_repositories", (F.col("n_owners") < common_owners).alias("live")).alias("span"))
     gathered = known.groupBy("key").agg(F.sort_array(F.collect_set("span")).alias("spans"))
     empty = "array<struct<start:int,kind:int,stop:int,n_owners:bigint,n_repositories:bigint,live:boolean>>"
-    with_any = scan.where(F.size("found") > 0).select("key", "id").join(gathered, "key")
+    with_any = scan.where(F.size("found") > 0).select("key", "id").join(written(gathered), "key")
     without = scan.where(F.size("found") == 0).select("key", "id", F.array().cast(empty).alias("spans"))
     return with_any.select("key", "id", F.col("spans").cast(empty).alias("spans")).unionByName(without).withColumnRenamed("id", id_col)
 
