@@ -233,6 +233,9 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 6000, most_ta
     return learner.joined()
 
 
+ADDED = ("p_content", "p_metadata", "score", "keep")
+
+
 def scored(docs: DataFrame, model: CoTrained, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` with ``p_content``, ``p_metadata``, ``score`` and ``keep``, without a shuffle.
 
@@ -242,7 +245,7 @@ def scored(docs: DataFrame, model: CoTrained, threshold: float = 0.5, text_col:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    added = StructType.fromDDL("p_content double, p_metadata double, score double, keep boolean")
+    added = StructType.fromDDL("{} double, {} double, {} double, {} boolean".format(*ADDED))
     plain = docs.drop(*added.names)
     schema = StructType([*plain.schema.fields, *added.fields])
     arrow, names = to_arrow_schema(schema), plain.columns

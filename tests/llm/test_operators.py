@@ -148,6 +148,41 @@ def test_common_lines():
         assert len(kept) == size[-1][-1] and all(any(y == a[i] for y in rest) for i in kept)
 
 
+def test_common_lines_by_halves(monkeypatch):
+    monkeypatch.setattr(html_diff, "HELD", 20)
+    test_common_lines()
+
+
+def test_long_pages_are_aligned_in_little_memory():
+    import resource
+
+    rng = random.Random(3)
+    a = [rng.randrange(1 << 60) for _ in range(200_000)]
+    b = [x if rng.random() < 0.99 else rng.randrange(1 << 60) for x in a]
+    rng.shuffle(moved := a[50_000:51_000])
+    b[120_000:120_000] = moved
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    kept = html_diff.common_lines(a, b)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # kB
+    rest = iter(b)
+    assert len(kept) >= 197_000 and kept == sorted(set(kept)) and all(any(y == a[i] for y in rest) for i in kept)
+
+
+def test_article_lines_and_headings_stay(spark):
+    lead = "Lead sentence that the neighbour prints too"
+    pages = [
+        (1, "http://a.org/1", f"<title>{lead}</title><nav>x</nav><article><h1>{lead}</h1><p><b>{lead}<br><p>One</p><p>Shared end</p></article>"),
+        (2, "http://a.org/2", f"<article><h1>{lead}</h1><p>Two</p><p>Shared end</p></article>"),
+        (3, "http://b.org/1", f"<title>{lead}</title><body><p>Frame</p><h1>Head</h1><p>{lead}</p><p>Three</p></body>"),
+        (4, "http://b.org/2", f"<body><p>Frame</p><h1>Head</h1><p>{lead}</p><p>Four</p></body>"),
+        (5, "http://c.org/1", "<article><p>Text</p><div class='comments-list'><p>Reader</p></div><div class='site-footer'>f</div><ul class='main-nav'><li>n</li></ul></article>"),
+    ]
+    got = {r.page_id: r for r in html_diff.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[1].text == f"{lead}\n{lead}\nOne\nShared end" and got[2].text == f"{lead}\nTwo\nShared end"
+    assert got[3].text == f"Head\n{lead}\nThree" and got[4].text == "Head\nFour" and got[4].n_dropped == 2
+    assert got[5].text == "Text"
+
+
 def test_main_text(spark):
     frame = "<ul><li>Home</li></ul><p>About this site</p>"
     pages = [
@@ -320,6 +355,19 @@ def test_contaminated_runs_and_short_items(spark):
     assert [w["at"] for w in templates.consistent(runs)] == [0, 1, 4, 9]
 
 
+def test_unrelated_numbers_are_clean(spark):
+    rng = random.Random(9)
+    table = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    item, names = table(2000), " ".join("said Ann Bob Eve".split()[1 + k % 3] for k in range(500))
+    bench = spark.createDataFrame([(1, item), (2, "A list of " + names)], "item_id long, text string")
+    docs = [(k, table(2000)) for k in range(50)] + [(100, f"see {item} end"), (101, "then " + " ".join(rng.choice(["Kim", "Lea", "Tom"]) for _ in range(500))), (102, "7 " * 5000)]
+    got = {r.doc_id: r for r in templates.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert {k for k, r in got.items() if r.contaminated} == {100} and got[100].items == "1" and got[100].coverage == 1.0
+    equal = spark.createDataFrame([(3, "7 " * 3000)], "item_id long, text string")
+    got = {r.doc_id: r.contaminated for r in templates.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), equal).collect()}
+    assert [k for k, v in got.items() if v] == [102]
+
+
 def test_quality(spark):
     rng = random.Random(6)
     words = ["river", "stone", "house", "green", "walks", "under", "light", "paper"]

@@ -62,6 +62,13 @@ def test_quality_stage(spark, docs, sf_dir):
     assert all(r in left for r in clean)
 
 
+def test_quality_stage_keeps_columns_of_its_own_names(spark, docs, sf_dir):
+    named = docs.select("*", F.concat(F.lit("own "), F.coalesce("text", F.lit(""))).alias("score"), F.lit("k").alias("keep"), F.lit(1).alias("P_content"))
+    got = pipeline.reject_low_quality(spark, named, sf_dir)
+    assert got.columns == named.columns and rows_of(got) == rows_of(pipeline.reject_low_quality(spark, docs, sf_dir))
+    assert all((r.score, r.keep, r.P_content) == ("own " + (r.text or ""), "k", 1) for r in got.collect())
+
+
 def test_near_duplicate_stage(spark, docs, sf_dir):
     got = pipeline.drop_near_duplicates(spark, docs, sf_dir)
     assert got.columns == docs.columns
