@@ -12,9 +12,14 @@ from cellframe.llm.setsketch import clusters
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier keeps. Null and empty texts are scored as any other; without labels all stay."""
+    """Documents that the co-trained classifier keeps. Null and empty texts are scored as any other; without labels all stay.
+
+    Columns named like the classifier's own keep their values: they bear other names while it scores.
+    """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, model).where("keep").select(*docs.columns)
+    own = {c: f"own {k} {c}" for k, c in enumerate(docs.columns) if c.lower() in quality.ADDED}
+    kept = quality.scored(docs.withColumnsRenamed(own), model).where("keep")
+    return kept.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = written(clusters(docs, width=5, percent=80))
     key = [F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("tie")]
     rows = docs.select(F.struct("*").alias("row"), *key)
-    rest = rows.join(found.where("NOT best").select("id", "tie").distinct(), ["id", "tie"], "left_anti")
+    rest = rows.join(written(found.where("NOT best").select("id", "tie").distinct()), ["id", "tie"], "left_anti")
     again = written(found.where("best AND id IS NOT NULL AND n_shingles > 0").groupBy("id", "tie").count().where("count > 1").select("id", "tie"))
     if again.limit(1).count():
         one = rest.join(again, ["id", "tie"]).groupBy("id", "tie").agg(F.first("row").alias("row")).select("row", "id", "tie")
@@ -37,7 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item. Null and empty texts hold none; with an empty benchmark all stay."""
     found = templates.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = found.where("contaminated").select("key").distinct()
+    leaks = written(found.where("contaminated").select("key").distinct())
     return docs.select(F.struct("*").alias("row"), row_key("doc_id", "text").alias("key")).join(leaks, "key", "left_anti").select("row.*")
 
 
