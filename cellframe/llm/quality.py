@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +17,8 @@ from .common import bounded_batches, forget, lots, map_batches, written
 TRIGRAMS, FIGURES = 512, 7  # of the content view: hashed byte trigrams, figures of words and marks
 SCALE = 510  # of content figures, which are kept as bytes
 BUCKETS = 48  # hashed language, source, and both
-SIZES = 3
+SIZES = 11
+PATH, ENDS = re.compile(r"[^0-9A-Za-z]+|(?<=[A-Za-z])(?=[0-9])"), (".", "!", "?", "…", ":", '"')
 WIDTHS = (TRIGRAMS + FIGURES, BUCKETS + SIZES)
 
 
@@ -44,12 +45,32 @@ def content_view(text: str) -> np.ndarray:
     return np.minimum(255, np.rint(out)).astype(np.uint8)
 
 
-def metadata_view(n_chars: int, n_lines: int, lang: str | None, source: str | None) -> np.ndarray:
-    """What is known of a page without reading it: hashed language and source, its size and its number of lines."""
+def metadata_view(text: str, lang: str | None, source: str | None) -> np.ndarray:
+    """What a crawl's record says of a page beside its words: hashed language, source and parts of its path, and the page's shape.
+
+    The shape is its size in characters and bytes, the number and lengths of its lines, how many of them repeat, how many end as
+    sentences do, and how much of it is space.
+    """
     out = np.zeros(BUCKETS + SIZES, np.float32)
-    for value in (f"lang={lang}", f"source={source}", f"both={lang}/{source}"):
+    parts = [f"part={x}" for x in PATH.split(source)] if source else []
+    for value in (f"lang={lang}", f"source={source}", f"both={lang}/{source}", *parts):
         out[zlib.crc32(value.encode("utf-8")) % BUCKETS] += 1
-    out[BUCKETS:] = (math.log1p(n_chars), math.log1p(n_lines), math.log1p(n_chars / (n_lines + 1)))
+    n = len(text)
+    lines = [x for x in map(str.rstrip, text.split("\n")) if x]
+    long, m = np.array([len(x) for x in lines] or [0]), max(1, len(lines))
+    out[BUCKETS:] = (
+        math.log1p(n),
+        math.log1p(m),
+        math.log1p(long.mean()),
+        math.log1p(long.max()),
+        math.log1p(long.std()),
+        math.log1p(n / (m + 1)),
+        1 - len(set(lines)) / m,
+        sum(x.endswith(ENDS) for x in lines) / m,
+        len(text.encode("utf-8")) / max(1, n),
+        text.count(" ") / max(1, n),
+        float(n == 0),
+    )
     return out
 
 
@@ -87,6 +108,7 @@ class CoTrained:
     calibration: list[tuple[float, float]]
     joint: np.ndarray | None
     prior: float
+    history: list[dict] = field(default_factory=list)
 
     def scores(self, content: np.ndarray, metadata: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.joint is None:
@@ -98,33 +120,51 @@ class CoTrained:
 
 
 class Learner:
-    """Both views' models on labelled rows and on what each view was taught by the other."""
+    """Both views' models, on labelled rows and on what each view was taught by the other."""
 
     RIDGE = (0.02, 1.0)
 
     def __init__(self, views: list[np.ndarray], label: np.ndarray):
-        self.mean, self.scale = views[1].mean(axis=0), np.maximum(views[1].std(axis=0), 1e-6)
+        spread = views[1].std(axis=0)  # a column that doesn't vary among the labelled rows, as of a source that none has, stays as it is
+        self.mean, self.scale = views[1].mean(axis=0), np.where(spread > 1e-3, spread, 1.0)
         self.views, self.label = [self.plain(k, v) for k, v in enumerate(views)], label
         self.held = np.arange(len(label)) % 4 == 3
         if label[self.held].min() == label[self.held].max() or label[~self.held].min() == label[~self.held].max():
             self.held[:] = False
-        self.models = [self.fit(k, np.empty((0, WIDTHS[k])), np.empty(0)) for k in (0, 1)]
+        train = ~self.held
+        self.models = [fitted(v[train], label[train], np.ones(train.sum()), ridge) for v, ridge in zip(self.views, self.RIDGE, strict=True)]
+        #: Of each exchange: pseudo-labels by (teacher, class), and each view's accuracy on the rows held back, before and after it.
+        self.history: list[dict] = []
 
     def plain(self, k: int, view: np.ndarray) -> np.ndarray:
         return (view - self.mean) / self.scale if k else view
 
-    def fit(self, k: int, taught: np.ndarray, said: np.ndarray) -> np.ndarray:
-        """Labelled rows count fully, taught ones half, and all taught ones together at most as much as the labelled ones."""
-        train = ~self.held
-        weight = min(0.5, train.sum() / max(1, len(said)))
-        return fitted(np.vstack([self.views[k][train], taught]), np.append(self.label[train], said), np.append(np.ones(train.sum()), np.full(len(said), weight)), self.RIDGE[k])
-
     def trusted(self, k: int, said: int, confident: float) -> bool:
         """Whether a view's confident verdicts of a class are right as often as that on labelled rows that it wasn't fitted on."""
         p = chance(logit(self.views[k], self.models[k]))[self.held]
         sure = p >= confident if said else p <= 1 - confident
         return bool(sure.any()) and float((self.label[self.held][sure] == said).mean()) >= confident
 
+    def accuracy(self) -> list[float]:
+        rows = self.held if self.held.any() else ~self.held
+        return [float(((logit(v, m) >= 0) == self.label)[rows].mean()) for v, m in zip(self.views, self.models, strict=True)]
+
+    def slope(self, k: int, w: np.ndarray) -> tuple[np.ndarray, float]:
+        """The gradient of view ``k`` over the labelled rows, with the ridge, and its loss."""
+        train = ~self.held
+        x, y = np.column_stack([self.views[k][train], np.ones(train.sum())]), self.label[train]
+        z = np.clip(x @ w, -30, 30)
+        return x.T @ (chance(z) - y) + self.RIDGE[k] * w, float((np.logaddexp(0, z) - y * z).sum() + self.RIDGE[k] / 2 * w @ w)
+
+    def curve(self, k: int, w: np.ndarray, squares: np.ndarray) -> np.ndarray:
+        """A stand-in for the curvature: that of the labelled rows twice, since taught rows weigh as much at most, with some of the taught rows'
+        own (``squares``: their weighted sums of squares), all of it for columns that they alone have."""
+        train = ~self.held
+        x = np.column_stack([self.views[k][train], np.ones(train.sum())])
+        p = chance(np.clip(x @ w, -30, 30))
+        new = squares * np.where(squares > 10 * (x * x).sum(0), 0.25, 0.05)
+        return 2 * (x * np.maximum(p * (1 - p), 0.02)[:, None]).T @ x + np.diag(new + self.RIDGE[k])
+
     def joined(self) -> CoTrained:
         fit_on = self.held if self.held.any() else ~self.held
         z = [logit(v, m) for v, m in zip(self.views, self.models, strict=True)]
@@ -132,13 +172,13 @@ class Learner:
         calibration = [tuple(fitted(v[fit_on][:, None], self.label[fit_on], one, 1e-2)) for v in z]
         both = np.column_stack([a * v + b for v, (a, b) in zip(z, calibration, strict=True)])
         joint = fitted(both[fit_on], self.label[fit_on], one, 1.0)
-        return CoTrained(self.models[0], self.models[1], self.mean, self.scale, calibration, joint, float(self.label.mean()))
+        return CoTrained(self.models[0], self.models[1], self.mean, self.scale, calibration, joint, float(self.label.mean()), self.history)
 
 
 def views_of(batch) -> tuple[np.ndarray, np.ndarray]:
     texts = [t or "" for t in batch["text"]]
     content = np.array([content_view(t) for t in texts])
-    return content, np.array([metadata_view(len(t), t.count("\n"), a, b) for t, a, b in zip(texts, batch["lang"], batch["source"], strict=True)])
+    return content, np.array([metadata_view(t, a, b) for t, a, b in zip(texts, batch["lang"], batch["source"], strict=True)])
 
 
 def viewed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -159,58 +199,71 @@ def arrays(table) -> list[np.ndarray]:
     return [np.frombuffer(content, np.uint8).reshape(-1, WIDTHS[0]) / SCALE, np.frombuffer(metadata, "<f4").reshape(-1, WIDTHS[1]).astype(float)]
 
 
-def sure_of(pool: DataFrame, learner: Learner, confident: float, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each view, rows of the other one's confident pseudo-labels: the view's figures, and the labels.
+def exchange(pool: DataFrame, learner: Learner, confident: float, steps: int) -> None:
+    """One exchange: each view learns from all rows of the pool that the other one, as it is now, is sure of.
 
-    Every row of the pool is scored, in Spark. Rows that a view is sure of, and
-    may be by labelled rows held back (``trusted``), are counted by class; of each class ``most`` rows in expectation, those with the
-    smallest ``h``, come back to fit on; equal rows come back once.
+    Pseudo-labels are those of the other view's confident verdicts, if labelled rows held back bear it out in both classes (``trusted``); a
+    view that is sure of one class alone would teach that everything is of that class.
+    A view's new weights minimise the loss over labelled rows and all of its pseudo-labels, which together weigh as much as the labelled ones at
+    most. Each step is one pass over the pool in Spark: tasks sum gradients, Spark adds the sums up, and the driver sees as many
+    numbers as the views have columns, whatever the pool's size. A step that made the loss larger is cut to a quarter.
     """
-    models, mean, scale = learner.models, learner.mean, learner.scale
+    teachers, before = [m.copy() for m in learner.models], learner.accuracy()
+    mean, scale = learner.mean, learner.scale
     plain = lambda k, view: (view - mean) / scale if k else view
-
-    trusted = {(k, said): learner.trusted(k, said, confident) for k in (0, 1) for said in (0, 1)}
-
-    def verdicts(batch):
-        for k, view in enumerate(arrays(batch)):
-            p = chance(logit(plain(k, view), models[k]))
-            for said, rows in ((1, p >= confident), (0, p <= 1 - confident)):
-                yield k, said, np.flatnonzero(rows) if trusted[k, said] else np.empty(0, np.int64)
-
-    def count(batches):
-        for batch in batches:
-            found = [(k, said, len(rows)) for k, said, rows in verdicts(batch)]
-            yield pa.RecordBatch.from_pydict(dict(zip(("teacher", "said", "n"), map(list, zip(*found, strict=True)), strict=True)))
-
-    counts = {(r.teacher, r.said): r.n for r in pool.mapInArrow(count, "teacher long, said long, n long").groupBy("teacher", "said").agg(F.sum("n").alias("n")).collect()}  # four rows
-
-    def pick(batches):
-        for batch in batches:
-            h = batch.column("h").to_numpy()
-            for k, said, rows in verdicts(batch):
-                rows = rows[h[rows] * counts[k, said] < most]
-                part = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k)), pa.array(np.full(len(rows), said)), part.column("h"), part.column("content"), part.column("metadata")], names=["teacher", "said", "h", "content", "metadata"])
-
-    found = pool.mapInArrow(pick, "teacher long, said long, h double, content binary, metadata binary").dropDuplicates(["teacher", "said", "h"])
-    found = found.orderBy("h", "teacher", "said").limit(8 * most).toArrow()  # twice what is expected
-    out = []
-    for k in (0, 1):
-        mine = found.filter(pc.equal(found["teacher"], 1 - k)).sort_by("h")
-        out.append((plain(k, arrays(mine)[k]), mine["said"].to_numpy().astype(float)))
-    return out
-
-
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 6000, most_taught: int = 1500, rounds: int = 4, confident: float = 0.98, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> CoTrained:
+    trusted = [learner.trusted(k, 0, confident) and learner.trusted(k, 1, confident) for k in (0, 1)]
+    counts: dict = {}
+    last: list[tuple] = [(None, math.inf)] * 2
+    for _ in range(steps + 1):
+        students = [m.copy() for m in learner.models]
+
+        def sums(batches, students=students):
+            total, squares = ([np.zeros(w + 1) for w in WIDTHS] for _ in range(2))
+            n, loss = np.zeros((2, 2)), np.zeros(2)
+            for batch in batches:
+                views = [plain(k, view) for k, view in enumerate(arrays(batch))]
+                for k in (0, 1):
+                    if not trusted[1 - k]:
+                        continue
+                    p = chance(logit(views[1 - k], teachers[1 - k]))
+                    good, bad = p >= confident, p <= 1 - confident
+                    rows = np.flatnonzero(good | bad)
+                    if len(rows):
+                        z = logit(views[k][rows], students[k])
+                        off = chance(z) - good[rows]
+                        loss[k] += (np.logaddexp(0, z) - good[rows] * z).sum()
+                        total[k] += np.append(off @ views[k][rows], off.sum())
+                        squares[k] += np.append((views[k][rows] ** 2).sum(0), len(rows))
+                        n[1 - k] += bad.sum(), good.sum()
+            for k in (0, 1):
+                values = np.concatenate([total[k], squares[k], n[1 - k], loss[[k]]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), k)), pa.array(np.arange(len(values))), pa.array(values)], names=["view", "at", "value"])
+
+        got = {(r.view, r["at"]): r.value for r in pool.mapInArrow(sums, "view long, at long, value double").groupBy("view", "at").agg(F.sum("value").alias("value")).collect()}
+        for k in (0, 1):
+            wide = WIDTHS[k] + 1
+            counts |= {(1 - k, said): int(got.get((k, 2 * wide + said), 0)) for said in (0, 1)}
+            weight = min(0.5, (~learner.held).sum() / max(1, counts[1 - k, 0] + counts[1 - k, 1]))
+            taught, squares = (weight * np.array([got.get((k, at), 0.0) for at in range(first, first + wide)]) for first in (0, wide))
+            slope, loss = learner.slope(k, students[k])
+            loss += weight * got.get((k, 2 * wide + 2), 0.0)
+            if loss > last[k][1]:
+                learner.models[k] = last[k][0] + (students[k] - last[k][0]) / 4
+                continue
+            last[k] = students[k], loss
+            learner.models[k] = students[k] - np.linalg.solve(learner.curve(k, students[k], squares), slope + taught)
+    learner.models = [w for w, _ in last]  # the last weights whose loss is known
+    learner.history.append({"pseudo_labels": counts, "accuracy_before": before, "accuracy_after": learner.accuracy()})
+
+
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 6000, rounds: int = 4, confident: float = 0.98, steps: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> CoTrained:
     """Fit both views on labelled documents and let each teach the other from all other documents, over ``rounds`` rounds.
 
     At most ``most_labelled`` labelled documents, those with the smallest hashes
     of their ids, are fitted on; every other document is in the pool. In each
-    round each view scores the whole pool in Spark; the rows that it is sure of
-    at ``confident`` are the pseudo-labels that the other view learns from. A
-    fit takes some ``most_taught`` of them of each class, spread evenly over the
-    corpus by hash. These bounds are parameters of the fit; all else covers all
-    rows, and only rows of the fits come to the driver.
+    exchange between two rounds each view judges the whole pool in Spark, and the other view learns from all rows that it is
+    sure of at ``confident``, over ``steps`` passes (``exchange``). The bound on labelled rows is a parameter of the fit; all else covers
+    all rows, and only labelled rows and sums come to the driver. ``history`` of the model tells what each exchange did.
 
     Ids with several labels count as good if one is; ids of several documents
     give one of them. Rows with a null label or id aren't labelled; columns
@@ -226,9 +279,9 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 6000, most_ta
     if len(label) < 8 or label.min() == label.max():
         return CoTrained(None, None, None, None, [], None, float(label.mean()) if len(label) else 1.0)
     learner = Learner(arrays(known), label)
-    pool = views.join(chosen.select("id"), "id", "left_anti").select("h", "content", "metadata")
+    pool = views.join(chosen.select("id"), "id", "left_anti").select("content", "metadata")
     for _ in range(rounds - 1):
-        learner.models = [learner.fit(k, *taught) for k, taught in enumerate(sure_of(pool, learner, confident, most_taught))]
+        exchange(pool, learner, confident, steps)
     forget(views)
     return learner.joined()
 
@@ -239,7 +292,7 @@ ADDED = ("p_content", "p_metadata", "score", "keep")
 def scored(docs: DataFrame, model: CoTrained, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` with ``p_content``, ``p_metadata``, ``score`` and ``keep``, without a shuffle.
 
-    Columns of those names are replaced. A null text counts as empty; it, and
+    Columns of the docs that have those names (``ADDED``) are replaced; a caller who needs them renames them first. A null text counts as empty; it, and
     every row of a model whose labels were all alike, gets a score as any other.
     """
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -368,6 +368,48 @@ def test_unrelated_numbers_are_clean(spark):
     assert [k for k, v in got.items() if v] == [102]
 
 
+def test_exchange_is_the_fit_on_labels_and_all_pseudo_labels(spark):
+    """After enough steps the weights are those of a plain fit on labelled rows and every confident row of the pool."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+
+    def rows(n):
+        y = rng.integers(0, 2, n)
+        content = np.clip(rng.normal(100, 20, (n, quality.WIDTHS[0])), 0, 255).astype(np.uint8)
+        content[:, :40] = np.clip(rng.normal(90 + 40 * y[:, None], 12, (n, 40)), 0, 255)
+        metadata = rng.normal(0, 1, (n, quality.WIDTHS[1])).astype("<f4")
+        metadata[:, 50] += 9 * y
+        return content, metadata, y.astype(float)
+
+    content, metadata, label = rows(200)
+    learner = quality.Learner([content / quality.SCALE, metadata.astype(float)], label)
+    c, m, _ = rows(600)
+    pool = spark.createDataFrame([(bytearray(a.tobytes()), bytearray(b.tobytes())) for a, b in zip(c, m, strict=True)], "content binary, metadata binary").repartition(3)
+    start = [w.copy() for w in learner.models]
+    views = [c / quality.SCALE, learner.plain(1, m.astype(float))]
+    loss, taught = [], {}
+    for k in (0, 1):
+        assert learner.trusted(1 - k, 0, 0.9) and learner.trusted(1 - k, 1, 0.9)
+        p = quality.chance(quality.logit(views[1 - k], start[1 - k]))
+        good, bad = p >= 0.9, p <= 0.1
+        taught |= {(1 - k, 0): int(bad.sum()), (1 - k, 1): int(good.sum())}
+        use, train = good | bad, ~learner.held
+        weight = np.append(np.ones(train.sum()), np.full(use.sum(), min(0.5, train.sum() / use.sum())))
+        x, y = np.vstack([learner.views[k][train], views[k][use]]), np.append(label[train], good[use])
+
+        def value(w, k=k, x=x, y=y, weight=weight):
+            z = quality.logit(x, w)
+            return float((weight * (np.logaddexp(0, z) - y * z)).sum() + learner.RIDGE[k] / 2 * w @ w)
+
+        loss.append((value, value(start[k]), value(quality.fitted(x, y, weight, learner.RIDGE[k], 50))))
+    quality.exchange(pool, learner, 0.9, 40)
+    assert learner.history[0]["pseudo_labels"] == taught and min(taught.values()) > 100
+    for k in (0, 1):
+        value, before, best = loss[k]
+        assert value(learner.models[k]) - best < 0.02 * (before - best)
+
+
 def test_quality(spark):
     rng = random.Random(6)
     words = ["river", "stone", "house", "green", "walks", "under", "light", "paper"]
