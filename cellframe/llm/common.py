@@ -11,8 +11,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Entries of a worker's look-up table of words; a worker keeps the tables of all operators that it has run, two or more share an executor.
+#: Entries of a look-up table of words. A worker holds those of one operator at a time (``sole``), so this bounds its memory in a pipeline too.
 MOST_KEPT = 300_000
+_held: list[dict] = []
+
+
+def sole(*tables: dict) -> None:
+    """Say whose look-up tables this worker uses from now on; those of the operator before it are emptied.
+
+    Spark hands a worker from stage to stage, and with it what its modules hold.
+    """
+    if not _held or _held[0] is not tables[0]:
+        for table in _held:
+            table.clear()
+        _held[:] = tables
 
 
 def shared_dir(spark: SparkSession) -> str:

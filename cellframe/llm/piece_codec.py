@@ -10,7 +10,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_KEPT, map_batches
+from .common import MOST_KEPT, map_batches, sole
 
 SPACE = "▁"
 LONGEST_KEPT = 48
@@ -196,6 +196,7 @@ _loaded: dict[str, PieceCodec] = {}
 def codec_of(path: str) -> PieceCodec:
     if path not in _loaded:
         _loaded[path] = PieceCodec(path)
+    sole(_loaded[path].words, _loaded[path].fits)
     return _loaded[path]
 
 
@@ -217,7 +218,11 @@ def piece_codes(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
 
 
 def piece_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_tokens, ids_sha256, decoded_sha256)``: what ``piece_codes`` gives, as digests made beside it."""
+    """``(id, n_tokens, ids_sha256, decoded_sha256)``: what ``piece_codes`` gives, as digests made beside it.
+
+    A null text counts as empty: no tokens, digests of the empty text. Repeated rows and null ids come out as they went in, an empty table gives an
+    empty result.
+    """
 
     def run(rows):
         codec, out = codec_of(model), {"key": rows["key"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}

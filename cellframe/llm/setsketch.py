@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_KEPT, components, map_batches, written
+from .common import MOST_KEPT, components, map_batches, sole, written
 
 ROWS, BANDS = 6, 40
 REGISTERS = ROWS * BANDS
@@ -54,6 +54,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode("utf-8").lower().split()
     if not words:
         return np.empty(0, np.uint64)
+    sole(_words)
     if len(_words) > MOST_KEPT:
         _words.clear()
     hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_KEPT, map_batches, row_key, written
+from .common import MOST_KEPT, map_batches, row_key, sole, written
 
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:\n]")
 UNITS = frozenset(
@@ -65,6 +65,7 @@ def canonical(text: str | None) -> tuple[list[str], dict[int, str]]:
 def rolled(tokens: list[str], width: int) -> np.ndarray:
     """Hash of each window of ``width`` tokens."""
     n = len(tokens) - width + 1
+    sole(_tokens)
     if len(_tokens) > MOST_KEPT:
         _tokens.clear()
     hashes = np.fromiter(map(_tokens.__getitem__, tokens), np.uint64, len(tokens))
