@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import Soil, band_label, erosion_label, threshold_c, top_label
+from ..functions.expr import EPS, Soil, at_least, band_label, erosion_label, threshold_c, top_label
+from .shared import kept
 
 BINS = 100  # bins of a natural logarithm's unit
 
@@ -34,34 +39,86 @@ def pci_by_rank(cells: DataFrame, samples: DataFrame, g: str = "g", c: str = "c"
     return out.withColumn("pci", pci).drop("_gbin", "_lo", "_hi", "_n", "_under", "_all", "_bin", "_before", "_own")
 
 
+#: For one and for two inputs that are bands: intervals of each band, and places in each at which a mean over draws is computed.
+SPLIT, NODES = {1: 64, 2: 16}, {1: 10, 2: 7}
+G_BINS = 128
+NEAR = 1e-9  # relative room for rounding in bounds
+#: Fixed: the sense in which the threshold follows each input.
+RISES = {"d": True, "n": True, "q": False}
+
+
 def pci_monte_carlo(cells: DataFrame, samples: DataFrame, d50: Column | None = None, na: Column | None = None, r: Column | None = None, g: str = "g", soil: Soil = Soil()) -> DataFrame:
-    """``(cid, pci, c_mean)`` where inputs may be columns of cells: each sample's threshold is computed for each cell.
-
-    Inputs not given come from the sample table, which is broadcast (its size is
-    a parameter). Cells with equal inputs have equal thresholds: where inputs
-    repeat at least ``REPEATS`` times, draws meet each different set of inputs
-    once, and cells find their place among a set's sorted thresholds. Else each
-    cell meets the draws; counts and sums are formed before the shuffle, so that
-    a cell sends one row.
+    """``(cid, pci, c_mean)`` where inputs may be columns of cells (SI units): the share of draws whose threshold is at most ``g``, and their mean.
+
+    Inputs not given come from the sample table, whose size is a parameter. Without bands a cell finds its rank among the draws'
+    thresholds (``pci_by_rank``). With one or two, cells fall into boxes of the bands and of ``g``. The threshold rises with diameter and roughness and falls with
+    the rate, so a box's corners say which draws are surely at most ``g``, and which surely over it, for all of its cells; a cell
+    computes the others alone, some hundredth of all. Means over draws are smooth in the bands: each interval has their Chebyshev series
+    (relative error under 1e-9). Tables of boxes and series have a size set by ``SPLIT``, ``G_BINS`` and the number of draws, not by the grid, and are broadcast.
+    With three bands nothing is drawn. A missing band counts as missing ``pci``; cells without ``g`` are left out.
     """
     valid = cells.where(F.col(g).isNotNull())
-    named = {k: v for k, v in {"_d": d50, "_n": na, "_q": r}.items() if v is not None}
-    drawn = {"_d": F.col("d50_mm") / 1000.0, "_n": F.col("na"), "_q": F.col("r_mm_hr") / 1000.0 / 3600.0}
-    draws = samples.select(*[drawn[k].alias(k) for k in drawn if k not in named])
-    sets = valid.select(*[v.alias(k) for k, v in named.items()])
-    n, different = sets.agg(F.count("*"), F.approx_count_distinct(F.struct(*named)) if named else F.lit(1)).first()
-    met = valid.withColumns(named) if named else valid
-    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if n < REPEATS * different:
-        pairs = met.repartition(tasks).crossJoin(F.broadcast(draws)).withColumn("_c", threshold_c("_d", "_n", "_q", soil))
-        return pairs.groupBy("cid").agg((F.count_if(F.col("_c") <= F.col(g)) / F.count("*")).alias("pci"), F.avg("_c").alias("c_mean"))
-    pairs = sets.distinct().repartition(tasks, *named).crossJoin(F.broadcast(draws)) if named else draws
-    curves = pairs.withColumn("_c", threshold_c("_d", "_n", "_q", soil)).groupBy(*named).agg(F.array_sort(F.array_agg("_c")).alias("_cs"), F.avg("_c").alias("c_mean"))
-    out = met.join(curves, list(named)) if named else met.crossJoin(F.broadcast(curves))
-    return out.select("cid", (count_at_most("_cs", F.col(g)) / F.size("_cs")).alias("pci"), "c_mean")
-
-
-REPEATS = 20
+    bands = {k: v.cast("double") for k, v in {"d": d50, "n": na, "q": r}.items() if v is not None}
+    drawn = {k: v for k, v in {"d": F.col("d50_mm") / 1000.0, "n": F.col("na"), "q": F.col("r_mm_hr") / 1000.0 / 3600.0}.items() if k not in bands}
+    met = valid.select("cid", F.col(g).cast("double").alias("_g"), *[v.alias(f"_{k}") for k, v in bands.items()])
+    if not drawn:
+        c = threshold_c("_d", "_n", "_q", soil)
+        return met.select("cid", (c <= F.col("_g")).cast("double").alias("pci"), c.alias("c_mean"))
+    draws = samples.select(*[v.alias(k) for k, v in drawn.items()])
+    if not bands:
+        curve = kept(draws.select(threshold_c("d", "n", "q", soil).alias("c")))
+        mean = curve.agg(F.avg("c")).first()[0]
+        return pci_by_rank(met, curve, "_g").select("cid", "pci", F.lit(mean).cast("double").alias("c_mean"))
+    return _by_boxes(met, draws, list(bands), soil)
+
+
+def _scaled(name: str, value: Column) -> Column:
+    """A band on the scale that it is split on: logarithms of diameters and rates, roughness from 0 on."""
+    return at_least(value, 0.0) if name == "n" else F.ln(at_least(value, EPS))
+
+
+def _unscaled(name: str, value: Column) -> Column:
+    return value if name == "n" else F.exp(value)
+
+
+def _by_boxes(met: DataFrame, draws: DataFrame, names: list[str], soil: Soil) -> DataFrame:
+    split, nodes, n_draws = SPLIT[len(names)], NODES[len(names)], draws.count()
+    met = met.withColumns({f"t_{k}": _scaled(k, F.col(f"_{k}")) for k in names}).withColumn("t_g", F.when(F.col("_g") > 0, F.ln("_g")))
+    ends = met.agg(*[f(f"t_{k}").alias(f"{e}_{k}") for k in [*names, "g"] for e, f in (("lo", F.min), ("hi", F.max))]).first()
+    width = {k: max(((ends[f"hi_{k}"] or 0.0) - (ends[f"lo_{k}"] or 0.0)) / (split if k != "g" else G_BINS), 1e-12) for k in [*names, "g"]}
+    low = {k: ends[f"lo_{k}"] or 0.0 for k in [*names, "g"]}
+    bin_of = lambda k: F.coalesce(F.least(F.floor((F.col(f"t_{k}") - low[k]) / width[k]), F.lit((split if k != "g" else G_BINS) - 1)), F.lit(-1)).cast("int")
+    met = met.withColumns({f"b_{k}": bin_of(k) for k in [*names, "g"]})
+    box = ["b_g", *[f"b_{k}" for k in names]]
+    each = met.groupBy(*box).agg(F.min("_g").alias("g0"), F.max("_g").alias("g1"), *[f(f"_{k}").alias(f"{k}{e}") for k in names for e, f in ((0, F.min), (1, F.max))])
+    at = lambda high: threshold_c(*[F.col(k) if k not in names else F.col(f"{k}{int(RISES[k] == high)}") for k in "dnq"], soil)
+    tasks = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    corners = kept(each).repartition(tasks, *box).crossJoin(F.broadcast(draws)).withColumn("c0", at(False) * (1 - NEAR)).withColumn("c1", at(True) * (1 + NEAR))  # a box and a draw: both are bounded by parameters
+    free = F.struct(*[F.col(k) for k in "dnq" if k not in names])
+    boxes = kept(corners.groupBy(*box).agg(F.count_if(F.col("c1") <= F.col("g0")).alias("_sure"), F.collect_list(F.when((F.col("c1") > F.col("g0")) & (F.col("c0") <= F.col("g1")), free)).alias("_open")))
+    counted = F.size(F.filter("_open", lambda x: threshold_c(*[x[k] if k not in names else F.col(f"_{k}") for k in "dnq"], soil) <= F.col("_g")))
+    out = met.join(F.broadcast(boxes), box).withColumn("pci", (F.col("_sure") + counted) / float(n_draws))
+    # means over the draws at the Chebyshev places of each interval, turned into a series
+    spark, angles = met.sparkSession, [math.pi * (j + 0.5) / nodes for j in range(nodes)]
+    places = itertools.product(range(split), range(nodes))
+    rows = [(b, j, low[names[0]] + width[names[0]] * (b + 0.5 + 0.5 * math.cos(angles[j]))) for b, j in places]
+    grid = spark.createDataFrame(rows, f"b_{names[0]} int, j_{names[0]} int, v_{names[0]} double")
+    for k in names[1:]:
+        rows = [(b, j, low[k] + width[k] * (b + 0.5 + 0.5 * math.cos(angles[j]))) for b, j in itertools.product(range(split), range(nodes))]
+        grid = grid.crossJoin(spark.createDataFrame(rows, f"b_{k} int, j_{k} int, v_{k} double"))
+    c = threshold_c(*[F.col(k) if k not in names else _unscaled(k, F.col(f"v_{k}")) for k in "dnq"], soil)
+    keys = [f"b_{k}" for k in names]
+    means = grid.repartition(tasks).crossJoin(F.broadcast(draws)).groupBy(*keys, *[f"j_{k}" for k in names]).agg(F.avg(c).alias("f"))
+    orders = list(itertools.product(range(nodes), repeat=len(names)))
+    weight = lambda order: math.prod(1.0 if m == 0 else 2.0 for m in order) / nodes ** len(names)
+    term = lambda order: F.sum(F.col("f") * functools.reduce(lambda a, b: a * b, [F.cos(F.lit(float(m)) * math.pi * (F.col(f"j_{k}") + 0.5) / nodes) for k, m in zip(names, order, strict=True)]))
+    series = kept(means.groupBy(*keys).agg(F.array(*[term(o) * weight(o) for o in orders]).alias("_series")))
+    angle = {k: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * ((F.col(f"t_{k}") - low[k]) / width[k] - F.col(f"b_{k}")) - 1))) for k in names}
+    out = out.join(F.broadcast(series), keys, "left").withColumns({f"a_{k}": a for k, a in angle.items()})
+    waves = [functools.reduce(lambda a, b: a * b, [F.cos(float(m) * F.col(f"a_{k}")) for k, m in zip(names, o, strict=True)]) for o in orders]
+    mean = functools.reduce(lambda a, b: a + b, [F.get("_series", F.lit(i)) * w for i, w in enumerate(waves)])
+    whole = functools.reduce(lambda a, b: a & b, [F.col(f"_{k}").isNotNull() for k in names])
+    return out.select("cid", F.when(whole, F.col("pci")).alias("pci"), F.when(whole, mean).alias("c_mean"))
 
 
 def count_at_most(sorted_values: str, x: Column) -> Column:

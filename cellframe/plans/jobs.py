@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import driving_index
-from ..operators import grid, select
-from .config import least_area
+from ..functions import sampling
+from ..functions.expr import converted, driving_index
+from ..operators import grid, select, tiles
+from ..sources import tables
+from .config import Settings
 
 
 def source_areas(cells: DataFrame, percents: list[float], c_mins: list[float], c_max: float | None, erosion: Column, cell_area: float, table: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -34,20 +36,20 @@ def selection_table(cells: DataFrame, percents: list[float], c_mins: list[float]
     return cuts.unionByName(bands).select("label", "top_percent", "pci_cutoff", "c_min", "c_max", number(threshold).alias("dod_thresh"), "method")
 
 
-def source_area_workflow(cells: DataFrame, settings: dict, cell_area: float) -> dict[str, DataFrame]:
-    """The selections of ``settings["source_area"]`` over scored cells (``cid, r, c, g, dz, pci``), all at once.
+def source_area_workflow(cells: DataFrame, settings: Settings, cell_area: float) -> dict[str, DataFrame]:
+    """The selections of ``settings.source_area`` over scored cells (``cid, r, c, g, dz, pci``), all at once.
 
     Gives ``cells`` (chosen cells by label), ``polygons`` with ids and the
     selection's attributes, and the four summaries: cells and polygons of
     selections by top percent and by band, with zeros where there is nothing.
     """
-    own = settings["source_area"]
-    threshold = float(own["erosion_threshold_m"]) if own.get("use_dod_filter", True) else None
+    own = settings.source_area
+    threshold = float(own.erosion_threshold_m) if own.use_dod_filter else None
     erosion = select.eroded("dz", threshold) if threshold is not None else F.lit(True)
-    percents, c_mins, c_max = own["top_percent_values"], own["c_min_values"], own.get("c_channel_max")
+    percents, c_mins, c_max = list(own.top_percent_values), list(own.c_min_values), own.c_channel_max
     table = grid.kept(selection_table(cells, percents, c_mins, c_max, threshold))
     chosen = grid.kept(source_areas(cells, percents, c_mins, c_max, erosion, cell_area, table)[0])
-    shapes = grid.kept(source_polygons(chosen, cell_area, least_area(settings)))
+    shapes = grid.kept(source_polygons(chosen, cell_area, settings.least_area()))
     polygons = shapes.join(F.broadcast(table), "label").select("label", "component", "source_id", F.col("source_id").alias("mass__wasting_id"), "top_percent", "pci_cutoff", "c_min", "c_max", "dod_thresh", "method", "area_m2", "area_km2")
     cell_sums = table.join(chosen.groupBy("label").agg(F.count("*").alias("n")), "label", "left").withColumn("source_pixels", F.coalesce("n", F.lit(0)))
     cell_sums = cell_sums.withColumn("source_area_m2", F.col("source_pixels") * float(cell_area)).withColumn("source_area_km2", F.col("source_area_m2") / 1e6)
@@ -72,22 +74,79 @@ def source_polygons(chosen: DataFrame, cell_area: float, least_area: float = 0.0
     return grid.polygons(parts.join(chosen.select("label", "cid", "pci"), ["label", "cid"]), cell_area, least_area, ["label"], "pci")
 
 
-def terrain(cells: DataFrame, cell_size: float, alpha: float = 1.167, value: str = "z") -> DataFrame:
+def terrain(cells: DataFrame, cell_size: float, alpha: float = 1.167, value: str = "z", fill_sinks: bool = True, directions: int = 8) -> DataFrame:
     """``(cid, r, c, z, filled, a, s, g)``: sinks filled, flow gathered, slope, specific area and driving index.
 
-    A cell without a lower neighbour has slope 0.
+    Without ``fill_sinks`` water stays in sinks and flats, and ``filled`` is the elevation. ``directions`` 4 leaves out the
+    diagonal ones. A cell without a lower neighbour has slope 0.
     """
-    full = grid.kept(grid.filled(cells, value))
-    up = grid.flow_accumulation(full.select("cid"), grid.drained(full))
-    slope = grid.receivers(full, "filled", cell_size).select("cid", "slope")
-    out = full.join(up, "cid").join(slope, "cid", "left")
+    offsets = grid.FOUR if directions == 4 else grid.EIGHT
+    valid = cells.where(F.col(value).isNotNull())
+    full = grid.kept(grid.filled(cells, value) if fill_sinks else valid.select("cid", "r", "c", F.col(value).alias("z"), F.col(value).alias("filled")))
+    flow = tiles.drained(full, "filled", offsets) if fill_sinks else grid.kept(tiles.flow_of_descent(full, "filled", offsets))
+    slope = tiles.receivers(full, "filled", cell_size, offsets).select("cid", "slope")
+    out = full.join(tiles.accumulated(flow), "cid").join(slope, "cid", "left")
     out = out.select("cid", "r", "c", "z", "filled", (F.col("cells_up") * float(cell_size)).alias("a"), F.coalesce("slope", F.lit(0.0)).alias("s"))
     return out.withColumn("g", driving_index("a", "s", alpha))
 
 
+def scored(cells: DataFrame, settings: Settings, rasters: dict[str, DataFrame] | None = None) -> DataFrame:
+    """``cells(cid, r, c, g)`` with ``pci`` and ``c_model_mean``: the three inputs as the settings say, constant, drawn, or a raster.
+
+    A raster input's cells ``(r, c, value)`` are in ``rasters``, or else read from the path of its spec; its values are converted as its
+    spec says. A cell without a value there has no ``pci``. Thresholds are rounded to 32-bit floats nowhere but where bands are written.
+    """
+    spark, rasters = cells.sparkSession, rasters or {}
+    specs = {k: settings.inputs[k] for k in ("d50", "na", "rainfall_excess")}
+    is_raster = {k: str(v.get("mode", "constant")).lower() == "raster" for k, v in specs.items()}
+    draws, soil = settings.draws, settings.soil
+    if draws.n_samples <= 0:
+        raise ValueError("the number of samples must be over 0")
+    # drawn inputs in SI units, in the units that sample tables have
+    si = {k: converted(sampling.drawn(v, draws.seed, k, "id"), k, v) for k, v in specs.items() if not is_raster[k]}
+    any_of = lambda k, scale: si[k] * scale if k in si else F.lit(None).cast("double")
+    samples = spark.range(draws.n_samples).select(F.col("id").alias("i"), any_of("d50", 1000.0).alias("d50_mm"), any_of("na", 1.0).alias("na"), any_of("rainfall_excess", 3_600_000.0).alias("r_mm_hr"))
+    met = cells
+    for k, raster in is_raster.items():
+        if raster:
+            band = rasters[k] if k in rasters else tables.read_band(spark, settings.place(specs[k]["path"]), "value")
+            met = met.join(band.select("r", "c", converted("value", k, specs[k]).alias(f"_in_{k}")), ["r", "c"], "left")
+    given = {arg: F.col(f"_in_{k}") for arg, k in (("d50", "d50"), ("na", "na"), ("r", "rainfall_excess")) if is_raster[k]}
+    result = select.pci_monte_carlo(met, grid.kept(samples), soil=soil, **given)
+    return cells.join(result.select("cid", "pci", F.col("c_mean").alias("c_model_mean")), "cid", "left")
+
+
+def pci_polygons(cells: DataFrame, threshold: float, cell_area: float, least_area: float = 0.0) -> DataFrame:
+    """Components of cells with ``pci`` of ``threshold`` or more, with statistics and ids."""
+    high = grid.kept(cells.where(F.col("pci") >= float(threshold)).select("cid", "r", "c", "pci"))
+    return grid.polygons(grid.components(high.select("cid", "r", "c")).join(high.select("cid", "pci"), "cid"), cell_area, least_area, value="pci")
+
+
 def pci_job(cells: DataFrame, samples: DataFrame, cell_size: float, threshold: float = 0.7, least_area: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """Scored cells of a terrain grid, and the polygons of cells at or over ``threshold``."""
-    scored = grid.kept(select.pci_by_rank(terrain(cells, cell_size), samples))
-    high = scored.where(F.col("pci") >= float(threshold)).select("cid", "r", "c")
-    parts = grid.components(high).join(scored.select("cid", "pci"), "cid")
-    return scored, grid.polygons(parts, cell_size * cell_size, least_area, value="pci")
+    found = grid.kept(select.pci_by_rank(terrain(cells, cell_size), samples))
+    return found, pci_polygons(found, threshold, cell_size * cell_size, least_area)
+
+
+def run_job(cells: DataFrame, settings: Settings, cell_size: tuple[float, float], rasters: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The whole job as its settings say: ``cells`` with terrain bands, ``pci`` and ``c_model_mean``, and ``source_polygons``.
+
+    ``cells(cid, r, c, z)`` is the elevation. Cells have to be square.
+    """
+    dx, dy = map(abs, cell_size)
+    if abs(dx - dy) > 1e-8 + 1e-5 * dy:
+        raise ValueError(f"cells have to be square, not {dx} x {dy}")
+    if not cells.where("z IS NOT NULL").limit(1).count():
+        raise ValueError("the elevation has no valid cell")
+    relief = grid.kept(terrain(cells, dx, settings.alpha, "z", settings.terrain.fill_sinks, settings.terrain.neighbours()))
+    found = grid.kept(scored(relief, settings, rasters))
+    return {"cells": found, "source_polygons": pci_polygons(found, settings.outputs.pci_threshold, dx * dx, settings.outputs.min_area_m2)}
+
+
+def write_job(results: dict[str, DataFrame], settings: Settings) -> dict[str, str]:
+    """Write a job's bands and polygons to the places that its settings name; gives the path of each output."""
+    bands = {"slope": "s", "specific_catchment_area": "a", "topographic_driving_index": "g", "c_model_mean": "c_model_mean", "pci": "pci"}
+    for name, column in bands.items():
+        tables.write_band(results["cells"], settings.output(name), column)
+    results["source_polygons"].write.mode("overwrite").parquet(settings.output("source_polygons"))
+    return {name: settings.output(name) for name in [*bands, "source_polygons"]}

@@ -297,8 +297,54 @@ def weibull_of_index(spark, sf_dir):
     return spark.createDataFrame([(round(shape, 6), round(scale, 6))], "shape double, scale double")
 
 
-@query()
+def relief(directions: int) -> str:
+    """SQL of the terrain stage: sinks filled, ways by steepest descent and over flats to the nearest way down, cells gathered along them.
+
+    Levels fall 120 times and flats are crossed 60 cells wide, more than the test grid needs.
+    """
+    straight = "" if directions == 8 else " AND (y.r = x.r OR y.c = x.c)"
+    return f"""round_ AS MATERIALIZED (SELECT x.cid, y.cid AS nid, row_number() OVER (PARTITION BY x.cid ORDER BY y.r, y.c) AS k, CASE WHEN y.r <> x.r AND y.c <> x.c THEN sqrt(2e0) ELSE 1e0 END AS dist, y.r = x.r OR y.c = x.c AS straight
+        FROM cells x JOIN cells y ON y.r BETWEEN x.r - 1 AND x.r + 1 AND y.c BETWEEN x.c - 1 AND x.c + 1 AND x.cid <> y.cid),
+    edge AS MATERIALIZED (SELECT cid FROM round_ GROUP BY cid HAVING count(*) < 8),
+    flood AS (SELECT 0 AS i, cid, z, CASE WHEN cid IN (SELECT cid FROM edge) THEN z ELSE 1e9 END AS level FROM cells UNION ALL
+        SELECT f.i + 1, f.cid, f.z, greatest(f.z, least(f.level, n.low)) FROM flood f JOIN (SELECT round_.cid, min(f2.level) AS low FROM round_ JOIN flood f2 ON f2.cid = round_.nid GROUP BY round_.cid) n ON n.cid = f.cid WHERE f.i < 120),
+    full_ AS MATERIALIZED (SELECT cid, level FROM flood WHERE i = 120),
+    near AS MATERIALIZED (SELECT p.cid, p.nid, p.k, a.level = b.level AS flat, (a.level - b.level) / p.dist AS drop_ FROM round_ p JOIN full_ a ON a.cid = p.cid JOIN full_ b ON b.cid = p.nid {"" if directions == 8 else "WHERE straight"}),
+    steep AS MATERIALIZED (SELECT cid, nid AS receiver, drop_ FROM near WHERE drop_ > 0 QUALIFY row_number() OVER (PARTITION BY cid ORDER BY drop_ DESC, k) = 1),
+    done AS MATERIALIZED (SELECT cid FROM steep UNION SELECT cid FROM edge),
+    across AS MATERIALIZED (SELECT cid, nid, k FROM near WHERE flat AND cid NOT IN (SELECT cid FROM done)),
+    front AS (SELECT 0 AS i, cid FROM done UNION SELECT i + 1, across.cid FROM front JOIN across ON nid = front.cid WHERE i < 60),
+    far AS MATERIALIZED (SELECT cid, min(i) AS d FROM front GROUP BY cid),
+    ways AS MATERIALIZED (SELECT cid, receiver FROM steep UNION ALL SELECT a.cid, a.nid FROM across a JOIN far x ON x.cid = a.cid JOIN far y ON y.cid = a.nid AND y.d = x.d - 1 QUALIFY row_number() OVER (PARTITION BY a.cid ORDER BY a.k) = 1),
+    walk AS (SELECT cid AS origin, cid FROM cells UNION ALL SELECT origin, receiver FROM walk JOIN ways USING (cid)),
+    up AS (SELECT cid, count(*) AS n FROM walk GROUP BY cid),
+    relief AS MATERIALIZED (SELECT cid, level AS filled, n * 10e0 AS a, coalesce(drop_, 0) / 10e0 AS s, n * 10e0 * power(coalesce(drop_, 0) / 10e0, 1.167e0) AS g FROM full_ JOIN up USING (cid) LEFT JOIN steep USING (cid))"""
+
+
+@query(f"WITH RECURSIVE {C}, {relief(8)}, {SA} SELECT cid, filled, a, round(s, 6) AS s, round(g, 6) AS g, round((SELECT count(*) FROM samples WHERE samples.c <= relief.g) / 1500e0, 6) AS pci FROM relief")
 def terrain_pci_job(spark, sf_dir):
     """The whole job from elevation to scored cells: sinks, flow, slope, area, index, probability."""
     cells = B.cells(spark, sf_dir).select("cid", "r", "c", "z")
-    return rounded(jobs.pci_job(cells, S.c_samples(spark), 10.0)[0].select("cid", "filled", "a", "s", "g", "pci"), "filled", "s", "g", "pci")
+    return rounded(jobs.pci_job(cells, S.c_samples(spark), 10.0)[0].select("cid", "filled", "a", "s", "g", "pci"), "s", "g", "pci")
+
+
+JOB = {"terrain": {"flow_director": "D4"}, "inputs": {"d50": {"mode": "constant", "value_mm": 2.0}, "na": {"mode": "raster", "units": "manning"}}}
+
+
+@query(f"WITH RECURSIVE {C}, {relief(4)}, {SA}, each AS (SELECT relief.cid, relief.g, {B.c_of('0.002e0', '(0.015e0 + 0.08e0 * (dz + 0.5e0))', '((15e0 + 40e0 * rain) / 1000e0 / 3600e0)')} AS cc FROM relief JOIN cells USING (cid), (SELECT {U('rainfall_excess')} AS rain FROM draws)) SELECT cid, round(avg((cc <= g)::int), 6) AS pci, round(avg(cc), 4) AS c_model_mean FROM each GROUP BY cid")
+def settings_job(spark, sf_dir):
+    """The job as its settings say it: four directions, a constant diameter, roughness from a raster, a drawn rate; written and read again."""
+    cells = B.cells(spark, sf_dir)
+    settings = job_settings(JOB, new_path(spark))
+    band = cells.select("r", "c", (0.015 + 0.08 * (F.col("dz") + 0.5)).alias("value"))
+    found = jobs.run_job(cells.select("cid", "r", "c", "z"), settings, (10.0, -10.0), {"na": band})["cells"]
+    return rounded(rounded(found.select("cid", "pci", "c_model_mean"), "pci"), "c_model_mean", digits=4)
+
+
+@query(f"WITH RECURSIVE {C}, {relief(8)}, {SA}, own AS (SELECT {B.c_of('(d50_mm / 1000e0)', 'na', '((15e0 + 40e0 * ' + U('rainfall_excess') + ') / 1000e0 / 3600e0)')} AS cc FROM draws), s AS (SELECT r, c, (SELECT count(*) FROM own WHERE cc <= relief.g) / 1500e0 AS pci, relief.s FROM relief JOIN cells USING (cid)) SELECT r, c, round(s::float::double, 5) AS slope, round(pci::float::double, 5) AS pci FROM s")
+def settings_job_written(spark, sf_dir):
+    """Bands of a job with default settings, read from where its settings say that they are written."""
+    settings = job_settings({"outputs": {"pci": "own/pci"}}, new_path(spark))
+    places = jobs.write_job(jobs.run_job(B.cells(spark, sf_dir).select("cid", "r", "c", "z"), settings, (10.0, 10.0)), settings)
+    slope, pci = (tables.read_band(spark, places[n], n) for n in ("slope", "pci"))
+    return slope.join(pci, ["r", "c"]).select("r", "c", F.round("slope", 5).alias("slope"), F.round("pci", 5).alias("pci"))

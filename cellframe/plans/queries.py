@@ -78,6 +78,20 @@ def pci_monte_carlo(spark, sf_dir):
     return rounded(rounded(out, "pci"), "c_mean", digits=4)
 
 
+@query(f"WITH {C}, {SA}, p AS (SELECT cid, avg((cc <= g)::int) AS pci, avg(cc) AS c_mean FROM (SELECT cid, g, {B.c_of('(d50_mm / 1000e0)', '(0.015e0 + 0.08e0 * (dz + 0.5e0))', '(r_mm_hr / 1000e0 / 3600e0)')} AS cc FROM cells, samples WHERE g IS NOT NULL) GROUP BY cid) SELECT cid, round(pci, 6) AS pci, round(c_mean, 4) AS c_mean FROM p")
+def pci_monte_carlo_band(spark, sf_dir):
+    """Roughness is a continuous band, different in every cell: each of the 1,500 draws counts in each cell."""
+    out = select.pci_monte_carlo(B.cells(spark, sf_dir), S.c_samples(spark), na=0.015 + 0.08 * (F.col("dz") + 0.5))
+    return rounded(rounded(out, "pci"), "c_mean", digits=4)
+
+
+@query(f"WITH {C}, {SA}, p AS (SELECT cid, avg((cc <= g)::int) AS pci, avg(cc) AS c_mean FROM (SELECT cid, g, {B.c_of('(0.0005e0 + 0.0001e0 * a)', '(na)', '((15e0 + 40e0 * (dz + 0.5e0)) / 1000e0 / 3600e0)')} AS cc FROM cells, samples WHERE g IS NOT NULL) GROUP BY cid) SELECT cid, round(pci, 6) AS pci, round(c_mean, 4) AS c_mean FROM p")
+def pci_monte_carlo_two_bands(spark, sf_dir):
+    """Diameter and rate are continuous bands, roughness is drawn."""
+    out = select.pci_monte_carlo(B.cells(spark, sf_dir), S.c_samples(spark), d50=0.0005 + 0.0001 * F.col("a"), r=(15.0 + 40.0 * (F.col("dz") + 0.5)) / 1000.0 / 3600.0)
+    return rounded(rounded(out, "pci"), "c_mean", digits=4)
+
+
 @query(f"WITH {C} SELECT cid, round({B.c_of('(0.001e0 + 0.0001e0 * (cid % 30))', '0.03e0', '(45e0 / 1000e0 / 3600e0)')}, 6) AS c, round(a / 10e0, 6) AS spec, round(CASE WHEN g > 0 THEN log10(g) END, 6) AS log_g, CASE WHEN g IS NOT NULL THEN (20e0 <= g)::int::double END AS det FROM cells")
 def cell_expressions(spark, sf_dir):
     d = 0.001 + 0.0001 * (F.col("cid") % 30)

@@ -251,10 +251,12 @@ def test_monte_carlo_scores_every_draw(spark, monkeypatch):
     draws = S.c_samples(spark).collect()
     assert len(draws) == 1500 and len(got) == 23
     few = select.pci_monte_carlo(cells, S.c_samples(spark), na=F.col("cid") * 0 + 0.02)
-    monkeypatch.setattr(select, "REPEATS", 1000)
+    for name, value in (("SPLIT", {1: 3, 2: 3}), ("NODES", {1: 12, 2: 12}), ("G_BINS", 2)):
+        monkeypatch.setattr(select, name, value)
     each = select.pci_monte_carlo(cells, S.c_samples(spark), na=F.col("cid") * 0 + 0.02)
     by_cid = lambda df: {r.cid: (round(r.pci, 9), round(r.c_mean, 6)) for r in df.collect()}
     assert by_cid(few) == by_cid(each)
+    got = {r.cid: r for r in queries.pci_monte_carlo(spark, "").collect()}
     for cell in cells.where("g IS NOT NULL").collect():
         na = 0.01 + 0.001 * (cell.cid % 50)
         c = []
@@ -266,6 +268,33 @@ def test_monte_carlo_scores_every_draw(spark, monkeypatch):
         assert got[cell.cid].c_mean == pytest.approx(sum(c) / 1500, abs=1e-4)
 
 
+def test_monte_carlo_of_bands(spark):
+    """One, two and three inputs as bands, missing ones, and values at the ends of the model's range."""
+    rows = [(k, 0.3 * k if k % 9 else None if k % 2 else 0.0, 0.0004 * (k % 13) if k % 11 else None, -0.01 + 0.01 * (k % 17), (k % 7) * 4e-6) for k in range(120)]
+    cells = spark.createDataFrame(rows, "cid long, g double, d double, n double, q double")
+    samples = S.c_samples(spark, 60)
+    draws = samples.collect()
+
+    def c_of(d, n, q):
+        d, n, q = max(d, 1e-12), max(n, 0.0), max(q, 1e-12)
+        nb = 0.0474 * d ** (1 / 6)
+        return (0.043 * 9.81 * 1650 * d / max(9810 * nb**1.5 * (nb + n) ** -0.9 * q**0.6, 1e-12)) ** (1 / 0.6)
+
+    for names in (["n"], ["d"], ["q"], ["d", "n"], ["n", "q"], ["d", "n", "q"]):
+        args = {"d": "d50", "n": "na", "q": "r"}
+        got = {r.cid: r for r in select.pci_monte_carlo(cells, samples, **{args[k]: F.col(k) for k in names}).collect()}
+        assert set(got) == {r[0] for r in rows if r[1] is not None}
+        for cid, g, d, n, q in rows:
+            if g is None:
+                continue
+            if "d" in names and d is None:
+                assert got[cid].pci is None and got[cid].c_mean is None
+                continue
+            c = [c_of(d if "d" in names else x.d50_mm / 1000, n if "n" in names else x.na, q if "q" in names else x.r_mm_hr / 3.6e6) for x in draws]
+            assert got[cid].pci == pytest.approx(sum(x <= g for x in c) / 60, abs=1e-12), (names, cid)
+            assert got[cid].c_mean == pytest.approx(sum(c) / 60, rel=1e-5 if len(names) == 2 else 1e-7), (names, cid)
+
+
 def test_weibull_fit(spark):
     draws = spark.range(4000).select((3.0 * F.pow(-F.ln(1 - S.uniform(1, "w", "id")), F.lit(1 / 1.7))).alias("x"))
     shape, scale = curves.weibull_fit(draws, "x")

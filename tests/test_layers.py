@@ -57,16 +57,20 @@ def test_barriers(spark):
 
 
 def test_settings():
-    own = {"source_area": {"top_percent_values": [25], "dem_diff": "b.tif"}, "paths": {"dem_diff": "/a.tif", "output_dir": "out"}}
+    own = {"source_area": {"top_percent_values": [25], "dem_diff": "b.tif"}, "paths": {"dem_diff": "/a.tif", "output_dir": "out"}, "outputs": {"pci": "mine/p", "pci_threshold": 0.6}, "parameters": {"alpha": 2, "k": 0.05}, "inputs": {"na": {"mode": "constant", "value": 0.03}}, "other": 1}
     got = config.job_settings(own, "/root")
-    assert got["source_area"]["top_percent_values"] == [25] and got["source_area"]["c_channel_max"] == 120
-    assert config.DEFAULTS["source_area"]["top_percent_values"] == [10, 5]
-    assert config.change_path(got) == "/a.tif" and config.change_path(config.job_settings({"source_area": {"dem_diff": "b.tif"}}, "/r")) == "/r/b.tif"
-    assert config.output_path(got, "slope", "s") == "/root/data/processed/s" and config.output_path(got, "pci", "p") == "/root/out/p"
+    assert got.source_area.top_percent_values == (25,) and got.source_area.c_channel_max == 120 and got.alpha == 2.0 and got.soil.k == 0.05 and got.soil.rho_s == 2650.0
+    assert config.job_settings().source_area.top_percent_values == (10, 5) and config.job_settings().draws.n_samples == 1500
+    assert got.inputs["na"] == {"mode": "constant", "value": 0.03} and got.inputs["d50"]["mean"] == 2.0
+    assert got.change_band() == "/a.tif" and config.job_settings({"source_area": {"dem_diff": "b.tif"}}, "/r").change_band() == "/r/b.tif"
+    assert got.output("slope") == "/root/data/processed/slope" and got.output("pci") == "/root/mine/p" and got.output("source_polygons") == "/root/out/source_polygons"
     assert config.first_existing(["x", "y"], lambda p: p == "y") == "y" and config.first_existing(["x", "y"], lambda p: False) == "x"
-    assert config.full_path(got, "hdfs://n/x") == "hdfs://n/x"
-    with pytest.raises(ValueError):
-        config.change_path(config.job_settings())
+    assert got.place("hdfs://n/x") == "hdfs://n/x"
+    assert got.least_area() == 0.0 and config.job_settings({"outputs": {"min_area_m2": 5}}).least_area() == 5.0
+    assert config.job_settings({"terrain": {"flow_director": "Steepest"}}).terrain.neighbours() == 4
+    for wrong in (lambda: config.job_settings().change_band(), lambda: config.job_settings({"terrain": {"flow_director": "MFD"}}).terrain.neighbours()):
+        with pytest.raises(ValueError):
+            wrong()
 
 
 def test_source_area_workflow(spark):
