@@ -78,23 +78,38 @@ def smallest_labels(nodes: DataFrame, edges: DataFrame, most_rounds: int = 64) -
     raise RuntimeError("labels did not settle")
 
 
-def components(mask: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def components(mask: DataFrame, keys: list[str] | None = None, cuts: DataFrame | None = None) -> DataFrame:
     """Cells of a mask with ``component``: 4-neighbour components, named by their first cell in row order.
 
     Runs of a row become spans; spans of adjacent rows that overlap are edges,
     so rounds are over spans, not cells. ``keys`` holds selections apart.
+    ``cuts(r, c, down)`` are pairs of cells that don't touch: a cell and the one to its right, or below it. A cut ends a run; spans
+    of adjacent rows touch if not every column that both have is cut.
     """
     keys = keys or []
     row = Window.partitionBy(*keys, "r").orderBy("c")
-    runs = mask.select(*keys, "cid", "r", "c", (F.col("c") - F.row_number().over(row)).alias("run"))
-    named = F.min("cid").over(Window.partitionBy(*keys, "r", "run"))
+    run = F.col("c") - F.row_number().over(row)
+    if cuts is None:
+        runs = mask.select(*keys, "cid", "r", "c", run.alias("run"), F.lit(0).alias("ends"))
+    else:
+        # the cell after a cut begins a run
+        ended = cuts.where("NOT down").select("r", (F.col("c") + 1).alias("c"), F.lit(1).alias("cut")).distinct()
+        runs = mask.select(*keys, "cid", "r", "c").join(ended, ["r", "c"], "left")
+        runs = runs.select(*keys, "cid", "r", "c", run.alias("run"), F.coalesce(F.sum("cut").over(row.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("ends"))
+    named = F.min("cid").over(Window.partitionBy(*keys, "r", "run", "ends"))
     runs = kept(runs.withColumn("span", F.xxhash64(*keys, named) if keys else named))
     spans = kept(runs.groupBy(*keys, "r", "span").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("cid").alias("first")))
     tile = F.explode(F.sequence(F.floor(F.col("lo") / 64), F.floor(F.col("hi") / 64))).alias("tile")
     upper = spans.select(*keys, (F.col("r") + 1).alias("r"), F.col("span").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), tile)
     lower = spans.select(*keys, "r", F.col("span").alias("b"), "lo", "hi", tile)
-    edges = upper.join(lower, [*keys, "r", "tile"]).where("alo <= hi AND lo <= ahi").select("a", "b").distinct()
-    labels = smallest_labels(spans.select(F.col("span").alias("id")), edges)
+    shared = F.least("ahi", "hi") - F.greatest("alo", "lo") + 1
+    edges = upper.join(lower, [*keys, "r", "tile"]).where("alo <= hi AND lo <= ahi").select("a", "b", shared.alias("shared")).distinct()
+    if cuts is not None:
+        below = cuts.where("down").select("r", "c").distinct()
+        over = below.join(runs.select(*keys, "r", "c", F.col("span").alias("a")), ["r", "c"]).withColumn("r", F.col("r") + 1)
+        parted_ = over.join(runs.select(*keys, "r", "c", F.col("span").alias("b")), [*keys, "r", "c"]).groupBy("a", "b").agg(F.count("*").alias("gone"))
+        edges = edges.join(parted_, ["a", "b"], "left").where(F.col("shared") > F.coalesce("gone", F.lit(0)))
+    labels = smallest_labels(spans.select(F.col("span").alias("id")), edges.select("a", "b"))
     lead = spans.select("span", "first").join(labels.select(F.col("id").alias("span"), "label"), "span")
     names = lead.groupBy("label").agg(F.min("first").alias("component"))
     return runs.join(lead.select("span", "label").join(names, "label").select("span", "component"), "span").select(*keys, "cid", "r", "c", "component")
@@ -205,6 +220,36 @@ def parted(area: DataFrame, barriers: DataFrame) -> DataFrame:
     return components(area.select("cid", "r", "c").join(barriers.select("r", "c").distinct(), ["r", "c"], "left_anti").select("cid", "r", "c"))
 
 
+def cut_sides(lines: DataFrame, height: int, width: int) -> DataFrame:
+    """``(r, c, down)``: the pairs of neighbouring cells of a grid whose centres polylines ``(points array<struct<x,y>>)``, in cell units, part.
+
+    Each segment is met with the rows, and the columns, of centres that it passes, so rows follow a line's length in cells. A centre on a line counts as
+    if it lay a little to the left, and, by far less, above: lines leave no gap where they touch centres or each other.
+    """
+    ends = lambda a, b: F.struct(a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1"))
+    n = F.greatest(F.size("points") - 1, F.lit(0))
+    each = lines.select(F.explode(F.zip_with(F.slice("points", 1, n), F.slice("points", 2, n), ends)).alias("s")).select("s.*")
+
+    def passed(u: str, v: str, most: int) -> DataFrame:
+        """For each centre between the segment's ends along ``u``: its number, and the number of the centre before the crossing along ``v``."""
+        u0, u1, v0, v1 = (F.col(f"{k}{e}") for k in (u, v) for e in (0, 1))
+        first = F.greatest(F.floor(F.least(u0, u1) - 0.5) + 1, F.lit(0))
+        last = F.least(F.floor(F.greatest(u0, u1) - 0.5), F.lit(most - 1))
+        met = each.where((u0 != u1) & (first <= last)).withColumn("k", F.explode(F.sequence(first, last)))
+        v = v0 + (F.col("k") + 0.5 - u0) * (v1 - v0) / (u1 - u0) - 0.5
+        # a little to the left, a line that falls to the right is higher up than at the centre itself
+        return met.select("k", F.when((v1 != v0) & ((v1 > v0) == (u1 > u0)), F.ceil(v) - 1).otherwise(F.floor(v)).alias("m") if u == "x" else F.floor(v).alias("m"))
+
+    across = passed("y", "x", height).select(F.col("k").alias("r"), F.col("m").alias("c"), F.lit(False).alias("down")).where((F.col("c") >= 0) & (F.col("c") < width - 1))
+    along = passed("x", "y", width).select(F.col("m").alias("r"), F.col("k").alias("c"), F.lit(True).alias("down")).where((F.col("r") >= 0) & (F.col("r") < height - 1))
+    return across.unionByName(along).distinct()
+
+
+def divided(area: DataFrame, lines: DataFrame, height: int, width: int) -> DataFrame:
+    """The parts into which contact lines cut an area: each of its cells is in one, since lines run between cells (``cut_sides``)."""
+    return components(area.select("cid", "r", "c"), cuts=kept(cut_sides(lines, height, width)))
+
+
 def without_holes(mask: DataFrame, height: int, width: int) -> DataFrame:
     """A mask and those parts of its complement that don't touch the grid's border."""
     spark = mask.sparkSession

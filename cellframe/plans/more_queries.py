@@ -297,6 +297,27 @@ def weibull_of_index(spark, sf_dir):
     return spark.createDataFrame([(round(shape, 6), round(scale, 6))], "shape double, scale double")
 
 
+CONTACTS = f"""area AS MATERIALIZED (SELECT cid, r, c FROM cells WHERE g >= 30),
+    line AS MATERIALIZED (SELECT c + 0.3e0 AS x0, r + 0.2e0 AS y0, c + 0.3e0 + 60e0 * dz AS x1, r + 0.2e0 + 20e0 * s AS y1 FROM cells WHERE cid % 97 = 0 AND s IS NOT NULL),
+    tall AS (SELECT *, unnest(range(greatest(floor(least(y0, y1) - 0.5e0)::bigint + 1, 0), floor(greatest(y0, y1) - 0.5e0)::bigint + 1)) AS r FROM line WHERE y0 <> y1),
+    wide AS (SELECT *, unnest(range(greatest(floor(least(x0, x1) - 0.5e0)::bigint + 1, 0), floor(greatest(x0, x1) - 0.5e0)::bigint + 1)) AS c FROM line WHERE x0 <> x1),
+    cut AS MATERIALIZED (SELECT DISTINCT r, floor(x0 + (r + 0.5e0 - y0) * (x1 - x0) / (y1 - y0) - 0.5e0)::bigint AS c, 0 AS down FROM tall UNION SELECT DISTINCT (CASE WHEN y1 <> y0 AND (y1 > y0) = (x1 > x0) THEN ceil(y0 + (c + 0.5e0 - x0) * (y1 - y0) / (x1 - x0) - 0.5e0) - 1 ELSE floor(y0 + (c + 0.5e0 - x0) * (y1 - y0) / (x1 - x0) - 0.5e0) END)::bigint, c, 1 FROM wide),
+    touch AS MATERIALIZED (SELECT a.cid, b.cid AS nid FROM area a JOIN area b ON b.r = a.r AND b.c = a.c + 1 LEFT JOIN cut ON cut.r = a.r AND cut.c = a.c AND down = 0 WHERE down IS NULL
+        UNION ALL SELECT a.cid, b.cid FROM area a JOIN area b ON b.r = a.r + 1 AND b.c = a.c LEFT JOIN cut ON cut.r = a.r AND cut.c = a.c AND down = 1 WHERE down IS NULL),
+    step AS MATERIALIZED (SELECT cid, nid FROM touch UNION ALL SELECT nid, cid FROM touch UNION ALL SELECT cid, cid FROM area),
+    spread AS (SELECT 0 AS i, cid, cid AS component FROM area UNION ALL SELECT s.i + 1, e.cid, min(s.component) FROM spread s JOIN step e ON e.nid = s.cid WHERE s.i < 700 GROUP BY s.i, e.cid)"""
+
+
+@query(f"WITH RECURSIVE {C}, {CONTACTS} SELECT component, count(*) AS n_cells, count(*) * 100e0 AS area_m2 FROM spread WHERE i = 700 GROUP BY component")
+def contact_parts(spark, sf_dir):
+    """Parts of an area between contact lines, which cut between cells: lines start at every 97th cell. SQL spreads names 700 times, more than the test grid needs."""
+    cells = B.cells(spark, sf_dir)
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x, y = F.col("c") + 0.3, F.col("r") + 0.2
+    lines = cells.where("cid % 97 = 0 AND s IS NOT NULL").select(F.array(point(x, y), point(x + 60.0 * F.col("dz"), y + 20.0 * F.col("s"))).alias("points"))
+    return grid.component_sizes(grid.divided(cells.where("g >= 30"), lines, B.height(spark, sf_dir), B.WIDTH), 100.0)
+
+
 def relief(directions: int) -> str:
     """SQL of the terrain stage: sinks filled, ways by steepest descent and over flats to the nearest way down, cells gathered along them.
 

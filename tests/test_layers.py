@@ -56,6 +56,41 @@ def test_barriers(spark):
     assert {(r.r, r.c) for r in grid.crossed_cells(slope, 6, 6).collect()} == {(0, 0), (0, 1), (0, 2), (0, 3), (1, 3), (2, 3)}
 
 
+def test_contacts_cut_between_cells(spark):
+    """Every cell is in a part, and parts are those of a plain flood that doesn't cross the lines."""
+    import random
+
+    rng = random.Random(8)
+    n = 14
+    inside = [(r, c) for r in range(n) for c in range(n) if rng.random() < 0.85]
+    lines = [[(0.0, 4.5), (14.0, 4.5)], [(7.5, 0.0), (7.5, 14.0)], [(1.2, 1.1), (12.7, 9.4), (3.3, 13.2)], [(5.0, 5.0), (9.0, 9.0)], [(2.5, 6.5), (6.5, 10.5)], [(3.0, 3.0)], [(13.0, 11.5), (0.5, 11.5)], [(9.5, 13.0), (9.5, 1.0)]]
+    area = spark.createDataFrame([(r * n + c, r, c) for r, c in inside], "cid long, r long, c long")
+    table = spark.createDataFrame([([{"x": x, "y": y} for x, y in line],) for line in lines], "points array<struct<x:double,y:double>>")
+    got = {r.cid: r.component for r in grid.divided(area, table, n, n).collect()}
+
+    def crossed(a, b):
+        # centres are moved by a little, as the rule says, so that no line touches one
+        (ax, ay), (bx, by) = ((c + 0.5 - 1e-5, r + 0.5 - 1e-9) for r, c in (a, b))
+        side = lambda px, py, qx, qy, x, y: (qx - px) * (y - py) - (qy - py) * (x - px)
+        for line in lines:
+            for (px, py), (qx, qy) in zip(line, line[1:]):
+                if side(px, py, qx, qy, ax, ay) * side(px, py, qx, qy, bx, by) < 0 and side(ax, ay, bx, by, px, py) * side(ax, ay, bx, by, qx, qy) < 0:
+                    return True
+        return False
+
+    label, there = {}, set(inside)
+    for start in inside:
+        if start not in label:
+            label[start], todo = start, [start]
+            while todo:
+                r, c = todo.pop()
+                for q in ((r, c + 1), (r + 1, c), (r, c - 1), (r - 1, c)):
+                    if q in there and q not in label and not crossed((r, c), q):
+                        label[q] = start
+                        todo.append(q)
+    assert got == {r * n + c: label[r, c][0] * n + label[r, c][1] for r, c in inside} and len(set(got.values())) > 8
+
+
 def test_settings():
     own = {"source_area": {"top_percent_values": [25], "dem_diff": "b.tif"}, "paths": {"dem_diff": "/a.tif", "output_dir": "out"}, "outputs": {"pci": "mine/p", "pci_threshold": 0.6}, "parameters": {"alpha": 2, "k": 0.05}, "inputs": {"na": {"mode": "constant", "value": 0.03}}, "other": 1}
     got = config.job_settings(own, "/root")
