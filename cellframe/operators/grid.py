@@ -183,6 +183,52 @@ def outline_points(parts: DataFrame, most_rounds: int = 64) -> DataFrame:
     return walk.join(turned, "id", "left_semi").join(sides, "id").select("component", "ring", (-F.col("ahead")).alias("seq"), F.col("x0").alias("x"), F.col("y0").alias("y"))
 
 
+#: Corners in a run of a ring.
+RUN = 512
+
+
+def ring_runs(points: DataFrame, run: int = RUN) -> DataFrame:
+    """``(component, ring, part, points, next, n)``: each ring of ``outline_points`` as runs of at most ``run`` corners, in order from its first one.
+
+    ``next`` is the corner after the run, the ring's first one after the last run; ``n`` is the ring's number of corners. Places come from ranks over all
+    corners (range partitions and prefix sums), so that no ring is put in order in one task, however long it is.
+    """
+    first = F.when(F.col("seq") == 0, F.lit(-(1 << 62))).otherwise(F.col("seq"))  # a ring's first side has no distance to itself
+    ranked = kept(numbered(points.withColumn("turn", first), ["component", "ring", "turn"], "rank"))
+    bounds = kept(ranked.groupBy("component", "ring").agg(F.min("rank").alias("base"), F.count("*").alias("n")))
+    placed = ranked.join(bounds, ["component", "ring"]).withColumn("at", F.col("rank") - F.col("base"))
+    corner = F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    each = placed.groupBy("component", "ring", "n", F.floor(F.col("at") / run).alias("part")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", corner.alias("p")))), lambda e: e["p"]).alias("points"))
+    each = kept(each)
+    parts = F.ceil(F.col("n") / run)
+    begins = each.select("component", "ring", F.pmod(F.col("part") - 1, parts).alias("part"), F.get("points", F.lit(0)).alias("next"))
+    return each.join(begins, ["component", "ring", "part"]).select("component", "ring", "part", "points", "next", "n")
+
+
+def run_measures(runs: DataFrame) -> DataFrame:
+    """``(component, ring, hole, area, length)`` of each ring, summed over its runs: in cell units, a hole's area less than 0."""
+    after = F.concat(F.slice("points", 2, F.size("points")), F.array("next"))
+    cross = F.aggregate(F.zip_with("points", after, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda t, v: t + v)
+    far = F.aggregate(F.zip_with("points", after, lambda a, b: F.sqrt((a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2)), F.lit(0.0), lambda t, v: t + v)
+    out = runs.select("component", "ring", cross.alias("cross"), far.alias("far")).groupBy("component", "ring").agg((F.sum("cross") / 2).alias("area"), F.sum("far").alias("length"))
+    return out.select("component", "ring", (F.col("area") < 0).alias("hole"), "area", "length")
+
+
+def run_texts(runs: DataFrame) -> DataFrame:
+    """``(component, geometry)``: polygons as well-known text, shells before holes, put together from the texts of their runs.
+
+    A row is as long as its polygon's outline, as a text of it has to be; everything before it is held in runs.
+    """
+    number = lambda v: F.regexp_replace(v.cast("string"), r"\.0$", "")
+    place = lambda p: F.concat(number(p["x"]), F.lit(" "), number(p["y"]))
+    holes = run_measures(runs).select("component", "ring", "hole")
+    text = F.array_join(F.transform("points", place), ", ")
+    each = runs.select("component", "ring", "part", text.alias("text"), place(F.col("next")).alias("close"))
+    rings = each.groupBy("component", "ring").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda e: e["text"]), ", ").alias("text"), F.max_by("close", "part").alias("close"))
+    named = rings.join(holes, ["component", "ring"]).select("component", F.struct("hole", "ring", F.concat(F.lit("("), "text", F.lit(", "), "close", F.lit(")")).alias("text")).alias("e"))
+    return named.groupBy("component").agg(F.concat(F.lit("POLYGON ("), F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["text"]), ", "), F.lit(")")).alias("geometry"))
+
+
 def outlines(points: DataFrame) -> DataFrame:
     """``(component, rings)``: each component's outer ring and then its holes, as arrays of ``{x, y}``. A row is as long as its outline."""
     # the ring's first side has no distance to itself, and is its start

@@ -117,9 +117,12 @@ def scored(cells: DataFrame, settings: Settings, rasters: dict[str, DataFrame] |
 
 
 def pci_polygons(cells: DataFrame, threshold: float, cell_area: float, least_area: float = 0.0) -> DataFrame:
-    """Components of cells with ``pci`` of ``threshold`` or more, with statistics and ids."""
+    """Components of cells with ``pci`` of ``threshold`` or more, with statistics, ids and ``geometry``, their outline as text in cell units."""
     high = grid.kept(cells.where(F.col("pci") >= float(threshold)).select("cid", "r", "c", "pci"))
-    return grid.polygons(grid.components(high.select("cid", "r", "c")).join(high.select("cid", "pci"), "cid"), cell_area, least_area, value="pci")
+    parts = grid.kept(grid.components(high.select("cid", "r", "c")).join(high.select("cid", "pci"), "cid"))
+    found = grid.kept(grid.polygons(parts, cell_area, least_area, value="pci"))
+    shapes = grid.run_texts(grid.ring_runs(grid.outline_points(parts.join(found.select("component"), "component", "left_semi"))))
+    return found.join(shapes, "component")
 
 
 def pci_job(cells: DataFrame, samples: DataFrame, cell_size: float, threshold: float = 0.7, least_area: float = 0.0) -> tuple[DataFrame, DataFrame]:

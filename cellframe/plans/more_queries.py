@@ -297,6 +297,37 @@ def weibull_of_index(spark, sf_dir):
     return spark.createDataFrame([(round(shape, 6), round(scale, 6))], "shape double, scale double")
 
 
+OUTLINED = f"""mask AS MATERIALIZED (SELECT cid, r, c FROM scored WHERE pci >= 0.7e0), link AS (SELECT x.cid, y.cid AS nid FROM mask x JOIN mask y ON abs(x.r - y.r) + abs(x.c - y.c) = 1 AND y.r BETWEEN x.r - 1 AND x.r + 1),
+    hop AS MATERIALIZED (SELECT cid, nid FROM link UNION ALL SELECT cid, cid FROM mask), named AS (SELECT 0 AS i, cid, cid AS component FROM mask UNION ALL SELECT s.i + 1, e.cid, min(s.component) FROM named s JOIN hop e ON e.nid = s.cid WHERE s.i < 400 GROUP BY s.i, e.cid),
+    part AS MATERIALIZED (SELECT component, r, c FROM named JOIN mask USING (cid) WHERE i = 400 AND component IN (SELECT component FROM named WHERE i = 400 GROUP BY component HAVING count(*) >= 3)),
+    way(k, dx0, dy0, dx1, dy1, dr, dc) AS (VALUES (0,0,0,1,0,-1,0), (1,1,0,1,1,0,1), (2,1,1,0,1,1,0), (3,0,1,0,0,0,-1)),
+    side AS MATERIALIZED (SELECT p.component, k, p.c + dx0 AS x0, p.r + dy0 AS y0, p.c + dx1 AS x1, p.r + dy1 AS y1, ((p.r + dy0) * 4294967296 + p.c + dx0) * 4 + k AS id FROM part p, way WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.component = p.component AND q.r = p.r + dr AND q.c = p.c + dc)),
+    follow AS MATERIALIZED (SELECT a.id, b.id AS next, a.k <> b.k AS turned FROM side a JOIN side b ON a.component = b.component AND a.x1 = b.x0 AND a.y1 = b.y0 WHERE (b.k - a.k + 4) % 4 <> 2 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY CASE (b.k - a.k + 4) % 4 WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END) = 1),
+    trip AS (SELECT id AS start, id, 0 AS n FROM side UNION ALL SELECT start, next, n + 1 FROM trip JOIN follow USING (id) WHERE next <> start),
+    lead AS MATERIALIZED (SELECT start FROM trip GROUP BY start HAVING min(id) = start),
+    corner AS MATERIALIZED (SELECT component, start AS ring, n, x0 AS x, y0 AS y FROM trip JOIN lead USING (start) JOIN side USING (id) WHERE id IN (SELECT next FROM follow WHERE turned)),
+    ringed AS (SELECT component, ring, string_agg(x || ' ' || y, ', ' ORDER BY n) || ', ' || arg_min(x || ' ' || y, n) AS text, sum(x * ny - nx * y) / 2e0 AS area, sum(abs(x - nx) + abs(y - ny))::double AS length, count(*) AS n_corners
+        FROM (SELECT *, coalesce(lead(x) OVER o, first(x) OVER o) AS nx, coalesce(lead(y) OVER o, first(y) OVER o) AS ny FROM corner WINDOW o AS (PARTITION BY component, ring ORDER BY n)) GROUP BY component, ring)"""
+
+
+def high_points(spark, sf_dir):
+    cells = scored(spark, sf_dir).where("pci >= 0.7").select("cid", "r", "c")
+    parts = grid.kept(grid.components(cells))
+    return grid.outline_points(parts.join(grid.component_sizes(parts, 100.0, 300.0).select("component"), "component", "left_semi"))
+
+
+@query(f"WITH RECURSIVE {C}, {SA}, {SC}, {OUTLINED} SELECT component, 'POLYGON (' || string_agg('(' || text || ')', ', ' ORDER BY area < 0, ring) || ')' AS geometry FROM ringed GROUP BY component")
+def pci_polygon_geometry(spark, sf_dir):
+    """Outlines of the polygons of ``pci_polygons`` as text: corners in order, holes after their shell."""
+    return grid.run_texts(grid.ring_runs(high_points(spark, sf_dir)))
+
+
+@query(f"WITH RECURSIVE {C}, {SA}, {SC}, {OUTLINED} SELECT component, ring, area < 0 AS hole, area, length FROM ringed")
+def pci_ring_measures(spark, sf_dir):
+    """Area and length of each ring, from runs of eight corners."""
+    return grid.run_measures(grid.ring_runs(high_points(spark, sf_dir), 8))
+
+
 CONTACTS = f"""area AS MATERIALIZED (SELECT cid, r, c FROM cells WHERE g >= 30),
     line AS MATERIALIZED (SELECT c + 0.3e0 AS x0, r + 0.2e0 AS y0, c + 0.3e0 + 60e0 * dz AS x1, r + 0.2e0 + 20e0 * s AS y1 FROM cells WHERE cid % 97 = 0 AND s IS NOT NULL),
     tall AS (SELECT *, unnest(range(greatest(floor(least(y0, y1) - 0.5e0)::bigint + 1, 0), floor(greatest(y0, y1) - 0.5e0)::bigint + 1)) AS r FROM line WHERE y0 <> y1),

@@ -123,3 +123,19 @@ def test_empty_grid(spark):
     assert tiles.receivers(cells).collect() == []
     assert tiles.accumulated(grid.kept(tiles.flow_of_descent(cells))).collect() == []
     assert tiles.flow_rows(tiles.drained(cells, "z")).collect() == []
+
+
+def test_runs_of_rings_are_the_rings(spark):
+    """Runs of five corners give the same texts, areas and lengths as whole rings."""
+    rng = random.Random(11)
+    n = 24
+    cells = spark.createDataFrame([(r * n + c, r, c) for r in range(n) for c in range(n) if rng.random() < 0.62], "cid long, r long, c long")
+    points = grid.kept(grid.outline_points(grid.kept(grid.components(cells))))
+    whole = {r.component: r.text for r in grid.outlines(points).select("component", grid.well_known_text().alias("text")).collect()}
+    for run in (5, 512):
+        runs = grid.kept(grid.ring_runs(points, run))
+        assert {r.component: r.geometry for r in grid.run_texts(runs).collect()} == whole
+        assert all(len(r.points) <= run for r in runs.collect())
+        measures = grid.run_measures(runs).collect()
+        assert sum(r.area for r in measures) == cells.count() and any(r.hole and r.area < 0 for r in measures)
+    assert grid.ring_runs(points.limit(0)).collect() == []
