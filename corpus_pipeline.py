@@ -31,7 +31,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = written(clusters(docs, width=5, percent=80))
     key = [F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("tie")]
     rows = docs.select(F.struct("*").alias("row"), *key)
-    rest = rows.join(written(found.where("NOT best").select("id", "tie").distinct()), ["id", "tie"], "left_anti")
+    # how many rows go follows the corpus, so that texts meet them by a shuffle at every size
+    rest = rows.join(written(found.where("NOT best").select("id", "tie").distinct()).hint("merge"), ["id", "tie"], "left_anti")
     again = written(found.where("best AND id IS NOT NULL AND n_shingles > 0").groupBy("id", "tie").count().where("count > 1").select("id", "tie"))
     if again.limit(1).count():
         one = rest.join(again, ["id", "tie"]).groupBy("id", "tie").agg(F.first("row").alias("row")).select("row", "id", "tie")
