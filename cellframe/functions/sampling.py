@@ -138,8 +138,8 @@ def block_split(cells: DataFrame, value: str, block: int = 256, share: float = 0
     return among_lowest(blocks, uniform(seed, "block", "_key"), "_key", wanted).select("br", "bc", "n_cells", F.col("_low").alias("is_train"))
 
 
-def patch_origins(cells: DataFrame, value: str, height: int, width: int, patch: int, stride: int, least_valid: float = 0.5, block: int | None = None) -> DataFrame:
-    """``(r0, c0, valid)``: patches every ``stride`` cells and at the far edge, of which enough cells are valid.
+def in_patches(cells: DataFrame, height: int, width: int, patch: int, stride: int, block: int | None = None) -> DataFrame:
+    """``cells`` with ``r0, c0``, once for each patch that a cell lies in: patches start every ``stride`` cells and at the far edge.
 
     With ``block`` patches lie inside blocks of that many cells, and the far edge
     is the block's. A grid or block that is smaller than a patch has none. Each
@@ -157,11 +157,38 @@ def patch_origins(cells: DataFrame, value: str, height: int, width: int, patch:
         every = F.when(at >= last, F.array_union(usual, F.array(last.cast("bigint")))).otherwise(usual)
         return F.when(last >= 0, F.transform(every, lambda k: k + low))
 
-    each = cells.select(F.explode(of("r", height)).alias("r0"), "c", value).select("r0", F.explode(of("c", width)).alias("c0"), value)
+    return cells.withColumn("r0", F.explode(of("r", height))).withColumn("c0", F.explode(of("c", width)))
+
+
+def patch_origins(cells: DataFrame, value: str, height: int, width: int, patch: int, stride: int, least_valid: float = 0.5, block: int | None = None) -> DataFrame:
+    """``(r0, c0, valid)``: the patches of ``in_patches`` of which enough cells are valid."""
+    each = in_patches(cells.select("r", "c", value), height, width, patch, stride, block)
     share = F.count(value) / F.lit(float(patch * patch))
     return each.groupBy("r0", "c0").agg(share.alias("valid")).where(F.col("valid") >= least_valid)
 
 
+def patch_arrays(cells: DataFrame, bands: list[str], target: str, height: int, width: int, patch: int, stride: int, least_valid: float = 0.5, block: int | None = None) -> DataFrame:
+    """``(r0, c0, x, mask, y)``: each patch as arrays of ``patch * patch`` numbers, row by row: ``x`` one for each band, ``mask`` and ``y``.
+
+    A cell is valid, and ``mask`` 1, if all bands and the target are there; elsewhere all are 0. Patches with a smaller share of
+    valid cells than ``least_valid`` are left out. A row has ``patch`` squared cells, whatever the grid's size.
+    """
+    at = ((F.col("r") - F.col("r0")) * patch + F.col("c") - F.col("c0")).cast("int")
+    valid = cells.where(" AND ".join(f"{b} IS NOT NULL" for b in [*bands, target])).select("r", "c", *[F.col(b).cast("double").alias(b) for b in [*bands, target]])
+    each = in_patches(valid, height, width, patch, stride, block).groupBy("r0", "c0").agg(F.map_from_entries(F.collect_list(F.struct(at.alias("at"), F.struct(*bands, target).alias("v")))).alias("at"), F.count("*").alias("n"))
+    places = F.sequence(F.lit(0), F.lit(patch * patch - 1))
+    of = lambda name: F.transform(places, lambda k: F.coalesce(F.try_element_at("at", k)[name], F.lit(0.0)))
+    mask = F.transform(places, lambda k: F.map_contains_key("at", k).cast("int"))
+    return each.where(F.col("n") >= least_valid * patch * patch).select("r0", "c0", F.array(*map(of, bands)).alias("x"), mask.alias("mask"), of(target).alias("y"))
+
+
+def patches_averaged(predictions: DataFrame, patch: int, value: str = "p") -> DataFrame:
+    """``(r, c, value, n)``: the mean of what overlapping patches ``(r0, c0, mask, value array)`` say of each valid cell, and their number."""
+    each = predictions.select("r0", "c0", "mask", F.posexplode(value).alias("k", "v"))
+    cells = each.where(F.get("mask", F.col("k")) == 1).select((F.col("r0") + F.floor(F.col("k") / patch)).alias("r"), (F.col("c0") + F.col("k") % patch).alias("c"), "v")
+    return cells.groupBy("r", "c").agg(F.avg("v").alias(value), F.count("*").alias("n"))
+
+
 def balanced_centres(cells: DataFrame, label: str, n: int, half: int, height: int, width: int, seed: int) -> DataFrame:
     """``(i, label, r, c)``: ``n`` patch centres, half of each class, with replacement, none within half a patch of the edge.
 

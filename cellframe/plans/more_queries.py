@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..functions import sampling as S
 from ..operators import curves, features, grid, models, scenes, select
+from ..operators.ranks import numbered
 from ..operators.shared import new_path
 from ..sources import tables
 from . import bridge as B
@@ -400,3 +401,89 @@ def settings_job_written(spark, sf_dir):
     places = jobs.write_job(jobs.run_job(B.cells(spark, sf_dir).select("cid", "r", "c", "z"), settings, (10.0, 10.0)), settings)
     slope, pci = (tables.read_band(spark, places[n], n) for n in ("slope", "pci"))
     return slope.join(pci, ["r", "c"]).select("r", "c", F.round("slope", 5).alias("slope"), F.round("pci", 5).alias("pci"))
+
+
+PATCH, STRIDE = 16, 12
+STARTS = lambda x, size: f"list_distinct(list_concat(range(0, {size} - {PATCH} + 1, {STRIDE}), [{size} - {PATCH}]))"
+COVERED = f"""size AS (SELECT max(r) + 1 AS h FROM cells), origin AS (SELECT r0, c0 FROM (SELECT unnest({STARTS('r', 'h')}) AS r0 FROM size), (SELECT unnest({STARTS('c', '100')}) AS c0)),
+    inner_ AS MATERIALIZED (SELECT r0, c0, r, c, g, s, dz FROM origin JOIN cells ON r BETWEEN r0 AND r0 + {PATCH - 1} AND c BETWEEN c0 AND c0 + {PATCH - 1} WHERE g IS NOT NULL AND s IS NOT NULL AND dz IS NOT NULL)"""
+
+
+@query(f"WITH {C}, {COVERED}, whole AS (SELECT r0, c0, sum(g) AS g, sum(s) AS s, sum(dz) AS y, count(*) AS n FROM inner_ GROUP BY ALL) SELECT r0::bigint AS r0, c0::bigint AS c0, round(g, 2) AS g, round(s, 3) AS s, round(y, 3) AS y, n::bigint AS n, 256 AS places FROM whole WHERE n >= 128")
+def patch_sums(spark, sf_dir):
+    """Patches of two bands as arrays with mask and target: what each array holds in all."""
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda t, v: t + v)
+    rows = S.patch_arrays(B.cells(spark, sf_dir), ["g", "s"], "dz", B.height(spark, sf_dir), B.WIDTH, PATCH, STRIDE)
+    out = rows.select("r0", "c0", total(F.get("x", F.lit(0))).alias("g"), total(F.get("x", F.lit(1))).alias("s"), total(F.col("y")).alias("y"), F.aggregate("mask", F.lit(0).cast("long"), lambda t, v: t + v).alias("n"), F.size(F.get("x", F.lit(1))).alias("places"))
+    return rounded(rounded(out, "s", "y", digits=3), "g", digits=2)
+
+
+@query(f"WITH {C}, {COVERED}, whole AS (SELECT *, avg(g) OVER (PARTITION BY r0, c0) AS m, count(*) OVER (PARTITION BY r0, c0) AS k FROM inner_) SELECT r::bigint AS r, c::bigint AS c, round(avg(g - m), 6) AS p, count(*) AS n FROM whole WHERE k >= 128 GROUP BY r, c")
+def patch_round_trip(spark, sf_dir):
+    """A patch says of each of its cells how far the index lies from the patch's mean; overlapping patches are averaged back to cells."""
+    rows = S.patch_arrays(B.cells(spark, sf_dir), ["g", "s"], "dz", B.height(spark, sf_dir), B.WIDTH, PATCH, STRIDE)
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda t, v: t + v)
+    mean = add(F.get("x", F.lit(0))) / F.aggregate("mask", F.lit(0), lambda t, v: t + v)
+    said = rows.withColumn("m", mean).select("r0", "c0", "mask", F.transform(F.get("x", F.lit(0)), lambda v: v - F.col("m")).alias("p"))
+    return rounded(S.patches_averaged(said, PATCH), "p")
+
+
+@query(f"WITH {C}, {B.SCENES} SELECT product, count(*) AS n, round(sum(value), 4) AS total FROM scenes WHERE cid IN (SELECT cid FROM cells WHERE g >= 60) GROUP BY product")
+def scenes_in_area(spark, sf_dir):
+    """Scenes of the cells of an area, the cells of a high index."""
+    inside = scenes.in_area(B.scenes(spark, sf_dir), B.cells(spark, sf_dir).where("g >= 60"))
+    return rounded(inside.groupBy("product").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "total", digits=4)
+
+
+@query(f"WITH {C} SELECT cid, round(g, 6) AS g, round(e, 6) AS e FROM (SELECT cid, g, embedding[2]::double AS e FROM cells JOIN embeddings ON vec_id = cid % 500) WHERE g IS NOT NULL")
+def bands_aligned(spark, sf_dir):
+    """Two bands of one grid side by side, of the cells that the first band's template has."""
+    cells = B.cells(spark, sf_dir)
+    vectors = B.table(spark, sf_dir, "embeddings").select("vec_id", F.get("embedding", F.lit(1)).cast("double").alias("e"))
+    place = [F.lit("a").alias("grid_id"), "r", "c"]
+    other = cells.join(vectors, F.col("cid") % 500 == F.col("vec_id")).select(*place, "e")
+    height = B.height(spark, sf_dir)
+    headers = spark.createDataFrame([("a", b, height, B.WIDTH, 10.0) for b in ("g", "e")], "grid_id string, band string, height long, width long, dx double")
+    met = scenes.aligned(cells.select(*place, "cid", "g"), other, headers)
+    return rounded(scenes.same_template(met, cells.select("cid", "g"), "g").select("cid", "g", "e"), "g", "e")
+
+
+@query(f"WITH {C}, inner_ AS (SELECT r, c, (dz < -0.277e0)::int AS y FROM cells, (SELECT max(r) + 1 AS h FROM cells) WHERE r BETWEEN 8 AND h - 9 AND c BETWEEN 8 AND 91), ranked AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY r, c) - 1 AS nth, count(*) OVER (PARTITION BY y) AS k FROM inner_), draws AS (SELECT i, i % 2 AS y, {U('centre')} AS u FROM (SELECT unnest(range(2000)) AS i)) SELECT i, y::int AS y, r::bigint AS r, c::bigint AS c FROM draws JOIN ranked USING (y) WHERE nth = floor(u * k)")
+def patch_centres(spark, sf_dir):
+    """2,000 centres of patches, half of them eroded."""
+    rows = B.cells(spark, sf_dir).select("r", "c", lost().cast("int").alias("y"))
+    return S.balanced_centres(rows, "y", 2000, 8, B.height(spark, sf_dir), B.WIDTH, 42)
+
+
+@query(f"WITH RECURSIVE {C}, size AS (SELECT max(r) AS h FROM cells), mask AS (SELECT cid FROM cells WHERE g IS NULL OR g < 45), rest AS MATERIALIZED (SELECT cid, r, c FROM cells WHERE cid NOT IN (SELECT cid FROM mask)), link AS (SELECT x.cid, y.cid AS nid FROM rest x JOIN rest y ON abs(x.r - y.r) + abs(x.c - y.c) = 1 AND y.r BETWEEN x.r - 1 AND x.r + 1), "
+       "open_ AS (SELECT cid FROM rest, size WHERE r = 0 OR r = h OR c = 0 OR c = 99 UNION SELECT nid FROM open_ JOIN link USING (cid)) SELECT cid FROM cells WHERE cid NOT IN (SELECT cid FROM open_)")
+def mask_without_holes(spark, sf_dir):
+    """Cells of a low index and the islands of a high one among them that don't touch the grid's edge."""
+    cells = B.cells(spark, sf_dir)
+    return grid.without_holes(cells.where("g IS NULL OR g < 45").select("cid", "r", "c"), B.height(spark, sf_dir), B.WIDTH).select("cid")
+
+
+@query(f"WITH {C}, k AS (SELECT quantile_cont(a, 0.5) AS ma, stddev_pop(a) AS sa, quantile_cont(s, 0.5) AS ms, stddev_pop(s) AS ss FROM cells) SELECT cid, round((coalesce(a, ma) - ma) / sa, 6) + 0e0 AS a, round((coalesce(s, ms) - ms) / ss, 6) + 0e0 AS s FROM cells, k")
+def features_scaled(spark, sf_dir):
+    """Missing features become the median, then all are centred and scaled."""
+    out = rounded(curves.imputed_and_scaled(B.cells(spark, sf_dir).select("cid", "a", "s"), ["a", "s"]), "a", "s")
+    return out.select("cid", (F.col("a") + 0.0).alias("a"), (F.col("s") + 0.0).alias("s"))  # no zero with a sign
+
+
+@query(f"WITH {C} SELECT soil, round(avg(g), 4)::varchar AS mean_value, count(*)::varchar AS n FROM cells WHERE g IS NOT NULL GROUP BY soil")
+def summary_csv(spark, sf_dir):
+    """A summary written as one CSV file with its columns in order, and read back."""
+    path = new_path(spark)
+    each = B.cells(spark, sf_dir).where("g IS NOT NULL").groupBy("soil").agg(F.count("*").alias("n"), F.round(F.avg("g"), 4).alias("mean_value"))
+    tables.write_rows(each, path, ["soil", "mean_value", "n"], one_file=True)
+    return spark.read.option("header", True).csv(path)
+
+
+@query(f"WITH {B.SCENES} SELECT product, date, n::varchar AS n, (row_number() OVER (ORDER BY product, date))::bigint AS place FROM (SELECT product, ts::date::varchar AS date, count(*) AS n FROM scenes WHERE value IS NOT NULL GROUP BY ALL)")
+def series_csv(spark, sf_dir):
+    """A time series written as sorted CSV files and read back: rows follow one another over the files."""
+    path = new_path(spark)
+    each = B.scenes(spark, sf_dir).where("value IS NOT NULL").groupBy("product", F.to_date("ts").cast("string").alias("date")).agg(F.count("*").alias("n"))
+    tables.write_sorted(each, path, ["product", "date"])
+    rows = spark.read.option("header", True).csv(path).withColumn("file", F.col("_metadata.file_name")).withColumn("at", F.monotonically_increasing_id())
+    return numbered(rows, ["file", "at"], "place").select("product", "date", "n", "place")

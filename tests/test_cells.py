@@ -310,3 +310,24 @@ def test_report_without_predictions(spark):
     rows = spark.createDataFrame([(1, 0), (0, 0)], "y int, p int")
     got = {r["class"]: r for r in curves.classification_report(rows, "y", "p").collect()}
     assert got["1"].precision == 0.0 and got["accuracy"].f1 == 0.5
+
+
+def test_patches_round_trip(spark):
+    """Arrays of patches hold each band, mask and target at its place; averages over patches come back to every valid cell."""
+    rng = random.Random(2)
+    rows = [(r, c, *(None if rng.random() < 0.1 else rng.random() for _ in range(3))) for r in range(13) for c in range(17)]
+    cells = spark.createDataFrame(rows, "r long, c long, a double, b double, y double")
+    got = S.patch_arrays(cells, ["a", "b"], "y", 13, 17, 5, 4, 0.3)
+    at = {(r, c): v for r, c, *v in rows if None not in v}
+    starts = lambda n: sorted({*range(0, n - 4, 4), n - 5})
+    want = {(r0, c0): [(r0 + k // 5, c0 + k % 5) for k in range(25)] for r0 in starts(13) for c0 in starts(17)}
+    want = {k: v for k, v in want.items() if sum(p in at for p in v) >= 0.3 * 25}
+    found = {(r.r0, r.c0): r for r in got.collect()}
+    assert set(found) == set(want)
+    for k, places in want.items():
+        assert found[k].mask == [int(p in at) for p in places]
+        assert [found[k].x[0], found[k].x[1], found[k].y] == [[at[p][i] if p in at else 0.0 for p in places] for i in range(3)]
+    back = {(r.r, r.c): (r.p, r.n) for r in S.patches_averaged(got.select("r0", "c0", "mask", F.col("y").alias("p")), 5).collect()}
+    n = {p: sum(p in v for v in want.values()) for p in at}
+    assert back == {p: (pytest.approx(at[p][2]), n[p]) for p in at if n[p]} and len(back) == len(at)
+    assert S.patch_arrays(cells.limit(0), ["a"], "y", 13, 17, 5, 4).collect() == []
