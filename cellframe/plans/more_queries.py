@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..functions import sampling as S
-from ..operators import curves, features, grid, models, scenes, select
+from ..operators import curves, features, grid, layers, models, scenes, select
 from ..operators.ranks import numbered
 from ..operators.shared import new_path
 from ..sources import tables
@@ -487,3 +487,37 @@ def series_csv(spark, sf_dir):
     tables.write_sorted(each, path, ["product", "date"])
     rows = spark.read.option("header", True).csv(path).withColumn("file", F.col("_metadata.file_name")).withColumn("at", F.monotonically_increasing_id())
     return numbered(rows, ["file", "at"], "place").select("product", "date", "n", "place")
+
+
+#: Plots of customers in degrees: (ring, corner, east, north) of four corners and of a hole's three, in thousandths.
+PLOT = [(0, 0, 0.0, 0.0), (0, 1, 0.9, 0.05), (0, 2, 0.8, 0.85), (0, 3, 0.05, 0.7), (1, 0, 0.3, 0.3), (1, 1, 0.5, 0.3), (1, 2, 0.4, 0.5)]
+
+
+def _utm(lon: str, lat: str, zone: str) -> tuple[str, str]:
+    """The projection's series in SQL, of degrees."""
+    a, e2 = 6378137.0, 0.00669437999014132
+    ep2 = e2 / (1 - e2)
+    phi, lam = f"radians({lat})", f"radians({lon} - ({zone} * 6 - 183))"
+    n, t, c = f"({a!r}::double / sqrt(1 - {e2!r}::double * sin({phi}) ** 2))", f"(tan({phi}) ** 2)", f"({ep2!r}::double * cos({phi}) ** 2)"
+    aa = f"({lam} * cos({phi}))"
+    m = f"({a!r}::double * ({1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256!r}::double * {phi} - {3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024!r}::double * sin(2 * {phi}) + {15 * e2**2 / 256 + 45 * e2**3 / 1024!r}::double * sin(4 * {phi}) - {35 * e2**3 / 3072!r}::double * sin(6 * {phi})))"
+    x = f"(0.9996e0 * {n} * ({aa} + (1 - {t} + {c}) * {aa} ** 3 / 6e0 + (5 - 18 * {t} + {t} * {t} + 72 * {c} - 58 * {ep2!r}::double) * {aa} ** 5 / 120e0) + 500000e0)"
+    y = f"(0.9996e0 * ({m} + {n} * tan({phi}) * ({aa} ** 2 / 2e0 + (5 - {t} + 9 * {c} + 4 * {c} * {c}) * {aa} ** 4 / 24e0 + (61 - 58 * {t} + {t} * {t} + 600 * {c} - 330 * {ep2!r}::double) * {aa} ** 6 / 720e0)))"
+    return x, y
+
+
+_corners = ", ".join(f"({r}, {k}, {x}e0, {y}e0)" for r, k, x, y in PLOT)
+_x, _y = _utm("lon", "lat", "zone")
+
+
+@query(f"WITH plot(ring, k, dx, dy) AS (VALUES {_corners}), corner AS (SELECT c_custkey, ring, k, -119.6e0 + 0.001e0 * (c_custkey % 100 + dx) AS lon, 34.4e0 + 0.001e0 * (c_custkey // 100 + dy) AS lat FROM customer, plot WHERE ring = 0 OR c_custkey % 3 = 0), "
+       "zoned AS (SELECT *, floor(((SELECT (min(lon) + max(lon)) / 2 FROM corner) + 180) / 6)::int + 1 AS zone FROM corner), nexts AS (SELECT *, coalesce(lead(lon) OVER w, first(lon) OVER w) AS lon1, coalesce(lead(lat) OVER w, first(lat) OVER w) AS lat1 FROM zoned WINDOW w AS (PARTITION BY c_custkey, ring ORDER BY k)), "
+       f"fine AS (SELECT c_custkey, ring, zone, k * 8 + j AS k, lon + (lon1 - lon) * (j / 8e0) AS lon, lat + (lat1 - lat) * (j / 8e0) AS lat FROM nexts, (SELECT unnest(range(8)) AS j)), metres AS (SELECT c_custkey, ring, zone, k, {_x} AS x, {_y} AS y FROM fine), "
+       "home AS (SELECT *, x - first(x) OVER w AS u, y - first(y) OVER w AS v FROM metres WINDOW w AS (PARTITION BY c_custkey, ring ORDER BY k)), turned AS (SELECT *, coalesce(lead(u) OVER w, first(u) OVER w) AS u1, coalesce(lead(v) OVER w, first(v) OVER w) AS v1 FROM home WINDOW w AS (PARTITION BY c_custkey, ring ORDER BY k)), "
+       "area AS (SELECT c_custkey, zone, ring, abs(sum(u * v1 - u1 * v)) / 2 AS a FROM turned GROUP BY ALL) SELECT c_custkey, zone, round(sum(CASE WHEN ring = 0 THEN a ELSE -a END), 3) AS area_m2 FROM area GROUP BY c_custkey, zone")
+def geographic_plots(spark, sf_dir):
+    """A plot in degrees for each customer, a third of them with a hole, measured in the zone of the whole layer."""
+    lon, lat = (lambda d: -119.6 + 0.001 * (F.col("c_custkey") % 100 + d)), (lambda d: 34.4 + 0.001 * (F.floor(F.col("c_custkey") / 100) + d))
+    ring = lambda n: F.array(*[F.struct(lon(x).alias("x"), lat(y).alias("y")) for r, _, x, y in PLOT if r == n])
+    layer = B.table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.array(ring(0), ring(1))).otherwise(F.array(ring(0))).alias("rings"))
+    return rounded(layers.geographic_areas(layer).select("c_custkey", "zone", "area_m2"), "area_m2", digits=3)

@@ -181,3 +181,22 @@ def test_scaling_and_projection(spark):
     assert (one.z, one.e) == (31, pytest.approx(500000.0)) and one.n == pytest.approx(4982950.4, abs=0.1)
     east = spark.range(1).select(*[c.alias(n) for n, c in zip("zen", E.utm_forward(F.lit(-119.6), F.lit(34.4)))]).first()
     assert east.z == 11 and 250000 < east.e < 270000 and 3800000 < east.n < 3820000
+
+
+def test_areas_of_a_layer_in_degrees(spark):
+    """One zone for the layer, closed and open rings alike, holes taken off, odd polygons."""
+    from cellframe.operators import layers
+
+    square = [(3.0, 45.0), (3.01, 45.0), (3.01, 45.01), (3.0, 45.01)]
+    hole = [(3.002, 45.002), (3.004, 45.002), (3.004, 45.004)]
+    corner = lambda ring: [{"x": x, "y": y} for x, y in ring]
+    rows = [(1, [corner(square)]), (2, [corner([*square, square[0]])]), (3, [corner(square[::-1]), corner(hole)]), (4, []), (5, None), (6, [[]]), (7, [corner([(9.0, 45.0)])])]
+    schema = "id long, rings array<array<struct<x:double,y:double>>>"
+    got = {r.id: (r.zone, r.area_m2) for r in layers.geographic_areas(spark.createDataFrame(rows, schema)).collect()}
+    assert {z for z, _ in got.values()} == {32}  # the middle of 3 and 9 degrees east
+    alone = {r.id: (r.zone, r.area_m2) for r in layers.geographic_areas(spark.createDataFrame(rows[:6], schema)).collect()}
+    north, east = 111_132.95 - 559.85 * 0.0001745 + 1.2, 111_412.84 * 0.70704 - 93.5 * -0.70711
+    assert alone[1][0] == 31 and alone[1][1] == pytest.approx(north * east / 1e4 * 0.9996**2, rel=3e-3)
+    assert alone[2][1] == pytest.approx(alone[1][1], rel=1e-12) and 0.97 < alone[3][1] / alone[1][1] < 0.99
+    assert [alone[k][1] for k in (4, 5, 6)] == [0.0, 0.0, 0.0]
+    assert layers.geographic_areas(spark.createDataFrame([], schema)).collect() == []
