@@ -107,7 +107,11 @@ def span_text(spans: Column) -> Column:
 
 
 def secret_report(docs: DataFrame, repository: Column, owner: Column, common_owners: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts, digests and span lists of ``secret_spans``, one row for each row of ``docs``."""
+    """Counts, digests and span lists of ``secret_spans``, one row for each row of ``docs``.
+
+    A text without spans, null or empty ones too, has counts of 0, the digest of an empty list and empty lists. Repeated rows come out as often as
+    they went in; an empty table gives an empty result.
+    """
     found = secret_spans(docs, repository, owner, common_owners, id_col, text_col)
     of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))

@@ -296,6 +296,8 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, folder: str, id_c
     ``start`` counts the ids of all documents before it; the checksum is of the
     ids as little-endian unsigned 32-bit integers, the end id among them. Of a
     shard some thousand documents are held at once, and some MB of their ids or one document's.
+    Documents that had a null or empty text have their end id alone; repeated rows and null ids are read as they were written; files of an empty
+    table give an empty result.
     """
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
