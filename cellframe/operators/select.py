@@ -54,7 +54,7 @@ def pci_monte_carlo(cells: DataFrame, samples: DataFrame, d50: Column | None = N
     thresholds (``pci_by_rank``). With one or two, cells fall into boxes of the bands and of ``g``. The threshold rises with diameter and roughness and falls with
     the rate, so a box's corners say which draws are surely at most ``g``, and which surely over it, for all of its cells; a cell
     computes the others alone, some hundredth of all. Means over draws are smooth in the bands: each interval has their Chebyshev series
-    (relative error under 1e-9). Tables of boxes and series have a size set by ``SPLIT``, ``G_BINS`` and the number of draws, not by the grid, and are broadcast.
+    (relative error under 1e-7 for one band, 1e-5 for two). Tables of boxes and series have a size set by ``SPLIT``, ``G_BINS`` and the number of draws, not by the grid, and are broadcast.
     With three bands nothing is drawn. A missing band counts as missing ``pci``; cells without ``g`` are left out.
     """
     valid = cells.where(F.col(g).isNotNull())
