@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -256,3 +258,37 @@ def utm_forward(lon, lat, zone: Column | None = None) -> tuple[Column, Column, C
     x = 0.9996 * n * (aa + (1 - t + c) * aa**3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * aa**5 / 120) + 500000.0
     y = 0.9996 * (m + n * F.tan(phi) * (aa * aa / 2 + (5 - t + 9 * c + 4 * c * c) * aa**4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * aa**6 / 720))
     return zone, x, y
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it: long formulas stay as long as they are written."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def utm_inverse(x, y, zone: Column) -> Column:
+    """``{lon, lat}`` of metres in a zone on WGS 84, the inverse of ``utm_forward``.
+
+    The latitude whose arc is ``y`` is a series in the third flattening; what
+    lies off the middle meridian follows from powers of the distance to it.
+    """
+    x, y = col(x), col(y)
+    a, e2 = 6378137.0, 0.00669437999014132
+    ep2 = e2 / (1 - e2)
+    f = (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
+    arc = y / (0.9996 * a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
+
+    def latitude(mu):
+        return mu + (3 * f / 2 - 27 * f**3 / 32) * F.sin(2 * mu) + (21 * f**2 / 16 - 55 * f**4 / 32) * F.sin(4 * mu) + 151 * f**3 / 96 * F.sin(6 * mu) + 1097 * f**4 / 512 * F.sin(8 * mu)
+
+    def around(foot):
+        w = 1 - e2 * F.pow(F.sin(foot), F.lit(2.0))
+        t, c, d = F.pow(F.tan(foot), F.lit(2.0)), ep2 * F.pow(F.cos(foot), F.lit(2.0)), (x - 500000.0) * F.sqrt(w) / (0.9996 * a)
+        return F.struct(foot.alias("foot"), t.alias("t"), c.alias("c"), d.alias("d"), (F.tan(foot) * w / (1 - e2)).alias("bend"))
+
+    def point(v):
+        t, c, d = v["t"], v["c"], v["d"]
+        lat = v["foot"] - v["bend"] * (d**2 / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep2) * d**4 / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep2 - 3 * c * c) * d**6 / 720)
+        lam = (d - (1 + 2 * t + c) * d**3 / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep2 + 24 * t * t) * d**5 / 120) / F.cos(v["foot"])
+        return F.struct((F.degrees(lam) + (zone * 6 - 183)).alias("lon"), F.degrees(lat).alias("lat"))
+
+    return let(let(let(arc, latitude), around), point)

@@ -9,6 +9,7 @@ from ..functions import sampling as S
 from ..operators import curves, features, grid, layers, models, scenes, select
 from ..operators.ranks import numbered
 from ..operators.shared import new_path
+from ..operators.warp import Grid, warped
 from ..sources import tables
 from . import bridge as B
 from . import jobs
@@ -521,3 +522,59 @@ def geographic_plots(spark, sf_dir):
     ring = lambda n: F.array(*[F.struct(lon(x).alias("x"), lat(y).alias("y")) for r, _, x, y in PLOT if r == n])
     layer = B.table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.array(ring(0), ring(1))).otherwise(F.array(ring(0))).alias("rings"))
     return rounded(layers.geographic_areas(layer).select("c_custkey", "zone", "area_m2"), "area_m2", digits=3)
+
+
+def _degrees(height: int) -> Grid:
+    """The given grid, laid out in degrees with slightly turned axes."""
+    return Grid(height, B.WIDTH, -119.75, 34.45, 0.0003, -0.00027, 0.000002, 0.000001)
+
+
+def _metres(height: int, size: float) -> Grid:
+    """A grid in metres over the same ground, of cells ``size`` wide."""
+    return Grid(max(1, round(height * 30 / size)), round(2700 / size), 247461.3, 3815870.7, size, -size, 0.027 * size, -0.026 * size, zone=11)
+
+
+def _placed(corner: str, size: float) -> str:
+    """SQL that takes ``to_(r, c)`` of the metres to ``met(r, c, k, y, x)`` on the degrees, of the places ``(k, i, j)`` in a cell."""
+    a, e2 = 6378137.0, 0.00669437999014132
+    ep2, e1 = e2 / (1 - e2), (1 - (1 - e2) ** 0.5) / (1 + (1 - e2) ** 0.5)
+    num = lambda v: f"({v!r}::double)"
+    turn = 0.0003 * -0.00027 - 0.000002 * 0.000001
+    return (f"ends_(k, i, j) AS (VALUES {corner}), xy AS (SELECT r, c, k, 247461.3e0 + {num(size)} * (c + j) + {num(0.027 * size)} * (r + i) AS x, 3815870.7e0 + {num(-0.026 * size)} * (c + j) + {num(-size)} * (r + i) AS y FROM to_, ends_), "
+            f"arc AS (SELECT *, y / 0.9996e0 / {num(a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))} AS mu FROM xy), "
+            f"foot AS (SELECT *, mu + {num(3 * e1 / 2 - 27 * e1**3 / 32)} * sin(2 * mu) + {num(21 * e1**2 / 16 - 55 * e1**4 / 32)} * sin(4 * mu) + {num(151 * e1**3 / 96)} * sin(6 * mu) + {num(1097 * e1**4 / 512)} * sin(8 * mu) AS p FROM arc), "
+            f"curved AS (SELECT *, {num(a)} / sqrt(1 - {num(e2)} * sin(p) ** 2) AS n1, {num(a * (1 - e2))} / (1 - {num(e2)} * sin(p) ** 2) ** 1.5e0 AS r1, tan(p) ** 2 AS t, {num(ep2)} * cos(p) ** 2 AS q FROM foot), away AS (SELECT *, (x - 500000e0) / (n1 * 0.9996e0) AS d FROM curved), "
+            f"geo AS (SELECT r, c, k, degrees(p - n1 * tan(p) / r1 * (d ** 2 / 2e0 - (5 + 3 * t + 10 * q - 4 * q * q - 9 * {num(ep2)}) * d ** 4 / 24e0 + (61 + 90 * t + 298 * q + 45 * t * t - 252 * {num(ep2)} - 3 * q * q) * d ** 6 / 720e0)) - 34.45e0 AS v, "
+            f"degrees((d - (1 + 2 * t + q) * d ** 3 / 6e0 + (5 - 2 * q + 28 * t - 3 * q * q + 8 * {num(ep2)} + 24 * t * t) * d ** 5 / 120e0) / cos(p)) - 117e0 + 119.75e0 AS u FROM away), "
+            f"met AS (SELECT r, c, k, (0.0003e0 * v - 0.000001e0 * u) / {num(turn)} AS y, (-0.00027e0 * u - 0.000002e0 * v) / {num(turn)} AS x FROM geo)")
+
+
+def _to(size: float) -> str:
+    return f"to_ AS (SELECT r, c FROM (SELECT unnest(range((SELECT greatest(1, round_even((max(r) + 1) * 30 / {size!r}::double, 0))::bigint FROM cells))) AS r), (SELECT unnest(range({round(2700 / size)})) AS c))"
+
+
+_on = "y >= 0 AND y < h AND x >= 0 AND x < 100"
+
+
+@query(f"WITH {C}, size AS (SELECT max(r) + 1 AS h FROM cells), {_to(25.0)}, {_placed('(0, 0.5e0, 0.5e0)', 25.0)} SELECT met.r, met.c, CASE WHEN {_on} THEN round(z, 4) END AS value FROM size, met LEFT JOIN cells ON cells.r = floor(y)::bigint AND cells.c = floor(x)::bigint")
+def warp_nearest(spark, sf_dir):
+    """Elevation on a grid in degrees, brought to a turned grid in metres: the cell below each centre."""
+    height = B.height(spark, sf_dir)
+    return rounded(warped(B.cells(spark, sf_dir), "z", _degrees(height), _metres(height, 25.0)), "value", digits=4)
+
+
+@query(f"WITH {C}, size AS (SELECT max(r) + 1 AS h FROM cells), to_ AS (SELECT r, c FROM cells WHERE g >= 30 AND c < 108 AND r < (SELECT round_even((max(r) + 1) * 30 / 25e0, 0) FROM cells)), {_placed('(0, 0.5e0, 0.5e0)', 25.0)}, four AS (SELECT r, c, y, x, floor(y - 0.5e0)::bigint + a AS sr, floor(x - 0.5e0)::bigint + b AS sc FROM met, size, (VALUES (0), (1)) AS p(a), (VALUES (0), (1)) AS q(b) WHERE {_on}), "
+       "weighed AS (SELECT four.r, four.c, sum(w * g) / nullif(sum(w), 0) AS value FROM (SELECT *, (1 - abs(y - 0.5e0 - sr)) * (1 - abs(x - 0.5e0 - sc)) AS w FROM four) AS four JOIN cells ON cells.r = sr AND cells.c = sc WHERE g IS NOT NULL GROUP BY ALL) SELECT to_.r, to_.c, round(value, 4) AS value FROM to_ LEFT JOIN weighed USING (r, c)")
+def warp_bilinear(spark, sf_dir):
+    """The index on a grid in degrees, brought to a template's cells of a turned grid in metres: the four cells around each centre."""
+    height, cells = B.height(spark, sf_dir), B.cells(spark, sf_dir)
+    return rounded(warped(cells, "g", _degrees(height), _metres(height, 25.0), "bilinear", cells.where("g >= 30")), "value", digits=4)
+
+
+@query(f"WITH {C}, size AS (SELECT max(r) + 1 AS h FROM cells), {_to(75.0)}, {_placed('(0, 0e0, 0e0), (1, 0e0, 1e0), (2, 1e0, 0e0), (3, 1e0, 1e0)', 75.0)}, box AS (SELECT r, c, greatest(min(y), 0) AS y0, least(max(y), any_value(h)) AS y1, greatest(min(x), 0) AS x0, least(max(x), 100) AS x1 FROM met, size GROUP BY r, c), "
+       "rows_ AS (SELECT *, unnest(range(floor(y0)::bigint, ceil(y1)::bigint)) AS sr FROM box WHERE y0 < y1 AND x0 < x1), each_ AS (SELECT *, unnest(range(floor(x0)::bigint, ceil(x1)::bigint)) AS sc FROM rows_), "
+       "mean AS (SELECT e.r, e.c, sum(g * w) / sum(w) AS value FROM (SELECT *, (least(y1, sr + 1e0) - greatest(y0, sr::double)) * (least(x1, sc + 1e0) - greatest(x0, sc::double)) AS w FROM each_) AS e JOIN cells ON cells.r = sr AND cells.c = sc WHERE g IS NOT NULL GROUP BY ALL) SELECT to_.r, to_.c, round(value, 4) AS value FROM to_ LEFT JOIN mean USING (r, c)")
+def warp_average(spark, sf_dir):
+    """The index on a grid in degrees, averaged over the cells of a coarser, turned grid in metres."""
+    height = B.height(spark, sf_dir)
+    return rounded(warped(B.cells(spark, sf_dir), "g", _degrees(height), _metres(height, 75.0), "average"), "value", digits=4)
