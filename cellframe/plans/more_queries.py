@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..functions import sampling as S
-from ..operators import curves, features, grid, layers, models, scenes, select
+from ..operators import curves, features, forests, grid, layers, models, scenes, select
 from ..operators.ranks import numbered
 from ..operators.shared import new_path
 from ..operators.warp import Grid, warped
@@ -578,3 +578,15 @@ def warp_average(spark, sf_dir):
     """The index on a grid in degrees, averaged over the cells of a coarser, turned grid in metres."""
     height = B.height(spark, sf_dir)
     return rounded(warped(B.cells(spark, sf_dir), "g", _degrees(height), _metres(height, 75.0), "average"), "value", digits=4)
+
+
+#: Choices of the search below: 60 of their 432 combinations are tried.
+SEARCH = {"trees": [3, 5, 8], "depth": [2, 4, 6], "split": [2, 5, 10], "leaf": [1, 2, 4, 8], "subset": ["sqrt", "all"], "classes": ["balanced", "balanced_subsample"]}
+
+
+@query()
+def forest_search(spark, sf_dir):
+    """60 settings of a forest by F1 over three folds, all grown together. Tested against plain trees."""
+    settings = [forests.Setting(**one) for one in features.sampled_grid(SEARCH, 60, 42)]
+    table = forests.searched(training_cells(spark, sf_dir), "y", ["s", "log_da", "z"], "cid", settings)
+    return rounded(table, "mean_score", "std_score", digits=9)
