@@ -556,11 +556,11 @@ def _to(size: float) -> str:
 _on = "y >= 0 AND y < h AND x >= 0 AND x < 100"
 
 
-@query(f"WITH {C}, size AS (SELECT max(r) + 1 AS h FROM cells), {_to(25.0)}, {_placed('(0, 0.5e0, 0.5e0)', 25.0)} SELECT met.r, met.c, CASE WHEN {_on} THEN round(z, 4) END AS value FROM size, met LEFT JOIN cells ON cells.r = floor(y)::bigint AND cells.c = floor(x)::bigint")
+@query(f"WITH {C}, size AS (SELECT max(r) + 1 AS h FROM cells), {_to(25.0)}, {_placed('(0, 0.5e0, 0.5e0)', 25.0)} SELECT met.r, met.c, CASE WHEN {_on} THEN round(z, 9) END AS value FROM size, met LEFT JOIN cells ON cells.r = floor(y)::bigint AND cells.c = floor(x)::bigint")
 def warp_nearest(spark, sf_dir):
     """Elevation on a grid in degrees, brought to a turned grid in metres: the cell below each centre."""
     height = B.height(spark, sf_dir)
-    return rounded(warped(B.cells(spark, sf_dir), "z", _degrees(height), _metres(height, 25.0)), "value", digits=4)
+    return rounded(warped(B.cells(spark, sf_dir), "z", _degrees(height), _metres(height, 25.0)), "value", digits=9)  # elevations have eight digits: none is a tie
 
 
 @query(f"WITH {C}, size AS (SELECT max(r) + 1 AS h FROM cells), to_ AS (SELECT r, c FROM cells WHERE g >= 30 AND c < 108 AND r < (SELECT round_even((max(r) + 1) * 30 / 25e0, 0) FROM cells)), {_placed('(0, 0.5e0, 0.5e0)', 25.0)}, four AS (SELECT r, c, y, x, floor(y - 0.5e0)::bigint + a AS sr, floor(x - 0.5e0)::bigint + b AS sc FROM met, size, (VALUES (0), (1)) AS p(a), (VALUES (0), (1)) AS q(b) WHERE {_on}), "
