@@ -17,6 +17,7 @@ from ..functions.expr import col, core_valid, finite, non_channel
 from ..functions.sampling import uniform
 from . import models
 from .grid import neighbour_means, undirected
+from .shared import kept
 
 
 def target_physics(threshold: float = -0.277, c_min: float = 20.0, cutoff: float = 120.0, dz: str = "dz", g: str = "g", **inputs) -> Column:
@@ -111,8 +112,11 @@ def embedding_regression(rows: DataFrame, bands: str, label: str, trees: bool =
 
 
 def graph_classifier(nodes: DataFrame, edges: DataFrame, label: str, features: list[str], hops: int = 2) -> tuple[models.Logistic, DataFrame]:
-    """A logistic model of a node's features and of their means over ``hops`` rings of neighbours, and the nodes scored by it."""
-    wide = neighbour_means(nodes, undirected(edges), features, hops)
+    """A logistic model of a node's features and of their means over ``hops`` rings of neighbours, and the nodes scored by it.
+
+    Edges and the nodes with their means are written before they are read again: each pass of the fit would plan and do all joins anew.
+    """
+    wide = kept(neighbour_means(nodes, kept(undirected(edges)), features, hops))
     names = [*features, *[f"{f}_{k}" for k in range(1, hops + 1) for f in features]]
     train = wide.where("is_train") if "is_train" in wide.columns else wide
     model = models.logistic(train, label, names)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..functions import sampling as S
-from ..operators import curves, features, forests, grid, layers, models, scenes, select
+from ..operators import curves, features, forests, grid, layers, models, scenes, select, tiles
 from ..operators.ranks import numbered
 from ..operators.shared import new_path
 from ..operators.warp import Grid, warped
@@ -288,7 +288,7 @@ def embedding_scores(spark, sf_dir):
 def graph_scores(spark, sf_dir):
     """A logistic model of slope and area and of their means over two rings of the flow graph."""
     rows = training_cells(spark, sf_dir)
-    flow = grid.receivers(B.cells(spark, sf_dir)).select(F.col("cid").alias("src"), F.col("receiver").alias("dst"))
+    flow = tiles.receivers(B.cells(spark, sf_dir)).select(F.col("cid").alias("src"), F.col("receiver").alias("dst"))
     nodes = rows.select(F.col("cid").alias("id"), "s", "log_da", "y")
     return features.graph_classifier(nodes, flow, "y", ["s", "log_da"])[1].select("id", "y", F.round("prob_source", 9).alias("prob_source"), "pred_source")
 
