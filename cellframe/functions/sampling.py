@@ -175,11 +175,15 @@ def patch_arrays(cells: DataFrame, bands: list[str], target: str, height: int, w
     """
     at = ((F.col("r") - F.col("r0")) * patch + F.col("c") - F.col("c0")).cast("int")
     valid = cells.where(" AND ".join(f"{b} IS NOT NULL" for b in [*bands, target])).select("r", "c", *[F.col(b).cast("double").alias(b) for b in [*bands, target]])
-    each = in_patches(valid, height, width, patch, stride, block).groupBy("r0", "c0").agg(F.map_from_entries(F.collect_list(F.struct(at.alias("at"), F.struct(*bands, target).alias("v")))).alias("at"), F.count("*").alias("n"))
-    places = F.sequence(F.lit(0), F.lit(patch * patch - 1))
-    of = lambda name: F.transform(places, lambda k: F.coalesce(F.try_element_at("at", k)[name], F.lit(0.0)))
-    mask = F.transform(places, lambda k: F.map_contains_key("at", k).cast("int"))
-    return each.where(F.col("n") >= least_valid * patch * patch).select("r0", "c0", F.array(*map(of, bands)).alias("x"), mask.alias("mask"), of(target).alias("y"))
+    each = in_patches(valid, height, width, patch, stride, block).groupBy("r0", "c0").agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), *bands, target))).alias("v"), F.count("*").alias("n"))
+    # zeros between the valid cells in order: each cell brings those before it, so an array is written once
+    before = F.zip_with("v", F.concat(F.array(F.lit(-1)), F.slice(F.col("v.at"), 1, F.size("v") - 1)), lambda v, last: v["at"] - last - 1)
+    after = F.lit(patch * patch - 1) - F.element_at("v", -1)["at"]
+    filled = lambda values, zero: F.concat(F.flatten(F.zip_with(values, "gaps", lambda v, k: F.concat(F.array_repeat(zero, k), F.array(v)))), F.array_repeat(zero, "left_"))
+    of = lambda name: filled(F.col(f"v.{name}"), F.lit(0.0))
+    mask = filled(F.transform("v", lambda v: F.lit(1)), F.lit(0))
+    dense = each.where(F.col("n") >= least_valid * patch * patch).withColumns({"gaps": before, "left_": after})
+    return dense.select("r0", "c0", F.array(*map(of, bands)).alias("x"), mask.alias("mask"), of(target).alias("y"))
 
 
 def patches_averaged(predictions: DataFrame, patch: int, value: str = "p") -> DataFrame:

@@ -425,7 +425,7 @@ def patch_round_trip(spark, sf_dir):
     rows = S.patch_arrays(B.cells(spark, sf_dir), ["g", "s"], "dz", B.height(spark, sf_dir), B.WIDTH, PATCH, STRIDE)
     add = lambda c: F.aggregate(c, F.lit(0.0), lambda t, v: t + v)
     mean = add(F.get("x", F.lit(0))) / F.aggregate("mask", F.lit(0), lambda t, v: t + v)
-    said = rows.withColumn("m", mean).select("r0", "c0", "mask", F.transform(F.get("x", F.lit(0)), lambda v: v - F.col("m")).alias("p"))
+    said = rows.select("r0", "c0", "mask", E.let(mean, lambda m: F.transform(F.get("x", F.lit(0)), lambda v: v - m)).alias("p"))  # one mean for a patch, not for a cell
     return rounded(S.patches_averaged(said, PATCH), "p")
 
 

@@ -2,8 +2,7 @@
 
 import random
 
-from pyspark.sql import functions as F
-
+from cellframe.functions import sampling as S
 from cellframe.operators import features
 
 
@@ -22,3 +21,15 @@ def test_graph_model_reads_a_written_table(spark):
     a = {r.id: r.a for r in nodes.collect()}
     near = {i: [a[(i * 7 + 1) % 60]] + [a[j] for j in range(60) if (j * 7 + 1) % 60 == i] for i in a}
     assert all(abs(means[i] - sum(near[i]) / len(near[i])) < 1e-12 for i in a)
+
+
+def test_patch_arrays_look_nothing_up(spark):
+    """An array is written from its cells in order, whatever their gaps: no map is searched for each place."""
+    at = [(0, 1), (0, 2), (2, 0), (3, 3)]
+    cells = spark.createDataFrame([(r, c, float(r + 1), float(c)) for r, c in at], "r long, c long, a double, y double")
+    rows = S.patch_arrays(cells, ["a"], "y", 4, 4, 4, 4, 0.1)
+    row = rows.first()
+    assert row.mask == [int((r, c) in at) for r in range(4) for c in range(4)]
+    assert row.x[0] == [float(r + 1) if (r, c) in at else 0.0 for r in range(4) for c in range(4)]
+    assert row.y == [float(c) if (r, c) in at else 0.0 for r in range(4) for c in range(4)]
+    assert "map" not in plan(rows).lower().replace("mapped", "")
