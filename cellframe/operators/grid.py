@@ -142,45 +142,14 @@ def outline_points(parts: DataFrame, most_rounds: int = 64) -> DataFrame:
 
     Sides of cells without a neighbour in the component follow one another: at a
     corner where two components' cells touch a ring turns right, so that it
-    stays with its cell. Each side knows the next one; a ring's name is its
-    smallest side, and a side's place follows from its distance to that one.
-    Both come from pointers that reach twice as far in each round, so no ring is
+    stays with its cell. A ring's name is its smallest side, and a side's place
+    follows from its distance to that one. Sides are followed inside tiles, and
+    rings over tiles from chain to chain (``tiles.outline_points``), so no ring is
     walked in one task. Outer rings turn right, holes left.
     """
-    cells = parts.select("component", "r", "c")
-    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("dx0", "dy0", "dx1", "dy1", "dr", "dc"), side, strict=True)], F.lit(k).alias("way")) for k, side in enumerate(SIDES)])
-    looks = cells.select("component", "r", "c", F.explode(table).alias("o")).withColumn("nr", F.col("r") + F.col("o.dr")).withColumn("nc", F.col("c") + F.col("o.dc"))
-    there = cells.select("component", F.col("r").alias("nr"), F.col("c").alias("nc"))
-    sides = looks.join(there, ["component", "nr", "nc"], "left_anti")
-    point = lambda k: [(F.col("c") + F.col(f"o.dx{k}")).alias(f"x{k}"), (F.col("r") + F.col(f"o.dy{k}")).alias(f"y{k}")]
-    sides = kept(sides.select("component", F.col("o.way").alias("way"), *point(0), *point(1)).withColumn("id", (F.col("y0") * (1 << 32) + F.col("x0")) * 4 + F.col("way")))
-    turn = F.pmod(F.col("way2") - F.col("way"), F.lit(4))  # 1 right, 0 straight, 3 left
-    after = sides.select("component", F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("way").alias("way2"), F.col("id").alias("next"))
-    follow = sides.join(after, ["component", "x1", "y1"]).where(turn != 2).groupBy("id").agg(F.min_by(F.struct("next", "way", "way2"), F.when(turn == 1, 0).when(turn == 0, 1).otherwise(2)).alias("n")).select("id", "n.*")
-    follow = kept(follow)
-    state = kept(follow.select("id", F.col("next").alias("ptr"), F.col("id").alias("low")))
-    for _ in range(most_rounds):
-        jump = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("far"), F.col("low").alias("beyond"))
-        new = kept(state.join(jump, "ptr").select("id", F.col("far").alias("ptr"), F.least("low", "beyond").alias("low"), (F.col("beyond") < F.col("low")).alias("moved")))
-        forget(state)
-        state = new.drop("moved")
-        if not new.where("moved").limit(1).count():
-            break
-    else:
-        raise RuntimeError("rings did not settle")
-    ring = kept(state.select("id", F.col("low").alias("ring")))
-    walk = kept(follow.join(ring, "id").select("id", "ring", F.when(F.col("id") == F.col("ring"), F.col("id")).otherwise(F.col("next")).alias("ptr"), (F.col("id") != F.col("ring")).cast("long").alias("ahead")))
-    for _ in range(most_rounds):
-        jump = walk.select(F.col("id").alias("ptr"), F.col("ptr").alias("far"), F.col("ahead").alias("more"))
-        new = kept(walk.join(jump, "ptr").select("id", "ring", F.col("far").alias("ptr"), (F.col("ahead") + F.when(F.col("ptr") == F.col("id"), 0).otherwise(F.col("more"))).alias("ahead")))
-        forget(walk)
-        walk = new
-        if not walk.where("ptr <> ring").limit(1).count():
-            break
-    else:
-        raise RuntimeError("rings did not settle")
-    turned = follow.where("way <> way2").select(F.col("next").alias("id"))
-    return walk.join(turned, "id", "left_semi").join(sides, "id").select("component", "ring", (-F.col("ahead")).alias("seq"), F.col("x0").alias("x"), F.col("y0").alias("y"))
+    from . import tiles
+
+    return tiles.outline_points(parts, most_rounds)
 
 
 #: Corners in a run of a ring.
@@ -384,40 +353,12 @@ def spill_levels(basins: DataFrame, passes: DataFrame, most_rounds: int = 64) ->
 def filled(cells: DataFrame, value: str = "z") -> DataFrame:
     """``cells`` with ``filled``: sinks raised to the level at which they spill to the grid's edge.
 
-    Every valid cell drains to a basin's lowest cell by steepest descent; all
-    basins whose lowest cell lies on the edge are one outside. A basin's level is
-    the lowest pass to the outside (``spill_levels``); the table of passes has a
-    row for each pair of touching basins. A valid region that touches no edge
-    spills into the basin of its lowest cell, which stays as it is. Rounds are
-    the logarithm of the longest way; one that doesn't settle raises.
+    Tiles are flooded from their borders, and only the basins that a border cell
+    names, and the passes between them, meet in rounds (``tiles.filled``).
     """
-    valid = kept(cells.where(F.col(value).isNotNull()).select("cid", "r", "c", F.col(value).alias("z")))
-    touch = kept(neighbours(valid, "z"))
-    edge_cells = touch.groupBy("cid").agg(F.count("*").alias("n"))
-    edge = valid.join(edge_cells, "cid", "left").where(F.coalesce("n", F.lit(0)) < 8).select("cid")
-    inner = touch.join(edge, "cid", "left_anti")
-    to = inner.withColumn("drop", (F.col("z") - F.col("nz")) / F.col("dist")).where("drop > 0").groupBy("cid").agg(F.max_by("nid", F.struct("drop", -F.col("k"))).alias("to"))
-    state = flat_pointers(kept(valid.join(to, "cid", "left").select(F.col("cid").alias("id"), F.coalesce("to", "cid").alias("ptr"))))
-    outside = edge.select(F.col("cid").alias("ptr"), F.lit(OUT).cast("long").alias("out"))
-    basin = kept(state.join(outside, "ptr", "left").select(F.col("id").alias("cid"), F.coalesce("out", "ptr").alias("basin")))
-    sides = touch.join(basin, "cid").join(basin.select(F.col("cid").alias("nid"), F.col("basin").alias("other")), "nid").where("basin <> other")
-    passes = kept(sides.groupBy("basin", "other").agg(F.min(F.greatest("z", "nz")).alias("pass")))
-    basins = kept(basin.select("basin").distinct())
-    levels = spill_levels(basins, passes)
-    shut = kept(levels.where(F.col("comp") != OUT).join(valid.select(F.col("cid").alias("basin"), "z"), "basin").select("basin", "comp", "z"))
-    if shut.limit(1).count():
-        lowest = shut.groupBy("comp").agg(F.min_by("basin", F.struct("z", "basin")).alias("low"))
-        low = lowest.select(F.col("low").alias("basin"))
-        name = lambda side: F.coalesce(F.col("out"), F.col(side))
-        mine = low.withColumn("out", F.lit(OUT).cast("long"))
-        inside = passes.join(shut.select("basin"), "basin", "left_semi")
-        inside = inside.join(mine, "basin", "left").withColumn("basin", name("basin")).drop("out")
-        inside = inside.join(mine.withColumnRenamed("basin", "other"), "other", "left").withColumn("other", name("other")).drop("out")
-        inside = inside.groupBy("basin", "other").agg(F.min("pass").alias("pass"))
-        again = spill_levels(shut.select("basin").join(low, "basin", "left_anti").unionByName(basins.sparkSession.range(1).select(F.lit(OUT).cast("long").alias("basin"))), inside)
-        levels = levels.where(F.col("comp") == OUT).unionByName(again.where(F.col("basin") != OUT)).unionByName(low.select("basin", F.lit(OUT).cast("long").alias("comp"), F.lit(float("-inf")).alias("level")))
-    out = valid.join(basin, "cid").join(levels.select("basin", "level"), "basin").select("cid", "r", "c", "z", F.greatest("z", "level").alias("filled"))
-    return out
+    from . import tiles
+
+    return tiles.filled(cells, value)
 
 
 def drained(cells: DataFrame, value: str = "filled") -> DataFrame:

@@ -6,6 +6,7 @@ shuffled is the cells and a strip for each border. A task holds one tile at a ti
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .grid import EIGHT, FOUR, forest_sums
+from .grid import EIGHT, FOUR, OUT, SIDES, forest_sums, spill_levels
 from .shared import forget, kept
 
 #: Cells on a side of a tile.
@@ -343,3 +344,206 @@ def drained(cells: DataFrame, value: str = "filled", offsets=EIGHT, size: int =
 
     flats = settled.select("tr", "tc", "ids", "way", "z", "level").mapInArrow(finish, FLOW)
     return kept(done.unionByName(flats))
+
+
+def flooded(z: np.ndarray, ids: np.ndarray, own: np.ndarray, out: np.ndarray, rim: np.ndarray) -> tuple[list, list, dict]:
+    """Level and basin of an array's ``own`` cells, flooded from low to high, and the lowest passes between basins.
+
+    Water comes in at cells of the edge (``out``, basin ``OUT``) and at those of the rim, which name a basin if no lower one has come to them before.
+    The array's outermost cells are never own.
+    """
+    width = z.shape[1]
+    height, name = z.ravel().tolist(), ids.ravel().tolist()
+    basin = np.where(own.ravel(), None, False).tolist()  # False: no cell here
+    level, done, passes = list(height), [False] * len(height), {}
+    for i in np.flatnonzero(out.ravel()).tolist():
+        basin[i] = OUT
+    front = [(height[i], i) for i in np.flatnonzero((out | rim).ravel()).tolist()]
+    heapq.heapify(front)
+    ways = [dr * width + dc for dr, dc in EIGHT]
+    while front:
+        h, i = heapq.heappop(front)
+        if done[i]:
+            continue
+        done[i] = True
+        mine = basin[i]
+        if mine is None:
+            mine = basin[i] = name[i]
+        for way in ways:
+            j = i + way
+            other = basin[j]
+            if other is False:
+                continue
+            if other is None:
+                basin[j], level[j] = mine, max(h, height[j])
+                heapq.heappush(front, (level[j], j))
+            elif other != mine:
+                ends, over = (min(mine, other), max(mine, other)), max(h, level[j])
+                if over < passes.get(ends, np.inf):
+                    passes[ends] = over
+    return level, basin, passes
+
+
+def filled(cells: DataFrame, value: str = "z", size: int = SIZE) -> DataFrame:
+    """``(cid, r, c, z, filled)``: sinks raised to the level at which they spill to an edge of the valid cells.
+
+    Each tile is flooded once, from the edge and from its border cells; a basin is named by the border cell where its water came in. How high
+    the basins stand follows from the passes between them, in tiles and over borders (``grid.spill_levels``): rounds are over basins of border
+    cells, not over cells, which are shuffled once to their tiles and once with their levels. Every valid region has an edge.
+    """
+    kinds = {n: cells.schema[n].dataType for n in ("cid", "r", "c")}
+    valid = cells.where(F.col(value).isNotNull() & ~F.isnan(value)).select("cid", "r", "c", F.col(value).alias("z"))
+
+    def work(tile: Tile) -> dict:
+        z = tile.bands["z"]
+        there = ~np.isnan(z)
+        own, border = np.zeros(z.shape, bool), np.zeros(z.shape, bool)
+        tile.own(own)[:] = tile.own(there)
+        border[[1, -2], 1:-1] = border[1:-1, [1, -2]] = True
+        n = sum(near.astype(int) for _, _, near in steps(there, EIGHT, False))
+        out = own & (n < 8)
+        level, basin, passes = flooded(z, tile.ids, own, out, own & border)
+        at = np.flatnonzero(own.ravel())
+        names, label = np.unique(np.array([basin[i] for i in at.tolist()], np.int64), return_inverse=True)
+        r, c = at // z.shape[1] + tile.tr * size - 1, at % z.shape[1] + tile.tc * size - 1
+        edge = np.flatnonzero((own & border).ravel()[at])
+        rim = [{"r": a, "c": b, "basin": k, "z": v} for a, b, k, v in zip(r[edge].tolist(), c[edge].tolist(), names[label[edge]].tolist(), z.ravel()[at][edge].tolist(), strict=True)]
+        return {
+            "tr": [tile.tr], "tc": [tile.tc], "r": [r.astype(np.int64).tobytes()], "c": [c.astype(np.int64).tobytes()], "ids": [tile.ids.ravel()[at].tobytes()], "z": [z.ravel()[at].tobytes()],
+            "level": [np.array(level)[at].tobytes()], "label": [label.astype(np.int32).tobytes()], "names": [names.tolist()],
+            "links": [[{"a": a, "b": b, "pass": v} for (a, b), v in passes.items()]], "rim": [rim],
+        }
+
+    held = "tr long, tc long, r binary, c binary, ids binary, z binary, level binary, label binary, names array<long>"
+    state = kept(on_tiles(valid, ["z"], work, f"{held}, links array<struct<a:long,b:long,pass:double>>, rim array<struct<r:long,c:long,basin:long,z:double>>", 1, size))
+    rim = kept(state.select("tr", "tc", F.explode("rim").alias("x")).select("tr", "tc", "x.*"))
+    offsets = F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in EIGHT])).alias("o")
+    looks = rim.select("tr", "tc", F.col("basin").alias("a"), F.col("z").alias("za"), "r", "c", offsets).withColumns({"r": F.col("r") + F.col("o.dr"), "c": F.col("c") + F.col("o.dc")})
+    looks = looks.where((F.floor(F.col("r") / size) != F.col("tr")) | (F.floor(F.col("c") / size) != F.col("tc"))).select("r", "c", "a", "za")
+    over = looks.join(rim.select("r", "c", F.col("basin").alias("b"), "z"), ["r", "c"]).where("a <> b").select("a", "b", F.greatest("za", "z").alias("pass"))
+    within = state.select(F.explode("links").alias("x")).select("x.*")
+    links = over.unionByName(within).unionByName(within.select(F.col("b").alias("a"), F.col("a").alias("b"), "pass"))
+    passes = kept(links.groupBy(F.col("a").alias("basin"), F.col("b").alias("other")).agg(F.min("pass").alias("pass")))
+    named = kept(state.select("tr", "tc", F.explode("names").alias("basin")))
+    levels = spill_levels(named.select("basin").distinct(), passes)
+    own = named.join(levels.select("basin", "level"), "basin").groupBy("tr", "tc").agg(F.collect_list(F.struct("basin", "level")).alias("levels"))  # at most one for each border cell of a tile
+    forget(rim)
+
+    def back(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                level_of = {x["basin"]: x["level"] for x in row["levels"]}
+                spill = np.array([level_of[n] for n in row["names"]])
+                of = lambda n, kind=np.int64: np.frombuffer(row[n], kind)  # noqa: B023, E731
+                full = np.maximum(of("level", np.float64), spill[of("label", np.int32)])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (of("ids"), of("r"), of("c"), of("z", np.float64), full)], names=["cid", "r", "c", "z", "filled"])
+
+    rows = state.drop("links", "rim").join(own, ["tr", "tc"]).select("r", "c", "ids", "z", "level", "label", "names", "levels").mapInArrow(back, "cid long, r long, c long, z double, filled double")
+    return rows.withColumns({n: F.col(n).cast(kind) for n, kind in kinds.items() if kind.simpleString() != "bigint"})
+
+
+def followed(ids: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sides that follow one another (-1: the way leaves): where each one's way ends, the steps to there, and the smallest id on it.
+
+    On a closed way the smallest id is that of the ring, and the steps are those to its side.
+    """
+    rounds = range(max(1, len(ids)).bit_length() + 1)
+
+    def doubled(ptr, low):
+        ahead = (ptr != np.arange(len(ptr))).astype(np.int64)
+        for _ in rounds:
+            low = np.minimum(low, low[ptr])
+            ahead, ptr = ahead + np.where(ptr == np.arange(len(ptr)), 0, ahead[ptr]), ptr[ptr]
+        return ptr, ahead, low
+
+    ptr, ahead, low = doubled(np.where(after < 0, np.arange(len(ids)), after), ids)
+    closed = after[ptr] >= 0
+    if closed.any():
+        stop = (after < 0) | (closed & (ids == low))
+        again, to, _ = doubled(np.where(stop, np.arange(len(ids)), after), ids)
+        ptr, ahead = np.where(closed, again, ptr), np.where(closed, to, ahead)
+    return ptr, ahead, low
+
+
+CLOSED, OPENED, CHAIN = 0, 1, 2
+TRACED = ["kind", "component", "x", "y", "a", "d", "head", "low", "low_d", "length", "to"]
+
+
+def outline_points(parts: DataFrame, most_rounds: int = 64, size: int = SIZE) -> DataFrame:
+    """``grid.outline_points`` by tiles: cells are shuffled once; a ring that leaves its tile is a chain in each tile that it passes, and rounds are over chains."""
+    walk_ = [(0, 1), (1, 0), (0, -1), (-1, 0)]  # rows and columns of the way along each of ``SIDES``
+
+    def work(tile: Tile) -> dict:
+        own, near = tile.own(tile.ids), lambda *at: tile.own(tile.ids, *at)
+        r, c = np.indices(own.shape)
+        shape = (size, size, 4)
+        opened, turned, to_r, to_c, to_k = np.zeros(shape, bool), np.zeros(shape, bool), *(np.zeros(shape, np.int64) for _ in range(3))
+        for k, ((dr, dc), side) in enumerate(zip(walk_, SIDES, strict=True)):
+            er, ec = side[4:]
+            opened[..., k] = (own >= 0) & (near(er, ec) != own)
+            ahead, beyond = near(dr, dc) == own, near(dr + er, dc + ec) == own
+            left, straight = ahead & beyond, ahead & ~beyond
+            to_r[..., k], to_c[..., k] = r + dr * ahead + er * left, c + dc * ahead + ec * left
+            to_k[..., k] = (k + np.where(left, -1, np.where(straight, 0, 1))) % 4
+            turned[..., k] = ~((near(-dr, -dc) == own) & (near(er - dr, ec - dc) != own))
+        on = np.flatnonzero(opened.ravel())
+        corner = np.array([side[:2] for side in SIDES])
+        start = lambda r, c, k: (c + tile.tc * size + corner[k, 0], r + tile.tr * size + corner[k, 1])
+        name = lambda x, y, k: (y * (1 << 32) + x) * 4 + k
+        k = on % 4
+        x, y = start(on // 4 // size, on // 4 % size, k)
+        ids = name(x, y, k)
+        nr, nc, nk = (a.ravel()[on] for a in (to_r, to_c, to_k))
+        inner = (nr >= 0) & (nr < size) & (nc >= 0) & (nc < size)
+        place = np.full(size * size * 4, -1)
+        place[on] = np.arange(len(on))
+        after = np.full(len(on), -1)
+        after[inner] = place[((nr * size + nc) * 4 + nk)[inner]]
+        end, ahead, low = followed(ids, after)
+        closed = after[end] >= 0
+        led = np.zeros(len(on), bool)
+        led[after[inner]] = True
+        head = np.flatnonzero(~closed & ~led)  # one for each chain
+        tail = end[head]
+        order = np.argsort(ids)
+        least = order[np.searchsorted(ids, low[head], sorter=order)]
+        corners = np.flatnonzero(turned.ravel()[on])
+        shut = closed[corners]
+        none = np.zeros(len(corners), np.int64)
+        points = [np.where(shut, CLOSED, OPENED), own.ravel()[on // 4][corners], x[corners], y[corners], np.where(shut, low[corners], ids[end[corners]]), ahead[corners], *[none] * 5]
+        zero = np.zeros(len(head), np.int64)
+        chains = [zero + CHAIN, zero, zero, zero, ids[tail], zero, ids[head], low[head], ahead[least], ahead[head] + 1, name(*start(nr[tail], nc[tail], nk[tail]), nk[tail])]
+        return {n: np.concatenate([p, q]).astype(np.int64) for n, p, q in zip(TRACED, points, chains, strict=True)}
+
+    traced = kept(on_tiles(parts.select(F.col("component").cast("long").alias("cid"), "r", "c"), [], work, ", ".join(f"{n} long" for n in TRACED), 1, size))
+    chains = traced.where(F.col("kind") == CHAIN)
+    follow = kept(chains.select(F.col("a").alias("id"), "low", "low_d", "length", F.col("to").alias("head")).join(chains.select("head", F.col("a").alias("ptr")), "head").drop("head"))
+    state = kept(follow.select("id", "ptr", "low"))
+    for _ in range(most_rounds):
+        jump = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("far"), F.col("low").alias("beyond"))
+        new = kept(state.join(jump, "ptr").select("id", F.col("far").alias("ptr"), F.least("low", "beyond").alias("low"), (F.col("beyond") < F.col("low")).alias("moved")))
+        forget(state)
+        state = new.drop("moved")
+        if not new.where("moved").limit(1).count():
+            break
+    else:
+        raise RuntimeError("rings did not settle")
+    known = kept(follow.withColumnRenamed("low", "least").join(state.select("id", F.col("low").alias("ring")), "id"))
+    mine = F.col("least") == F.col("ring")  # the chain that holds the ring's first side ends the way
+    walk = kept(known.select("id", F.when(mine, F.col("id")).otherwise(F.col("ptr")).alias("ptr"), F.when(mine, F.lit(0).cast("long")).otherwise(F.col("length")).alias("ahead")))
+    for _ in range(most_rounds):
+        jump = walk.select(F.col("id").alias("ptr"), F.col("ptr").alias("far"), F.col("ahead").alias("more"))
+        new = kept(walk.join(jump, "ptr").select("id", F.col("far").alias("ptr"), (F.col("ahead") + F.when(F.col("ptr") == F.col("id"), 0).otherwise(F.col("more"))).alias("ahead"), (F.col("far") != F.col("ptr")).alias("moved")))
+        forget(walk)
+        walk = new.drop("moved")
+        if not new.where("moved").limit(1).count():
+            break
+    else:
+        raise RuntimeError("rings did not settle")
+    rest = known.where(mine).select(F.col("id").alias("ptr"), (F.col("length") - 1 - F.col("low_d")).alias("rest"))
+    reach = walk.join(rest, "ptr").select(F.col("id").alias("ptr"), (F.col("ahead") + F.col("rest") + 1).alias("more"))
+    placed = kept(known.join(reach, "ptr").select(F.col("id").alias("a"), "ring", "more", F.when(mine, F.col("low_d")).alias("mark")))
+    point = ["component", "ring", "seq", "x", "y"]
+    whole = traced.where(F.col("kind") == CLOSED).select("component", F.col("a").alias("ring"), (-F.col("d")).alias("seq"), "x", "y")
+    steps_ = F.when(F.col("d") >= F.col("mark"), F.col("d") - F.col("mark")).otherwise(F.col("d") + F.col("more"))
+    return whole.unionByName(traced.where(F.col("kind") == OPENED).select("component", "a", "d", "x", "y").join(placed, "a").select("component", "ring", (-steps_).alias("seq"), "x", "y")).select(*point)

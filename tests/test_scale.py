@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from cellframe.functions import sampling as S
-from cellframe.operators import features
+from cellframe.operators import features, grid, tiles
 
 
 def plan(df):
@@ -33,3 +35,37 @@ def test_patch_arrays_look_nothing_up(spark):
     assert row.x[0] == [float(r + 1) if (r, c) in at else 0.0 for r in range(4) for c in range(4)]
     assert row.y == [float(c) if (r, c) in at else 0.0 for r in range(4) for c in range(4)]
     assert "map" not in plan(rows).lower().replace("mapped", "")
+
+
+def field(spark, seed=3, height=23, width=19):
+    rng = random.Random(seed)
+    z = {(r, c): float(rng.randint(0, 9)) for r in range(height) for c in range(width) if rng.random() > 0.05}
+    return z, grid.kept(spark.createDataFrame([(r * width + c + 5, r, c, v) for (r, c), v in z.items()], "cid long, r long, c long, z double"))
+
+
+def test_sinks_are_filled_over_tiles(spark):
+    """Levels of tiles of any size are those of a plain flood, and no step joins cells with their neighbours."""
+    z, cells = field(spark)
+    near = {p: [q for dr, dc in grid.EIGHT if (q := (p[0] + dr, p[1] + dc)) in z] for p in z}
+    level = {p: v if len(near[p]) < 8 else 1e9 for p, v in z.items()}
+    while True:
+        new = {p: min(level[p], max(z[p], min(level[q] for q in near[p]))) if near[p] else level[p] for p in z}
+        if new == level:
+            break
+        level = new
+    for size in (4, 7, 256):
+        assert {(r.r, r.c): r.filled for r in tiles.filled(cells, "z", size).collect()} == level
+    whole = grid.filled(cells)
+    assert whole.columns == ["cid", "r", "c", "z", "filled"] and "join leftouter" not in plan(whole).lower()
+
+
+def test_rings_are_followed_over_tiles(spark):
+    """Rings that leave their tiles, and come back to them, have the names, places and corners that one tile gives them."""
+    _, cells = field(spark, 4)
+    parts = grid.kept(grid.components(cells.where("z <= 6").select("cid", "r", "c")))
+    one = sorted(map(tuple, tiles.outline_points(parts).collect()))
+    assert len({p[1] for p in one}) > 5
+    for size in (3, 8):
+        assert sorted(map(tuple, tiles.outline_points(parts, size=size).collect())) == one
+    area = {r.component: r.area for r in grid.run_measures(grid.ring_runs(grid.outline_points(parts), 4)).groupBy("component").agg(F.sum("area").alias("area")).collect()}
+    assert area == {r.component: r.n for r in parts.groupBy("component").agg(F.count("*").cast("double").alias("n")).collect()}
