@@ -69,3 +69,15 @@ def test_rings_are_followed_over_tiles(spark):
         assert sorted(map(tuple, tiles.outline_points(parts, size=size).collect())) == one
     area = {r.component: r.area for r in grid.run_measures(grid.ring_runs(grid.outline_points(parts), 4)).groupBy("component").agg(F.sum("area").alias("area")).collect()}
     assert area == {r.component: r.n for r in parts.groupBy("component").agg(F.count("*").cast("double").alias("n")).collect()}
+
+
+def test_op7_hears_the_resampled_sound(spark, tmp_path):
+    """Resampling counts: samples of the feature are twice the payload's, and equal those of stored PCM of that rate."""
+    from cellframe.llm import queries, telephony
+
+    texts = ["", "a b c", "word " * 100]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op7_telephony(spark, str(tmp_path)).collect()}
+    assert all(f"n={2 * r.payload_bytes}," in r.feature.split(";")[0] for r in got.values())
+    media = telephony.stored(spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "doc_id long, bytes binary"))
+    assert {r.doc_id: r.feature for r in telephony.media_digests(telephony.pcm_columns(media)).collect()} == {i: r.feature for i, r in got.items()}
