@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cellframe.functions import sampling as S
-from cellframe.operators import features, grid, tiles
+from cellframe.operators import features, forests, grid, tiles
 
 
 def plan(df):
@@ -81,3 +82,25 @@ def test_op7_hears_the_resampled_sound(spark, tmp_path):
     assert all(f"n={2 * r.payload_bytes}," in r.feature.split(";")[0] for r in got.values())
     media = telephony.stored(spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "doc_id long, bytes binary"))
     assert {r.doc_id: r.feature for r in telephony.media_digests(telephony.pcm_columns(media)).collect()} == {i: r.feature for i, r in got.items()}
+
+
+def test_forests_read_groups_of_like_rows(spark):
+    """Passes read a row for each combination of bins, class and fold, however many rows there are, and open no node that can't be split."""
+    rng = random.Random(8)
+    rows = [(rng.getrandbits(60), int(a + b + rng.random() > 3), k % 3, [a, b]) for k in range(3000) if (a := rng.randint(0, 3)) is not None and (b := rng.randint(0, 3)) is not None]
+    table = spark.createDataFrame(rows, "h long, y byte, fold byte, x array<byte>")
+    groups = forests.counted(table, 2, 2, 7).collect()
+    assert len(groups) == len({(tuple(x), y, f) for _, y, f, x in rows}) < 100 and sum(g.n for g in groups) == 3000
+    draws = {t: forests.times_drawn(np.array([h for h, *_ in rows]), t, 7) for t in range(2)}
+    for g in groups:
+        mine = [i for i, (_, y, f, x) in enumerate(rows) if (y, f, x) == (g.y, g.fold, [g.x0, g.x1])]
+        assert g.n == len(mine) and g.w == [draws[t][mine].sum() for t in range(2)] and g.m == [(draws[t][mine] > 0).sum() for t in range(2)]
+    family = forests.Setting(2, 1).family()
+    made = []
+    real = forests._sums
+    forests._sums = lambda trees, *rest: made.append(rest[2]) or real(trees, *rest)
+    try:
+        trees = forests.grown(table, 2, {(family, 0): 2}, bins=4, seed=7)
+    finally:
+        forests._sums = real
+    assert made == [2] and all(len(t.feature) == 3 and 0 <= min(t.share) < max(t.share) <= 1 for t in trees)
