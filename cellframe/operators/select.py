@@ -47,8 +47,8 @@ NEAR = 1e-9  # relative room for rounding in bounds
 RISES = {"d": True, "n": True, "q": False}
 
 
-def pci_monte_carlo(cells: DataFrame, samples: DataFrame, d50: Column | None = None, na: Column | None = None, r: Column | None = None, g: str = "g", soil: Soil = Soil()) -> DataFrame:
-    """``(cid, pci, c_mean)`` where inputs may be columns of cells (SI units): the share of draws whose threshold is at most ``g``, and their mean.
+def pci_monte_carlo(cells: DataFrame, samples: DataFrame, d50: Column | None = None, na: Column | None = None, r: Column | None = None, g: str = "g", soil: Soil = Soil(), also: list[str] | None = None) -> DataFrame:
+    """``(cid, pci, c_mean)``, and between them the columns ``also`` of cells, where inputs may be columns of cells (SI units): the share of draws whose threshold is at most ``g``, and their mean.
 
     Inputs not given come from the sample table, whose size is a parameter. Without bands a cell finds its rank among the draws'
     thresholds (``pci_by_rank``). With one or two, cells fall into boxes of the bands and of ``g``. The threshold rises with diameter and roughness and falls with
@@ -60,16 +60,17 @@ def pci_monte_carlo(cells: DataFrame, samples: DataFrame, d50: Column | None = N
     valid = cells.where(F.col(g).isNotNull())
     bands = {k: v.cast("double") for k, v in {"d": d50, "n": na, "q": r}.items() if v is not None}
     drawn = {k: v for k, v in {"d": F.col("d50_mm") / 1000.0, "n": F.col("na"), "q": F.col("r_mm_hr") / 1000.0 / 3600.0}.items() if k not in bands}
-    met = valid.select("cid", F.col(g).cast("double").alias("_g"), *[v.alias(f"_{k}") for k, v in bands.items()])
+    met = valid.select("cid", F.col(g).cast("double").alias("_g"), *[v.alias(f"_{k}") for k, v in bands.items()], *([F.struct(*also).alias("_also")] if also else []))
+    along = ["_also.*"] if also else []
     if not drawn:
         c = threshold_c("_d", "_n", "_q", soil)
-        return met.select("cid", (c <= F.col("_g")).cast("double").alias("pci"), c.alias("c_mean"))
+        return met.select("cid", *along, (c <= F.col("_g")).cast("double").alias("pci"), c.alias("c_mean"))
     draws = samples.select(*[v.alias(k) for k, v in drawn.items()])
     if not bands:
         curve = kept(draws.select(threshold_c("d", "n", "q", soil).alias("c")))
         mean = curve.agg(F.avg("c")).first()[0]
-        return pci_by_rank(met, curve, "_g").select("cid", "pci", F.lit(mean).cast("double").alias("c_mean"))
-    return _by_boxes(met, draws, list(bands), soil)
+        return pci_by_rank(met, curve, "_g").select("cid", *along, "pci", F.lit(mean).cast("double").alias("c_mean"))
+    return _by_boxes(met, draws, list(bands), soil).select("cid", *along, "pci", "c_mean")
 
 
 def _scaled(name: str, value: Column) -> Column:
@@ -118,7 +119,7 @@ def _by_boxes(met: DataFrame, draws: DataFrame, names: list[str], soil: Soil) ->
     waves = [functools.reduce(lambda a, b: a * b, [F.cos(float(m) * F.col(f"a_{k}")) for k, m in zip(names, o, strict=True)]) for o in orders]
     mean = functools.reduce(lambda a, b: a + b, [F.get("_series", F.lit(i)) * w for i, w in enumerate(waves)])
     whole = functools.reduce(lambda a, b: a & b, [F.col(f"_{k}").isNotNull() for k in names])
-    return out.select("cid", F.when(whole, F.col("pci")).alias("pci"), F.when(whole, mean).alias("c_mean"))
+    return out.withColumns({"pci": F.when(whole, F.col("pci")), "c_mean": F.when(whole, mean)})
 
 
 def count_at_most(sorted_values: str, x: Column) -> Column:

@@ -95,6 +95,7 @@ def scored(cells: DataFrame, settings: Settings, rasters: dict[str, DataFrame] |
 
     A raster input's cells ``(r, c, value)`` are in ``rasters``, or else read from the path of its spec; its values are converted as its
     spec says. A cell without a value there has no ``pci``. Thresholds are rounded to 32-bit floats nowhere but where bands are written.
+    Cells meet their rasters once and go through the scores as whole rows, so they are shuffled for the rasters alone.
     """
     spark, rasters = cells.sparkSession, rasters or {}
     specs = {k: settings.inputs[k] for k in ("d50", "na", "rainfall_excess")}
@@ -112,8 +113,11 @@ def scored(cells: DataFrame, settings: Settings, rasters: dict[str, DataFrame] |
             band = rasters[k] if k in rasters else tables.read_band(spark, settings.place(specs[k]["path"]), "value")
             met = met.join(band.select("r", "c", converted("value", k, specs[k]).alias(f"_in_{k}")), ["r", "c"], "left")
     given = {arg: F.col(f"_in_{k}") for arg, k in (("d50", "d50"), ("na", "na"), ("r", "rainfall_excess")) if is_raster[k]}
-    result = select.pci_monte_carlo(met, grid.kept(samples), soil=soil, **given)
-    return cells.join(result.select("cid", "pci", F.col("c_mean").alias("c_model_mean")), "cid", "left")
+    met = grid.kept(met) if given else met  # the scores read it again and again
+    result = select.pci_monte_carlo(met, grid.kept(samples), soil=soil, also=[c for c in cells.columns if c != "cid"], **given)
+    none = F.lit(None).cast("double")
+    without = cells.where("g IS NULL").select("*", none.alias("pci"), none.alias("c_model_mean"))
+    return result.withColumnRenamed("c_mean", "c_model_mean").select(*without.columns).unionByName(without)
 
 
 def pci_polygons(cells: DataFrame, threshold: float, cell_area: float, least_area: float = 0.0) -> DataFrame:

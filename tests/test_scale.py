@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cellframe.functions import sampling as S
 from cellframe.operators import features, forests, grid, tiles
+from cellframe.plans import jobs
+from cellframe.plans.config import job_settings
 
 
 def plan(df):
@@ -104,3 +106,22 @@ def test_forests_read_groups_of_like_rows(spark):
     finally:
         forests._sums = real
     assert made == [2] and all(len(t.feature) == 3 and 0 <= min(t.share) < max(t.share) <= 1 for t in trees)
+
+
+def test_jobs_score_cells_without_a_join(spark):
+    """Cells go through the scores as whole rows and aren't joined with their own scores; cells without an index stay."""
+    rows = [(i, i // 4, i % 4, 1.5 * i, 2.0 + i if i % 5 else None) for i in range(12)]
+    cells = grid.kept(spark.createDataFrame(rows, "cid long, r long, c long, z double, g double"))
+    band = grid.kept(cells.where("cid <> 3").select("r", "c", (0.02 + 0.001 * F.col("cid")).alias("value")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are large
+    try:
+        made = [(jobs.scored(cells, job_settings({"inputs": inputs}, "/nowhere"), rasters), rasters) for inputs, rasters in (({}, {}), ({"na": {"mode": "raster", "units": "manning"}}, {"na": band}))]
+        assert all("SortMergeJoin [cid" not in got._jdf.queryExecution().executedPlan().toString() for got, _ in made)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for got, rasters in made:
+        found = {r.cid: r for r in got.collect()}
+        assert {k: (k, r.r, r.c, r.z, r.g) for k, r in found.items()} == {r[0]: r for r in rows}
+        assert got.columns == ["cid", "r", "c", "z", "g", "pci", "c_model_mean"]
+        missing = {r[0] for r in rows if r[4] is None} | ({3} if rasters else set())
+        assert {k for k, r in found.items() if r.pci is None} == {k for k, r in found.items() if r.c_model_mean is None} == missing
