@@ -123,8 +123,22 @@ def neighbour_means(cells: DataFrame, value: str, hops: int = 2, offsets=FOUR, s
 FLOW = "tr long, tc long, ids binary, way binary"
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Ids as the steps between them: equal bytes, which compress, where ids follow one another."""
+    return np.diff(ids.ravel(), prepend=np.int64(0)).tobytes()
+
+
+def unpacked(steps_: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps_, np.int64))
+
+
+def unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The bits in which two arrays of doubles differ, zeros where they are equal; with one of them they give the other."""
+    return np.ascontiguousarray(a).ravel().view(np.int64) ^ np.ascontiguousarray(b).ravel().view(np.int64)
+
+
 def _flow_row(tile: Tile, ids: np.ndarray, way: np.ndarray) -> dict:
-    return {"tr": [tile.tr], "tc": [tile.tc], "ids": [np.ascontiguousarray(ids).tobytes()], "way": [np.ascontiguousarray(way).tobytes()]}
+    return {"tr": [tile.tr], "tc": [tile.tc], "ids": [packed(ids)], "way": [np.ascontiguousarray(way).tobytes()]}
 
 
 def flow_of_descent(cells: DataFrame, value: str = "z", offsets=EIGHT, size: int = SIZE) -> DataFrame:
@@ -145,7 +159,7 @@ def flow_rows(tiles: DataFrame, size: int = SIZE) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                ids, way = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["way"], np.int8)
+                ids, way = unpacked(row["ids"]), np.frombuffer(row["way"], np.int8)
                 ids, way = ids[way != NONE], way[way != NONE]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(way.astype(np.int32), mask=way < 0)], names=["cid", "k"])
 
@@ -192,6 +206,28 @@ def accumulated(tiles: DataFrame, size: int = SIZE) -> DataFrame:
     border cells is summed by rounds (``grid.forest_sums``); the sums flow into the tiles once more, which gather again.
     All cells are read twice, however long their ways are. A cycle raises.
     """
+
+    def back(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                total, there = refilled(row, size)
+                yield pa.RecordBatch.from_arrays([pa.array(unpacked(row["ids"])[there]), pa.array(total[there])], names=["cid", "cells_up"])
+
+    return tiles.join(inflows(tiles, size), ["tr", "tc"], "left").select("ids", "way", "flows").mapInArrow(back, "cid long, cells_up long")
+
+
+def refilled(row: dict, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a flow tile with its inflows: cells that drain through each cell, and where there is one."""
+    way = np.frombuffer(row["way"], np.int8)
+    there = way != NONE
+    weight = there.astype(np.int64)
+    for f in row["flows"] or ():
+        weight[f["at"]] += f["more"]
+    return gathered(inside(way, size)[0], weight, there), there
+
+
+def inflows(tiles: DataFrame, size: int = SIZE) -> DataFrame:
+    """``(tr, tc, flows)``, written: what flow tiles ``(tr, tc, way)`` get from other tiles, at most one flow for each border cell."""
     place = lambda r, c: r * (1 << 32) + c
     ring = np.zeros((size, size), bool)
     ring[[0, -1], :] = ring[:, [0, -1]] = True
@@ -218,20 +254,7 @@ def accumulated(tiles: DataFrame, size: int = SIZE) -> DataFrame:
     column_of = F.col("to").bitwiseAND((1 << 32) - 1)
     into = leaving.select("id", "to").join(sums.select("id", "acc"), "id").groupBy("to").agg(F.sum("acc").alias("more"))
     into = into.select(F.floor(row_of / size).alias("tr"), F.floor(column_of / size).alias("tc"), F.struct((row_of % size * size + column_of % size).cast("int").alias("at"), "more").alias("f"))
-    flows = kept(into.groupBy("tr", "tc").agg(F.collect_list("f").alias("flows")))  # at most one for each border cell of a tile
-
-    def back(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                way = np.frombuffer(row["way"], np.int8)
-                weight = (way != NONE).astype(np.int64)
-                for f in row["flows"] or ():
-                    weight[f["at"]] += f["more"]
-                there = way != NONE
-                total = gathered(inside(way, size)[0], weight, there)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["ids"], np.int64)[there]), pa.array(total[there])], names=["cid", "cells_up"])
-
-    return tiles.join(flows, ["tr", "tc"], "left").select("ids", "way", "flows").mapInArrow(back, "cid long, cells_up long")
+    return kept(into.groupBy("tr", "tc").agg(F.collect_list("f").alias("flows")))
 
 
 def spread(level: np.ndarray, z: np.ndarray, open_: np.ndarray, offsets=EIGHT) -> np.ndarray:
@@ -269,8 +292,16 @@ def drained(cells: DataFrame, value: str = "filled", offsets=EIGHT, size: int =
     spread inside each tile at once, then border cells whose distance fell are sent to the tiles beyond, which spread again: rounds follow the
     number of tiles that a flat crosses, not of cells, and tiles that hold no open cell take part in none. A flat without a way out ends in itself.
     """
+    start = kept(on_tiles(cells, [value], flat_start(value, value, offsets, size), START, 2, size))
+    return kept(start.select("tr", "tc", "ids").join(ways_over_flats(start, offsets, size, most_rounds), ["tr", "tc"]))
+
+
+START = f"{FLOW}, z binary, raw binary, level binary"
+
+
+def flat_start(value: str, raw: str, offsets, size: int) -> Callable[[Tile], dict]:
+    """Work on a tile of halo 2: its flow by steepest descent, its surface ``z`` with a halo of one cell, what ``raw`` differs from it, and levels if it has open cells."""
     names = np.array([EIGHT.index(o) for o in offsets] + [END], np.int8)
-    side = size + 2
 
     def first(tile: Tile) -> dict:
         z = tile.bands[value]
@@ -284,10 +315,17 @@ def drained(cells: DataFrame, value: str = "filled", offsets=EIGHT, size: int =
         ids = tile.own(tile.ids)
         code = np.where(ids < 0, NONE, np.where(tile.own(open_), OPEN, names[tile.own(way)])).astype(np.int8)
         flat = bool((code == OPEN).any())
-        return _flow_row(tile, ids, code) | {"z": [np.ascontiguousarray(cut(z)).tobytes() if flat else None], "level": [level.tobytes() if flat else None]}
+        held = {"z": np.ascontiguousarray(cut(z)).tobytes(), "raw": unlike(tile.own(z), tile.own(tile.bands[raw])).tobytes(), "level": level.tobytes() if flat else None}
+        return _flow_row(tile, ids, code) | {n: [v] for n, v in held.items()}
 
-    start = kept(on_tiles(cells, [value], first, f"{FLOW}, z binary, level binary", 2, size))
-    done = start.where("level IS NULL").select("tr", "tc", "ids", "way")
+    return first
+
+
+def ways_over_flats(start: DataFrame, offsets=EIGHT, size: int = SIZE, most_rounds: int = 10_000) -> DataFrame:
+    """``(tr, tc, way)``, written: the ways of ``drained`` of tiles that ``flat_start`` has begun. Rounds carry no ids."""
+    names = np.array([EIGHT.index(o) for o in offsets] + [END], np.int8)
+    side = size + 2
+    done = start.where("level IS NULL").select("tr", "tc", "way")
 
     def settle(batches):
         for batch in batches:
@@ -302,20 +340,20 @@ def drained(cells: DataFrame, value: str = "filled", offsets=EIGHT, size: int =
                     for f in row["news"]:
                         level[f["r"] - row["tr"] * size + 1, f["c"] - row["tc"] * size + 1] = f["level"]
                 elif row["news"] is None and not row["fresh"]:
-                    yield pa.RecordBatch.from_pylist([{k: row[k] for k in ("tr", "tc", "ids", "way", "z", "level")} | {"told": []}], layout)
+                    yield pa.RecordBatch.from_pylist([{k: row[k] for k in ("tr", "tc", "way", "z", "level")} | {"told": []}], layout)
                     continue
                 level = spread(level, z, open_, offsets)
                 own = np.zeros((side, side), bool)
                 own[[1, -2], 1:-1] = own[1:-1, [1, -2]] = True
                 told = [{"r": r + row["tr"] * size - 1, "c": c + row["tc"] * size - 1, "level": int(level[r, c])} for r, c in np.argwhere(own & (level < before)).tolist()]
-                yield pa.RecordBatch.from_pylist([{k: row[k] for k in ("tr", "tc", "ids", "way", "z")} | {"level": level.tobytes(), "told": told}], layout)
+                yield pa.RecordBatch.from_pylist([{k: row[k] for k in ("tr", "tc", "way", "z")} | {"level": level.tobytes(), "told": told}], layout)
 
     cell = pa.struct([("r", pa.int64()), ("c", pa.int64()), ("level", pa.int32())])
-    layout = pa.schema([("tr", pa.int64()), ("tc", pa.int64()), *((n, pa.binary()) for n in ("ids", "way", "z", "level")), ("told", pa.list_(cell))])
+    layout = pa.schema([("tr", pa.int64()), ("tc", pa.int64()), *((n, pa.binary()) for n in ("way", "z", "level")), ("told", pa.list_(cell))])
     kind = "array<struct<r:long,c:long,level:int>>"
-    last, now = None, start.where("level IS NOT NULL").select("tr", "tc", "ids", "way", "z", "level", F.lit(None).cast(kind).alias("news"), F.lit(True).alias("fresh"))
+    last, now = None, start.where("level IS NOT NULL").select("tr", "tc", "way", "z", "level", F.lit(None).cast(kind).alias("news"), F.lit(True).alias("fresh"))
     for _ in range(most_rounds):
-        settled = kept(now.mapInArrow(settle, f"{FLOW}, z binary, level binary, told {kind}"))
+        settled = kept(now.mapInArrow(settle, f"tr long, tc long, way binary, z binary, level binary, told {kind}"))
         for table in last or ():
             forget(table)
         reach = lambda c: F.sequence(F.floor((F.col(c) - 1) / size), F.floor((F.col(c) + 1) / size))
@@ -340,10 +378,50 @@ def drained(cells: DataFrame, value: str = "filled", offsets=EIGHT, size: int =
                     fits = ((near == level.astype(np.int64) - 1) & (height == z))[1:-1, 1:-1] & (level[1:-1, 1:-1] < FAR)
                     found[fits] = names[k]
                 way[open_] = found[open_]
-                yield pa.RecordBatch.from_pylist([{"tr": row["tr"], "tc": row["tc"], "ids": row["ids"], "way": way.tobytes()}], pa.schema([("tr", pa.int64()), ("tc", pa.int64()), ("ids", pa.binary()), ("way", pa.binary())]))
+                yield pa.RecordBatch.from_pylist([{"tr": row["tr"], "tc": row["tc"], "way": way.tobytes()}], pa.schema([("tr", pa.int64()), ("tc", pa.int64()), ("way", pa.binary())]))
+
+    flats = settled.select("tr", "tc", "way", "z", "level").mapInArrow(finish, "tr long, tc long, way binary")
+    ways = kept(done.unionByName(flats))
+    forget(settled)
+    return ways
+
+
+def relief(cells: DataFrame, value: str = "z", surface: str = "filled", cell_size: float = 1.0, offsets=EIGHT, across: bool = True, size: int = SIZE) -> DataFrame:
+    """``(cid, r, c, z, filled, cells_up, slope)`` of a surface and the elevation below it: what drains through each cell, and its slope, 0 without a way down.
+
+    Ways lead across flats (``drained``), or else by steepest descent alone. Cells are shuffled to their tiles once; a tile holds its elevation, its surface and the surface's
+    halo, so that slopes, ways and sums meet as tiles, and rows of cells are made once, at the end.
+    """
+    kinds, side = {n: cells.schema[o].dataType for n, o in {"cid": "cid", "r": "r", "c": "c", "z": value, "filled": surface}.items()}, size + 2
+    start = kept(on_tiles(cells, list(dict.fromkeys((surface, value))), flat_start(surface, value, offsets, size), START, 2, size))
+    if across:
+        ways = ways_over_flats(start, offsets, size)
+    else:  # open cells are ends as others are
+        ways = kept(start.select("tr", "tc", "way").mapInArrow(closed_ways, "tr long, tc long, way binary"))
+
+    def back(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                total, there = refilled(row, size)
+                full = np.frombuffer(row["z"]).reshape(side, side)
+                drop = steepest(full, offsets)[1][1:-1, 1:-1].ravel()
+                own = np.ascontiguousarray(full[1:-1, 1:-1]).ravel()
+                z = (own.view(np.int64) ^ np.frombuffer(row["raw"], np.int64)).view(np.float64)
+                r, c = np.divmod(np.arange(size * size), size)
+                columns = (unpacked(row["ids"]), r + row["tr"] * size, c + row["tc"] * size, z, own, total, drop / cell_size)
+                yield pa.RecordBatch.from_arrays([pa.array(x[there]) for x in columns], names=["cid", "r", "c", "z", "filled", "cells_up", "slope"])
+
+    met = start.select("tr", "tc", "ids", "z", "raw").join(ways.join(inflows(ways, size), ["tr", "tc"], "left"), ["tr", "tc"])
+    rows = met.select("tr", "tc", "ids", "z", "raw", "way", "flows").mapInArrow(back, "cid long, r long, c long, z double, filled double, cells_up long, slope double")
+    return rows.withColumns({n: F.col(n).cast(kind) for n, kind in kinds.items()})
+
 
-    flats = settled.select("tr", "tc", "ids", "way", "z", "level").mapInArrow(finish, FLOW)
-    return kept(done.unionByName(flats))
+def closed_ways(batches):
+    for batch in batches:
+        for row in batch.to_pylist():
+            way = np.frombuffer(row["way"], np.int8)
+            row["way"] = np.where(way == OPEN, END, way).astype(np.int8).tobytes()
+            yield pa.RecordBatch.from_pylist([row], batch.schema)
 
 
 def flooded(z: np.ndarray, ids: np.ndarray, own: np.ndarray, out: np.ndarray, rim: np.ndarray) -> tuple[list, list, dict]:
@@ -409,8 +487,8 @@ def filled(cells: DataFrame, value: str = "z", size: int = SIZE) -> DataFrame:
         edge = np.flatnonzero((own & border).ravel()[at])
         rim = [{"r": a, "c": b, "basin": k, "z": v} for a, b, k, v in zip(r[edge].tolist(), c[edge].tolist(), names[label[edge]].tolist(), z.ravel()[at][edge].tolist(), strict=True)]
         return {
-            "tr": [tile.tr], "tc": [tile.tc], "r": [r.astype(np.int64).tobytes()], "c": [c.astype(np.int64).tobytes()], "ids": [tile.ids.ravel()[at].tobytes()], "z": [z.ravel()[at].tobytes()],
-            "level": [np.array(level)[at].tobytes()], "label": [label.astype(np.int32).tobytes()], "names": [names.tolist()],
+            "tr": [tile.tr], "tc": [tile.tc], "r": [r.astype(np.int64).tobytes()], "c": [c.astype(np.int64).tobytes()], "ids": [packed(tile.ids.ravel()[at])], "z": [z.ravel()[at].tobytes()],
+            "level": [unlike(np.array(level, np.float64)[at], z.ravel()[at]).tobytes()], "label": [label.astype(np.int32).tobytes()], "names": [names.tolist()],
             "links": [[{"a": a, "b": b, "pass": v} for (a, b), v in passes.items()]], "rim": [rim],
         }
 
@@ -435,8 +513,9 @@ def filled(cells: DataFrame, value: str = "z", size: int = SIZE) -> DataFrame:
                 level_of = {x["basin"]: x["level"] for x in row["levels"]}
                 spill = np.array([level_of[n] for n in row["names"]])
                 of = lambda n, kind=np.int64: np.frombuffer(row[n], kind)  # noqa: B023, E731
-                full = np.maximum(of("level", np.float64), spill[of("label", np.int32)])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (of("ids"), of("r"), of("c"), of("z", np.float64), full)], names=["cid", "r", "c", "z", "filled"])
+                z = of("z", np.float64)
+                full = np.maximum((of("level") ^ z.view(np.int64)).view(np.float64), spill[of("label", np.int32)])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (unpacked(row["ids"]), of("r"), of("c"), z, full)], names=["cid", "r", "c", "z", "filled"])
 
     rows = state.drop("links", "rim").join(own, ["tr", "tc"]).select("r", "c", "ids", "z", "level", "label", "names", "levels").mapInArrow(back, "cid long, r long, c long, z double, filled double")
     return rows.withColumns({n: F.col(n).cast(kind) for n, kind in kinds.items() if kind.simpleString() != "bigint"})

@@ -82,11 +82,9 @@ def terrain(cells: DataFrame, cell_size: float, alpha: float = 1.167, value: str
     """
     offsets = grid.FOUR if directions == 4 else grid.EIGHT
     valid = cells.where(F.col(value).isNotNull())
-    full = grid.kept(grid.filled(cells, value) if fill_sinks else valid.select("cid", "r", "c", F.col(value).alias("z"), F.col(value).alias("filled")))
-    flow = tiles.drained(full, "filled", offsets) if fill_sinks else grid.kept(tiles.flow_of_descent(full, "filled", offsets))
-    slope = tiles.receivers(full, "filled", cell_size, offsets).select("cid", "slope")
-    out = full.join(tiles.accumulated(flow), "cid").join(slope, "cid", "left")
-    out = out.select("cid", "r", "c", "z", "filled", (F.col("cells_up") * float(cell_size)).alias("a"), F.coalesce("slope", F.lit(0.0)).alias("s"))
+    full = grid.filled(cells, value) if fill_sinks else valid.select("cid", "r", "c", F.col(value).alias("z"), F.col(value).alias("filled"))
+    out = tiles.relief(full, "z", "filled", cell_size, offsets, fill_sinks)
+    out = out.select("cid", "r", "c", "z", "filled", (F.col("cells_up") * float(cell_size)).alias("a"), F.col("slope").alias("s"))
     return out.withColumn("g", driving_index("a", "s", alpha))
 
 

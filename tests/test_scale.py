@@ -125,3 +125,23 @@ def test_jobs_score_cells_without_a_join(spark):
         assert got.columns == ["cid", "r", "c", "z", "g", "pci", "c_model_mean"]
         missing = {r[0] for r in rows if r[4] is None} | ({3} if rasters else set())
         assert {k for k, r in found.items() if r.pci is None} == {k for k, r in found.items() if r.c_model_mean is None} == missing
+
+
+def test_terrain_meets_as_tiles(spark):
+    """Cells are shuffled to tiles for their surface; what flows through them and their slopes come with it, and no cell is joined by its id."""
+    rng = random.Random(8)
+    rows = [(100 + 7 * (r * 11 + c), r - 3, c, float(rng.choice([1, 1, 2, 5]) + (r + c) // 6)) for r in range(13) for c in range(11) if rng.random() < 0.93]
+    cells = grid.kept(spark.createDataFrame(rows, "cid long, r int, c int, z double"))
+    for offsets, across in ((grid.FOUR, True), (grid.EIGHT, False)):
+        full = grid.kept(tiles.filled(cells, "z", 4) if across else cells.withColumn("filled", F.col("z")))
+        flow = tiles.drained(full, "filled", offsets, 4) if across else grid.kept(tiles.flow_of_descent(full, "filled", offsets, 4))
+        want = full.join(tiles.accumulated(flow, 4), "cid").join(tiles.receivers(full, "filled", 10.0, offsets, 4).select("cid", "slope"), "cid", "left").fillna(0.0, ["slope"])
+        got = tiles.relief(full, "z", "filled", 10.0, offsets, across, 4)
+        assert got.dtypes == [("cid", "bigint"), ("r", "int"), ("c", "int"), ("z", "double"), ("filled", "double"), ("cells_up", "bigint"), ("slope", "double")]
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect())) and got.count() == len(rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are large
+    try:
+        assert "Join [cid" not in jobs.terrain(cells, 10.0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert tiles.relief(cells.where("z < 0"), "z", "z").collect() == []
