@@ -47,7 +47,7 @@ NEAR = 1e-9  # relative room for rounding in bounds
 RISES = {"d": True, "n": True, "q": False}
 
 
-def pci_monte_carlo(cells: DataFrame, samples: DataFrame, d50: Column | None = None, na: Column | None = None, r: Column | None = None, g: str = "g", soil: Soil = Soil(), also: list[str] | None = None) -> DataFrame:
+def pci_monte_carlo(cells: DataFrame, samples: DataFrame, d50: Column | None = None, na: Column | None = None, r: Column | None = None, g: str = "g", soil: Soil = Soil(), also: list[str] | None = None, every: bool = False) -> DataFrame:
     """``(cid, pci, c_mean)``, and between them the columns ``also`` of cells, where inputs may be columns of cells (SI units): the share of draws whose threshold is at most ``g``, and their mean.
 
     Inputs not given come from the sample table, whose size is a parameter. Without bands a cell finds its rank among the draws'
@@ -55,22 +55,31 @@ def pci_monte_carlo(cells: DataFrame, samples: DataFrame, d50: Column | None = N
     the rate, so a box's corners say which draws are surely at most ``g``, and which surely over it, for all of its cells; a cell
     computes the others alone, some hundredth of all. Means over draws are smooth in the bands: each interval has their Chebyshev series
     (relative error under 1e-7 for one band, 1e-5 for two). Tables of boxes and series have a size set by ``SPLIT``, ``G_BINS`` and the number of draws, not by the grid, and are broadcast.
-    With three bands nothing is drawn. A missing band counts as missing ``pci``; cells without ``g`` are left out.
+    With three bands nothing is drawn. A missing band counts as missing ``pci``; cells without ``g`` are left out,
+    or with ``every`` have NULLs. Without bands, cells are read once.
     """
     valid = cells.where(F.col(g).isNotNull())
     bands = {k: v.cast("double") for k, v in {"d": d50, "n": na, "q": r}.items() if v is not None}
     drawn = {k: v for k, v in {"d": F.col("d50_mm") / 1000.0, "n": F.col("na"), "q": F.col("r_mm_hr") / 1000.0 / 3600.0}.items() if k not in bands}
-    met = valid.select("cid", F.col(g).cast("double").alias("_g"), *[v.alias(f"_{k}") for k, v in bands.items()], *([F.struct(*also).alias("_also")] if also else []))
+    whole = cells if every and not bands else valid
+    met = whole.select("cid", F.col(g).cast("double").alias("_g"), *[v.alias(f"_{k}") for k, v in bands.items()], *([F.struct(*also).alias("_also")] if also else []))
     along = ["_also.*"] if also else []
     if not drawn:
         c = threshold_c("_d", "_n", "_q", soil)
-        return met.select("cid", *along, (c <= F.col("_g")).cast("double").alias("pci"), c.alias("c_mean"))
+        scores = met.select("cid", *along, (c <= F.col("_g")).cast("double").alias("pci"), c.alias("c_mean"))
+        return scores.unionByName(_unscored(cells, g, also)) if every else scores
     draws = samples.select(*[v.alias(k) for k, v in drawn.items()])
     if not bands:
         curve = kept(draws.select(threshold_c("d", "n", "q", soil).alias("c")))
         mean = curve.agg(F.avg("c")).first()[0]
-        return pci_by_rank(met, curve, "_g").select("cid", *along, "pci", F.lit(mean).cast("double").alias("c_mean"))
-    return _by_boxes(met, draws, list(bands), soil).select("cid", *along, "pci", "c_mean")
+        return pci_by_rank(met, curve, "_g").select("cid", *along, "pci", F.when(F.col("_g").isNotNull(), F.lit(mean).cast("double")).alias("c_mean"))
+    scores = _by_boxes(met, draws, list(bands), soil).select("cid", *along, "pci", "c_mean")
+    return scores.unionByName(_unscored(cells, g, also)) if every else scores
+
+
+def _unscored(cells: DataFrame, g: str, also: list[str] | None) -> DataFrame:
+    none = F.lit(None).cast("double")
+    return cells.where(F.col(g).isNull()).select("cid", *(also or []), none.alias("pci"), none.alias("c_mean"))
 
 
 def _scaled(name: str, value: Column) -> Column:

@@ -93,7 +93,7 @@ def scored(cells: DataFrame, settings: Settings, rasters: dict[str, DataFrame] |
 
     A raster input's cells ``(r, c, value)`` are in ``rasters``, or else read from the path of its spec; its values are converted as its
     spec says. A cell without a value there has no ``pci``. Thresholds are rounded to 32-bit floats nowhere but where bands are written.
-    Cells meet their rasters once and go through the scores as whole rows, so they are shuffled for the rasters alone.
+    Cells are read once: they meet their rasters and go through the scores as whole rows, so they are shuffled for the rasters alone.
     """
     spark, rasters = cells.sparkSession, rasters or {}
     specs = {k: settings.inputs[k] for k in ("d50", "na", "rainfall_excess")}
@@ -112,10 +112,8 @@ def scored(cells: DataFrame, settings: Settings, rasters: dict[str, DataFrame] |
             met = met.join(band.select("r", "c", converted("value", k, specs[k]).alias(f"_in_{k}")), ["r", "c"], "left")
     given = {arg: F.col(f"_in_{k}") for arg, k in (("d50", "d50"), ("na", "na"), ("r", "rainfall_excess")) if is_raster[k]}
     met = grid.kept(met) if given else met  # the scores read it again and again
-    result = select.pci_monte_carlo(met, grid.kept(samples), soil=soil, also=[c for c in cells.columns if c != "cid"], **given)
-    none = F.lit(None).cast("double")
-    without = cells.where("g IS NULL").select("*", none.alias("pci"), none.alias("c_model_mean"))
-    return result.withColumnRenamed("c_mean", "c_model_mean").select(*without.columns).unionByName(without)
+    result = select.pci_monte_carlo(met, grid.kept(samples), soil=soil, also=[c for c in cells.columns if c != "cid"], every=True, **given)
+    return result.withColumnRenamed("c_mean", "c_model_mean").select(*cells.columns, "pci", "c_model_mean")
 
 
 def pci_polygons(cells: DataFrame, threshold: float, cell_area: float, least_area: float = 0.0) -> DataFrame:
@@ -143,7 +141,7 @@ def run_job(cells: DataFrame, settings: Settings, cell_size: tuple[float, float]
         raise ValueError(f"cells have to be square, not {dx} x {dy}")
     if not cells.where("z IS NOT NULL").limit(1).count():
         raise ValueError("the elevation has no valid cell")
-    relief = grid.kept(terrain(cells, dx, settings.alpha, "z", settings.terrain.fill_sinks, settings.terrain.neighbours()))
+    relief = terrain(cells, dx, settings.alpha, "z", settings.terrain.fill_sinks, settings.terrain.neighbours())
     found = grid.kept(scored(relief, settings, rasters))
     return {"cells": found, "source_polygons": pci_polygons(found, settings.outputs.pci_threshold, dx * dx, settings.outputs.min_area_m2)}
 
@@ -151,7 +149,6 @@ def run_job(cells: DataFrame, settings: Settings, cell_size: tuple[float, float]
 def write_job(results: dict[str, DataFrame], settings: Settings) -> dict[str, str]:
     """Write a job's bands and polygons to the places that its settings name; gives the path of each output."""
     bands = {"slope": "s", "specific_catchment_area": "a", "topographic_driving_index": "g", "c_model_mean": "c_model_mean", "pci": "pci"}
-    for name, column in bands.items():
-        tables.write_band(results["cells"], settings.output(name), column)
+    tables.write_bands(results["cells"], {settings.output(name): column for name, column in bands.items()})
     results["source_polygons"].write.mode("overwrite").parquet(settings.output("source_polygons"))
     return {name: settings.output(name) for name in [*bands, "source_polygons"]}

@@ -400,8 +400,7 @@ def settings_job_written(spark, sf_dir):
     """Bands of a job with default settings, read from where its settings say that they are written."""
     settings = job_settings({"outputs": {"pci": "own/pci"}}, new_path(spark))
     places = jobs.write_job(jobs.run_job(B.cells(spark, sf_dir).select("cid", "r", "c", "z"), settings, (10.0, 10.0)), settings)
-    slope, pci = (tables.read_band(spark, places[n], n) for n in ("slope", "pci"))
-    return slope.join(pci, ["r", "c"]).select("r", "c", F.round("slope", 5).alias("slope"), F.round("pci", 5).alias("pci"))
+    return tables.read_bands(spark, {n: places[n] for n in ("slope", "pci")}).select("r", "c", F.round("slope", 5).alias("slope"), F.round("pci", 5).alias("pci"))
 
 
 PATCH, STRIDE = 16, 12

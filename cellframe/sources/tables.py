@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import finite, nodata_to_null
+from ..operators.shared import forget, kept
 
 NODATA = -9999.0
 TILE = 64
@@ -20,11 +23,24 @@ def write_band(cells: DataFrame, path: str, value: str, nodata: float = NODATA,
 
     A tile holds ``tile * tile`` cells at most, whatever the grid's size.
     """
-    v = F.coalesce(finite(value), F.lit(float(nodata))).cast("float")
-    at = ((F.col("r") % tile) * tile + F.col("c") % tile).cast("int")
-    each = cells.select(F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc"), F.struct(at.alias("at"), v.alias("v")).alias("x"))
+    _tiled(cells, [value], nodata, tile).select("tr", "tc", "at", F.col("b0").alias("band")).write.mode("overwrite").parquet(path)
+
+
+def write_bands(cells: DataFrame, bands: dict[str, str], nodata: float = NODATA, tile: int = TILE) -> None:
+    """Bands of the same cells, a column for each path, as ``write_band`` writes them; cells go to their tiles once for all of them."""
+    tiles = kept(_tiled(cells, list(bands.values()), nodata, tile))
+    for k, path in enumerate(bands):
+        tiles.select("tr", "tc", "at", F.col(f"b{k}").alias("band")).write.mode("overwrite").parquet(path)
+    forget(tiles)
+
+
+def _tiled(cells: DataFrame, values: list[str], nodata: float, tile: int) -> DataFrame:
+    """``(tr, tc, at, b0, b1, ..)``: tiles of several columns."""
+    bands = [F.coalesce(finite(v), F.lit(float(nodata))).cast("float").alias(f"b{k}") for k, v in enumerate(values)]
+    at = (F.pmod("r", F.lit(tile)) * tile + F.pmod("c", F.lit(tile))).cast("int")
+    each = cells.select(F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc"), F.struct(at.alias("at"), *bands).alias("x"))
     tiles = each.groupBy("tr", "tc").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    tiles.select("tr", "tc", F.col("x.at").alias("at"), F.col("x.v").alias("band")).write.mode("overwrite").parquet(path)
+    return tiles.select("tr", "tc", F.col("x.at").alias("at"), *[F.col(f"x.b{k}").alias(f"b{k}") for k in range(len(values))])
 
 
 def read_band(spark: SparkSession, path: str, value: str, nodata: float = NODATA, tile: int = TILE) -> DataFrame:
@@ -34,6 +50,32 @@ def read_band(spark: SparkSession, path: str, value: str, nodata: float = NODATA
     return tiles.select(r.alias("r"), c.alias("c"), nodata_to_null(F.col("x.band"), nodata).alias(value))
 
 
+def read_bands(spark: SparkSession, paths: dict[str, str], nodata: float = NODATA, tile: int = TILE) -> DataFrame:
+    """``(r, c, values)`` of the cells that all of the bands have, a path for each value, nodata as NULL. Bands meet as tiles, before they are cells."""
+    parts = [spark.read.parquet(p).select("tr", "tc", F.col("at").alias(f"at{k}"), F.col("band").alias(f"b{k}")) for k, p in enumerate(paths.values())]
+    met, n_bands = parts[0], len(parts)
+    for part in parts[1:]:
+        met = met.join(part, ["tr", "tc"])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = lambda n: batch.column(n)[i].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                at, bands = row("at0"), [row("b0")]
+                for k in range(1, n_bands):  # places are in order
+                    other = row(f"at{k}")
+                    first, n = np.searchsorted(other, at), np.searchsorted(other, at, "right") - np.searchsorted(other, at)
+                    mine = np.repeat(np.arange(len(at)), n)
+                    its = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    at, bands = at[mine], [*(b[mine] for b in bands), row(f"b{k}")[its]]
+                r, c = np.divmod(at.astype(np.int64), tile)
+                columns = [r + batch.column("tr")[i].as_py() * tile, c + batch.column("tc")[i].as_py() * tile, *bands]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["r", "c", *(f"b{k}" for k in range(n_bands))])
+
+    rows = met.mapInArrow(run, "r long, c long, " + ", ".join(f"b{k} float" for k in range(n_bands)))
+    return rows.select("r", "c", *[nodata_to_null(F.col(f"b{k}"), nodata).alias(v) for k, v in enumerate(paths)])
+
+
 def write_mask(cells: DataFrame, path: str, mask: str, on: int = 1) -> None:
     """A mask as bytes or small integers, 0 or ``on``; NULL where it has no value."""
     v = F.when(F.col(mask).isNotNull(), F.when(F.col(mask).cast("boolean"), on).otherwise(0)).cast("short")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cellframe.functions import sampling as S
 from cellframe.operators import models
-from cellframe.plans import jobs
+from cellframe.plans import config, jobs
 from cellframe.sources import tables
 
 
@@ -93,3 +93,31 @@ def test_pci_job(spark):
     assert rows[0, 0].a == 10.0 and rows[6, 0].a == 70.0 and rows[0, 0].s == pytest.approx(0.2)
     high = sum(x.pci >= 0.5 for x in rows.values())
     assert polygons.agg(F.coalesce(F.sum("n_cells"), F.lit(0))).first()[0] == high
+
+
+def test_bands_meet_as_tiles(spark, tmp_path):
+    """Bands written together are as bands written alone; bands of different cells are read as their join by place, which no cell is shuffled for."""
+    rows = [(r - 70, c, None if c == 5 else r + 0.5 * c, math.inf if r == 3 else 2.0 * r - c) for r in range(140) for c in range(0, 70, 3)]
+    cells = spark.createDataFrame(rows, "r long, c long, v double, w double")
+    tables.write_bands(cells, {f"{tmp_path}/v": "v", f"{tmp_path}/w": "w"})
+    for name in "vw":
+        tables.write_band(cells, f"{tmp_path}/{name}_alone", name)
+        assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/{name}").collect())) == sorted(map(tuple, spark.read.parquet(f"{tmp_path}/{name}_alone").collect()))
+    tables.write_band(cells.where("(r * 7 + c) % 5 <> 0 AND r < 60"), f"{tmp_path}/some", "w")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are large
+    try:
+        for other in ("w", "some"):
+            paths = {"v": f"{tmp_path}/v", "w": f"{tmp_path}/{other}", "x": f"{tmp_path}/v_alone"}
+            v, w, x = (tables.read_band(spark, p, n) for n, p in paths.items())
+            got, key = tables.read_bands(spark, paths), lambda t: t[:2]
+            assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, v.join(w, ["r", "c"]).join(x, ["r", "c"]).collect()), key=key)
+            assert "Join [r" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_scores_without_rasters_read_cells_once(spark, tmp_path):
+    spark.createDataFrame([(i, 0, i, 2.0 + i if i % 3 else None) for i in range(9)], "cid long, r long, c long, g double").write.parquet(f"{tmp_path}/cells_here")
+    got = jobs.scored(spark.read.parquet(f"{tmp_path}/cells_here"), config.job_settings())
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [cid") == 1
+    assert {r.cid for r in got.collect() if r.pci is None and r.c_model_mean is None} == {0, 3, 6} and got.where("pci IS NOT NULL AND c_model_mean IS NOT NULL").count() == 6
