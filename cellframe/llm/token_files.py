@@ -91,8 +91,6 @@ class TextIds:
 
     def learn(self, words: list[str]) -> None:
         """Look up words between spaces, some hundred at once; a word's last id is one that ends a word."""
-        if len(self.words) > self.MOST:
-            self.words.clear()
         size = np.dtype(self.kind).itemsize
         for lo in range(0, len(words), 256):
             part = words[lo : lo + 256]
@@ -106,6 +104,8 @@ class TextIds:
         """The ids of plain chunks, from those of their words; a line end parts the chunks and has no ids."""
         found = PLAIN_WORDS.findall("\n".join(chunks).lower())
         words = self.words
+        if len(words) > self.MOST:  # before the new words are told from those that are known
+            words.clear()
         words.pop("\n", None)
         self.learn([w for w in dict.fromkeys(found) if w not in words and w != "\n"])
         words["\n"] = b""

@@ -86,6 +86,28 @@ def test_op7_hears_the_resampled_sound(spark, tmp_path):
     assert {r.doc_id: r.feature for r in telephony.media_digests(telephony.pcm_columns(media)).collect()} == {i: r.feature for i, r in got.items()}
 
 
+def test_token_ids_when_tables_are_full(monkeypatch):
+    """A table of words or chunks that has grown too large is emptied between texts, and no text's words get lost."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from cellframe.llm import token_files
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(token_files.TextIds, "MOST", 20)
+    rng = random.Random(9)
+    own, lib = token_files.TextIds(path, "<u2"), Tokenizer.from_file(path)
+    words = ["".join(rng.choice("abcdé'9.") for _ in range(rng.randint(1, 5))) for _ in range(300)]
+    most = 0
+    for _ in range(60):
+        texts = [" ".join(rng.choice(words) for _ in range(8)) for _ in range(3)]
+        got = own.encoded(pa.array(texts), np.array([2], "<u2").tobytes()).to_pylist()
+        assert [np.frombuffer(g, "<u2").tolist() for g in got] == [e.ids + [2] for e in lib.encode_batch(texts, add_special_tokens=False)]
+        most = max(most, len(own.words), len(own.chunks))
+    assert most < 20 + 3 * 8 * 5 + 2  # bounded by the table and one lot
+
+
 def test_forests_read_groups_of_like_rows(spark):
     """Passes read a row for each combination of bins, class and fold, however many rows there are, and open no node that can't be split."""
     rng = random.Random(8)
