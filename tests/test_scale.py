@@ -86,6 +86,31 @@ def test_op7_hears_the_resampled_sound(spark, tmp_path):
     assert {r.doc_id: r.feature for r in telephony.media_digests(telephony.pcm_columns(media)).collect()} == {i: r.feature for i, r in got.items()}
 
 
+def test_op7_stores_the_resampled_sound(spark, tmp_path, monkeypatch):
+    """Media and the PCM of 16 kHz are written whole, and digests follow from the files; packed PCM of any kind comes back."""
+    from cellframe.llm import queries, telephony
+
+    texts = ["", "a b c", "word " * 100]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tables, real = [], telephony.written
+    monkeypatch.setattr(telephony, "written", lambda *a, **b: tables.append(real(*a, **b)) or tables[-1])
+    got = queries.op7_telephony(spark, str(tmp_path))
+    files = {f for t in tables if "pcm" in t.columns for f in t.inputFiles()}
+    assert [t.columns[-1] for t in tables] == ["media", "others"] and set(got.inputFiles()) == files != set()
+    heard = {}
+    for r in tables[1].collect():
+        sound = np.frombuffer(telephony.unpacked(r.pcm), "<i2")
+        heard[r.key] = len(sound), int(np.abs(sound.astype(int)).max())
+        low = telephony.MULAW[np.frombuffer(telephony.padded(texts[r.key].encode()), np.uint8)]
+        assert r.rate == 16000 and sound[::2].tolist() == low.tolist()
+        assert sound[1::2].tolist() == [(int(a) + int(b)) // 2 for a, b in zip(low, [*low[1:], low[-1]])]
+    assert {r.doc_id: r.feature.split(",turns")[0].split(",mean")[0] for r in got.collect()} == {i: f"mulaw@16000:n={n},peak={p}" for i, (n, p) in heard.items()}
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 3, 64, 127):
+        pcm = rng.choice([-32768, -1, 0, 1, 32767, *rng.integers(-32768, 32768, 9)], n).astype("<i2").tobytes()
+        assert len(telephony.packed(pcm)) == len(pcm) and telephony.unpacked(telephony.packed(pcm)) == pcm
+
+
 def test_token_ids_when_tables_are_full(monkeypatch):
     """A table of words or chunks that has grown too large is emptied between texts, and no text's words get lost."""
     import public_tokenizers
